@@ -30,6 +30,30 @@ from pyspark.sql import types as T
 from sheetwise import constants as K
 from sheetwise.functions.regex import PY_SPACE, callback_replace, py_strip
 
+def _nfkc_unstable_chars() -> str:
+    """Every code point NFKC can change: those whose NFKC form differs, all
+    combining marks (they may compose with what precedes them), and the
+    conjoining Hangul jamo blocks.  Built from the Unicode database by rule."""
+    jamo = [(0x1100, 0x11FF), (0xA960, 0xA97F), (0xD7B0, 0xD7FF)]
+    out = []
+    for cp in range(0x110000):
+        if 0xD800 <= cp <= 0xDFFF:
+            continue
+        c = chr(cp)
+        if (unicodedata.combining(c) or unicodedata.category(c).startswith("M")
+                or any(a <= cp <= b for a, b in jamo) or unicodedata.normalize("NFKC", c) != c):
+            out.append(c)
+    return "".join(out)
+
+
+NFKC_UNSTABLE = _nfkc_unstable_chars()
+
+
+def needs_nfkc(t: Column) -> Column:
+    """True when NFKC may change ``t`` (one hash lookup per character, in the JVM)."""
+    return F.length(F.translate(t, NFKC_UNSTABLE, "")) < F.length(t)
+
+
 HY = "[" + "".join("\\x{%X}" % cp for cp in K.HYPHEN_CODEPOINTS) + "]"
 NON_ASCII = "[^\\x00-\\x7F]"
 
@@ -110,7 +134,7 @@ def post_nfkc(t: Column) -> Column:
 # --- step 2: NFKC -----------------------------------------------------------------
 
 def _nfkc_values(values: pa.Array) -> pa.Array:
-    """NFKC for a flat string array; only non-ASCII entries go through Python."""
+    """NFKC for a flat string array; NULL and ASCII entries are passed through."""
     if len(values) == 0:
         return values
     mask = pc.fill_null(pc.match_substring_regex(values, NON_ASCII), False)
@@ -140,13 +164,14 @@ def nfkc_cells(a: pa.Array) -> pa.Array:
 def normalize_text(t: Column) -> Column:
     """Normalize one string column (NULL and '' pass through unchanged)."""
     pre = pre_nfkc(t)
-    # ASCII-only values reach the UDF as NULL, so Python only sees the rest
-    folded = F.coalesce(nfkc(F.when(pre.rlike(NON_ASCII), pre)), pre)
+    # values NFKC cannot change reach the UDF as NULL: Python sees only the rest
+    folded = F.coalesce(nfkc(F.when(needs_nfkc(pre), pre)), pre)
     return F.when((t.isNull()) | (t == ""), t).otherwise(post_nfkc(folded))
 
 
 def normalize_cells(cells: Column) -> Column:
     """Normalize every element of an ``ARRAY<STRING>`` (a whole sheet row)."""
     pre = F.transform(cells, lambda c: F.when(c == "", c).otherwise(pre_nfkc(c)))
-    folded = nfkc_cells(pre)
+    sent = nfkc_cells(F.transform(pre, lambda c: F.when(needs_nfkc(c), c)))
+    folded = F.zip_with(pre, sent, lambda p, n: F.coalesce(n, p))
     return F.transform(folded, lambda c: F.when(c.isNull() | (c == ""), c).otherwise(post_nfkc(c)))

@@ -160,3 +160,31 @@ def keyword_headers(headers: DataFrame) -> DataFrame:
         c = F.instr(F.col("raw_name"), kw) > 0
         cond = c if cond is None else cond | c
     return headers.where(cond)
+
+
+def explain_budget_headers(headers: DataFrame) -> DataFrame:
+    """How each header of each file is read by the budget grammars:
+    (source_file, col_idx, name, review_year, matched_rule, raw_item, target_year,
+    is_request, item, relative_year, out_col, reject_reason)."""
+    n = F.col("name")
+    p14, p15 = R.fullmatch(K.BUDGET_RE_2014), R.fullmatch(K.BUDGET_RE_2015)
+    m14, m15 = n.rlike(p14), n.rlike(p15)
+    h = headers.select("source_file", "col_idx", "name", review_year(F.col("source_file")).alias("review_year"),
+                       F.when(m14, "2014").when(m15, "2015+").alias("matched_rule"),
+                       F.when(m14, F.regexp_extract(n, p14, 1)).when(m15, F.regexp_extract(n, p15, 2)).alias("raw_item"),
+                       F.when(m14, F.regexp_extract(n, p14, 2)).when(m15, F.regexp_extract(n, p15, 1)).cast("int").alias("target_year"),
+                       F.when(m14, F.regexp_extract(n, p14, 3)).otherwise(F.lit("")).alias("_tail"))
+    req = (F.instr("raw_item", K.BUDGET_REQUEST_WORD) > 0) | (F.instr("_tail", K.BUDGET_REQUEST_WORD) > 0)
+    h = h.withColumn("is_request", F.when(F.col("matched_rule").isNotNull(), req))
+    h = h.withColumn("item", standardize_budget_item(F.col("raw_item"), F.col("is_request")))
+    rel = F.when(F.col("is_request"), F.lit(1)).otherwise(F.col("target_year") - F.col("review_year"))
+    h = h.withColumn("relative_year", F.when(F.col("item").isNotNull(), rel))
+    suffix = F.element_at(F.create_map(*[F.lit(x) for pair in K.BUDGET_SUFFIXES for x in pair]), F.col("relative_year"))
+    reason = (F.when(F.col("review_year").isNull(), "no review year in file name")
+              .when(F.col("matched_rule").isNull(), "no budget grammar matches")
+              .when(F.col("item").isNull(), "item not listed")
+              .when(~F.col("relative_year").between(-3, 1), "relative year out of range"))
+    return h.select("source_file", "col_idx", "name", "review_year", "matched_rule", "raw_item", "target_year",
+                    "is_request", "item", "relative_year",
+                    F.when(reason.isNull(), F.concat(F.col("item"), suffix)).alias("out_col"),
+                    reason.alias("reject_reason"))

@@ -207,3 +207,150 @@ def text_filter_sql(word: str = "一者応札") -> str:
     reason = K.EXPENDITURE_ITEMS[-1]
     return (f"SELECT business_id, \"業務概要\", \"支出先\", \"{reason}\" FROM ({expenditure_sql()}) e "
             f"WHERE contains(\"{reason}\", '{word}')")
+
+
+# --- normalization ------------------------------------------------------------------
+
+from sheetwise.sources.derived import (CUSTOMER_FILE_SQL, COST_ITEM_SQL, HYPHENS,  # noqa: E402
+                                       HYPHEN_TEXT_SQL, LINEITEM_BASE_SQL, WAREKI_TEXT_SQL, _bit)
+
+_ERA_OFF = [1867, 1911, 1925, 1988, 2018]
+
+
+def _off(idx: str) -> str:
+    return "CASE " + idx + " " + " ".join(f"WHEN {i} THEN {o}" for i, o in enumerate(_ERA_OFF)) + " END"
+
+
+def _bare(n: str) -> str:
+    return f"CAST(CASE WHEN {n} <= 5 THEN 2018 + {n} ELSE 1988 + {n} END AS VARCHAR)"
+
+
+def wareki_sql() -> str:
+    k = "o_orderkey"
+    a, b = f"({k} % 20 + 1)", f"({k} % 20 + 1 + {k} % 5)"
+    y = f"CASE WHEN {k} % 7 = 0 THEN 1 ELSE {k} % 30 + 1 END"
+    expected = (
+        f"concat(CAST({k} % 20 + 1 AS VARCHAR), '. 目的、', CAST({_off(f'{k} % 5')} + {y} AS VARCHAR), '年、', "
+        f"CAST({_off(f'CAST(floor({k} / 5) AS BIGINT) % 5')} + {k} % 30 + 1 AS VARCHAR), '、', "
+        f"CASE WHEN {k} % 2 = 0 THEN concat(CAST(1988 + {a} AS VARCHAR), '～', CAST(1988 + {b} AS VARCHAR)) "
+        f"ELSE concat(CAST(1988 + {a} AS VARCHAR), '〜', {_bare(b)}) END, '年度、', {_bare(f'({k} % 40 + 1)')}, '年度')")
+    src = WAREKI_TEXT_SQL.replace("AS STRING", "AS VARCHAR")
+    return f"SELECT o_orderkey, {src} AS text, {expected} AS normalized FROM orders"
+
+
+def hyphens_sql() -> str:
+    idx = "p_partkey % 9"
+    kept = (f"CASE {idx} WHEN {K.HYPHEN_CODEPOINTS.index(0xFF0D)} THEN '-' "
+            f"WHEN {K.HYPHEN_CODEPOINTS.index(0x2011)} THEN '{chr(0x2010)}' "
+            f"ELSE substring('{HYPHENS}', CAST({idx} + 1 AS INT), 1) END")
+    expected = (f"concat('コンピュータ、東京大阪、事業番号-', CAST(p_partkey % 10 AS VARCHAR), "
+                f"'、リスト-グループ-支出先、リスト', {kept}, 'グループ')")
+    return f"SELECT p_partkey, {HYPHEN_TEXT_SQL.replace('AS STRING', 'AS VARCHAR')} AS text, {expected} AS normalized FROM part"
+
+
+# --- gate and header catalogues -----------------------------------------------------
+
+def gate_sql() -> str:
+    n = " + ".join(f"CAST({_bit(i)} AS INTEGER)" for i in range(5))
+    return (f"SELECT {CUSTOMER_FILE_SQL.replace('AS STRING', 'AS VARCHAR')} AS source_file, CAST({n} AS INTEGER) AS n_required, "
+            f"(c_custkey % 7 = 0) AS has_exclusion, ({n} >= 3 AND NOT (c_custkey % 7 = 0)) AS is_review_sheet FROM customer")
+
+
+def item_catalog_sql() -> str:
+    cost = f"trim({COST_ITEM_SQL}, ' ')"
+    payee = ("CASE c_custkey % 4 WHEN 0 THEN '入札者数' WHEN 1 THEN '契約方式' WHEN 2 THEN c_mktsegment ELSE '支出額' END")
+    payee14 = "CASE c_nationkey % 3 WHEN 0 THEN '支出先' WHEN 1 THEN '業務概要' ELSE lower(c_mktsegment) END"
+    return (f"SELECT DISTINCT 'cost' AS catalog, {cost} AS item FROM customer "
+            f"UNION SELECT DISTINCT 'payee', {payee} FROM customer "
+            f"UNION SELECT DISTINCT 'payee', {payee14} FROM customer WHERE c_custkey % 2 = 0")
+
+
+def _workbook_header_sql(table: str, base: dict, spec: list) -> str:
+    files = (f"SELECT DISTINCT concat({file_stem_sql('R')}, '_', grp) AS source_file, R, grp FROM "
+             f"(SELECT {base['R']} AS R, {base['grp']} AS grp FROM {table})")
+    parts = [f"SELECT source_file, CASE WHEN R = 2014 THEN {h14} ELSE {h15} END AS name FROM f"
+             for h15, h14, _ in spec]
+    return f"WITH f AS ({files}) " + " UNION ALL ".join(p.replace("AS STRING", "AS VARCHAR") for p in parts)
+
+
+def header_matrix_sql() -> str:
+    names = (f"SELECT * FROM ({_workbook_header_sql('orders', ORDERS_BASE_SQL, ORDERS_SHEET)}) "
+             f"UNION ALL SELECT * FROM ({_workbook_header_sql('lineitem', LINEITEM_BASE_SQL, LINEITEM_SHEET)})")
+    kw = " OR ".join(f"contains(name, '{w}')" for w in K.HEADER_MATRIX_KEYWORDS)
+    return (f"PIVOT (SELECT DISTINCT name AS column_name, source_file, 1 AS v FROM ({names}) h WHERE {kw}) "
+            "ON source_file USING coalesce(max(v), 0) GROUP BY column_name")
+
+
+# --- catalog --------------------------------------------------------------------------
+
+INT_RE = r"^\s*[+-]?[0-9]+\s*$"
+
+
+def infer_types_sql() -> str:
+    from sheetwise.functions.casts import NUMERIC_TEXT
+    parts = []
+    specs = [("business", f"({business_sql()})", K.BUSINESS_COLUMNS, {"source_year": "BIGINT", "ministry_id": "BIGINT"}),
+             ("budgets", f"({budgets_sql()})", ["business_id"] + list(budget_columns_sql()), {})]
+    for tname, src, cols, fixed in specs:
+        for i, c in enumerate(cols):
+            if c in fixed:
+                parts.append(f"SELECT '{tname}' AS table_name, CAST({i} AS INTEGER) AS position, '{c}' AS column_name, "
+                             f"'{fixed[c]}' AS inferred_type")
+                continue
+            q = f'"{c}"'
+            parts.append(
+                f"SELECT '{tname}' AS table_name, CAST({i} AS INTEGER) AS position, '{c}' AS column_name, "
+                f"CASE WHEN count({q}) = 0 THEN 'VARCHAR' "
+                f"WHEN count(CASE WHEN regexp_matches({q}, '{INT_RE}') AND TRY_CAST(trim({q}) AS BIGINT) IS NOT NULL THEN 1 END) = count({q}) THEN 'BIGINT' "
+                f"WHEN count(CASE WHEN regexp_matches({q}, '{NUMERIC_TEXT}') THEN 1 END) = count({q}) THEN 'DOUBLE' "
+                f"ELSE 'VARCHAR' END AS inferred_type FROM {src} t")
+    return " UNION ALL ".join(parts)
+
+
+# --- run log ----------------------------------------------------------------------------
+
+RUNS_LATEST = """
+ex AS (SELECT user_id AS id, event_id, ts AS "timestamp", event_type, value,
+              CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+              row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r,
+              count(*) OVER (PARTITION BY user_id) AS n FROM events),
+folded AS (SELECT id, "timestamp", concat('question ', CAST(id AS VARCHAR)) AS question,
+                  concat('SELECT ', event_type) AS sql_query,
+                  CASE WHEN event_type <> 'error' THEN 'success' ELSE 'error' END AS status,
+                  CAST(floor(value * 1000) AS BIGINT) AS duration_ms, CAST(n AS BIGINT) AS execution_count,
+                  k, event_type FROM ex WHERE r = 1)
+"""
+_FOLD_COLS = 'id, "timestamp", question, sql_query, status, duration_ms, execution_count'
+
+
+def fold_reruns_sql() -> str:
+    return f"WITH {RUNS_LATEST} SELECT {_FOLD_COLS} FROM folded"
+
+
+def latest_runs_sql(n: int = 20) -> str:
+    return f'WITH {RUNS_LATEST} SELECT {_FOLD_COLS} FROM folded ORDER BY "timestamp" DESC, id DESC LIMIT {n}'
+
+
+def live_runs_sql() -> str:
+    return (f"WITH {RUNS_LATEST} SELECT {_FOLD_COLS} FROM folded WHERE id NOT IN "
+            "(SELECT user_id FROM events WHERE event_type = 'signup' AND value > 40)")
+
+
+def run_stats_sql() -> str:
+    return (f"WITH {RUNS_LATEST} SELECT id, status, CASE WHEN status = 'success' THEN k % 5 END AS row_count, "
+            "CASE WHEN status = 'error' THEN concat('failed: ', event_type, ' ', CAST(k AS VARCHAR)) END AS error FROM folded")
+
+
+def publish_manifest_sql() -> str:
+    return (f"SELECT 'ministries' AS table_name, CAST(count(*) AS BIGINT) AS row_count FROM ({ministries_sql()}) "
+            f"UNION ALL SELECT 'business', count(*) FROM ({business_sql()}) "
+            f"UNION ALL SELECT 'budgets', count(*) FROM ({budgets_sql()}) "
+            f"UNION ALL SELECT 'fund_flow', count(*) FROM ({fund_flow_sql()}) "
+            f"UNION ALL SELECT 'expenditure', count(*) FROM ({expenditure_sql()})")
+
+
+def browse_sql(search: str = "事業1", sort_by: str = "事業名", page: int = 1, size: int = 20) -> str:
+    cols = K.BUSINESS_COLUMNS
+    hit = " OR ".join(f"coalesce(contains(CAST(\"{c}\" AS VARCHAR), '{search}'), false)" for c in cols)
+    order = f'"{sort_by}" DESC NULLS LAST, ' + ", ".join(f'"{c}" ASC NULLS LAST' for c in cols)
+    return f"SELECT * FROM ({business_sql()}) b WHERE {hit} ORDER BY {order} LIMIT {size} OFFSET {page * size}"

@@ -16,9 +16,16 @@ from sheetwise.operators import analytics as A
 from sheetwise.plans import oracle as O
 from sheetwise.plans import tables as TB
 from sheetwise.session import configure
+from sheetwise.functions.text import normalize_text
+from sheetwise.operators import catalog as C
+from sheetwise.operators import headers as H
+from sheetwise.operators import runs as R
+from sheetwise.operators.matrix import header_matrix
 from sheetwise.operators.ordinal import dense_ordinal
-from sheetwise.sources.derived import lineitem_workbook, orders_files, orders_workbook
-from sheetwise.sources.sheets import review_year
+from sheetwise.plans.job import manifest, normalize_sheet_rows
+from sheetwise.sources.derived import (HYPHEN_TEXT_SQL, WAREKI_TEXT_SQL, customer_header_sheets, lineitem_headers,
+                                       lineitem_workbook, orders_files, orders_headers, orders_workbook)
+from sheetwise.sources.sheets import review_year, sheet_headers
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -117,6 +124,126 @@ def q_text_filter(spark, sf_dir):
     return A.text_filter(e, K.EXPENDITURE_ITEMS[-1], "一者応札", ["business_id", "業務概要", "支出先"])
 
 
+# --- normalization ----------------------------------------------------------------
+
+@register("wareki", O.wareki_sql)
+def q_wareki(spark, sf_dir):
+    """N1-N6 (+N2 on full-width digits, N10): era years, ranges, bare fiscal years, circled digits."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    t = o.select("o_orderkey", F.expr(WAREKI_TEXT_SQL).alias("text"))
+    return t.select("o_orderkey", "text", normalize_text(F.col("text")).alias("normalized"))
+
+
+@register("hyphens", O.hyphens_sql)
+def q_hyphens(spark, sf_dir):
+    """N7-N9 (+N2): label repair, protected label, katakana long vowel, dashes between kanji."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    t = p.select("p_partkey", F.expr(HYPHEN_TEXT_SQL).alias("text"))
+    return t.select("p_partkey", "text", normalize_text(F.col("text")).alias("normalized"))
+
+
+@register("business_normalized", O.business_sql)
+def q_business_normalized(spark, sf_dir):
+    """N11 at table scale: normalize every header and cell, then build business."""
+    return TB.business(normalize_sheet_rows(orders_workbook(spark, sf_dir)))
+
+
+@register("normalize_documents")
+def q_normalize_documents(spark, sf_dir):
+    """N1-N11 over whole document texts (DuckDB has no NFKC: rows-only check)."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return d.select("doc_id", normalize_text(F.col("text")).alias("text"))
+
+
+# --- headers ------------------------------------------------------------------------
+
+@register("gate_sheets", O.gate_sql)
+def q_gate_sheets(spark, sf_dir):
+    """Review-sheet gate over one header-only sheet per customer."""
+    return H.review_sheet_gate(sheet_headers(customer_header_sheets(spark, sf_dir)))
+
+
+@register("item_catalog", O.item_catalog_sql)
+def q_item_catalog(spark, sf_dir):
+    """Distinct cost items and payee-list items over all headers."""
+    hdr = sheet_headers(customer_header_sheets(spark, sf_dir))
+    return (H.cost_item_catalog(hdr).select(F.lit("cost").alias("catalog"), "item")
+            .unionByName(H.payee_item_catalog(hdr).select(F.lit("payee").alias("catalog"), "item")).distinct())
+
+
+@register("header_matrix", O.header_matrix_sql)
+def q_header_matrix(spark, sf_dir):
+    """Keyword header names x files, 1/0."""
+    hdr = sheet_headers(orders_headers(spark, sf_dir).unionByName(lineitem_headers(spark, sf_dir)))
+    return header_matrix(hdr)
+
+
+@register("header_trace")
+def q_header_trace(spark, sf_dir):
+    """How every budget-like header of the review sheets was read (rows-only)."""
+    return H.explain_budget_headers(sheet_headers(orders_headers(spark, sf_dir)))
+
+
+# --- catalog -------------------------------------------------------------------------
+
+@register("infer_types", O.infer_types_sql)
+def q_infer_types(spark, sf_dir):
+    """C4 (and C2 via the schemas): narrowest type per column of business and budgets."""
+    rows = orders_workbook(spark, sf_dir)
+    return C.infer_types(TB.business(rows), "business").unionByName(C.infer_types(TB.budgets(rows), "budgets"))
+
+
+@register("publish_manifest", O.publish_manifest_sql)
+def q_publish_manifest(spark, sf_dir):
+    """Row counts of the published table set."""
+    orows, lrows = orders_workbook(spark, sf_dir), lineitem_workbook(spark, sf_dir)
+    return manifest({"ministries": TB.ministries(spark), "business": TB.business(orows), "budgets": TB.budgets(orows),
+                     "fund_flow": TB.fund_flow(lrows), "expenditure": TB.expenditure(lrows)})
+
+
+@register("browse", O.browse_sql)
+def q_browse(spark, sf_dir):
+    """T5: search / sort / page over the business table."""
+    return A.browse(TB.business(orders_workbook(spark, sf_dir)), search="事業1", sort_by="事業名",
+                    descending=True, page=1, page_size=20)
+
+
+# --- run log ---------------------------------------------------------------------------
+
+def _folded(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return R.fold_reruns(R.executions_from_events(ev)), ev
+
+
+_FOLD_OUT = ["id", "timestamp", "question", "sql_query", "status", "duration_ms", "execution_count"]
+
+
+@register("fold_reruns", O.fold_reruns_sql)
+def q_fold_reruns(spark, sf_dir):
+    """The run log folded to one current row per history id."""
+    return _folded(spark, sf_dir)[0].select(*_FOLD_OUT)
+
+
+@register("latest_runs", O.latest_runs_sql)
+def q_latest_runs(spark, sf_dir):
+    """The 20 newest runs, ties by id."""
+    return R.latest_runs(_folded(spark, sf_dir)[0], 20).select(*_FOLD_OUT)
+
+
+@register("live_runs", O.live_runs_sql)
+def q_live_runs(spark, sf_dir):
+    """Runs left after deleting the ids named by the delete requests."""
+    folded, ev = _folded(spark, sf_dir)
+    tomb = ev.where((F.col("event_type") == "signup") & (F.col("value") > 40)).select(F.col("user_id").alias("id"))
+    return R.delete_runs(folded, tomb).select(*_FOLD_OUT)
+
+
+@register("run_stats", O.run_stats_sql)
+def q_run_stats(spark, sf_dir):
+    """Status, result row count and error text per run."""
+    return R.run_stats(_folded(spark, sf_dir)[0])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v[0] for k, v in QUERIES.items()}
 

@@ -191,3 +191,87 @@ def orders_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineitem_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINEITEM_ORDER)
     return _workbook(li, LINEITEM_BASE_SQL, LINEITEM_SHEET, LINEITEM_ORDER)
+
+
+def orders_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header rows only of the orders review sheets (one per file present)."""
+    b = _with_files(_orders(spark, sf_dir), ORDERS_BASE_SQL)
+    return _heads(b, ORDERS_SHEET)
+
+
+def lineitem_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINEITEM_ORDER)
+    return _heads(_with_files(li, LINEITEM_BASE_SQL), LINEITEM_SHEET)
+
+
+def _heads(b: DataFrame, spec: list) -> DataFrame:
+    head_cells = F.array(*[F.expr(f"CASE WHEN R = 2014 THEN {h14} ELSE {h15} END") for h15, h14, _ in spec])
+    return (b.select("source_file", "grp", "R").distinct()
+            .select("source_file", F.col("grp").alias("sheet"), F.lit(0).alias("row_ordinal"), head_cells.alias("cells")))
+
+
+# --- customers -> one header-only sheet each (gate and header catalogues) -------------
+
+def _bit(i: int) -> str:
+    return f"(CAST(floor(c_custkey / {2 ** i}) AS BIGINT) % 2 = 1)"
+
+
+CUSTOMER_FILE_SQL = "concat('database', CAST(2014 + c_custkey % 6 AS STRING), '_c', CAST(c_custkey AS STRING))"
+COST_LETTER_SQL = "CASE c_custkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END"
+SEQ_SQL = "CAST(c_custkey % 5 + 1 AS STRING)"
+COST_ITEM_SQL = ("CASE c_nationkey % 6 WHEN 0 THEN '支払先費目' WHEN 1 THEN '支払先使途' "
+                 "WHEN 2 THEN '支払先金額(百万円)' WHEN 3 THEN '支払先計' WHEN 4 THEN ' その他 ' ELSE c_mktsegment END")
+PAYEE_ITEM_SQL = ("CASE c_custkey % 4 WHEN 0 THEN '入札者数(応募者数)' WHEN 1 THEN '契約方式-1' "
+                  "WHEN 2 THEN c_mktsegment ELSE '支出額' END")
+PAYEE_ITEM_2014_SQL = "CASE c_nationkey % 3 WHEN 0 THEN '支出先' WHEN 1 THEN '業務概要(注)' ELSE lower(c_mktsegment) END"
+
+CUSTOMER_HEADERS = [
+    f"CASE WHEN {_bit(0)} THEN '府省' ELSE 'x0' END",
+    f"CASE WHEN {_bit(1)} THEN CASE WHEN c_custkey % 4 = 0 THEN ' 府省庁' ELSE '府省庁' END ELSE 'x1' END",
+    f"CASE WHEN {_bit(2)} THEN CASE WHEN c_custkey % 3 = 0 THEN concat('事業', chr(10), '名') ELSE '事業名' END ELSE 'x2' END",
+    f"CASE WHEN {_bit(3)} THEN '事業番号' ELSE 'x3' END",
+    f"CASE WHEN {_bit(4)} THEN '事業番号-1' ELSE 'x4' END",
+    "CASE WHEN c_custkey % 7 = 0 THEN 'セグメント名' ELSE 'x5' END",
+    f"CASE WHEN {_bit(2)} AND c_custkey % 5 = 0 THEN '事業名' ELSE 'x6' END",
+    f"concat('費目・使途-', {COST_LETTER_SQL}, '.', {COST_ITEM_SQL}, '-', {SEQ_SQL})",
+    f"concat('{_P}-', {COST_LETTER_SQL}, '.支払先-', {SEQ_SQL}, '-', {PAYEE_ITEM_SQL})",
+    f"CASE WHEN c_custkey % 2 = 0 THEN concat('{_P}-グループ-', {PAYEE_ITEM_2014_SQL}, '-', {SEQ_SQL}) ELSE 'x9' END",
+]
+
+
+def customer_header_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment")
+    return c.select(F.expr(CUSTOMER_FILE_SQL).alias("source_file"), F.lit("c").alias("sheet"),
+                    F.lit(0).alias("row_ordinal"), F.array(*[F.expr(h) for h in CUSTOMER_HEADERS]).alias("cells"))
+
+
+# --- strings for the normalization queries ---------------------------------------------
+
+ERA_NAMES = ["明治", "大正", "昭和", "平成", "令和"]
+ERA_LETTERS = ["M", "T", "S", "H", "R"]
+CIRCLED = "".join(a for a, _ in K.CIRCLED_DIGITS)
+HYPHENS = "".join(chr(cp) for cp in K.HYPHEN_CODEPOINTS)
+
+
+def _pick(values: list[str], idx: str) -> str:
+    return "CASE " + idx + " " + " ".join(f"WHEN {i} THEN {_q(v)}" for i, v in enumerate(values)) + " END"
+
+
+def _fw(num_sql: str) -> str:
+    """Digits of a number, full-width when the order key says so."""
+    return (f"CASE WHEN o_orderkey % 3 = 0 THEN translate(CAST({num_sql} AS STRING), '0123456789', '０１２３４５６７８９') "
+            f"ELSE CAST({num_sql} AS STRING) END")
+
+
+WAREKI_TEXT_SQL = (
+    f"concat(substring('{CIRCLED}', CAST(o_orderkey % 20 + 1 AS INT), 1), '目的、', "
+    f"{_pick(ERA_NAMES, 'o_orderkey % 5')}, CASE WHEN o_orderkey % 7 = 0 THEN '元' ELSE {_fw('o_orderkey % 30 + 1')} END, '年、', "
+    f"{_pick(ERA_LETTERS, 'CAST(floor(o_orderkey / 5) AS BIGINT) % 5')}, CAST(o_orderkey % 30 + 1 AS STRING), '、', "
+    f"'平成', CAST(o_orderkey % 20 + 1 AS STRING), CASE WHEN o_orderkey % 2 = 0 THEN ' ～ ' ELSE '〜' END, "
+    f"CAST(o_orderkey % 20 + 1 + o_orderkey % 5 AS STRING), '年度、', CAST(o_orderkey % 40 + 1 AS STRING), '年度')"
+)
+
+HYPHEN_TEXT_SQL = (
+    "concat('コンピュ', {h}, 'タ、東京', {h}, '大阪、事業番号', {h}, CAST(p_partkey % 10 AS STRING), "
+    "'、リスト', {h}, 'グル', {h}, 'プ', {h}, '支出先、リスト', {h}, 'グループ')"
+).format(h=f"substring('{HYPHENS}', CAST(p_partkey % 9 + 1 AS INT), 1)")
