@@ -333,7 +333,7 @@ def latest_runs_sql(n: int = 20) -> str:
 
 def live_runs_sql() -> str:
     return (f"WITH {RUNS_LATEST} SELECT {_FOLD_COLS} FROM folded WHERE id NOT IN "
-            "(SELECT user_id FROM events WHERE event_type = 'signup' AND value > 40)")
+            "(SELECT user_id FROM events WHERE event_type = 'signup' AND value > 250)")
 
 
 def run_stats_sql() -> str:

@@ -15,7 +15,7 @@ from sheetwise import constants as K
 from sheetwise.operators import analytics as A
 from sheetwise.plans import oracle as O
 from sheetwise.plans import tables as TB
-from sheetwise.session import configure
+from sheetwise.session import configure, cut_lineage
 from sheetwise.functions.text import normalize_text
 from sheetwise.operators import catalog as C
 from sheetwise.operators import headers as H
@@ -145,7 +145,8 @@ def q_hyphens(spark, sf_dir):
 @register("business_normalized", O.business_sql)
 def q_business_normalized(spark, sf_dir):
     """N11 at table scale: normalize every header and cell, then build business."""
-    return TB.business(normalize_sheet_rows(orders_workbook(spark, sf_dir)))
+    # stage 2 is a stage table too: normalize once, then build from it
+    return TB.business(cut_lineage(normalize_sheet_rows(orders_workbook(spark, sf_dir))))
 
 
 @register("normalize_documents")
@@ -234,7 +235,7 @@ def q_latest_runs(spark, sf_dir):
 def q_live_runs(spark, sf_dir):
     """Runs left after deleting the ids named by the delete requests."""
     folded, ev = _folded(spark, sf_dir)
-    tomb = ev.where((F.col("event_type") == "signup") & (F.col("value") > 40)).select(F.col("user_id").alias("id"))
+    tomb = ev.where((F.col("event_type") == "signup") & (F.col("value") > 250)).select(F.col("user_id").alias("id"))
     return R.delete_runs(folded, tomb).select(*_FOLD_OUT)
 
 

@@ -34,7 +34,8 @@ def na_to_null(v: Column, policy: str = "default") -> Column:
 
 
 def _eligible(rows: DataFrame, hdr: DataFrame | None = None, require_review_sheet: bool = True):
-    hdr = sheet_headers(rows) if hdr is None else hdr
+    # the header dimension is small (files x columns) and read three times
+    hdr = sheet_headers(rows).cache() if hdr is None else hdr
     files = H.eligible_files(hdr, require_review_sheet)
     return hdr, files
 
@@ -168,7 +169,7 @@ def budgets(rows: DataFrame, drop_absent: bool = True, longest_match: bool = Fal
 def line_items(rows: DataFrame) -> DataFrame:
     """Cost lines in long form, first value per (business, group, item_id, type);
     only rows whose amount parses as a number.  No review-sheet gate (Q7)."""
-    hdr = sheet_headers(rows)
+    hdr = sheet_headers(rows).cache()
     files = hdr.select("source_file").distinct().withColumn("review_year", review_year(F.col("source_file"))) \
         .where(F.col("review_year").isNotNull())
     parsed = H.parse_line_items(hdr).join(files, "source_file")
