@@ -42,6 +42,14 @@ def py_strip(col: Column) -> Column:
     return F.regexp_replace(col, "^" + PY_SPACE + "+|" + PY_SPACE + "+$", "")
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` (a Column -> Column
+    function that may use it many times).  Without this, chaining steps that
+    each read their input several times grows the expression tree
+    exponentially."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def callback_replace(col: Column, pattern: str, fn) -> Column:
     """``re.sub(pattern, fn, text)`` with ``fn`` a Column -> Column function of
     the matched text, natively: split around the matches, map the matches,
@@ -49,7 +57,9 @@ def callback_replace(col: Column, pattern: str, fn) -> Column:
     ``regexp_extract_all`` scan left to right with the same non-overlapping
     ``find()``, so pieces and matches line up; pattern must not match empty.
     """
-    pieces = F.split(col, pattern, -1)
-    found = F.regexp_extract_all(col, F.lit(pattern), 0)
-    repl = F.concat(F.transform(found, fn), F.array(F.lit("")))
-    return F.array_join(F.flatten(F.zip_with(pieces, repl, lambda p, r: F.array(p, r))), "")
+    def run(x):
+        pieces = F.split(x, pattern, -1)
+        found = F.regexp_extract_all(x, F.lit(pattern), 0)
+        repl = F.concat(F.transform(found, fn), F.array(F.lit("")))
+        return F.array_join(F.flatten(F.zip_with(pieces, repl, lambda p, r: F.array(p, r))), "")
+    return let(col, run)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetwise import constants as K
-from sheetwise.functions.regex import PY_SPACE, callback_replace, py_strip
+from sheetwise.functions.regex import PY_SPACE, callback_replace, let, py_strip
 
 def _nfkc_unstable_chars() -> str:
     """Every code point NFKC can change: those whose NFKC form differs, all
@@ -86,7 +86,7 @@ def _era_year(m: Column, pattern: str, era_group: int, year_group: int) -> Colum
 
 
 def _guarded(col: Column, pattern: str, fn) -> Column:
-    return F.when(col.rlike(pattern), callback_replace(col, pattern, fn)).otherwise(col)
+    return let(col, lambda x: F.when(x.rlike(pattern), callback_replace(x, pattern, fn)).otherwise(x))
 
 
 def pre_nfkc(t: Column) -> Column:
@@ -120,15 +120,18 @@ def post_nfkc(t: Column) -> Column:
 
     t = _guarded(t, RE_BARE_YEAR, bare_year)
     t = F.regexp_replace(t, RE_LABEL_REPAIR, K.GROUP_LABEL_REPAIR[1])
+
     # The protected label is cut out, the pieces between labels get the hyphen
     # rules on their own (a neighbour of the label never sees it), and the
     # labels are put back exactly as written.
-    shielded = F.array_join(F.flatten(F.zip_with(
-        F.transform(F.split(t, RE_LABEL_PROTECTED, -1), _hyphens),
-        F.concat(F.regexp_extract_all(t, F.lit(RE_LABEL_PROTECTED), 0), F.array(F.lit(""))),
-        lambda p, lab: F.array(p, lab))), "")
-    t = F.when(t.rlike(RE_LABEL_PROTECTED), shielded).otherwise(_hyphens(t))
-    return py_strip(t)
+    def shield(x):
+        shielded = F.array_join(F.flatten(F.zip_with(
+            F.transform(F.split(x, RE_LABEL_PROTECTED, -1), _hyphens),
+            F.concat(F.regexp_extract_all(x, F.lit(RE_LABEL_PROTECTED), 0), F.array(F.lit(""))),
+            lambda p, lab: F.array(p, lab))), "")
+        return F.when(x.rlike(RE_LABEL_PROTECTED), shielded).otherwise(_hyphens(x))
+
+    return py_strip(let(t, shield))
 
 
 # --- step 2: NFKC -----------------------------------------------------------------
@@ -163,7 +166,7 @@ def nfkc_cells(a: pa.Array) -> pa.Array:
 
 def normalize_text(t: Column) -> Column:
     """Normalize one string column (NULL and '' pass through unchanged)."""
-    pre = pre_nfkc(t)
+    pre = F.when(t.rlike(RE_CIRCLED), pre_nfkc(t)).otherwise(t)
     # values NFKC cannot change reach the UDF as NULL: Python sees only the rest
     folded = F.coalesce(nfkc(F.when(needs_nfkc(pre), pre)), pre)
     return F.when((t.isNull()) | (t == ""), t).otherwise(post_nfkc(folded))

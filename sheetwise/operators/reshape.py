@@ -43,7 +43,7 @@ def pick_cells(rows: DataFrame, parsed: DataFrame, fields: list[str], keep_blank
     r = data_rows(rows).join(layout, "source_file")
     picked = F.transform("_layout", lambda h: F.struct(
         h["col_idx"].alias("col_idx"), *[h[f].alias(f) for f in fields],
-        F.element_at(F.col("cells"), h["col_idx"] + 1).alias("value")))
+        F.try_element_at(F.col("cells"), h["col_idx"] + 1).alias("value")))
     out = r.select("source_file", "row_ordinal", *extra, F.explode(picked).alias("_c")).select(
         "source_file", "row_ordinal", *extra, "_c.*")
     return out if keep_blank else out.where(~is_blank(F.col("value")))
@@ -58,3 +58,41 @@ def regroup(cells: DataFrame, keys: list[str], item_col: str, items: list[str],
     agg = F.max_by if rule == "last" else F.min_by
     it = F.col(item_col)
     return cells.groupBy(*keys).agg(*[agg(F.when(it == x, v), F.when(it == x, o)).alias(x) for x in items])
+
+
+def record_layout(parsed: DataFrame, keys: list[str], item_col: str, items: list[str], rule: str = "last") -> DataFrame:
+    """Per file: the output records a sheet row can produce -- record key
+    fields plus, per item, its candidate positions in conflict order (last
+    column first for ``rule='last'``).  Built from the header dimension only."""
+    per_item = [F.sort_array(F.collect_list(F.when(F.col(item_col) == x, F.col("col_idx"))), asc=(rule != "last"))
+                .alias(f"_c{j}") for j, x in enumerate(items)]
+    rec = parsed.groupBy("source_file", *keys).agg(*per_item)
+    return rec.groupBy("source_file").agg(
+        F.collect_list(F.struct(*[F.col(k) for k in keys], *[F.col(f"_c{j}") for j in range(len(items))])).alias("_records"))
+
+
+def regroup_rows(rows: DataFrame, parsed: DataFrame, keys: list[str], item_col: str, items: list[str],
+                 rule: str = "last", missing=is_blank) -> DataFrame:
+    """U1 + A3/A4 without a shuffle: each sheet row meets its file's record
+    layout and emits (source_file, row_ordinal, *keys, *items); per item the
+    first candidate position (in conflict order) whose value is not
+    ``missing`` wins.  Records without any value are dropped.
+
+    All cells of a record live in the same sheet row, so this is a narrow
+    transformation: no exchange, no sort, nothing a hot key can skew.
+    """
+    layout = sized_broadcast(record_layout(parsed, keys, item_col, items, rule))
+    r = data_rows(rows).join(layout, "source_file")
+
+    def pick(cands):
+        vals = F.transform(cands, lambda i: F.try_element_at(F.col("cells"), i + 1))
+        return F.try_element_at(F.filter(vals, lambda v: ~missing(v)), F.lit(1))
+
+    recs = F.transform("_records", lambda rc: F.struct(
+        *[rc[k].alias(k) for k in keys], *[pick(rc[f"_c{j}"]).alias(x) for j, x in enumerate(items)]))
+    out = r.select("source_file", "row_ordinal", F.explode(recs).alias("_r")).select("source_file", "row_ordinal", "_r.*")
+    has_value = None
+    for x in items:
+        c = F.col(f"`{x}`").isNotNull()
+        has_value = c if has_value is None else has_value | c
+    return out.where(has_value)

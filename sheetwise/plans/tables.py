@@ -14,7 +14,7 @@ from sheetwise import constants as K
 from sheetwise.functions.casts import is_numeric_text
 from sheetwise.functions.regex import py_strip
 from sheetwise.operators import headers as H
-from sheetwise.operators.reshape import pick_cells, regroup
+from sheetwise.operators.reshape import regroup, regroup_rows
 from sheetwise.session import sized_broadcast
 from sheetwise.sources.sheets import data_rows, review_year, sheet_headers
 
@@ -84,7 +84,7 @@ def business(rows: DataFrame, na_policy: str = "default") -> DataFrame:
     r = data_rows(rows).join(layout, "source_file")
 
     def cell(target):
-        v = F.element_at(F.col("cells"), F.element_at(F.col("_pos"), F.lit(target)) + 1)
+        v = F.try_element_at(F.col("cells"), F.element_at(F.col("_pos"), F.lit(target)) + 1)
         return na_to_null(v, na_policy)
 
     combined, start, end = cell(K.PERIOD_COMBINED), cell(K.PERIOD_START), cell(K.PERIOD_END)
@@ -113,9 +113,7 @@ def business(rows: DataFrame, na_policy: str = "default") -> DataFrame:
 def fund_flow(rows: DataFrame) -> DataFrame:
     hdr, files = _eligible(rows)
     parsed = H.parse_fund_flow(hdr).join(files, "source_file")
-    cells = pick_cells(rows, parsed, ["block_id", "item", "seq_text", "review_year"])
-    g = regroup(cells, ["source_file", "review_year", "row_ordinal", "block_id", "seq_text"], "item",
-                K.FUND_FLOW_ITEMS)
+    g = regroup_rows(rows, parsed, ["review_year", "block_id", "seq_text"], "item", K.FUND_FLOW_ITEMS)
     items = {x: F.coalesce(py_strip(F.col(x)), F.lit("")) for x in K.FUND_FLOW_ITEMS}
     seq = F.when(F.col("seq_text").rlike("^[0-9]+$"), F.col("seq_text").cast("int"))
     primary = (items["支払先費目"] != "") | (items["支払先使途"] != "") | (items["支払先金額(百万円)"] != "")
@@ -132,9 +130,7 @@ def fund_flow(rows: DataFrame) -> DataFrame:
 def expenditure(rows: DataFrame) -> DataFrame:
     hdr, files = _eligible(rows)
     parsed = H.parse_expenditure(hdr).join(files, "source_file")
-    cells = pick_cells(rows, parsed, ["block_id", "seq_text", "item", "review_year"])
-    g = regroup(cells, ["source_file", "review_year", "row_ordinal", "block_id", "seq_text"], "item",
-                K.EXPENDITURE_ITEMS)
+    g = regroup_rows(rows, parsed, ["review_year", "block_id", "seq_text"], "item", K.EXPENDITURE_ITEMS)
     keep = F.col("支出先").isNotNull() | F.col("支出額").isNotNull()
     return g.where(keep).select(
         business_id(F.col("review_year"), F.col("row_ordinal")).alias("business_id"),
@@ -151,10 +147,13 @@ def budgets(rows: DataFrame, drop_absent: bool = True, longest_match: bool = Fal
     hdr, files = _eligible(rows)
     parsed = H.parse_budget(hdr, files, longest_match).join(files, "source_file")
     cols = H.budget_output_columns()
-    cells = pick_cells(rows, parsed, ["out_col", "review_year"])
-    cells = cells.withColumn("business_id", business_id(F.col("review_year"), F.col("row_ordinal")))
-    order = F.struct(F.col("source_file"), F.col("col_idx"))
-    vals = regroup(cells, ["business_id"], "out_col", cols, order=order, rule="last")
+    # within a file: last column wins, in the row itself (no shuffle)
+    per_row = regroup_rows(rows, parsed, ["review_year"], "out_col", cols)
+    per_row = per_row.withColumn("business_id", business_id(F.col("review_year"), F.col("row_ordinal")))
+    # across files sharing an id (Q1): the later file wins cell by cell; one
+    # input row per sheet row, combined map-side before the shuffle
+    vals = per_row.groupBy("business_id").agg(*[
+        F.max_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), F.col("source_file"))).alias(c) for c in cols])
     ids = (data_rows(rows).select("source_file", "row_ordinal").join(sized_broadcast(files), "source_file")
            .select(business_id(F.col("review_year"), F.col("row_ordinal")).alias("business_id")).distinct())
     out = ids.join(vals, "business_id", "left")
@@ -176,11 +175,10 @@ def line_items(rows: DataFrame) -> DataFrame:
     # a file without any amount column fails the amount filter as a whole (Q7)
     with_amount = parsed.where(F.col("type") == "金額").select("source_file").distinct()
     parsed = parsed.join(with_amount, "source_file", "left_semi")
-    cells = pick_cells(rows, parsed, ["group", "type", "item_id", "review_year"], keep_blank=True)
-    cells = cells.where(na_to_null(F.col("value"), "default").isNotNull())
-    cells = cells.withColumn("business_id", business_id(F.col("review_year"), F.col("row_ordinal")))
-    # the source pivots each file on its own, so the key includes the file
-    g = regroup(cells, ["source_file", "business_id", "group", "item_id"], "type",
-                [t for t, _ in K.LINE_ITEM_TYPES], rule="first")
+    # melt drops missing values (NA words, ''); the pivot keeps the first per
+    # (file, business, group, item_id, type) -- all inside one sheet row
+    g = regroup_rows(rows, parsed, ["review_year", "group", "item_id"], "type", [t for t, _ in K.LINE_ITEM_TYPES],
+                     rule="first", missing=lambda v: na_to_null(v, "default").isNull())
+    g = g.withColumn("business_id", business_id(F.col("review_year"), F.col("row_ordinal")))
     g = g.select("business_id", "group", "item_id", *[F.col(t).alias(name) for t, name in K.LINE_ITEM_TYPES])
     return g.where(is_numeric_text(F.col("amount")))

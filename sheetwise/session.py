@@ -41,6 +41,9 @@ def configure(spark: SparkSession, checkpoint_dir: str | None = None) -> SparkSe
     # Header names such as ``a`` and ``A`` are distinct columns of a sheet.
     spark.conf.set("spark.sql.caseSensitive", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # wide generated projections (47 budget columns, 26 business columns) make
+    # constraint inference explode at plan time; it buys nothing here
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     ensure_checkpoint_dir(spark, checkpoint_dir)
     return spark
 
@@ -78,5 +81,8 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFr
     offsets).  Above the bound the frame is returned as-is and the join is left
     to a shuffle (sort-merge, or AQE's runtime choice).
     """
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    cached = df.cache()
+    if cached.count() <= max_rows:
+        return F.broadcast(cached)
+    cached.unpersist()
+    return df

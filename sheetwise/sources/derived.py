@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from sheetwise import constants as K
 from sheetwise.operators.ordinal import dense_ordinal
-from sheetwise.session import cut_lineage
 
 
 def _q(s: str) -> str:
@@ -172,8 +171,8 @@ def _workbook(base: DataFrame, base_sql: dict, spec: list, order_cols: list[str]
     head_cells = F.array(*[F.expr(f"CASE WHEN R = 2014 THEN {h14} ELSE {h15} END") for h15, h14, _ in spec])
     heads = (b.select("source_file", "grp", "R").distinct()
              .select("source_file", F.col("grp").alias("sheet"), F.lit(0).alias("row_ordinal"), head_cells.alias("cells")))
-    # the workbook is a stage table: materialize it once in the shared folder
-    return cut_lineage(heads.unionByName(data.select("source_file", "sheet", "row_ordinal", "cells")))
+    # rows are already frozen (numbered and checkpointed) by dense_ordinal
+    return heads.unionByName(data.select("source_file", "sheet", "row_ordinal", "cells"))
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
