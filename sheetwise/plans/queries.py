@@ -42,10 +42,16 @@ def register(name: str, oracle: Callable[[], str] | None = None):
     return deco
 
 
+def _build(fn, workbook, **kw):
+    rows, heads = workbook
+    return fn(rows, header_rows=heads, **kw)
+
+
 def _built(spark, sf_dir):
-    rows = orders_workbook(spark, sf_dir)
+    rows, heads = orders_workbook(spark, sf_dir)
     # the analytics read single known columns: keep the budget schema fixed (no extra pass)
-    return TB.business(rows), TB.ministries(spark), TB.budgets(rows, drop_absent=False)
+    return (TB.business(rows, header_rows=heads), TB.ministries(spark),
+            TB.budgets(rows, drop_absent=False, header_rows=heads))
 
 
 # --- tables -----------------------------------------------------------------------
@@ -53,31 +59,31 @@ def _built(spark, sf_dir):
 @register("business", O.business_sql)
 def q_business(spark, sf_dir):
     """U8 with P1-P8, F1, J3, J4: the business table from the review sheets."""
-    return TB.business(orders_workbook(spark, sf_dir))
+    return _build(TB.business, orders_workbook(spark, sf_dir))
 
 
 @register("budgets", O.budgets_sql)
 def q_budgets(spark, sf_dir):
     """U5 with H6-H10, F6, Q1-Q4: the budget table."""
-    return TB.budgets(orders_workbook(spark, sf_dir))
+    return _build(TB.budgets, orders_workbook(spark, sf_dir))
 
 
 @register("fund_flow", O.fund_flow_sql)
 def q_fund_flow(spark, sf_dir):
     """U3 with H1, H2, F2, F3, A3, Q5, Q6."""
-    return TB.fund_flow(lineitem_workbook(spark, sf_dir))
+    return _build(TB.fund_flow, lineitem_workbook(spark, sf_dir))
 
 
 @register("expenditure", O.expenditure_sql)
 def q_expenditure(spark, sf_dir):
     """U4 with H3-H5, F4, F7."""
-    return TB.expenditure(lineitem_workbook(spark, sf_dir))
+    return _build(TB.expenditure, lineitem_workbook(spark, sf_dir))
 
 
 @register("line_items", O.line_items_sql)
 def q_line_items(spark, sf_dir):
     """U2/U6 with H11, F5, A4, Q7."""
-    return TB.line_items(lineitem_workbook(spark, sf_dir))
+    return _build(TB.line_items, lineitem_workbook(spark, sf_dir))
 
 
 @register("business_key", O.business_key_sql)
@@ -121,7 +127,7 @@ def q_cast_filter(spark, sf_dir):
 @register("text_filter", O.text_filter_sql)
 def q_text_filter(spark, sf_dir):
     """Contracts whose reason is a single bid: work and payee."""
-    e = TB.expenditure(lineitem_workbook(spark, sf_dir))
+    e = _build(TB.expenditure, lineitem_workbook(spark, sf_dir))
     return A.text_filter(e, K.EXPENDITURE_ITEMS[-1], "一者応札", ["business_id", "業務概要", "支出先"])
 
 
@@ -147,7 +153,8 @@ def q_hyphens(spark, sf_dir):
 def q_business_normalized(spark, sf_dir):
     """N11 at table scale: normalize every header and cell, then build business."""
     # stage 2 is a stage table too: normalize once, then build from it
-    return TB.business(cut_lineage(normalize_sheet_rows(orders_workbook(spark, sf_dir))))
+    rows, heads = orders_workbook(spark, sf_dir)
+    return TB.business(cut_lineage(normalize_sheet_rows(rows)), header_rows=normalize_sheet_rows(heads))
 
 
 @register("normalize_documents")
@@ -191,22 +198,24 @@ def q_header_trace(spark, sf_dir):
 @register("infer_types", O.infer_types_sql)
 def q_infer_types(spark, sf_dir):
     """C4 (and C2 via the schemas): narrowest type per column of business and budgets."""
-    rows = orders_workbook(spark, sf_dir)
-    return C.infer_types(TB.business(rows), "business").unionByName(C.infer_types(TB.budgets(rows), "budgets"))
+    rows, heads = orders_workbook(spark, sf_dir)
+    return (C.infer_types(TB.business(rows, header_rows=heads), "business")
+            .unionByName(C.infer_types(TB.budgets(rows, header_rows=heads), "budgets")))
 
 
 @register("publish_manifest", O.publish_manifest_sql)
 def q_publish_manifest(spark, sf_dir):
     """Row counts of the published table set."""
-    orows, lrows = orders_workbook(spark, sf_dir), lineitem_workbook(spark, sf_dir)
-    return manifest({"ministries": TB.ministries(spark), "business": TB.business(orows), "budgets": TB.budgets(orows),
-                     "fund_flow": TB.fund_flow(lrows), "expenditure": TB.expenditure(lrows)})
+    (orows, oheads), (lrows, lheads) = orders_workbook(spark, sf_dir), lineitem_workbook(spark, sf_dir)
+    return manifest({"ministries": TB.ministries(spark), "business": TB.business(orows, header_rows=oheads),
+                     "budgets": TB.budgets(orows, header_rows=oheads), "fund_flow": TB.fund_flow(lrows, header_rows=lheads),
+                     "expenditure": TB.expenditure(lrows, header_rows=lheads)})
 
 
 @register("browse", O.browse_sql)
 def q_browse(spark, sf_dir):
     """T5: search / sort / page over the business table."""
-    return A.browse(TB.business(orders_workbook(spark, sf_dir)), search="事業1", sort_by="事業名",
+    return A.browse(_build(TB.business, orders_workbook(spark, sf_dir)), search="事業1", sort_by="事業名",
                     descending=True, page=1, page_size=20)
 
 

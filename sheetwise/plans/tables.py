@@ -33,9 +33,11 @@ def na_to_null(v: Column, policy: str = "default") -> Column:
     return v
 
 
-def _eligible(rows: DataFrame, hdr: DataFrame | None = None, require_review_sheet: bool = True):
+def _eligible(rows: DataFrame, header_rows: DataFrame | None = None, require_review_sheet: bool = True):
+    """Header dimension + eligible files.  ``header_rows`` (the row-0 rows,
+    e.g. a saved header table) spares a scan of all rows to find them."""
     # the header dimension is small (files x columns) and read three times
-    hdr = sheet_headers(rows).cache() if hdr is None else hdr
+    hdr = sheet_headers(rows if header_rows is None else header_rows).cache()
     files = H.eligible_files(hdr, require_review_sheet)
     return hdr, files
 
@@ -78,8 +80,8 @@ def business_layout(hdr: DataFrame, files: DataFrame) -> DataFrame:
     return first.groupBy("source_file").agg(F.map_from_entries(F.collect_list(F.struct("target", "col_idx"))).alias("_pos"))
 
 
-def business(rows: DataFrame, na_policy: str = "default") -> DataFrame:
-    hdr, files = _eligible(rows)
+def business(rows: DataFrame, na_policy: str = "default", header_rows: DataFrame | None = None) -> DataFrame:
+    hdr, files = _eligible(rows, header_rows)
     layout = sized_broadcast(business_layout(hdr, files).join(files, "source_file"))
     r = data_rows(rows).join(layout, "source_file")
 
@@ -110,8 +112,8 @@ def business(rows: DataFrame, na_policy: str = "default") -> DataFrame:
 
 # --- U3 fund flow -----------------------------------------------------------------
 
-def fund_flow(rows: DataFrame) -> DataFrame:
-    hdr, files = _eligible(rows)
+def fund_flow(rows: DataFrame, header_rows: DataFrame | None = None) -> DataFrame:
+    hdr, files = _eligible(rows, header_rows)
     parsed = H.parse_fund_flow(hdr).join(files, "source_file")
     g = regroup_rows(rows, parsed, ["review_year", "block_id", "seq_text"], "item", K.FUND_FLOW_ITEMS)
     items = {x: F.coalesce(py_strip(F.col(x)), F.lit("")) for x in K.FUND_FLOW_ITEMS}
@@ -127,8 +129,8 @@ def fund_flow(rows: DataFrame) -> DataFrame:
 
 # --- U4 expenditure ----------------------------------------------------------------
 
-def expenditure(rows: DataFrame) -> DataFrame:
-    hdr, files = _eligible(rows)
+def expenditure(rows: DataFrame, header_rows: DataFrame | None = None) -> DataFrame:
+    hdr, files = _eligible(rows, header_rows)
     parsed = H.parse_expenditure(hdr).join(files, "source_file")
     g = regroup_rows(rows, parsed, ["review_year", "block_id", "seq_text"], "item", K.EXPENDITURE_ITEMS)
     keep = F.col("支出先").isNotNull() | F.col("支出額").isNotNull()
@@ -140,11 +142,11 @@ def expenditure(rows: DataFrame) -> DataFrame:
 
 # --- U5 budgets --------------------------------------------------------------------
 
-def budgets(rows: DataFrame, drop_absent: bool = True, longest_match: bool = False) -> DataFrame:
+def budgets(rows: DataFrame, drop_absent: bool = True, longest_match: bool = False, header_rows: DataFrame | None = None) -> DataFrame:
     """One row per business id; every review row yields a record.  Within a
     file the last column wins; across files sharing an id (Q1) the later file
     (sorted name order) wins cell by cell.  Values are kept unstripped."""
-    hdr, files = _eligible(rows)
+    hdr, files = _eligible(rows, header_rows)
     parsed = H.parse_budget(hdr, files, longest_match).join(files, "source_file")
     cols = H.budget_output_columns()
     # within a file: last column wins, in the row itself (no shuffle)
@@ -165,10 +167,10 @@ def budgets(rows: DataFrame, drop_absent: bool = True, longest_match: bool = Fal
 
 # --- line-item job (U2, U6, F5) ------------------------------------------------------
 
-def line_items(rows: DataFrame) -> DataFrame:
+def line_items(rows: DataFrame, header_rows: DataFrame | None = None) -> DataFrame:
     """Cost lines in long form, first value per (business, group, item_id, type);
     only rows whose amount parses as a number.  No review-sheet gate (Q7)."""
-    hdr = sheet_headers(rows).cache()
+    hdr = sheet_headers(rows if header_rows is None else header_rows).cache()
     files = hdr.select("source_file").distinct().withColumn("review_year", review_year(F.col("source_file"))) \
         .where(F.col("review_year").isNotNull())
     parsed = H.parse_line_items(hdr).join(files, "source_file")

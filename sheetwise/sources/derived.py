@@ -163,16 +163,16 @@ def _with_files(base: DataFrame, base_sql: dict) -> DataFrame:
     return b.withColumn("source_file", F.concat(F.expr(file_stem_sql("R")), F.lit("_"), F.col("grp")))
 
 
-def _workbook(base: DataFrame, base_sql: dict, spec: list, order_cols: list[str]) -> DataFrame:
+def _workbook(base: DataFrame, base_sql: dict, spec: list, order_cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(sheet rows, header rows).  Rows are numbered on the narrow base
+    columns; the wide ``cells`` arrays are built after, so the range shuffle
+    and the checkpoint never carry them."""
     b = _with_files(base, base_sql)
+    numbered = dense_ordinal(b, "source_file", order_cols)
     cells = F.array(*[F.expr(v) for _, _, v in spec])
-    data = b.select("source_file", F.col("grp").alias("sheet"), *order_cols, cells.alias("cells"))
-    data = dense_ordinal(data, "source_file", order_cols)
-    head_cells = F.array(*[F.expr(f"CASE WHEN R = 2014 THEN {h14} ELSE {h15} END") for h15, h14, _ in spec])
-    heads = (b.select("source_file", "grp", "R").distinct()
-             .select("source_file", F.col("grp").alias("sheet"), F.lit(0).alias("row_ordinal"), head_cells.alias("cells")))
-    # rows are already frozen (numbered and checkpointed) by dense_ordinal
-    return heads.unionByName(data.select("source_file", "sheet", "row_ordinal", "cells"))
+    data = numbered.select("source_file", F.col("grp").alias("sheet"), "row_ordinal", cells.alias("cells"))
+    heads = _heads(b, spec)
+    return heads.unionByName(data), heads
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,11 +185,13 @@ def orders_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_files(_orders(spark, sf_dir), ORDERS_BASE_SQL)
 
 
-def orders_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders_workbook(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(sheet rows, header rows) of the review sheets encoded from ``orders``."""
     return _workbook(_orders(spark, sf_dir), ORDERS_BASE_SQL, ORDERS_SHEET, ["o_orderkey"])
 
 
-def lineitem_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lineitem_workbook(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(sheet rows, header rows) of the cost/payee sheets encoded from ``lineitem``."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINEITEM_ORDER)
     return _workbook(li, LINEITEM_BASE_SQL, LINEITEM_SHEET, LINEITEM_ORDER)
 
