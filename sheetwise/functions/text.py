@@ -100,8 +100,18 @@ def _hyphens(p: Column) -> Column:
     return F.regexp_replace(p, RE_KANA_DASH, "$1")
 
 
+# Any character some step of 3-10 reacts to, or whitespace at either end.
+# A value without one is returned as it is after one scan.
+_ERA_FIRST_CHARS = sorted({name[0] for name, _ in K.ERA_OFFSETS})
+RE_POST_TRIGGER = ("[~" + K.TILDE + "".join(_ERA_FIRST_CHARS) + "年" + HY[1:-1] + "]|^" + PY_SPACE + "|" + PY_SPACE + "$")
+
+
 def post_nfkc(t: Column) -> Column:
-    """Steps 3-10."""
+    """Steps 3-10 (skipped in one scan when nothing can apply)."""
+    return let(t, lambda x: F.when(x.rlike(RE_POST_TRIGGER), _post_chain(x)).otherwise(x))
+
+
+def _post_chain(t: Column) -> Column:
     t = F.regexp_replace(t, RE_TILDE, K.TILDE)
 
     def era_range(m):
@@ -172,6 +182,21 @@ def normalize_text(t: Column) -> Column:
     return F.when((t.isNull()) | (t == ""), t).otherwise(post_nfkc(folded))
 
 
+def pre_cells(cells: Column) -> Column:
+    return F.transform(cells, lambda c: F.when(c == "", c).otherwise(pre_nfkc(c)))
+
+
+def nfkc_sent(pre: Column) -> Column:
+    """The NFKC-sensitive cells of a row (others NULL), or one NULL for a row
+    without any -- that row then costs Python nothing but a NULL."""
+    return nfkc_cells(F.when(F.exists(pre, needs_nfkc), F.transform(pre, lambda c: F.when(needs_nfkc(c), c))))
+
+
+def post_cells(pre: Column, sent: Column) -> Column:
+    folded = F.when(sent.isNull(), pre).otherwise(F.zip_with(pre, sent, lambda p, n: F.coalesce(n, p)))
+    return F.transform(folded, lambda c: F.when(c.isNull() | (c == ""), c).otherwise(post_nfkc(c)))
+
+
 def normalize_cells(cells: Column) -> Column:
     """Normalize every element of an ``ARRAY<STRING>`` (a whole sheet row)."""
     pre = F.transform(cells, lambda c: F.when(c == "", c).otherwise(pre_nfkc(c)))

@@ -17,15 +17,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.functions.text import normalize_cells
+from sheetwise.functions.text import nfkc_sent, post_cells, pre_cells
 from sheetwise.plans import tables as TB
 
 TABLE_NAMES = ["ministries", "business", "budgets", "fund_flow", "expenditure"]
 
 
 def normalize_sheet_rows(rows: DataFrame) -> DataFrame:
-    """Normalize all header and data cells of every sheet."""
-    return rows.withColumn("cells", normalize_cells(F.col("cells")))
+    """Normalize all header and data cells of every sheet.
+
+    Three projections (native pre-step, Arrow NFKC for the few sensitive
+    cells, native post-steps); each intermediate is a column, computed once.
+    """
+    cols = [c for c in rows.columns if c != "cells"]
+    return (rows.withColumn("_pre", pre_cells(F.col("cells")))
+            .withColumn("_sent", nfkc_sent(F.col("_pre")))
+            .select(*cols, post_cells(F.col("_pre"), F.col("_sent")).alias("cells")))
 
 
 def build_tables(spark: SparkSession, normalized: DataFrame, drop_absent_budget_columns: bool = True) -> dict[str, DataFrame]:

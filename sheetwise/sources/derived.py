@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from sheetwise import constants as K
 from sheetwise.operators.ordinal import dense_ordinal
+from sheetwise.session import cut_lineage
 
 
 def _q(s: str) -> str:
@@ -171,7 +172,9 @@ def _workbook(base: DataFrame, base_sql: dict, spec: list, order_cols: list[str]
     numbered = dense_ordinal(b, "source_file", order_cols)
     cells = F.array(*[F.expr(v) for _, _, v in spec])
     data = numbered.select("source_file", F.col("grp").alias("sheet"), "row_ordinal", cells.alias("cells"))
-    heads = _heads(b, spec)
+    # the header rows are a tiny table of their own: freeze them once so
+    # every consumer (gate, layouts, normalization) reads a few rows
+    heads = cut_lineage(_heads(b, spec))
     return heads.unionByName(data), heads
 
 
