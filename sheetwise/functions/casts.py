@@ -21,3 +21,16 @@ def is_numeric_text(v: Column) -> Column:
 def safe_double(v: Column) -> Column:
     """``TRY_CAST(v AS DOUBLE)`` restricted to plain numeric text."""
     return F.when(is_numeric_text(v), F.trim(v).try_cast("double"))
+
+
+def nan_to_null(df):
+    """NaN in floating-point result columns becomes NULL (results are
+    handed out with missing values as NULL only)."""
+    from pyspark.sql import types as T
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = F.when(F.isnan(c), F.lit(None).cast(f.dataType)).otherwise(c).alias(f.name)
+        out.append(c)
+    return df.select(*out)

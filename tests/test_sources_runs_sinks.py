@@ -106,3 +106,11 @@ def test_run_job_stages(spark):
     assert b["事業名"] == "P1"  # normalized (NFKC) before building
     again = {r["table_name"]: r["row_count"] for r in run_job(spark, d, start_stage=7).collect()}
     assert again == m
+
+
+def test_nan_to_null_and_safe_double(spark):
+    from sheetwise.functions.casts import nan_to_null, safe_double
+    df = spark.createDataFrame([("1", float("nan")), ("1d", 2.0), ("1_000", 3.0), (" 12 ", 4.0), ("nan", 5.0)], "s string, d double")
+    got = nan_to_null(df.select(safe_double(F.col("s")).alias("v"), "d")).collect()
+    assert [r["v"] for r in got] == [1.0, None, None, 12.0, None]
+    assert got[0]["d"] is None
