@@ -36,8 +36,36 @@ def get_session(master: str | None = None, app: str = "sheetwise", shuffle_parti
     return spark
 
 
+_SHIPPED_KEY = "spark.sheetwise.pyfiles.shipped"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sheetwise`` importable in the Python workers (Arrow UDFs and
+    ``mapInPandas`` functions are pickled by reference).
+
+    Once per SparkContext the package is zipped and added with ``addPyFile``;
+    Spark distributes it to every executor.  On a cluster you may instead
+    deploy it with ``--py-files``; then set the key below to skip this.
+    """
+    import os
+    import zipfile
+    if spark.sparkContext.getConf().get(_SHIPPED_KEY, "") == "true" or spark.conf.get(_SHIPPED_KEY, "") == "true":
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="sheetwise-pyfiles-"), "sheetwise.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    spark.sparkContext.addPyFile(out)
+    spark.conf.set(_SHIPPED_KEY, "true")
+
+
 def configure(spark: SparkSession, checkpoint_dir: str | None = None) -> SparkSession:
     """Session settings the library relies on (safe to call repeatedly)."""
+    ship_package(spark)
     # Header names such as ``a`` and ``A`` are distinct columns of a sheet.
     spark.conf.set("spark.sql.caseSensitive", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
