@@ -96,3 +96,11 @@ def regroup_rows(rows: DataFrame, parsed: DataFrame, keys: list[str], item_col:
         c = F.col(f"`{x}`").isNotNull()
         has_value = c if has_value is None else has_value | c
     return out.where(has_value)
+
+
+def melt(df: DataFrame, id_cols: list[str], value_cols: list[str], var_name: str = "original_column",
+         value_name: str = "value", drop_missing: bool = True) -> DataFrame:
+    """U2 for inputs already in columns (e.g. a narrow CSV read with a header):
+    wide -> long with ``DataFrame.unpivot``; missing values dropped."""
+    long = df.unpivot(id_cols, value_cols, var_name, value_name)
+    return long.where(F.col(value_name).isNotNull()) if drop_missing else long

@@ -67,9 +67,19 @@ def publish(tables: dict[str, DataFrame], out_dir: str) -> DataFrame:
     return manifest({n: spark.read.parquet(f"{out_dir}/{n}") for n in tables})
 
 
+TABLE_STAGE = {"ministries": 3, "business": 3, "budgets": 4, "fund_flow": 5, "expenditure": 6}
+
+
 def run_job(spark: SparkSession, work_dir: str, source: DataFrame | None = None, start_stage: int = 1,
             target_files: list[str] | None = None) -> DataFrame:
-    """Run stages ``start_stage``..7; ``source`` is the stage-1 ``sheet_rows``."""
+    """Run stages ``start_stage``..7 and return the manifest of what is published.
+
+    ``source`` is the stage-1 ``sheet_rows`` (e.g. ``ingest_workbooks`` or
+    ``read_sheet_csv``); ``target_files`` keeps only those sheet files in
+    stage 1.  Stages 3-6 each build their table(s) from the saved stage-2
+    table; an empty result writes nothing, so an older table stays published
+    (SURVEY Q12).  ``start_stage=7`` only publishes the manifest.
+    """
     raw_path, norm_path, out_path = f"{work_dir}/sheet_rows", f"{work_dir}/normalized", f"{work_dir}/tables"
     if start_stage <= 1:
         rows = source
@@ -79,6 +89,34 @@ def run_job(spark: SparkSession, work_dir: str, source: DataFrame | None = None,
     if start_stage <= 2:
         normalize_sheet_rows(spark.read.parquet(raw_path)).write.mode("overwrite").parquet(norm_path)
     if start_stage <= 6:
-        tables = build_tables(spark, spark.read.parquet(norm_path))
-        return publish(tables, out_path)
-    return manifest({n: spark.read.parquet(f"{out_path}/{n}") for n in TABLE_NAMES})
+        normalized = spark.read.parquet(norm_path)
+        builders = {
+            "ministries": lambda: TB.ministries(spark),
+            "business": lambda: TB.business(normalized),
+            "budgets": lambda: TB.budgets(normalized),
+            "fund_flow": lambda: TB.fund_flow(normalized),
+            "expenditure": lambda: TB.expenditure(normalized),
+        }
+        for name, build in builders.items():
+            if TABLE_STAGE[name] < start_stage:
+                continue
+            df = build()
+            if df.limit(1).count() == 0:
+                continue
+            w = df.write.mode("overwrite")
+            if name == "business":
+                w = w.partitionBy("source_year")
+            w.parquet(f"{out_path}/{name}")
+    return published_manifest(spark, out_path)
+
+
+def published_manifest(spark: SparkSession, out_path: str) -> DataFrame:
+    """K7: manifest of the tables that exist in the output folder."""
+    from sheetwise.sources.sheets import list_files
+    present = {}
+    for name in TABLE_NAMES:
+        if list_files(spark, f"{out_path}/{name}/_SUCCESS"):
+            present[name] = spark.read.parquet(f"{out_path}/{name}")
+    if not present:
+        return spark.createDataFrame([], "table_name string, row_count bigint")
+    return manifest(present)

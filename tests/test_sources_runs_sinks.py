@@ -101,11 +101,25 @@ def test_run_job_stages(spark):
     rows = spark.createDataFrame([("database2016_S", "S", 0, header), ("database2016_S", "S", 1, ["総務省", "Ｐ１", "1", "委託", "10"])],
                                  "source_file string, sheet string, row_ordinal int, cells array<string>")
     m = {r["table_name"]: r["row_count"] for r in run_job(spark, d, rows).collect()}
-    assert m == {"ministries": 24, "business": 1, "budgets": 1, "fund_flow": 1, "expenditure": 0}
+    # an empty table (expenditure) is not written, so not published
+    assert m == {"ministries": 24, "business": 1, "budgets": 1, "fund_flow": 1}
     b = spark.read.parquet(d + "/tables/business").collect()[0]
     assert b["事業名"] == "P1"  # normalized (NFKC) before building
     again = {r["table_name"]: r["row_count"] for r in run_job(spark, d, start_stage=7).collect()}
     assert again == m
+    # a rerun from stage 5 whose fund-flow result is empty keeps the older table (Q12)
+    empty = spark.createDataFrame([("database2016_S", "S", 0, ["府省庁", "事業名", "事業番号-1"])],
+                                  "source_file string, sheet string, row_ordinal int, cells array<string>")
+    run_job(spark, d, empty, start_stage=1)
+    kept = {r["table_name"]: r["row_count"] for r in run_job(spark, d, start_stage=5).collect()}
+    assert kept["fund_flow"] == 1
+
+
+def test_melt(spark):
+    from sheetwise.operators.reshape import melt
+    df = spark.createDataFrame([("b1", "x", None), ("b2", None, "y")], "business_id string, c1 string, c2 string")
+    got = sorted(tuple(r) for r in melt(df, ["business_id"], ["c1", "c2"]).collect())
+    assert got == [("b1", "c1", "x"), ("b2", "c2", "y")]
 
 
 def test_nan_to_null_and_safe_double(spark):
