@@ -102,8 +102,19 @@ def _hyphens(p: Column) -> Column:
 
 # Any character some step of 3-10 reacts to, or whitespace at either end.
 # A value without one is returned as it is after one scan.
-_ERA_FIRST_CHARS = sorted({name[0] for name, _ in K.ERA_OFFSETS})
-RE_POST_TRIGGER = ("[~" + K.TILDE + "".join(_ERA_FIRST_CHARS) + "年" + HY[1:-1] + "]|^" + PY_SPACE + "|" + PY_SPACE + "$")
+RE_POST_TRIGGER = ("[~" + K.TILDE + HY[1:-1] + "]|(?:" + _ERA_ALT + ")(?:[0-9]|" + K.ERA_FIRST_YEAR + ")|年度|^"
+                   + PY_SPACE + "|" + PY_SPACE + "$")
+
+
+def _when_has(x: Column, pattern: str, step) -> Column:
+    """Run ``step`` only when ``pattern`` occurs (a scan instead of a copy)."""
+    return F.when(x.rlike(pattern), step(x)).otherwise(x)
+
+
+def _strip_edges(x: Column) -> Column:
+    """N10, checking only the first and last character before any regex work."""
+    edge = F.substring(x, 1, 1).rlike(PY_SPACE) | F.substring(x, -1, 1).rlike(PY_SPACE)
+    return F.when(edge, py_strip(x)).otherwise(x)
 
 
 def post_nfkc(t: Column) -> Column:
@@ -112,7 +123,7 @@ def post_nfkc(t: Column) -> Column:
 
 
 def _post_chain(t: Column) -> Column:
-    t = F.regexp_replace(t, RE_TILDE, K.TILDE)
+    t = let(t, lambda x: _when_has(x, "[~" + K.TILDE + "]", lambda y: F.regexp_replace(y, RE_TILDE, K.TILDE)))
 
     def era_range(m):
         y1 = _era_year(m, RE_ERA_RANGE, 1, 2)
@@ -129,7 +140,8 @@ def _post_chain(t: Column) -> Column:
         return F.concat(cal.cast("string"), F.lit("年度"))
 
     t = _guarded(t, RE_BARE_YEAR, bare_year)
-    t = F.regexp_replace(t, RE_LABEL_REPAIR, K.GROUP_LABEL_REPAIR[1])
+    t = let(t, lambda x: _when_has(x, K.GROUP_LABEL_REPAIR[0][0],
+                                   lambda y: F.regexp_replace(y, RE_LABEL_REPAIR, K.GROUP_LABEL_REPAIR[1])))
 
     # The protected label is cut out, the pieces between labels get the hyphen
     # rules on their own (a neighbour of the label never sees it), and the
@@ -139,9 +151,9 @@ def _post_chain(t: Column) -> Column:
             F.transform(F.split(x, RE_LABEL_PROTECTED, -1), _hyphens),
             F.concat(F.regexp_extract_all(x, F.lit(RE_LABEL_PROTECTED), 0), F.array(F.lit(""))),
             lambda p, lab: F.array(p, lab))), "")
-        return F.when(x.rlike(RE_LABEL_PROTECTED), shielded).otherwise(_hyphens(x))
+        return F.when(x.rlike(RE_LABEL_PROTECTED), shielded).when(x.rlike(HY), _hyphens(x)).otherwise(x)
 
-    return py_strip(let(t, shield))
+    return let(let(t, shield), _strip_edges)
 
 
 # --- step 2: NFKC -----------------------------------------------------------------
