@@ -128,3 +128,16 @@ def test_nan_to_null_and_safe_double(spark):
     got = nan_to_null(df.select(safe_double(F.col("s")).alias("v"), "d")).collect()
     assert [r["v"] for r in got] == [1.0, None, None, 12.0, None]
     assert got[0]["d"] is None
+
+
+def test_register_list_tables_and_item_list(spark):
+    from sheetwise.sinks.writers import write_item_list
+    a = spark.createDataFrame([("支出額",), ("入札者数",), ("支出額",)], "item string")
+    names = C.register_tables(spark, {"items_view": a})
+    assert names == ["items_view"] and "items_view" in C.list_tables(spark)
+    assert spark.sql("SELECT count(*) AS n FROM items_view").collect()[0]["n"] == 3
+    assert C.column_present(a, "item") and not C.column_present(a, "x")
+    d = _tmp()
+    write_item_list(a, d + "/items")
+    lines = [r[0] for r in spark.read.text(d + "/items").collect()]
+    assert sorted(lines) == lines == sorted({"支出額", "入札者数"})
