@@ -354,3 +354,61 @@ def browse_sql(search: str = "事業1", sort_by: str = "事業名", page: int =
     hit = " OR ".join(f"coalesce(contains(CAST(\"{c}\" AS VARCHAR), '{search}'), false)" for c in cols)
     order = f'"{sort_by}" DESC NULLS LAST, ' + ", ".join(f'"{c}" ASC NULLS LAST' for c in cols)
     return f"SELECT * FROM ({business_sql()}) b WHERE {hit} ORDER BY {order} LIMIT {size} OFFSET {page * size}"
+
+
+# --- header trace (U9): the expected reading of every review-sheet header ---------------
+
+# spec column -> (raw item, year offset from the review year, tail in the 2014
+# layout, expected item for the 2015+ layout, expected item for the 2014 layout)
+_TRACE_BUDGET = {
+    13: ("予算の状況当初予算", -3, "", "予算の状況当初予算", "予算の状況当初予算"),
+    14: ("予算の状況当初予算", -2, "", "予算の状況当初予算", "予算の状況当初予算"),
+    15: ("予算の状況当初予算", -1, "", "予算の状況当初予算", "予算の状況当初予算"),
+    16: ("予算の状況当初予算", 0, "", "予算の状況当初予算", "予算の状況当初予算"),
+    17: ("要求予算の状況当初予算", 1, "要求", "要求予算の状況当初予算", "要求予算の状況当初予算"),
+    18: ("執行額", -3, "", "執行額", "執行額"),
+    19: ("執行額", -1, "", "執行額", "執行額"),
+    20: ("当初予算+補正予算に対する執行額の割合(%)", -1, "", "執行額", "執行額"),  # Q2
+    21: ("執行額", -6, "", "執行額", "執行額"),  # F6
+    22: ("予算の状況計", 1, "要求", "予算の状況計", None),  # Q3 / Q4
+    23: ("予算の状況計", 0, "", "予算の状況計", "予算の状況計"),
+}
+_SUFFIX = {-3: "_py3", -2: "_py2", -1: "_py1", 0: "", 1: "_req"}
+
+
+def header_trace_sql() -> str:
+    keys = " ".join(f"WHEN instr(source_file, '{k}') > 0 THEN {y}" for k, y in K.FILENAME_YEAR_KEYS)
+    files = (f"SELECT DISTINCT concat({file_stem_sql('R')}, '_', grp) AS source_file, R, grp FROM "
+             f"(SELECT {ORDERS_BASE_SQL['R']} AS R, {ORDERS_BASE_SQL['grp']} AS grp FROM orders)")
+    parts = []
+    for i, (h15, h14, _) in enumerate(ORDERS_SHEET):
+        name = f"CASE WHEN R = 2014 THEN {h14} ELSE {h15} END".replace("AS STRING", "AS VARCHAR")
+        if i not in _TRACE_BUDGET:
+            parts.append(
+                f"SELECT source_file, CAST({i} AS INTEGER) AS col_idx, {name} AS name, review_year, "
+                "CAST(NULL AS VARCHAR) AS matched_rule, CAST(NULL AS VARCHAR) AS raw_item, CAST(NULL AS INTEGER) AS target_year, "
+                "CAST(NULL AS BOOLEAN) AS is_request, CAST(NULL AS VARCHAR) AS item, CAST(NULL AS INTEGER) AS relative_year, "
+                "CAST(NULL AS VARCHAR) AS out_col, CASE WHEN review_year IS NULL THEN 'no review year in file name' "
+                "ELSE 'no budget grammar matches' END AS reject_reason FROM f")
+            continue
+        raw, off, tail, item15, item14 = _TRACE_BUDGET[i]
+        req15, req14 = "要求" in raw, ("要求" in raw or "要求" in tail)
+
+        def lit(v):
+            return "NULL" if v is None else f"'{v}'"
+
+        req = f"CASE WHEN R = 2014 THEN {str(req14).upper()} ELSE {str(req15).upper()} END"
+        item = f"CASE WHEN R = 2014 THEN {lit(item14)} ELSE {lit(item15)} END"
+        # target year - review year is the offset the sheet was built with
+        rel = f"CASE WHEN {item} IS NULL THEN NULL WHEN {req} THEN 1 WHEN review_year IS NULL THEN NULL ELSE {off} END"
+        suffix = "CASE " + " ".join(f"WHEN ({rel}) = {k} THEN '{v}'" for k, v in _SUFFIX.items()) + " END"
+        reason = (f"CASE WHEN review_year IS NULL THEN 'no review year in file name' WHEN {item} IS NULL THEN 'item not listed' "
+                  f"WHEN NOT (({rel}) BETWEEN -3 AND 1) THEN 'relative year out of range' END")
+        parts.append(
+            f"SELECT source_file, CAST({i} AS INTEGER) AS col_idx, {name} AS name, review_year, "
+            f"CASE WHEN R = 2014 THEN '2014' ELSE '2015+' END AS matched_rule, '{raw}' AS raw_item, "
+            f"CAST(R + {off} AS INTEGER) AS target_year, {req} AS is_request, {item} AS item, "
+            f"CAST({rel} AS INTEGER) AS relative_year, CASE WHEN ({reason}) IS NULL THEN concat({item}, {suffix}) END AS out_col, "
+            f"{reason} AS reject_reason FROM f")
+    return (f"WITH f0 AS ({files}), f AS (SELECT source_file, R, grp, CAST(CASE {keys} END AS INTEGER) AS review_year FROM f0) "
+            + " UNION ALL ".join(parts))

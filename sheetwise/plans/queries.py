@@ -189,9 +189,9 @@ def q_header_matrix(spark, sf_dir):
     return header_matrix(hdr)
 
 
-@register("header_trace")
+@register("header_trace", O.header_trace_sql)
 def q_header_trace(spark, sf_dir):
-    """How every budget-like header of the review sheets was read (rows-only)."""
+    """How every header of the review sheets is read by the budget grammars."""
     return H.explain_budget_headers(sheet_headers(orders_headers(spark, sf_dir)))
 
 
