@@ -81,21 +81,26 @@ def run_job(spark: SparkSession, work_dir: str, source: DataFrame | None = None,
     (SURVEY Q12).  ``start_stage=7`` only publishes the manifest.
     """
     raw_path, norm_path, out_path = f"{work_dir}/sheet_rows", f"{work_dir}/normalized", f"{work_dir}/tables"
+    head_raw, head_norm = f"{work_dir}/header_rows", f"{work_dir}/normalized_header_rows"
     if start_stage <= 1:
         rows = source
         if target_files:
             rows = rows.where(F.col("source_file").isin(*target_files))
         rows.write.mode("overwrite").parquet(raw_path)
+        # header rows as their own small table: later stages find every
+        # file's header without scanning the data rows
+        spark.read.parquet(raw_path).where(F.col("row_ordinal") == 0).write.mode("overwrite").parquet(head_raw)
     if start_stage <= 2:
         normalize_sheet_rows(spark.read.parquet(raw_path)).write.mode("overwrite").parquet(norm_path)
+        normalize_sheet_rows(spark.read.parquet(head_raw)).write.mode("overwrite").parquet(head_norm)
     if start_stage <= 6:
-        normalized = spark.read.parquet(norm_path)
+        normalized, heads = spark.read.parquet(norm_path), spark.read.parquet(head_norm)
         builders = {
             "ministries": lambda: TB.ministries(spark),
-            "business": lambda: TB.business(normalized),
-            "budgets": lambda: TB.budgets(normalized),
-            "fund_flow": lambda: TB.fund_flow(normalized),
-            "expenditure": lambda: TB.expenditure(normalized),
+            "business": lambda: TB.business(normalized, header_rows=heads),
+            "budgets": lambda: TB.budgets(normalized, header_rows=heads),
+            "fund_flow": lambda: TB.fund_flow(normalized, header_rows=heads),
+            "expenditure": lambda: TB.expenditure(normalized, header_rows=heads),
         }
         for name, build in builders.items():
             if TABLE_STAGE[name] < start_stage:
