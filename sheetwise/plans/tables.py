@@ -68,16 +68,23 @@ def alias_name(clean: Column) -> Column:
     return e.otherwise(F.col("name"))
 
 
+_BUSINESS_TARGETS = ([c for c in K.BUSINESS_COLUMNS if c not in ("business_id", "source_year", "ministry_id", K.PERIOD_OUTPUT)]
+                     + [K.PERIOD_COMBINED, K.PERIOD_START, K.PERIOD_END])
+
+
+def _pos_col(target: str) -> str:
+    return f"_p{_BUSINESS_TARGETS.index(target)}"
+
+
 def business_layout(hdr: DataFrame, files: DataFrame) -> DataFrame:
-    """Per file: output column -> position (P2 aliasing, P3 first duplicate wins,
-    plus the three period source columns looked up by their uncleaned names)."""
+    """Per file: one integer column per output/period target holding its
+    position (P2 aliasing, P3 first duplicate wins); the period source
+    columns are looked up by their uncleaned names.  Integer columns make
+    each cell read an O(1) array index."""
     h = hdr.join(files, "source_file")
-    h = h.withColumn("target", alias_name(H.clean_name(F.col("name"))))
-    wanted = [c for c in K.BUSINESS_COLUMNS if c not in ("business_id", "source_year", "ministry_id", K.PERIOD_OUTPUT)]
-    period = [K.PERIOD_COMBINED, K.PERIOD_START, K.PERIOD_END]
-    first = h.where(F.col("target").isin(*(wanted + period))).groupBy("source_file", "target").agg(
-        F.min("col_idx").alias("col_idx"))
-    return first.groupBy("source_file").agg(F.map_from_entries(F.collect_list(F.struct("target", "col_idx"))).alias("_pos"))
+    t = alias_name(H.clean_name(F.col("name")))
+    return h.groupBy("source_file").agg(
+        *[F.min(F.when(t == target, F.col("col_idx"))).alias(_pos_col(target)) for target in _BUSINESS_TARGETS])
 
 
 def business(rows: DataFrame, na_policy: str = "default", header_rows: DataFrame | None = None) -> DataFrame:
@@ -86,11 +93,11 @@ def business(rows: DataFrame, na_policy: str = "default", header_rows: DataFrame
     r = data_rows(rows).join(layout, "source_file")
 
     def cell(target):
-        v = F.try_element_at(F.col("cells"), F.element_at(F.col("_pos"), F.lit(target)) + 1)
+        v = F.try_element_at(F.col("cells"), F.col(_pos_col(target)) + 1)
         return na_to_null(v, na_policy)
 
     combined, start, end = cell(K.PERIOD_COMBINED), cell(K.PERIOD_START), cell(K.PERIOD_END)
-    has_se = F.element_at(F.col("_pos"), F.lit(K.PERIOD_START)).isNotNull() & F.element_at(F.col("_pos"), F.lit(K.PERIOD_END)).isNotNull()
+    has_se = F.col(_pos_col(K.PERIOD_START)).isNotNull() & F.col(_pos_col(K.PERIOD_END)).isNotNull()
     s, e = F.coalesce(start, F.lit("")), F.coalesce(end, F.lit(""))
     from_se = F.when(has_se & (s != "") & (e != ""), F.concat(s, F.lit("-"), e)).otherwise(F.lit(""))
     # The combined column if non-empty, else start-end only if both present
