@@ -15,14 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.functions.regex import py_strip
+from sheetwise.functions.regex import PY_SPACE, py_strip
 from sheetwise.session import sized_broadcast
 from sheetwise.sources.sheets import data_rows
 
 
 def is_blank(v: Column) -> Column:
-    """NULL or only (Unicode) whitespace."""
-    return v.isNull() | (py_strip(v) == "")
+    """NULL or only (Unicode) whitespace (one anchored scan, no copy)."""
+    return v.isNull() | v.rlike("^" + PY_SPACE + "*\\z")
 
 
 def file_layout(parsed: DataFrame, fields: list[str]) -> DataFrame:
@@ -72,7 +72,7 @@ def record_layout(parsed: DataFrame, keys: list[str], item_col: str, items: list
 
 
 def regroup_rows(rows: DataFrame, parsed: DataFrame, keys: list[str], item_col: str, items: list[str],
-                 rule: str = "last", missing=is_blank) -> DataFrame:
+                 rule: str = "last", missing=is_blank, keep_empty: bool = False) -> DataFrame:
     """U1 + A3/A4 without a shuffle: each sheet row meets its file's record
     layout and emits (source_file, row_ordinal, *keys, *items); per item the
     first candidate position (in conflict order) whose value is not
@@ -91,6 +91,8 @@ def regroup_rows(rows: DataFrame, parsed: DataFrame, keys: list[str], item_col:
     recs = F.transform("_records", lambda rc: F.struct(
         *[rc[k].alias(k) for k in keys], *[pick(rc[f"_c{j}"]).alias(x) for j, x in enumerate(items)]))
     out = r.select("source_file", "row_ordinal", F.explode(recs).alias("_r")).select("source_file", "row_ordinal", "_r.*")
+    if keep_empty:
+        return out
     has_value = None
     for x in items:
         c = F.col(f"`{x}`").isNotNull()

@@ -155,17 +155,18 @@ def budgets(rows: DataFrame, drop_absent: bool = True, longest_match: bool = Fal
     (sorted name order) wins cell by cell.  Values are kept unstripped."""
     hdr, files = _eligible(rows, header_rows)
     parsed = H.parse_budget(hdr, files, longest_match).join(files, "source_file")
+    # every eligible file gets a layout, also one without budget headers
+    parsed = parsed.unionByName(files.select("source_file", F.lit(None).cast("int").alias("col_idx"),
+                                             F.lit(None).cast("string").alias("out_col"), "review_year"))
     cols = H.budget_output_columns()
-    # within a file: last column wins, in the row itself (no shuffle)
-    per_row = regroup_rows(rows, parsed, ["review_year"], "out_col", cols)
+    # within a file: last column wins, in the row itself (no shuffle); every
+    # review row yields its one record, with or without values
+    per_row = regroup_rows(rows, parsed, ["review_year"], "out_col", cols, keep_empty=True)
     per_row = per_row.withColumn("business_id", business_id(F.col("review_year"), F.col("row_ordinal")))
     # across files sharing an id (Q1): the later file wins cell by cell; one
     # input row per sheet row, combined map-side before the shuffle
-    vals = per_row.groupBy("business_id").agg(*[
+    out = per_row.groupBy("business_id").agg(*[
         F.max_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), F.col("source_file"))).alias(c) for c in cols])
-    ids = (data_rows(rows).select("source_file", "row_ordinal").join(sized_broadcast(files), "source_file")
-           .select(business_id(F.col("review_year"), F.col("row_ordinal")).alias("business_id")).distinct())
-    out = ids.join(vals, "business_id", "left")
     if drop_absent:
         present = out.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in cols]).collect()[0].asDict()
         cols = [c for c in cols if present[c] > 0]

@@ -126,3 +126,11 @@ def test_long_form_unpivot_and_regroup_agree_with_in_row(review_sheet):
     g = regroup(cells, ["source_file", "row_ordinal", "block_id", "seq_text"], "item", K.FUND_FLOW_ITEMS)
     long_form = sorted((r["block_id"], r["seq_text"], r["支払先計"]) for r in g.collect())
     assert long_form == [("A", "", "12"), ("A", "1", None), ("B", "", "0")]
+
+
+def test_budgets_keep_rows_of_files_without_budget_columns(spark):
+    s = sheet(spark, "database2016_S", ["府省庁", "事業名", "事業番号-1"], [["総務省", "a", "1"], ["総務省", "b", "2"]])
+    t = sheet(spark, "database2016_T", ["府省庁", "事業名", "事業番号-1", "予算額-2016年度執行額"],
+              [["総務省", "c", "1", "7"], ["総務省", "d", "2", " "], ["総務省", "e", "3", ""]])
+    got = {r["business_id"]: r["執行額"] for r in TB.budgets(s.unionByName(t)).collect()}
+    assert got == {"2016-00001": "7", "2016-00002": None, "2016-00003": None}
