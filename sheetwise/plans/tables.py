@@ -15,7 +15,7 @@ from sheetwise.functions.casts import is_numeric_text
 from sheetwise.functions.regex import py_strip
 from sheetwise.operators import headers as H
 from sheetwise.operators.reshape import regroup, regroup_rows
-from sheetwise.session import sized_broadcast
+from sheetwise.session import cut_lineage, sized_broadcast
 from sheetwise.sources.sheets import data_rows, review_year, sheet_headers
 
 
@@ -168,6 +168,8 @@ def budgets(rows: DataFrame, drop_absent: bool = True, longest_match: bool = Fal
     out = per_row.groupBy("business_id").agg(*[
         F.max_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), F.col("source_file"))).alias(c) for c in cols])
     if drop_absent:
+        # the presence check reads the result once more: freeze it first
+        out = cut_lineage(out)
         present = out.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in cols]).collect()[0].asDict()
         cols = [c for c in cols if present[c] > 0]
     return out.select("business_id", *[F.col(f"`{c}`") for c in cols])
