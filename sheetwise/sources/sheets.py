@@ -74,33 +74,43 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(st.getPath().toString() for st in found if st.isFile())
 
 
+def _parse_sheet_csv(batches):
+    """mapInPandas body: each input row is one whole sheet CSV file."""
+    import csv
+    import io
+    import posixpath
+
+    import pandas as pd
+
+    for pdf in batches:
+        out = []
+        for path, content in zip(pdf["path"], pdf["content"]):
+            name = posixpath.basename(path)
+            stem = name[:-4] if name.lower().endswith(".csv") else name
+            sheet = stem.rsplit("_", 1)[1] if "_" in stem else ""
+            text = bytes(content).decode("utf-8-sig", errors="replace")
+            try:  # the C parser; sheets written from a worksheet are rectangular
+                grid = pd.read_csv(io.StringIO(text), header=None, dtype=str, keep_default_na=False,
+                                   na_filter=False, skip_blank_lines=True).values.tolist()
+            except (pd.errors.ParserError, pd.errors.EmptyDataError):
+                grid = [r for r in csv.reader(io.StringIO(text)) if r]
+            for i, cells in enumerate(grid):
+                out.append((stem, sheet, i, ["" if c is None else str(c) for c in cells]))
+        yield pd.DataFrame(out, columns=["source_file", "sheet", "row_ordinal", "cells"])
+
+
 def read_sheet_csv(spark: SparkSession, pattern: str) -> DataFrame:
     """Sheet CSVs (``{stem}_{sheet}.csv``, first row = header) -> sheet rows.
 
-    Widths differ per file and per year, so each file is read with its own
-    width and packed into one ``cells`` array; the union has one schema.
-    ``multiLine`` keeps a file in one split, so the row position is the low
-    bits of ``monotonically_increasing_id`` (numbering restarts per split and
-    is positional, hence stable when a task is re-run).  BOM is dropped by
-    Spark's reader; undecodable bytes become U+FFFD.
+    One ``binaryFile`` scan lists the files; each file is one input row and is
+    parsed inside its task (quoted fields, embedded line breaks and a BOM
+    handled; undecodable bytes become U+FFFD).  Widths may differ per file
+    and year -- every row is one ``cells`` array -- and the row position in
+    the file is the ordinal, with no driver loop and no plan growing with
+    the number of files.  Truly blank lines are skipped (SURVEY Q14).
     """
-    parts = []
-    for path in list_files(spark, pattern):
-        name = path.rsplit("/", 1)[-1]
-        stem = name[:-4] if name.lower().endswith(".csv") else name
-        df = (spark.read.option("multiLine", True).option("escape", '"').option("header", False)
-              .option("encoding", "UTF-8").csv(path))
-        parts.append(df.select(F.lit(stem).alias("source_file"),
-                               F.array(*[F.coalesce(F.col(c), F.lit("")) for c in df.columns]).alias("cells"),
-                               F.monotonically_increasing_id().alias("_mid")))
-    if not parts:
-        return spark.createDataFrame([], SHEET_ROWS_SCHEMA)
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    ordinal = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)).cast("int")
-    sheet = F.regexp_extract(F.col("source_file"), r"_([^_]*)$", 1)
-    return rows.select("source_file", sheet.alias("sheet"), ordinal.alias("row_ordinal"), "cells")
+    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
+    return files.mapInPandas(_parse_sheet_csv, SHEET_ROWS_SCHEMA)
 
 
 def write_sheet_csv(rows: DataFrame, out_dir: str) -> None:

@@ -141,3 +141,12 @@ def test_register_list_tables_and_item_list(spark):
     write_item_list(a, d + "/items")
     lines = [r[0] for r in spark.read.text(d + "/items").collect()]
     assert sorted(lines) == lines == sorted({"支出額", "入札者数"})
+
+
+def test_read_sheet_csv_ragged_and_blank_lines(spark):
+    d = _tmp()
+    with open(os.path.join(d, "database2017_R.csv"), "w", encoding="utf-8") as f:
+        f.write('"a","b","c"\n\n"1","2"\n"x","y","z","w"\n')
+    rows = read_sheet_csv(spark, d + "/*.csv").orderBy("row_ordinal").collect()
+    assert [r["row_ordinal"] for r in rows] == [0, 1, 2]
+    assert rows[1]["cells"] == ["1", "2"] and rows[2]["cells"] == ["x", "y", "z", "w"]
