@@ -150,3 +150,20 @@ def test_read_sheet_csv_ragged_and_blank_lines(spark):
     rows = read_sheet_csv(spark, d + "/*.csv").orderBy("row_ordinal").collect()
     assert [r["row_ordinal"] for r in rows] == [0, 1, 2]
     assert rows[1]["cells"] == ["1", "2"] and rows[2]["cells"] == ["x", "y", "z", "w"]
+
+
+def test_dense_ordinal_hot_file_and_ties(spark):
+    """One file holds a third of all rows (spread over several range
+    partitions); duplicate full keys get distinct, dense ordinals."""
+    from pyspark.sql import Window
+    hot = spark.range(0, 4000).select(F.lit("hot").alias("f"), (F.col("id") % 1500).alias("k"))
+    cold = spark.range(0, 8000).select((F.col("id") % 40).cast("string").alias("f"), F.col("id").alias("k"))
+    df = hot.unionByName(cold)
+    got = dense_ordinal(df, "f", ["k"], num_partitions=9)
+    per_file = got.groupBy("f").agg(F.min("row_ordinal").alias("lo"), F.max("row_ordinal").alias("hi"),
+                                    F.count(F.lit(1)).alias("n"), F.countDistinct("row_ordinal").alias("d"))
+    assert per_file.where("lo != 1 OR hi != n OR d != n").count() == 0
+    want = df.withColumn("r", F.row_number().over(Window.partitionBy("f").orderBy("k")))
+    # equal keys are interchangeable: compare (file, key, ordinal) multisets
+    assert sorted(map(tuple, got.select("f", "k", "row_ordinal").collect())) == \
+        sorted(map(tuple, want.select("f", "k", "r").collect()))
