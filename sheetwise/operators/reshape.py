@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.functions.regex import PY_SPACE, py_strip
+from sheetwise.functions.regex import PY_SPACE
 from sheetwise.session import sized_broadcast
 from sheetwise.sources.sheets import data_rows
 

@@ -35,13 +35,16 @@ def normalize_sheet_rows(rows: DataFrame) -> DataFrame:
             .select(*cols, post_cells(F.col("_pre"), F.col("_sent")).alias("cells")))
 
 
-def build_tables(spark: SparkSession, normalized: DataFrame, drop_absent_budget_columns: bool = True) -> dict[str, DataFrame]:
+def build_tables(spark: SparkSession, normalized: DataFrame, header_rows: DataFrame | None = None,
+                 drop_absent_budget_columns: bool = True) -> dict[str, DataFrame]:
+    """The five tables from normalized sheet rows (``header_rows``: the
+    row-0 rows kept as their own table, if available)."""
     return {
         "ministries": TB.ministries(spark),
-        "business": TB.business(normalized),
-        "budgets": TB.budgets(normalized, drop_absent=drop_absent_budget_columns),
-        "fund_flow": TB.fund_flow(normalized),
-        "expenditure": TB.expenditure(normalized),
+        "business": TB.business(normalized, header_rows=header_rows),
+        "budgets": TB.budgets(normalized, drop_absent=drop_absent_budget_columns, header_rows=header_rows),
+        "fund_flow": TB.fund_flow(normalized, header_rows=header_rows),
+        "expenditure": TB.expenditure(normalized, header_rows=header_rows),
     }
 
 

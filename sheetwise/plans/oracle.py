@@ -13,12 +13,6 @@ from sheetwise.sources.derived import (LINEITEM_ORDER, LINEITEM_SHEET, ORDERS_BA
                                        FIXTURE_MINISTRY_NAMES, budget_value_sql, file_stem_sql, ministry_name_sql)
 
 
-def _cell(spec, header15: str) -> str:
-    for h15, _, v in spec:
-        if h15 == header15:
-            return v
-    raise KeyError(header15)
-
 
 def ministry_id_sql(key: str) -> str:
     ids = dict((n, i) for i, n in K.MINISTRY_MASTER)

@@ -6,7 +6,7 @@ dimension (small) plus one pass over the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,7 @@ from sheetwise import constants as K
 from sheetwise.functions.casts import is_numeric_text
 from sheetwise.functions.regex import py_strip
 from sheetwise.operators import headers as H
-from sheetwise.operators.reshape import regroup, regroup_rows
+from sheetwise.operators.reshape import regroup_rows
 from sheetwise.session import cut_lineage, sized_broadcast
 from sheetwise.sources.sheets import data_rows, review_year, sheet_headers
 
