@@ -102,8 +102,31 @@ def _hyphens(p: Column) -> Column:
 
 # Any character some step of 3-10 reacts to, or whitespace at either end.
 # A value without one is returned as it is after one scan.
-RE_POST_TRIGGER = ("[~" + K.TILDE + HY[1:-1] + "]|(?:" + _ERA_ALT + ")(?:[0-9]|" + K.ERA_FIRST_YEAR + ")|年度|^"
-                   + PY_SPACE + "|" + PY_SPACE + "$")
+# The hyphen steps change text only where a non-ASCII hyphen occurs or an
+# ASCII "-" touches kana/kanji; a plain "-" in Latin text needs nothing.
+_HY_NON_ASCII = "".join("\\x{%X}" % cp for cp in K.HYPHEN_CODEPOINTS if cp != 0x2D)
+RE_KANA_NEAR_DASH = "[" + K.KANA_KANJI_RANGE + "]-|-[" + K.KANA_KANJI_RANGE + "]"
+RE_HYPHEN_WORK = "[" + _HY_NON_ASCII + "]|" + RE_KANA_NEAR_DASH
+# Last characters of the era names and letters; an era year needs one of them
+# right before a digit or the first-year mark.
+_ERA_LAST_CHARS = "".join(sorted({name[-1] for name, _ in K.ERA_OFFSETS}))
+# Characters whose mere presence can call for a step (tilde forms, non-ASCII
+# hyphens); found with byte searches, no regex.
+_TRIGGER_CHARS = ["~", K.TILDE] + [chr(cp) for cp in K.HYPHEN_CODEPOINTS if cp != 0x2D]
+RE_ERA_YEAR_HINT = "[" + _ERA_LAST_CHARS + "][0-9" + K.ERA_FIRST_YEAR + "]"
+
+
+def post_trigger(x: Column) -> Column:
+    """Could any of steps 3-10 change ``x``?  Cheap checks only (a superset):
+    byte searches for single characters and 年度, one short regex for era
+    years, the kana-dash regex only when a "-" is present, and the first and
+    last character for whitespace."""
+    hit = None
+    for ch in _TRIGGER_CHARS + ["年度"]:
+        c = F.instr(x, ch) > 0
+        hit = c if hit is None else hit | c
+    edge = F.substring(x, 1, 1).rlike(PY_SPACE) | F.substring(x, -1, 1).rlike(PY_SPACE)
+    return (hit | edge | ((F.instr(x, "-") > 0) & x.rlike(RE_KANA_NEAR_DASH)) | x.rlike(RE_ERA_YEAR_HINT))
 
 
 def _when_has(x: Column, pattern: str, step) -> Column:
@@ -119,7 +142,7 @@ def _strip_edges(x: Column) -> Column:
 
 def post_nfkc(t: Column) -> Column:
     """Steps 3-10 (skipped in one scan when nothing can apply)."""
-    return let(t, lambda x: F.when(x.rlike(RE_POST_TRIGGER), _post_chain(x)).otherwise(x))
+    return let(t, lambda x: F.when(post_trigger(x), _post_chain(x)).otherwise(x))
 
 
 def _post_chain(t: Column) -> Column:
@@ -151,7 +174,7 @@ def _post_chain(t: Column) -> Column:
             F.transform(F.split(x, RE_LABEL_PROTECTED, -1), _hyphens),
             F.concat(F.regexp_extract_all(x, F.lit(RE_LABEL_PROTECTED), 0), F.array(F.lit(""))),
             lambda p, lab: F.array(p, lab))), "")
-        return F.when(x.rlike(RE_LABEL_PROTECTED), shielded).when(x.rlike(HY), _hyphens(x)).otherwise(x)
+        return F.when(x.rlike(RE_LABEL_PROTECTED), shielded).when(x.rlike(RE_HYPHEN_WORK), _hyphens(x)).otherwise(x)
 
     return let(let(t, shield), _strip_edges)
 
