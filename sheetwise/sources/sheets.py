@@ -95,7 +95,8 @@ def _parse_sheet_csv(batches):
             except (pd.errors.ParserError, pd.errors.EmptyDataError):
                 grid = [r for r in csv.reader(io.StringIO(text)) if r]
             for i, cells in enumerate(grid):
-                out.append((stem, sheet, i, ["" if c is None else str(c) for c in cells]))
+                # short rows come back padded with NaN: a missing field is ''
+                out.append((stem, sheet, i, ["" if c is None or c != c else str(c) for c in cells]))
         yield pd.DataFrame(out, columns=["source_file", "sheet", "row_ordinal", "cells"])
 
 

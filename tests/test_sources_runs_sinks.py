@@ -167,3 +167,11 @@ def test_dense_ordinal_hot_file_and_ties(spark):
     # equal keys are interchangeable: compare (file, key, ordinal) multisets
     assert sorted(map(tuple, got.select("f", "k", "row_ordinal").collect())) == \
         sorted(map(tuple, want.select("f", "k", "r").collect()))
+
+
+def test_read_sheet_csv_short_rows_are_blank_not_nan(spark):
+    d = _tmp()
+    with open(os.path.join(d, "database2018_220427_S.csv"), "w", encoding="utf-8") as f:
+        f.write('"a","b","c"\n"1","2"\n')
+    rows = read_sheet_csv(spark, d + "/*.csv").orderBy("row_ordinal").collect()
+    assert rows[1]["cells"][:2] == ["1", "2"] and all(c == "" for c in rows[1]["cells"][2:])
