@@ -27,6 +27,8 @@ def get_session(master: str | None = None, app: str = "sheetwise", shuffle_parti
           .config("spark.sql.execution.arrow.pyspark.enabled", "true")
           .config("spark.ui.enabled", "false")
           .config("spark.ui.showConsoleProgress", "false")
+          # checkpoint files of a finished query are removed once unreferenced
+          .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
           .config("spark.driver.memory", "16g"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
