@@ -9,7 +9,7 @@ from sheetwise.operators.headers import keyword_headers
 
 
 def header_matrix(headers: DataFrame) -> DataFrame:
-    """Rows: distinct header names containing a keyword (sorted); one column
+    """Rows: distinct header names containing a keyword (sorted, T3); one column
     per file (every file, also one without a hit); 1 when the file has the
     name.  The file list is the pivot's value list: it is fetched once and is
     bounded by the number of sheet files."""

@@ -73,7 +73,8 @@ def record_layout(parsed: DataFrame, keys: list[str], item_col: str, items: list
 
 def regroup_rows(rows: DataFrame, parsed: DataFrame, keys: list[str], item_col: str, items: list[str],
                  rule: str = "last", missing=is_blank, keep_empty: bool = False) -> DataFrame:
-    """U1 + A3/A4 without a shuffle: each sheet row meets its file's record
+    """U1 + A3/A4 without a shuffle (J6: cells meet the parsed headers by
+    file and position through the broadcast layout): each sheet row meets its file's record
     layout and emits (source_file, row_ordinal, *keys, *items); per item the
     first candidate position (in conflict order) whose value is not
     ``missing`` wins.  Records without any value are dropped.
@@ -106,3 +107,16 @@ def melt(df: DataFrame, id_cols: list[str], value_cols: list[str], var_name: str
     wide -> long with ``DataFrame.unpivot``; missing values dropped."""
     long = df.unpivot(id_cols, value_cols, var_name, value_name)
     return long.where(F.col(value_name).isNotNull()) if drop_missing else long
+
+
+def concat_tables(frames: list[DataFrame]) -> DataFrame:
+    """O1: concatenate frames whose columns differ (missing columns NULL).
+
+    The table builders never need it -- every file is conformed through its
+    layout to one fixed schema -- but outside inputs (e.g. per-year exports)
+    can be stacked by name with it.
+    """
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out

@@ -54,7 +54,7 @@ def fold_reruns(executions: DataFrame) -> DataFrame:
 
 
 def latest_runs(folded: DataFrame, n: int | None = None) -> DataFrame:
-    """Newest first, ties by id descending; ``n`` = page size."""
+    """R3/T4 (D7 with ``run_stats``): newest first, ties by id descending; ``n`` = page size."""
     out = folded.orderBy(F.desc("timestamp"), F.desc("id"))
     return out.limit(n) if n else out
 

@@ -49,7 +49,7 @@ def build_tables(spark: SparkSession, normalized: DataFrame, header_rows: DataFr
 
 
 def manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, row_count) for every built table, one job."""
+    """(table_name, row_count) for every built table, one job."""
     parts = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
              for name, df in tables.items()]
     out = parts[0]

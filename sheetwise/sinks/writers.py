@@ -39,6 +39,6 @@ def write_selective_quoted(df: DataFrame, path: str, unquoted: list[str]) -> Non
 
 
 def write_item_list(items: DataFrame, path: str, column: str = "item") -> None:
-    """K6: sorted distinct items, one per line (binary string order)."""
+    """K6 + T3: sorted distinct items, one per line (binary string order)."""
     (items.select(F.col(column).alias("value")).distinct().repartitionByRange("value").sortWithinPartitions("value")
      .write.mode("overwrite").text(path))

@@ -175,3 +175,11 @@ def test_read_sheet_csv_short_rows_are_blank_not_nan(spark):
         f.write('"a","b","c"\n"1","2"\n')
     rows = read_sheet_csv(spark, d + "/*.csv").orderBy("row_ordinal").collect()
     assert rows[1]["cells"][:2] == ["1", "2"] and all(c == "" for c in rows[1]["cells"][2:])
+
+
+def test_concat_tables(spark):
+    from sheetwise.operators.reshape import concat_tables
+    a = spark.createDataFrame([("1", "x")], "id string, a string")
+    b = spark.createDataFrame([("2", "y")], "id string, b string")
+    got = {r["id"]: (r["a"], r["b"]) for r in concat_tables([a, b]).collect()}
+    assert got == {"1": ("x", None), "2": (None, "y")}
