@@ -30,11 +30,17 @@ def selective_quote_lines(df: DataFrame, unquoted: list[str]) -> DataFrame:
 
 
 def write_selective_quoted(df: DataFrame, path: str, unquoted: list[str]) -> None:
+    """K3 written in parallel: every part file starts with the header line
+    (the convention of Spark's own CSV writer with ``header=true``), so no
+    task ever holds the whole table."""
     header = ",".join(df.columns)
-    lines = selective_quote_lines(df, unquoted)
-    spark = df.sparkSession
-    head = spark.createDataFrame([(header, 0)], "value string, _o int")
-    (head.unionByName(lines.withColumn("_o", F.lit(1))).coalesce(1).orderBy("_o").select("value")
+
+    def with_header(batches):
+        import pandas as pd
+        yield pd.DataFrame({"value": [header]})
+        yield from batches
+
+    (selective_quote_lines(df, unquoted).mapInPandas(with_header, "value string")
      .write.mode("overwrite").text(path))
 
 

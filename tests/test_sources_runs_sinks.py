@@ -183,3 +183,18 @@ def test_concat_tables(spark):
     b = spark.createDataFrame([("2", "y")], "id string, b string")
     got = {r["id"]: (r["a"], r["b"]) for r in concat_tables([a, b]).collect()}
     assert got == {"1": ("x", None), "2": (None, "y")}
+
+
+def test_write_selective_quoted_parts_have_header(spark):
+    import glob
+    from sheetwise.sinks.writers import write_selective_quoted
+    df = spark.createDataFrame([(f"2016-{i:05d}", i, f'n"{i}') for i in range(10)], "business_id string, y long, n string")
+    d = _tmp()
+    write_selective_quoted(df.repartition(3), d + "/k3", ["business_id", "y"])
+    lines = []
+    for part in sorted(glob.glob(d + "/k3/part-*")):
+        with open(part, encoding="utf-8") as f:
+            got = f.read().splitlines()
+        assert got[0] == "business_id,y,n"
+        lines += got[1:]
+    assert sorted(lines) == sorted(f'2016-{i:05d},{i},"n""{i}"' for i in range(10))
