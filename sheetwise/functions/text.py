@@ -78,11 +78,37 @@ def _era_map() -> Column:
     return F.create_map(*[F.lit(x) for pair in K.ERA_OFFSETS for x in pair])
 
 
-def _era_year(m: Column, pattern: str, era_group: int, year_group: int) -> Column:
-    era = F.regexp_extract(m, "^(?:" + pattern + ")", era_group)
-    y = F.regexp_extract(m, "^(?:" + pattern + ")", year_group)
-    year = F.when(y == K.ERA_FIRST_YEAR, F.lit(1)).otherwise(y.cast("int"))
-    return F.element_at(_era_map(), era) + year
+_ERA_LETTERS = [name for name, _ in K.ERA_OFFSETS if len(name) == 1]
+
+
+def _split_era(m: Column) -> tuple[Column, Column]:
+    """(era, rest) of a matched text that starts with an era letter (one
+    character) or an era name (two characters) -- substring arithmetic, no
+    second regex pass over the match."""
+    letter = F.substring(m, 1, 1).isin(*_ERA_LETTERS)
+    era = F.when(letter, F.substring(m, 1, 1)).otherwise(F.substring(m, 1, 2))
+    rest = F.when(letter, F.substring(m, 2, 1 << 20)).otherwise(F.substring(m, 3, 1 << 20))
+    return era, rest
+
+
+def _year_number(y: Column) -> Column:
+    return F.when(y == K.ERA_FIRST_YEAR, F.lit(1)).otherwise(y.cast("int"))
+
+
+def _era_single(m: Column) -> Column:
+    """N5 for one match ``era + year``."""
+    era, rest = _split_era(m)
+    return F.element_at(_era_map(), era) + _year_number(rest)
+
+
+def _era_range(m: Column) -> Column:
+    """N4 for one match ``era + year ～ year`` (both years in the same era)."""
+    era, rest = _split_era(m)
+    ys = F.split(rest, PY_SPACE + "*" + K.TILDE + PY_SPACE + "*", 2)
+    base = F.element_at(_era_map(), era)
+    y1 = base + _year_number(F.element_at(ys, 1))
+    y2 = base + F.element_at(ys, 2).cast("int")
+    return F.concat(y1.cast("string"), F.lit(K.TILDE), y2.cast("string"))
 
 
 def _guarded(col: Column, pattern: str, fn) -> Column:
@@ -148,14 +174,8 @@ def post_nfkc(t: Column) -> Column:
 def _post_chain(t: Column) -> Column:
     t = let(t, lambda x: _when_has(x, "[~" + K.TILDE + "]", lambda y: F.regexp_replace(y, RE_TILDE, K.TILDE)))
 
-    def era_range(m):
-        y1 = _era_year(m, RE_ERA_RANGE, 1, 2)
-        era = F.regexp_extract(m, "^(?:" + RE_ERA_RANGE + ")", 1)
-        y2 = F.element_at(_era_map(), era) + F.regexp_extract(m, "^(?:" + RE_ERA_RANGE + ")", 3).cast("int")
-        return F.concat(y1.cast("string"), F.lit(K.TILDE), y2.cast("string"))
-
-    t = _guarded(t, RE_ERA_RANGE, era_range)
-    t = _guarded(t, RE_ERA_SINGLE, lambda m: _era_year(m, RE_ERA_SINGLE, 1, 2).cast("string"))
+    t = _guarded(t, RE_ERA_RANGE, _era_range)
+    t = _guarded(t, RE_ERA_SINGLE, lambda m: _era_single(m).cast("string"))
 
     def bare_year(m):
         y = F.regexp_extract(m, RE_BARE_YEAR, 1).cast("int")
