@@ -102,8 +102,7 @@ def q_business_key(spark, sf_dir):
 @register("top_count", O.top_count_sql)
 def q_top_count(spark, sf_dir):
     """Projects per ministry, top 10."""
-    business, ministries, _ = _built(spark, sf_dir)
-    return A.top_count(business, ministries, 10)
+    return A.top_count(_build(TB.business, orders_workbook(spark, sf_dir)), TB.ministries(spark), 10)
 
 
 @register("top_budget", O.top_budget_sql)
