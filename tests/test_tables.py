@@ -134,3 +134,21 @@ def test_budgets_keep_rows_of_files_without_budget_columns(spark):
               [["総務省", "c", "1", "7"], ["総務省", "d", "2", " "], ["総務省", "e", "3", ""]])
     got = {r["business_id"]: r["執行額"] for r in TB.budgets(s.unionByName(t)).collect()}
     assert got == {"2016-00001": "7", "2016-00002": None, "2016-00003": None}
+
+
+def test_longest_match_opt_in_keeps_the_ratio_apart(spark):
+    header = ["府省庁", "事業名", "事業番号-1", "予算額-2015年度執行額", "予算額-2015年度当初予算+補正予算に対する執行額の割合(%)"]
+    rows = sheet(spark, "database2016_S", header, [["総務省", "a", "1", "100", "95.5"]])
+    compat = TB.budgets(rows).collect()[0].asDict()
+    assert compat["執行額_py1"] == "95.5"  # Q2: the ratio overwrites the amount
+    opt = TB.budgets(rows, longest_match=True).collect()[0].asDict()
+    assert opt["執行額_py1"] == "100"
+    assert opt.get("当初予算+補正予算に対する執行額の割合(%)_py1") == "95.5"
+
+
+def test_na_policies(spark):
+    df = spark.createDataFrame([("NA",), ("",), ("x",), (None,)], "v string")
+    got = {p: [r[0] for r in df.select(TB.na_to_null(F.col("v"), p)).collect()] for p in ("default", "empty", "none")}
+    assert got["default"] == [None, None, "x", None]
+    assert got["empty"] == ["NA", None, "x", None]
+    assert got["none"] == ["NA", "", "x", None]
