@@ -238,7 +238,8 @@ def normalize_text(t: Column) -> Column:
 
 
 def pre_cells(cells: Column) -> Column:
-    return F.transform(cells, lambda c: F.when(c == "", c).otherwise(pre_nfkc(c)))
+    # ``c`` is a lambda variable: guard it directly, no single-evaluation wrapper needed
+    return F.transform(cells, lambda c: F.when(c.rlike(RE_CIRCLED), pre_nfkc(c)).otherwise(c))
 
 
 def nfkc_sent(pre: Column) -> Column:
@@ -249,7 +250,8 @@ def nfkc_sent(pre: Column) -> Column:
 
 def post_cells(pre: Column, sent: Column) -> Column:
     folded = F.when(sent.isNull(), pre).otherwise(F.zip_with(pre, sent, lambda p, n: F.coalesce(n, p)))
-    return F.transform(folded, lambda c: F.when(c.isNull() | (c == ""), c).otherwise(post_nfkc(c)))
+    return F.transform(folded, lambda c: F.when(c.isNull() | (c == ""), c)
+                       .when(post_trigger(c), _post_chain(c)).otherwise(c))
 
 
 def normalize_cells(cells: Column) -> Column:
