@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import packing, quality, secrets, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality_rules": quality.op3_quality_rules}
+    return {
+        "op2_secret_scans": secrets.op2_secret_scans,
+        "op3_quality_rules": quality.op3_quality_rules,
+        "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op10_warc": warc.op10_warc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.oracle_sql()}
+    """Secret scans and packing rest on trained models and a tokenizer; the
+    tests hold them against brute force instead."""
+    return {
+        "op3_quality_rules": quality.oracle_sql(),
+        "op10_warc": warc.ORACLE_SQL,
+    }
