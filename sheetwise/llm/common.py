@@ -48,6 +48,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sample(df: DataFrame, key: str, value: str, n: int) -> list:
+    """Values of the n keys with the smallest hash (one per key, the least one
+    that is not null).  Only keys are sorted; values are read for those alone."""
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(n)
+    rows = df.select(key, value).join(F.broadcast(keys), key, "left_semi").groupBy(key).agg(F.min(value).alias("v")).where("v is not null")
+    return [r.v for r in rows.orderBy(F.xxhash64(key), key).collect()]
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; empty for null or blank."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(WORD_BREAKS))
