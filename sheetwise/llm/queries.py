@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, secrets, warc
+from . import decontaminate, html, licenses, packing, quality, secrets, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
         "op2_secret_scans": secrets.op2_secret_scans,
         "op3_quality_rules": quality.op3_quality_rules,
+        "op4_html_extraction": html.op4_html_extraction,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op9_license_scans": licenses.op9_license_scans,
         "op10_warc": warc.op10_warc,
     }
 
@@ -22,6 +25,8 @@ def oracle_sql() -> dict[str, str]:
     """Secret scans and packing rest on trained models and a tokenizer; the
     tests hold them against brute force instead."""
     return {
+        "op1_benchmark_decontamination": decontaminate.ORACLE_SQL,
         "op3_quality_rules": quality.oracle_sql(),
+        "op9_license_scans": licenses.oracle_sql(),
         "op10_warc": warc.ORACLE_SQL,
     }
