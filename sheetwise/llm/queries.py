@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, licenses, packing, quality, secrets, warc
+from . import decontaminate, html, licenses, neardup, packing, quality, secrets, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_html_extraction": html.op4_html_extraction,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
         "op9_license_scans": licenses.op9_license_scans,
         "op10_warc": warc.op10_warc,
     }
@@ -27,6 +28,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_benchmark_decontamination": decontaminate.ORACLE_SQL,
         "op3_quality_rules": quality.oracle_sql(),
+        "op8_minhash_near_dedup": neardup.ORACLE_SQL,
         "op9_license_scans": licenses.oracle_sql(),
         "op10_warc": warc.ORACLE_SQL,
     }
