@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, licenses, lm, neardup, packing, quality, secrets, warc
+from . import decontaminate, html, licenses, lm, neardup, packing, quality, secrets, suffixdedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scans": secrets.op2_secret_scans,
         "op3_quality_rules": quality.op3_quality_rules,
         "op4_html_extraction": html.op4_html_extraction,
+        "op5_suffix_array_dedup": suffixdedup.op5_suffix_array_dedup,
         "op6_lm_scoring": lm.op6_lm_scoring,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
