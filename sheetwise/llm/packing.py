@@ -22,7 +22,9 @@ gives an empty result; very long texts are cut into pieces of 2048 ids.
 from __future__ import annotations
 
 import os
+import string
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,44 +36,115 @@ from . import common as C
 CAPACITY = 2048
 END_ID = 0
 CHUNK_ROWS = 100_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
+SLOT_BITS = 21
+PUNCTUATION = string.punctuation.encode()
 
 _tokenizers: dict = {}
 
 
-class WordCache:
-    """Ids of white-space delimited chunks, as bytes of little-endian unsigned
-    32-bit ids.  The tokenizer drops white space and no token or normalisation
-    reaches across ASCII white space, so a text's ids are those of its chunks
-    one after another."""
+class WordCoder:
+    """Token ids of texts, by way of their white-space delimited words.
+
+    The tokenizer drops white space and no token or normalisation reaches across
+    ASCII white space, so a text's ids are those of its words one after another.
+    Nor does a token span letters and the punctuation after them, so a word of
+    letters with a tail of ASCII punctuation is the letters' ids and the tail's,
+    and ASCII letters can be lower-cased first: most new words are made of known
+    parts.
+
+    Words are found and hashed for a whole group of texts at once and looked up
+    by their 64-bit hash: first in a direct-mapped table, then in a dictionary.
+    The ids of all known words lie in one array.  A full coder starts anew."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-        new = [w for w in words if w not in self.known]
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, coded, strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        words = set().union(*split)
-        if not words <= self.known.keys():
-            self.learn(words)
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in split]
-
-
-def _tokenizer(path: str) -> WordCache:
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[int, int] = {}
+        self.parts: dict[bytes, array] = {}
+        self.ids, self.used = np.zeros(1 << 20, dtype="<u4"), 0
+        self.first, self.length = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        self.slot_hash, self.slot_number = np.zeros(1 << SLOT_BITS, dtype=np.uint64), np.full(1 << SLOT_BITS, -1, dtype=np.int64)
+
+    def _tokenize(self, parts: list[bytes]) -> None:
+        for i in range(0, len(parts), 10_000):
+            some = parts[i:i + 10_000]
+            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
+            self.parts.update((w, array("I", e.ids)) for w, e in zip(some, coded, strict=True))
+
+    def _learn(self, hashes: list[int], words: list[bytes]) -> None:
+        """Adds words that are not known."""
+        split = []
+        for w in words:
+            head = w.rstrip(PUNCTUATION)
+            if head.isalpha():  # ASCII letters only
+                split.append((head.lower(), w[len(head):]))
+            elif head and len(head) < len(w) and head.decode("utf-8", "replace").isalpha():
+                split.append((head, w[len(head):]))
+            else:
+                split.append((w, b""))
+        self.parts.setdefault(b"", array("I"))
+        self._tokenize(list({x for pair in split for x in pair} - self.parts.keys()))
+        new = array("I")
+        lengths = np.empty(len(words), dtype=np.int64)
+        for i, (a, b) in enumerate(split):
+            a, b = self.parts[a], self.parts[b]
+            new += a
+            new += b
+            lengths[i] = len(a) + len(b)
+        n, k = len(self.number), len(words)
+        self.ids = self._room(self.ids, self.used, len(new))
+        self.first, self.length = self._room(self.first, n, k), self._room(self.length, n, k)
+        self.ids[self.used:self.used + len(new)] = new
+        self.first[n:n + k] = self.used + np.cumsum(lengths) - lengths
+        self.length[n:n + k] = lengths
+        self.used += len(new)
+        self.number.update(zip(hashes, range(n, n + k), strict=True))
+
+    @staticmethod
+    def _room(a: np.ndarray, used: int, more: int) -> np.ndarray:
+        return a if used + more <= len(a) else np.concatenate([a, np.zeros(max(len(a), more), dtype=a.dtype)])
+
+    def _numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        hashes = C.word_hashes(data, starts, ends, fold=False)
+        slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        numbers = np.where(self.slot_hash[slot] == hashes, self.slot_number[slot], -1)
+        lost = np.flatnonzero(numbers < 0)
+        if len(lost):
+            value, at, back = np.unique(hashes[lost], return_index=True, return_inverse=True)
+            keys = value.tolist()
+            new = [i for i, h in enumerate(keys) if h not in self.number]
+            if new:
+                where = lost[at[new]]
+                raw = data.tobytes()
+                self._learn([keys[i] for i in new], [raw[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+            found = np.array([self.number[h] for h in keys], dtype=np.int64)
+            numbers[lost] = found[back]
+            s = (value >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            self.slot_hash[s], self.slot_number[s] = value, found
+        return numbers
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        if len(self.number) > CACHED_WORDS:
+            self.clear()
+        data, offsets = C.joined(texts)
+        starts, ends = C.split_words(data)
+        numbers = self._numbers(data, starts, ends)
+        length = self.length[numbers]
+        stop = np.cumsum(length)
+        at = np.repeat(self.first[numbers] - (stop - length), length) + np.arange(stop[-1] if len(stop) else 0)
+        ids = self.ids[at]
+        edge = np.concatenate([[0], stop])[np.searchsorted(starts, offsets)]
+        return [ids[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+
+def _tokenizer(path: str) -> WordCoder:
     if path not in _tokenizers:
-        _tokenizers[path] = WordCache(path)
+        _tokenizers[path] = WordCoder(path)
     return _tokenizers[path]
 
 
@@ -83,16 +156,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     longer than a sequence."""
     def task(batches):
         coder = _tokenizer(tokenizer_path)
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        end = np.array([END_ID], dtype="<u4")
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             rows = []
             for first, texts in C.text_groups(batch.column("text")):
                 for i, code in enumerate(coder.encode(texts)):
-                    code += end
-                    for k, at in enumerate(range(0, len(code), 4 * capacity)):
-                        part = code[at:at + 4 * capacity]
-                        rows.append((ids[first + i], k, at // 4, len(part) // 4, zlib.crc32(part)))
+                    code = np.concatenate([code, end])
+                    for k, at in enumerate(range(0, len(code), capacity)):
+                        part = code[at:at + capacity]
+                        rows.append((ids[first + i], k, at, len(part), zlib.crc32(part)))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
