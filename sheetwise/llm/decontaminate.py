@@ -245,15 +245,14 @@ def copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a copy of an item, with all their columns."""
-    spark = docs.sparkSession
-    for index in indexes(benchmark):
-        shared = spark.sparkContext.broadcast(index)
-
-        def dirty(column: pa.Array, shared=shared) -> pa.Array:
+    def dirty_by(shared):
+        def dirty(column: pa.Array) -> pa.Array:
             rows = {r for r, *_ in search_column(column, shared.value)}
             return pa.array([i in rows for i in range(len(column))], pa.bool_())
+        return F.arrow_udf(dirty, "boolean")
 
-        docs = docs.where(~F.arrow_udf(dirty, "boolean")("text"))
+    for index in indexes(benchmark):
+        docs = docs.where(~dirty_by(docs.sparkSession.sparkContext.broadcast(index))("text"))
     return docs
 
 
