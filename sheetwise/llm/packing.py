@@ -36,7 +36,7 @@ from . import common as C
 CAPACITY = 2048
 END_ID = 0
 CHUNK_ROWS = 100_000
-CACHED_WORDS = 800_000
+CACHED_WORDS = 1_000_000
 SLOT_BITS = 21
 PUNCTUATION = string.punctuation.encode()
 
@@ -61,6 +61,9 @@ class WordCoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -70,25 +73,37 @@ class WordCoder:
         self.first, self.length = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
         self.slot_hash, self.slot_number = np.zeros(1 << SLOT_BITS, dtype=np.uint64), np.full(1 << SLOT_BITS, -1, dtype=np.int64)
 
-    def _tokenize(self, parts: list[bytes]) -> None:
-        for i in range(0, len(parts), 10_000):
-            some = parts[i:i + 10_000]
+    def _tokenize(self, parts: list[bytes], whole: bool) -> None:
+        """``whole``: parts that are one pre-token each.  Many of them are encoded
+        as one text; its ids fall apart after each id that ends a word."""
+        for i in range(0, len(parts), 2_000):
+            some = parts[i:i + 2_000]
+            if whole:
+                ids = self.tokenizer.encode(" ".join([w.decode() for w in some]), add_special_tokens=False).ids
+                stop = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(stop) == len(some) and stop[-1] == len(ids):
+                    ids, stop = array("I", ids), stop.tolist()
+                    self.parts.update((w, ids[a:b]) for w, a, b in zip(some, [0, *stop], stop, strict=False))
+                    continue
             coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
             self.parts.update((w, array("I", e.ids)) for w, e in zip(some, coded, strict=True))
 
     def _learn(self, hashes: list[int], words: list[bytes]) -> None:
         """Adds words that are not known."""
-        split = []
+        split, odd = [], set()
         for w in words:
             head = w.rstrip(PUNCTUATION)
             if head.isalpha():  # ASCII letters only
                 split.append((head.lower(), w[len(head):]))
-            elif head and len(head) < len(w) and head.decode("utf-8", "replace").isalpha():
+            elif head and head.decode("utf-8", "replace").isalpha():
                 split.append((head, w[len(head):]))
             else:
                 split.append((w, b""))
+                odd.add(w)
         self.parts.setdefault(b"", array("I"))
-        self._tokenize(list({x for pair in split for x in pair} - self.parts.keys()))
+        wanted = {x for pair in split for x in pair} - self.parts.keys()
+        self._tokenize(list(wanted - odd), True)
+        self._tokenize(list(wanted & odd), False)
         new = array("I")
         lengths = np.empty(len(words), dtype=np.int64)
         for i, (a, b) in enumerate(split):
