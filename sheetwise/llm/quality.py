@@ -2,11 +2,13 @@
 
 Each rule looks at a document and votes *bad*, *good* or abstains.  No rule is
 trusted: expectation-maximisation over the votes of all documents estimates how
-often each rule votes bad on bad and on good documents (a Dawid-Skene model),
-and a document's posterior probability of being good replaces "every rule must
-pass".  EM runs on the table of distinct vote vectors, of which there are at
-most 3^rules whatever the input; each step is one aggregate over that table and
-returns one row of parameters.
+often each rule votes bad on documents of each kind, and a document's posterior
+probability of being good replaces "every rule must pass".  Documents are bad in
+different ways that do not go together, so there is one kind of good documents
+and one kind of bad ones per rule, of those that this rule is first to object
+to; their accuracies are all estimated.  EM runs on the table of distinct vote
+vectors, of which there are at most 3^rules whatever the input; each step is one
+aggregate over that table and returns one row of parameters.
 
 Defined results: a null text counts as empty (no words, fails the base rule);
 equal texts get equal verdicts; an empty table gives an empty result; every row
@@ -46,12 +48,13 @@ RULES = (
     Rule("length", "n_words", 10, 20, low=True),
     Rule("symbols", "symbol_share", 0.10, 0.02),
     Rule("capitals", "capital_share", 0.40, 0.15),
-    Rule("duplicate_lines", "line_share", 0.30, 0.10),
-    Rule("repeats", "repeat_share", 0.20, 0.05),
+    Rule("duplicate_lines", "line_share", 0.50, 0.50),
+    Rule("repeats", "repeat_share", 0.20, 0.20),
     Rule("word_length", "mean_chars", 16.0, 12.0),
     Rule("variety", "distinct_share", 0.15, 0.30, low=True),
 )
-ITERATIONS = 20
+ITERATIONS = 8
+SMOOTH = 0.1
 KEEP_AT = 0.5
 
 
@@ -113,38 +116,54 @@ def base_failed() -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Share of good documents; per rule the chance of a bad vote, given that
-    it votes, on bad and on good documents."""
-    good: float
-    on_bad: tuple[float, ...]
-    on_good: tuple[float, ...]
+    """Shares of the kinds (good first, then one bad kind per rule); per kind and
+    rule the chance of a bad vote, given that the rule votes."""
+    share: tuple[float, ...]
+    bad: tuple[tuple[float, ...], ...]
+
+
+def evidence(model: Model, votes: list[Column], kind: int) -> Column:
+    """ln of the kind's share times the chances of the votes."""
+    out = F.lit(math.log(model.share[kind]))
+    for v, p in zip(votes, model.bad[kind], strict=True):
+        out = out + F.when(v == BAD, F.lit(math.log(p))).when(v == GOOD, F.lit(math.log(1 - p))).otherwise(F.lit(0.0))
+    return out
+
+
+def posteriors(model: Model, votes: list[Column]) -> list[Column]:
+    weights = [F.exp(evidence(model, votes, k)) for k in range(len(model.share))]
+    total = weights[0]
+    for w in weights[1:]:
+        total = total + w
+    return [w / total for w in weights]
 
 
 def posterior(model: Model, votes: list[Column]) -> Column:
-    """Probability of *good*: prior odds times one likelihood ratio per vote."""
-    odds = F.lit(math.log(model.good) - math.log(1 - model.good))
-    for v, b, g in zip(votes, model.on_bad, model.on_good, strict=True):
-        odds = odds + F.when(v == BAD, F.lit(math.log(g) - math.log(b))).when(v == GOOD, F.lit(math.log(1 - g) - math.log(1 - b))).otherwise(F.lit(0.0))
-    return 1 / (1 + F.exp(-odds))
+    """Probability of *good*."""
+    return posteriors(model, votes)[0]
 
 
 def fit(votes: DataFrame, names: list[str], iterations: int = ITERATIONS) -> Model:
-    """EM over all rows of ``votes``.  Start: a document with any bad vote is
-    probably bad.  Counts are smoothed by one vote each way."""
+    """EM over all rows of ``votes``.  Start: a document that no rule objects to
+    is good; any other one is probably of the kind of the first that does.
+    Counts are smoothed by SMOOTH votes each way."""
     table = C.stored(votes.groupBy(*names).agg(F.count("*").cast("double").alias("n")).coalesce(1), "votes")
     v = [F.col(x) for x in names]
-    good = F.when(F.greatest(*v, F.lit(-1)) == BAD, F.lit(0.1)).otherwise(F.lit(0.95))
+    first = F.coalesce(*[F.when(x == BAD, i + 1) for i, x in enumerate(v)], F.lit(0))
+    kinds = [F.when(first == 0, 1.0).otherwise(0.1)] + [F.when(first == k, 0.9).otherwise(0.0) for k in range(1, len(v) + 1)]
     model = None
     for _ in range(iterations):
-        q = table.withColumn("q", good)
-        sums = [F.sum(F.col("n") * F.col("q")).alias("g"), F.sum("n").alias("t")]
-        for i, x in enumerate(v):
-            for kind, weight in (("g", F.col("q")), ("b", 1 - F.col("q"))):
-                sums += [F.sum(F.when(x == BAD, F.col("n") * weight).otherwise(0.0)).alias(f"{kind}{i}bad"), F.sum(F.when(x != ABSTAIN, F.col("n") * weight).otherwise(0.0)).alias(f"{kind}{i}all")]
-        r = q.agg(*sums).first()
-        at = lambda k: float(r[k] or 0.0)
-        model = Model((at("g") + 1) / (at("t") + 2), tuple((at(f"b{i}bad") + 1) / (at(f"b{i}all") + 2) for i in range(len(v))), tuple((at(f"g{i}bad") + 1) / (at(f"g{i}all") + 2) for i in range(len(v))))
-        good = posterior(model, v)
+        q = table.select("*", *[k.alias(f"q{i}") for i, k in enumerate(kinds)])
+        sums = [F.sum("n").alias("t")]
+        for k in range(len(kinds)):
+            w = F.col("n") * F.col(f"q{k}")
+            sums.append(F.sum(w).alias(f"t{k}"))
+            for i, x in enumerate(v):
+                sums += [F.sum(F.when(x == BAD, w).otherwise(0.0)).alias(f"b{k}_{i}"), F.sum(F.when(x != ABSTAIN, w).otherwise(0.0)).alias(f"a{k}_{i}")]
+        r = {k: float(x or 0.0) for k, x in q.agg(*sums).first().asDict().items()}
+        model = Model(tuple((r[f"t{k}"] + SMOOTH) / (r["t"] + SMOOTH * len(kinds)) for k in range(len(kinds))),
+                      tuple(tuple((r[f"b{k}_{i}"] + SMOOTH) / (r[f"a{k}_{i}"] + 2 * SMOOTH) for i in range(len(v))) for k in range(len(kinds))))
+        kinds = posteriors(model, v)
     return model
 
 
@@ -181,18 +200,26 @@ def oracle_sql(rules: tuple[Rule, ...] = RULES, iterations: int = ITERATIONS) ->
         "n_words": "n_words::DOUBLE", "symbol_share": "n_symbols / w", "capital_share": "n_capitals / greatest(word_chars, 1)::DOUBLE",
         "line_share": "n_dup_lines / greatest(n_lines, 1)::DOUBLE", "repeat_share": "n_repeat_words / w", "mean_chars": "word_chars / w",
         "distinct_share": "CASE WHEN n_words >= 50 THEN n_distinct / w END"}
-    def vote(r: Rule) -> str:
-        x = upper[r.of]
-        bad, good = (f"{x} < {r.bad}", f"{x} >= {r.good}") if r.low else (f"{x} > {r.bad}", f"{x} <= {r.good}")
-        return f"CASE WHEN {bad} THEN 1 WHEN {good} THEN -1 ELSE 0 END AS v{rules.index(r)}"
-    k = range(len(rules))
-    odds = lambda m: f"1 / (1 + exp(-(ln({m}.good) - ln(1 - {m}.good) + " + " + ".join(f"CASE v{i} WHEN 1 THEN ln({m}.g{i}) - ln({m}.b{i}) WHEN -1 THEN ln(1 - {m}.g{i}) - ln(1 - {m}.b{i}) ELSE 0 END" for i in k) + ")))"
-    start = f"CASE WHEN greatest({', '.join(f'v{i}' for i in k)}) = 1 THEN 0.1 ELSE 0.95 END"
+
+    def vote(rule: Rule) -> str:
+        x = upper[rule.of]
+        bad, good = (f"{x} < {rule.bad}", f"{x} >= {rule.good}") if rule.low else (f"{x} > {rule.bad}", f"{x} <= {rule.good}")
+        return f"CASE WHEN {bad} THEN 1 WHEN {good} THEN -1 ELSE 0 END AS v{rules.index(rule)}"
+
+    r, kinds = range(len(rules)), range(len(rules) + 1)
+    weight = lambda m, k: f"exp(ln({m}.t{k}) + " + " + ".join(f"CASE v{i} WHEN 1 THEN ln({m}.b{k}_{i}) WHEN -1 THEN ln(1 - {m}.b{k}_{i}) ELSE 0 END" for i in r) + ")"
+    first = "CASE " + " ".join(f"WHEN v{i} = 1 THEN {i + 1}" for i in r) + " ELSE 0 END"
     steps = []
     for s in range(iterations):
-        source = f"(SELECT p.*, {start if s == 0 else odds(f'm{s - 1}')} AS q FROM patterns p{'' if s == 0 else f', m{s - 1}'})"
-        cols = ", ".join(f"(coalesce(sum(n * {w}) FILTER (v{i} = 1), 0) + 1) / (coalesce(sum(n * {w}) FILTER (v{i} <> 0), 0) + 2) AS {c}{i}" for i in k for c, w in (("g", "q"), ("b", "(1 - q)")))
-        steps.append(f"m{s} AS MATERIALIZED (SELECT (sum(n * q) + 1) / (sum(n) + 2) AS good, {cols} FROM {source})")
+        if s == 0:
+            source = f"(SELECT p.*, CASE WHEN f = 0 THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END AS q0, {', '.join(f'CASE WHEN f = {k} THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS q{k}' for k in kinds if k)} FROM (SELECT *, {first} AS f FROM patterns) p)"
+        else:
+            inner = f"(SELECT p.*, {', '.join(f'{weight(f'm{s - 1}', k)} AS w{k}' for k in kinds)} FROM patterns p, m{s - 1})"
+            source = f"(SELECT *, {', '.join(f'w{k} / ({' + '.join(f'w{j}' for j in kinds)}) AS q{k}' for k in kinds)} FROM {inner})"
+        cols = ", ".join([f"(sum(n * q{k}) + {SMOOTH}::DOUBLE) / (sum(n) + {SMOOTH * (len(rules) + 1)}::DOUBLE) AS t{k}" for k in kinds] + [f"(coalesce(sum(n * q{k}) FILTER (v{i} = 1), 0) + {SMOOTH}::DOUBLE) / (coalesce(sum(n * q{k}) FILTER (v{i} <> 0), 0) + {2 * SMOOTH}::DOUBLE) AS b{k}_{i}" for k in kinds for i in r])
+        steps.append(f"m{s} AS MATERIALIZED (SELECT {cols} FROM {source})")
+    last = f"m{iterations - 1}"
+    good = f"{weight(last, 0)} / ({' + '.join(weight(last, k) for k in kinds)})"
     chain = ",\n".join(steps)
     return rf"""
 WITH w AS (
@@ -211,9 +238,9 @@ measures AS (
     length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_capitals, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
     greatest(len(words), 1)::DOUBLE AS w
   FROM w LEFT JOIN cov USING (doc_id)),
-votes AS (SELECT *, {', '.join(vote(r) for r in rules)} FROM measures),
-patterns AS MATERIALIZED (SELECT {', '.join(f'v{i}' for i in k)}, count(*)::DOUBLE AS n FROM votes GROUP BY ALL),
+votes AS (SELECT *, {', '.join(vote(x) for x in rules)} FROM measures),
+patterns AS MATERIALIZED (SELECT {', '.join(f'v{i}' for i in r)}, count(*)::DOUBLE AS n FROM votes GROUP BY ALL),
 {chain},
-judged AS (SELECT votes.*, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, {odds(f'm{iterations - 1}')} AS p_good FROM votes, m{iterations - 1})
+judged AS (SELECT votes.*, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, {good} AS p_good FROM votes, m{iterations - 1})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND p_good >= {KEEP_AT}) AS kept FROM judged
 """
