@@ -20,6 +20,7 @@ are guarded by ``rlike`` so text without a hit pays one scan only.
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -30,7 +31,8 @@ from pyspark.sql import types as T
 from sheetwise import constants as K
 from sheetwise.functions.regex import PY_SPACE, callback_replace, let, py_strip
 
-def _nfkc_unstable_chars() -> str:
+@lru_cache(maxsize=1)
+def nfkc_unstable() -> str:
     """Every code point NFKC can change: those whose NFKC form differs, all
     combining marks (they may compose with what precedes them), and the
     conjoining Hangul jamo blocks.  Built from the Unicode database by rule."""
@@ -46,12 +48,15 @@ def _nfkc_unstable_chars() -> str:
     return "".join(out)
 
 
-NFKC_UNSTABLE = _nfkc_unstable_chars()
+def __getattr__(name: str):
+    if name == "NFKC_UNSTABLE":  # built on first use, on the driver
+        return nfkc_unstable()
+    raise AttributeError(name)
 
 
 def needs_nfkc(t: Column) -> Column:
     """True when NFKC may change ``t`` (one hash lookup per character, in the JVM)."""
-    return F.length(F.translate(t, NFKC_UNSTABLE, "")) < F.length(t)
+    return F.length(F.translate(t, nfkc_unstable(), "")) < F.length(t)
 
 
 HY = "[" + "".join("\\x{%X}" % cp for cp in K.HYPHEN_CODEPOINTS) + "]"
@@ -87,7 +92,7 @@ def _split_era(m: Column) -> tuple[Column, Column]:
     second regex pass over the match."""
     letter = F.substring(m, 1, 1).isin(*_ERA_LETTERS)
     era = F.when(letter, F.substring(m, 1, 1)).otherwise(F.substring(m, 1, 2))
-    rest = F.when(letter, F.substring(m, 2, 1 << 20)).otherwise(F.substring(m, 3, 1 << 20))
+    rest = F.when(letter, m.substr(F.lit(2), F.length(m))).otherwise(m.substr(F.lit(3), F.length(m)))
     return era, rest
 
 

@@ -64,11 +64,9 @@ def infer_types(df: DataFrame, table_name: str) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StringType):
+            # one code per value: 0 integer, 1 number, 2 text; the largest decides
             is_int = c.rlike(INTEGER_TEXT) & F.trim(c).try_cast("bigint").isNotNull()
-            is_num = c.rlike(NUMERIC_TEXT)
-            aggs += [F.count(c).alias(f"n_{len(kinds)}"),
-                     F.count(F.when(is_int, 1)).alias(f"i_{len(kinds)}"),
-                     F.count(F.when(is_num, 1)).alias(f"d_{len(kinds)}")]
+            aggs.append(F.max(F.when(c.isNull(), None).when(is_int, 0).when(c.rlike(NUMERIC_TEXT), 1).otherwise(2)).alias(f"k_{len(kinds)}"))
             kinds[f.name] = None
         else:
             kinds[f.name] = _SPARK_TO_SQL.get(f.dataType.simpleString(), f.dataType.simpleString().upper())
@@ -78,8 +76,7 @@ def infer_types(df: DataFrame, table_name: str) -> DataFrame:
         if fixed is not None:
             t = F.lit(fixed)
         else:
-            n, ii, d = F.col(f"n_{i}"), F.col(f"i_{i}"), F.col(f"d_{i}")
-            t = F.when(n == 0, "VARCHAR").when(ii == n, "BIGINT").when(d == n, "DOUBLE").otherwise("VARCHAR")
+            t = F.when(F.col(f"k_{i}") == 0, "BIGINT").when(F.col(f"k_{i}") == 1, "DOUBLE").otherwise("VARCHAR")
         out.append(F.struct(F.lit(table_name).alias("table_name"), F.lit(i).alias("position"),
                             F.lit(name).alias("column_name"), t.alias("inferred_type")))
     return stats.select(F.explode(F.array(*out)).alias("r")).select("r.*")

@@ -1,4 +1,4 @@
-"""Header presence matrix -- keyword header names x files, 1/0."""
+"""Header presence -- which keyword header names each file has."""
 
 from __future__ import annotations
 
@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from sheetwise.operators.headers import keyword_headers
 
 
-def header_matrix(headers: DataFrame) -> DataFrame:
-    """Rows: distinct header names containing a keyword (sorted, T3); one column
-    per file (every file, also one without a hit); 1 when the file has the
-    name.  The file list is the pivot's value list: it is fetched once and is
-    bounded by the number of sheet files."""
-    files = [r[0] for r in headers.select("source_file").distinct().orderBy("source_file").collect()]
-    kw = keyword_headers(headers).select(F.col("raw_name").alias("column_name"), "source_file").distinct()
-    m = kw.groupBy("column_name").pivot("source_file", files).agg(F.max(F.lit(1)))
-    return m.fillna(0, subset=files).orderBy("column_name")
+def header_presence(headers: DataFrame) -> DataFrame:
+    """(column_name, source_file, present): the distinct header names containing
+    a keyword, with every file that has them.  Rows grow with the headers."""
+    return keyword_headers(headers).select(F.col("raw_name").alias("column_name"), "source_file").distinct().withColumn("present", F.lit(1))
+
+
+def header_matrix(headers: DataFrame, files: list[str]) -> DataFrame:
+    """The same as a matrix for the given files: one column per file, 1/0, one
+    row per name that any file has (sorted, T3)."""
+    marks = [F.max(F.when(F.col("source_file") == f, 1).otherwise(0)).alias(f) for f in files]
+    return header_presence(headers).groupBy("column_name").agg(*marks).orderBy("column_name")

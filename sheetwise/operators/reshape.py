@@ -1,8 +1,7 @@
 """Unpivot and regroup.
 
 ``pick_cells`` is the unpivot: each sheet row meets its file's layout (the
-recognized header positions, one small array per file, broadcast after a size
-check) and emits only the recognized, non-blank cells -- no explode of the
+recognized header positions, one small array per file) and emits only the recognized, non-blank cells -- no explode of the
 other thousands of columns.  ``regroup`` is the keyed collection with an
 explicit conflict rule: last column wins (``max_by``) or first column wins
 (``min_by``).  Both aggregates combine map-side, and all cells of a sheet row
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.functions.regex import PY_SPACE
-from sheetwise.session import sized_broadcast
+from sheetwise.session import join_per_file
 from sheetwise.sources.sheets import data_rows
 
 
@@ -38,9 +37,9 @@ def file_layout(parsed: DataFrame, fields: list[str]) -> DataFrame:
 def pick_cells(rows: DataFrame, parsed: DataFrame, fields: list[str], keep_blank: bool = False,
                row_cols: list[str] | None = None) -> DataFrame:
     """(source_file, row_ordinal, *row_cols, col_idx, *fields, value) for recognized cells."""
-    layout = sized_broadcast(file_layout(parsed, fields))
+    layout = file_layout(parsed, fields)
     extra = row_cols or []
-    r = data_rows(rows).join(layout, "source_file")
+    r = join_per_file(data_rows(rows), layout)
     picked = F.transform("_layout", lambda h: F.struct(
         h["col_idx"].alias("col_idx"), *[h[f].alias(f) for f in fields],
         F.try_element_at(F.col("cells"), h["col_idx"] + 1).alias("value")))
@@ -74,7 +73,7 @@ def record_layout(parsed: DataFrame, keys: list[str], item_col: str, items: list
 def regroup_rows(rows: DataFrame, parsed: DataFrame, keys: list[str], item_col: str, items: list[str],
                  rule: str = "last", missing=is_blank, keep_empty: bool = False) -> DataFrame:
     """U1 + A3/A4 without a shuffle (J6: cells meet the parsed headers by
-    file and position through the broadcast layout): each sheet row meets its file's record
+    file and position through the layout): each sheet row meets its file's record
     layout and emits (source_file, row_ordinal, *keys, *items); per item the
     first candidate position (in conflict order) whose value is not
     ``missing`` wins.  Records without any value are dropped.
@@ -82,8 +81,8 @@ def regroup_rows(rows: DataFrame, parsed: DataFrame, keys: list[str], item_col:
     All cells of a record live in the same sheet row, so this is a narrow
     transformation: no exchange, no sort, nothing a hot key can skew.
     """
-    layout = sized_broadcast(record_layout(parsed, keys, item_col, items, rule))
-    r = data_rows(rows).join(layout, "source_file")
+    layout = record_layout(parsed, keys, item_col, items, rule)
+    r = join_per_file(data_rows(rows), layout)
 
     def pick(cands):
         vals = F.transform(cands, lambda i: F.try_element_at(F.col("cells"), i + 1))

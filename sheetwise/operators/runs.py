@@ -3,9 +3,10 @@
 Each execution appends one record; a re-run of an existing history id
 replaces the question, SQL, status, result, duration and timestamp and adds
 one to the count.  Instead of updating rows in place, the log keeps every
-execution and ``fold_reruns`` derives the current state -- a ``groupBy`` on
-the history id with ``max_by`` (map-side combined, so a very hot id is
-collapsed before the shuffle).
+execution and ``fold_reruns`` derives the current state.  An execution carries
+the number of runs it stands for (1, or an imported record's count), so imported
+logs fold together with later reruns.  ``(timestamp, seq)`` identifies an
+execution of a history id.
 """
 
 from __future__ import annotations
@@ -34,11 +35,18 @@ EXECUTION_SCHEMA = T.StructType([
     T.StructField("status", T.StringType()),
     T.StructField("result_json", T.StringType()),
     T.StructField("duration_ms", T.LongType()),
+    T.StructField("execution_count", T.LongType()),
 ])
 
 _FIELDS = ["timestamp", "question", "sql_query", "status", "result_json", "duration_ms"]
 
 
+def as_executions(records: DataFrame) -> DataFrame:
+    """Log records (``LOG_SCHEMA``) as executions: each stands for its count."""
+    return records.select(F.col("id").alias("history_id"), F.lit(0).cast("long").alias("seq"), *_FIELDS,
+                          F.coalesce("execution_count", F.lit(1)).cast("long").alias("execution_count"))
+
+
 def append_run(log: DataFrame, executions: DataFrame) -> DataFrame:
     """Add executions (``EXECUTION_SCHEMA``) to the execution log."""
     return log.unionByName(executions.select(*[f.name for f in EXECUTION_SCHEMA.fields]))
@@ -46,11 +54,18 @@ def append_run(log: DataFrame, executions: DataFrame) -> DataFrame:
 
 def fold_reruns(executions: DataFrame) -> DataFrame:
     """R2: current state per history id -- latest execution's fields (by
-    timestamp, then sequence), execution count = number of executions."""
-    latest = F.max_by(F.struct(*[F.col(c) for c in _FIELDS]), F.struct("timestamp", "seq"))
-    g = executions.groupBy("history_id").agg(latest.alias("_last"), F.count(F.lit(1)).alias("execution_count"))
-    return g.select(F.col("history_id").alias("id"), *[F.col(f"_last.{c}").alias(c) for c in _FIELDS],
-                    F.col("execution_count").cast("long"))
+    timestamp, then sequence) and the sum of the execution counts.
+
+    The latest execution is found by a hash aggregate on one number per row
+    (microseconds and sequence in a decimal), so the wide log is not sorted; its
+    fields are then joined back.
+    """
+    micros = F.coalesce(F.unix_micros(F.col("timestamp").cast("timestamp")), F.lit(-(1 << 62)))
+    e = executions.withColumn("_at", micros.cast("decimal(19,0)") * F.expr("CAST('10000000000000000000' AS DECIMAL(20,0))")
+                              + F.coalesce("seq", F.lit(0)).cast("decimal(19,0)"))
+    g = e.groupBy("history_id").agg(F.max("_at").alias("_last"), F.sum(F.coalesce("execution_count", F.lit(1))).alias("_n"))
+    last = e.drop("execution_count").withColumnRenamed("history_id", "id").join(g, (F.col("id").eqNullSafe(F.col("history_id"))) & (F.col("_at") == F.col("_last")))
+    return last.select("id", *_FIELDS, F.col("_n").cast("long").alias("execution_count"))
 
 
 def latest_runs(folded: DataFrame, n: int | None = None) -> DataFrame:
@@ -64,6 +79,17 @@ def delete_runs(folded: DataFrame, tombstones: DataFrame) -> DataFrame:
     return folded.join(tombstones.select(F.col("id")).distinct(), "id", "left_anti")
 
 
+def missing_ids(folded: DataFrame, tombstones: DataFrame) -> DataFrame:
+    """Ids asked to be deleted that the log does not have."""
+    return tombstones.select("id").distinct().join(folded, "id", "left_anti")
+
+
+def run_history(folded: DataFrame, n: int | None = None) -> DataFrame:
+    """Newest first, with result size and error."""
+    stats = run_stats(folded).select("id", "row_count", "error")
+    return latest_runs(folded.join(stats, "id"), n)
+
+
 def delete_all(folded: DataFrame) -> DataFrame:
     return folded.limit(0)
 
@@ -82,14 +108,32 @@ def run_stats(folded: DataFrame) -> DataFrame:
 
 
 def import_runs(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of log records -> log rows; missing count = 1."""
+    """Files that each hold a JSON list of log records -> log rows; a missing
+    count is 1; a file that holds anything but a list is an error, an empty one
+    (a part without rows) no records."""
+    first = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim(F.translate("value", "\n\r\t\ufeff", "")), 1, 1).alias("c"))
+    if not first.where("c NOT IN ('[', '')").isEmpty():
+        raise ValueError(f"{path}: a run log is a JSON list of records")
     df = spark.read.option("multiLine", True).schema(LOG_SCHEMA).json(path)
     return df.withColumn("execution_count", F.coalesce(F.col("execution_count"), F.lit(1).cast("long")))
 
 
 def export_runs(log: DataFrame, path: str) -> None:
-    """K5: the log ordered by id, as JSON lines."""
-    log.orderBy("id").write.mode("overwrite").json(path)
+    """K5: the log ordered by id; every part file is a JSON list, which is what
+    ``import_runs`` reads."""
+    def listed(batches):
+        import pandas as pd
+        gap = "["
+        for pdf in batches:
+            out = []
+            for v in pdf["value"]:
+                out.append(gap + v)
+                gap = ","
+            yield pd.DataFrame({"value": out})
+        yield pd.DataFrame({"value": ["]" if gap == "," else "[]"]})
+
+    (log.orderBy("id").select(F.to_json(F.struct("*")).alias("value")).mapInPandas(listed, "value string")
+     .write.mode("overwrite").text(path))
 
 
 def executions_from_events(events: DataFrame) -> DataFrame:
@@ -107,4 +151,4 @@ def executions_from_events(events: DataFrame) -> DataFrame:
         F.concat(F.lit("SELECT "), F.col("event_type")).alias("sql_query"),
         F.when(ok, F.lit("success")).otherwise(F.lit("error")).alias("status"),
         result.alias("result_json"),
-        F.floor(F.col("value") * 1000).cast("long").alias("duration_ms"))
+        F.floor(F.col("value") * 1000).cast("long").alias("duration_ms"), F.lit(1).cast("long").alias("execution_count"))

@@ -70,6 +70,33 @@ def publish(tables: dict[str, DataFrame], out_dir: str) -> DataFrame:
     return manifest({n: spark.read.parquet(f"{out_dir}/{n}") for n in tables})
 
 
+def _workbook_of(rows: DataFrame):
+    """The workbook's file name; rows without one (sheet CSVs) go by their stem."""
+    return F.coalesce(F.col("workbook"), F.concat(F.regexp_extract("source_file", "^(.*)_[^_]*$", 1), F.lit(".xlsx")))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    from sheetwise.sources.sheets import list_files
+    return bool(list_files(spark, f"{path}/_SUCCESS"))
+
+
+def _replace(df: DataFrame, path: str, partition_by: list[str] | None = None, keep_if_empty: bool = False) -> None:
+    """Build ``df`` once into the folder beside ``path`` and put it in its place,
+    so that a failed build leaves the old table and ``df`` may read it."""
+    spark = df.sparkSession
+    aside = f"{path}.new"
+    df.write.mode("overwrite").partitionBy(*partition_by or []).parquet(aside)
+    if keep_if_empty and spark.read.schema(df.schema).parquet(aside).isEmpty():
+        return
+    jvm = spark.sparkContext._jvm
+    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    fs.mkdirs(old.getParent())
+    if not fs.rename(new, old):
+        raise RuntimeError(f"cannot move {aside} to {path}")
+
+
 TABLE_STAGE = {"ministries": 3, "business": 3, "budgets": 4, "fund_flow": 5, "expenditure": 6}
 
 
@@ -78,18 +105,23 @@ def run_job(spark: SparkSession, work_dir: str, source: DataFrame | None = None,
     """Run stages ``start_stage``..7 and return the manifest of what is published.
 
     ``source`` is the stage-1 ``sheet_rows`` (e.g. ``ingest_workbooks`` or
-    ``read_sheet_csv``); ``target_files`` keeps only those sheet files in
-    stage 1.  Stages 3-6 each build their table(s) from the saved stage-2
-    table; an empty result writes nothing, so an older table stays published
+    ``read_sheet_csv``).  ``target_files`` names workbook files: stage 1 then
+    replaces the sheets of those workbooks only and keeps all others, and the
+    later stages read everything.  Stages 3-6 each build their table(s) from the
+    saved stage-2 table; an empty result leaves an older table published
     (SURVEY Q12).  ``start_stage=7`` only publishes the manifest.
     """
     raw_path, norm_path, out_path = f"{work_dir}/sheet_rows", f"{work_dir}/normalized", f"{work_dir}/tables"
     head_raw, head_norm = f"{work_dir}/header_rows", f"{work_dir}/normalized_header_rows"
     if start_stage <= 1:
-        rows = source
+        rows = source if "workbook" in source.columns else source.withColumn("workbook", F.lit(None).cast("string"))
         if target_files:
-            rows = rows.where(F.col("source_file").isin(*target_files))
-        rows.write.mode("overwrite").parquet(raw_path)
+            named = _workbook_of(rows).isin(*target_files)
+            rows = rows.where(named)
+            if _exists(spark, raw_path):
+                kept = spark.read.parquet(raw_path)
+                rows = rows.unionByName(kept.where(~_workbook_of(kept).isin(*target_files)))
+        _replace(rows, raw_path)
         # header rows as their own small table: later stages find every
         # file's header without scanning the data rows
         spark.read.parquet(raw_path).where(F.col("row_ordinal") == 0).write.mode("overwrite").parquet(head_raw)
@@ -108,13 +140,7 @@ def run_job(spark: SparkSession, work_dir: str, source: DataFrame | None = None,
         for name, build in builders.items():
             if TABLE_STAGE[name] < start_stage:
                 continue
-            df = build()
-            if df.limit(1).count() == 0:
-                continue
-            w = df.write.mode("overwrite")
-            if name == "business":
-                w = w.partitionBy("source_year")
-            w.parquet(f"{out_path}/{name}")
+            _replace(build(), f"{out_path}/{name}", ["source_year"] if name == "business" else [], keep_if_empty=True)
     return published_manifest(spark, out_path)
 
 

@@ -100,7 +100,7 @@ def budget_columns_sql() -> dict[str, str]:
 def budgets_sql() -> str:
     cols = budget_columns_sql()
     per_row = ", ".join(f'{v} AS "{k}"' for k, v in cols.items())
-    agg = ", ".join(f'arg_max("{k}", source_file) FILTER (WHERE "{k}" IS NOT NULL) AS "{k}"' for k in cols)
+    agg = ", ".join(f"""arg_max("{k}", source_file || '.csv') FILTER (WHERE "{k}" IS NOT NULL) AS "{k}\"""" for k in cols)
     return (f"WITH {ORDER_ROWS}, brow AS (SELECT business_id, source_file, {per_row} FROM review) "
             f"SELECT business_id, {agg} FROM brow GROUP BY business_id")
 
@@ -155,7 +155,7 @@ def line_items_sql() -> str:
 
 def business_key_sql() -> str:
     keys = " ".join(f"WHEN instr(source_file, '{k}') > 0 THEN {y}" for k, y in K.FILENAME_YEAR_KEYS)
-    return (f"WITH {ORDER_ROWS}, k AS (SELECT source_file, o_orderkey, CAST(rn AS INTEGER) AS row_ordinal, "
+    return (f"WITH {ORDER_ROWS}, k AS (SELECT source_file, o_orderkey, CAST(rn AS BIGINT) AS row_ordinal, "
             f"CASE {keys} END AS source_year FROM orows) "
             "SELECT source_file, o_orderkey, row_ordinal, printf('%d-%05d', source_year, row_ordinal) AS business_id, "
             "CAST(source_year AS INTEGER) AS source_year FROM k WHERE source_year IS NOT NULL")
@@ -169,25 +169,35 @@ def _tables_cte() -> str:
             f"budgets AS ({budgets_sql().replace('WITH ' + ORDER_ROWS + ', ', 'WITH ', 1)})")
 
 
+def _review_budget() -> str:
+    """Straight from the numbers: ministry, project name and current initial
+    budget of every review order, budgets merged over ids (the later file wins)."""
+    value = budget_columns_sql()["予算の状況当初予算"]
+    return (f"WITH {ORDER_ROWS}, rv AS (SELECT {business_select()}, source_file, {value} AS v FROM review), "
+            "merged AS (SELECT business_id AS i, arg_max(v, source_file || '.csv') FILTER (WHERE v IS NOT NULL) AS v FROM rv GROUP BY business_id), "
+            "p AS (SELECT rv.ministry_id AS mid, rv.\"事業名\" AS project, TRY_CAST(merged.v AS DOUBLE) AS amount FROM rv, merged WHERE merged.i = rv.business_id)")
+
+
+def _ministry_name(key: str) -> str:
+    return f"(SELECT list_extract([{', '.join(chr(39) + n + chr(39) for _, n in K.MINISTRY_MASTER)}], list_position([{', '.join(str(i) for i, _ in K.MINISTRY_MASTER)}], {key})))"
+
+
 def top_count_sql(n: int = 10) -> str:
-    return (f"{_tables_cte()} SELECT m.ministry_name, COUNT(b.business_id) AS business_count "
-            "FROM business b JOIN ministries m ON b.ministry_id = m.ministry_id "
-            f"GROUP BY m.ministry_name ORDER BY business_count DESC, m.ministry_name LIMIT {n}")
+    return (f"{_review_budget()}, c AS (SELECT mid, count(*) AS business_count FROM p WHERE mid IS NOT NULL GROUP BY mid) "
+            f"SELECT {_ministry_name('mid')} AS ministry_name, business_count FROM c "
+            f"QUALIFY row_number() OVER (ORDER BY business_count DESC, {_ministry_name('mid')}) <= {n}")
 
 
 def top_budget_sql(ministry: str = "デジタル庁", n: int = 10) -> str:
-    return (f"{_tables_cte()} SELECT * FROM (SELECT b.\"事業名\", TRY_CAST(bu.\"予算の状況当初予算\" AS DOUBLE) AS \"当初予算額_百万円\" "
-            "FROM business b JOIN ministries m ON b.ministry_id = m.ministry_id "
-            "LEFT JOIN budgets bu ON b.business_id = bu.business_id "
-            f"WHERE m.ministry_name = '{ministry}') t WHERE \"当初予算額_百万円\" IS NOT NULL "
-            f"ORDER BY \"当初予算額_百万円\" DESC, \"事業名\" LIMIT {n}")
+    number = next(i for i, name in K.MINISTRY_MASTER if name == ministry)
+    return (f'{_review_budget()} SELECT project AS "事業名", amount AS "当初予算額_百万円" FROM p WHERE mid = {number} AND amount IS NOT NULL '
+            f"QUALIFY row_number() OVER (ORDER BY amount DESC, project) <= {n}")
 
 
 def top_sum_sql(n: int = 5) -> str:
-    return (f"{_tables_cte()} SELECT m.ministry_name, SUM(TRY_CAST(bu.\"予算の状況当初予算\" AS DOUBLE)) AS total_budget "
-            "FROM business b JOIN ministries m ON b.ministry_id = m.ministry_id "
-            "LEFT JOIN budgets bu ON b.business_id = bu.business_id "
-            f"GROUP BY m.ministry_name ORDER BY total_budget DESC NULLS LAST, m.ministry_name LIMIT {n}")
+    return (f"{_review_budget()}, s AS (SELECT mid, sum(amount) AS total_budget FROM p WHERE mid IS NOT NULL GROUP BY mid) "
+            f"SELECT {_ministry_name('mid')} AS ministry_name, total_budget FROM s "
+            f"QUALIFY row_number() OVER (ORDER BY total_budget DESC NULLS LAST, {_ministry_name('mid')}) <= {n}")
 
 
 def cast_filter_sql(ministry: str = "財務省", threshold: float = 1000) -> str:
@@ -267,12 +277,20 @@ def _workbook_header_sql(table: str, base: dict, spec: list) -> str:
     return f"WITH f AS ({files}) " + " UNION ALL ".join(p.replace("AS STRING", "AS VARCHAR") for p in parts)
 
 
+#: Files asked for in the wide form (all are review years of the driver's orders).
+MATRIX_FILES = ["database2014_review_a", "database2015_review_a", "database2016_review_b", "database2016_segment", "database2017_lines"]
+
+
 def header_matrix_sql() -> str:
     names = (f"SELECT * FROM ({_workbook_header_sql('orders', ORDERS_BASE_SQL, ORDERS_SHEET)}) "
              f"UNION ALL SELECT * FROM ({_workbook_header_sql('lineitem', LINEITEM_BASE_SQL, LINEITEM_SHEET)})")
     kw = " OR ".join(f"contains(name, '{w}')" for w in K.HEADER_MATRIX_KEYWORDS)
-    return (f"PIVOT (SELECT DISTINCT name AS column_name, source_file, 1 AS v FROM ({names}) h WHERE {kw}) "
-            "ON source_file USING coalesce(max(v), 0) GROUP BY column_name")
+    return f"SELECT DISTINCT name AS column_name, source_file, 1 AS present FROM ({names}) h WHERE {kw}"
+
+
+def header_matrix_wide_sql() -> str:
+    marks = ", ".join(f"max(CASE WHEN source_file = '{f}' THEN 1 ELSE 0 END) AS \"{f}\"" for f in MATRIX_FILES)
+    return f"SELECT column_name, {marks} FROM ({header_matrix_sql()}) p GROUP BY column_name"
 
 
 # --- catalog --------------------------------------------------------------------------
@@ -406,3 +424,39 @@ def header_trace_sql() -> str:
             f"{reason} AS reject_reason FROM f")
     return (f"WITH f0 AS ({files}), f AS (SELECT source_file, R, grp, CAST(CASE {keys} END AS INTEGER) AS review_year FROM f0) "
             + " UNION ALL ".join(parts))
+
+
+# --- sinks, sources and views read back ------------------------------------------------
+
+def run_history_sql(n: int = 50) -> str:
+    return (f"SELECT f.id, f.timestamp, f.question, f.sql_query, f.status, f.duration_ms, f.execution_count, s.row_count, s.error "
+            f"FROM ({fold_reruns_sql()}) f JOIN ({run_stats_sql()}) s ON s.id = f.id "
+            f"QUALIFY row_number() OVER (ORDER BY f.timestamp DESC, f.id DESC) <= {n}")
+
+
+def run_log_roundtrip_sql() -> str:
+    """Every event stands for itself, and once more as an imported record that is folded with a later rerun."""
+    return (f"SELECT id, timestamp, question, sql_query, status, duration_ms, 2 * execution_count AS execution_count FROM ({fold_reruns_sql()})")
+
+
+def csv_roundtrip_sql() -> str:
+    return ("SELECT CAST(o_orderkey AS VARCHAR) AS k, '  ' || o_orderpriority || '  ' AS padded, "
+            "CASE WHEN o_orderkey % 3 = 0 THEN 'a \"q\", b' ELSE o_orderstatus END AS quoted FROM orders")
+
+
+def item_list_sql() -> str:
+    return "SELECT DISTINCT o_orderpriority AS value FROM orders"
+
+
+def melt_sql() -> str:
+    return ("SELECT o_orderkey, 'o_orderstatus' AS original_column, o_orderstatus AS value FROM orders UNION ALL "
+            "SELECT o_orderkey, 'o_orderpriority', CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority END FROM orders WHERE o_orderkey % 4 <> 0")
+
+
+def concat_sql() -> str:
+    return "SELECT c_custkey AS k, c_name AS name, NULL::BIGINT AS nation FROM customer UNION ALL SELECT s_suppkey, NULL, s_nationkey FROM supplier"
+
+
+def sql_views_sql() -> str:
+    return f"SELECT ministry_id, count(*) AS n FROM ({business_sql()}) GROUP BY ministry_id"
+

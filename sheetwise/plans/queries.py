@@ -15,17 +15,19 @@ from sheetwise import constants as K
 from sheetwise.operators import analytics as A
 from sheetwise.plans import oracle as O
 from sheetwise.plans import tables as TB
-from sheetwise.session import configure
+from sheetwise.operators.reshape import concat_tables, melt
+from sheetwise.session import configure, scratch_folder
+from sheetwise.sinks.writers import write_csv, write_item_list
 from sheetwise.functions.text import normalize_text
 from sheetwise.operators import catalog as C
 from sheetwise.operators import headers as H
 from sheetwise.operators import runs as R
-from sheetwise.operators.matrix import header_matrix
+from sheetwise.operators.matrix import header_matrix, header_presence
 from sheetwise.operators.ordinal import dense_ordinal
 from sheetwise.plans.job import manifest, normalize_sheet_rows
 from sheetwise.sources.derived import (HYPHEN_TEXT_SQL, WAREKI_TEXT_SQL, customer_header_sheets, lineitem_headers,
                                        lineitem_workbook, orders_files, orders_headers, orders_workbook)
-from sheetwise.sources.sheets import review_year, sheet_headers
+from sheetwise.sources.sheets import read_sheet_parts, review_year, sheet_headers, write_sheet_csv
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -154,7 +156,9 @@ def q_business_normalized(spark, sf_dir):
     # headers come from their own small table, so the normalized data rows
     # have one consumer and stream straight into the build (the stage job,
     # ``run_job``, still writes stage 2 as a table)
-    rows, heads = orders_workbook(spark, sf_dir)
+    # cells and headers are made unclean first: full-width digits, spaces at the edges
+    rows, heads = (x.withColumn("cells", F.transform("cells", lambda c: F.concat(F.lit(" \u3000"), F.translate(c, "0123456789", "０１２３４５６７８９"), F.lit("\u3000 "))))
+                   for x in orders_workbook(spark, sf_dir))
     return TB.business(normalize_sheet_rows(rows), header_rows=normalize_sheet_rows(heads))
 
 
@@ -183,9 +187,14 @@ def q_item_catalog(spark, sf_dir):
 
 @register("header_matrix", O.header_matrix_sql)
 def q_header_matrix(spark, sf_dir):
-    """Keyword header names x files, 1/0."""
-    hdr = sheet_headers(orders_headers(spark, sf_dir).unionByName(lineitem_headers(spark, sf_dir)))
-    return header_matrix(hdr)
+    """Keyword header names and the files that have them."""
+    return header_presence(sheet_headers(orders_headers(spark, sf_dir).unionByName(lineitem_headers(spark, sf_dir))))
+
+
+@register("header_matrix_wide", O.header_matrix_wide_sql)
+def q_header_matrix_wide(spark, sf_dir):
+    """The same as a matrix over named files, 1/0."""
+    return header_matrix(sheet_headers(orders_headers(spark, sf_dir).unionByName(lineitem_headers(spark, sf_dir))), O.MATRIX_FILES)
 
 
 @register("header_trace", O.header_trace_sql)
@@ -256,6 +265,76 @@ def q_run_stats(spark, sf_dir):
     return R.run_stats(_folded(spark, sf_dir)[0])
 
 
+@register("run_history", O.run_history_sql)
+def q_run_history(spark, sf_dir):
+    """The 50 newest runs with result size and error."""
+    return R.run_history(_folded(spark, sf_dir)[0], 50).select(*_FOLD_OUT, "row_count", "error")
+
+
+@register("run_log_roundtrip", O.run_log_roundtrip_sql)
+def q_run_log_roundtrip(spark, sf_dir):
+    """The folded log is exported, imported, appended to the executions and folded again."""
+    folded, ev = _folded(spark, sf_dir)
+    path = scratch_folder(spark, "runs")
+    R.export_runs(folded, path)
+    ev = ev.withColumn("ts", F.col("ts").cast("timestamp"))
+    log = R.append_run(R.as_executions(R.import_runs(spark, path)), R.executions_from_events(ev))
+    out = R.fold_reruns(log).select(*_FOLD_OUT)
+    return out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+# --- sinks and sources read back ------------------------------------------------------------
+
+@register("fund_flow_from_csv", O.fund_flow_sql)
+def q_fund_flow_from_csv(spark, sf_dir):
+    """The payee sheets as all-quoted CSV, read back, and the table built from them."""
+    path = scratch_folder(spark, "sheets")
+    write_sheet_csv(lineitem_workbook(spark, sf_dir)[0], path)
+    return TB.fund_flow(read_sheet_parts(spark, path))
+
+
+@register("csv_roundtrip", O.csv_roundtrip_sql)
+def q_csv_roundtrip(spark, sf_dir):
+    """K2, K4: minimal quoting, spaces kept, written and read back."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    d = o.select(F.col("o_orderkey").cast("string").alias("k"), F.concat(F.lit("  "), "o_orderpriority", F.lit("  ")).alias("padded"),
+                 F.when(F.col("o_orderkey") % 3 == 0, 'a "q", b').otherwise(F.col("o_orderstatus")).alias("quoted"))
+    path = scratch_folder(spark, "csv")
+    write_csv(d, path)
+    return spark.read.option("header", True).option("escape", '"').schema(d.schema).csv(path)
+
+
+@register("item_list", O.item_list_sql)
+def q_item_list(spark, sf_dir):
+    """Sorted distinct items, one per line, read back."""
+    path = scratch_folder(spark, "items")
+    write_item_list(spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderpriority").alias("item")), path)
+    return spark.read.text(path)
+
+
+@register("melt", O.melt_sql)
+def q_melt(spark, sf_dir):
+    """Columns to rows, missing values dropped."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    o = o.select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority")).alias("o_orderpriority"))
+    return melt(o, ["o_orderkey"], ["o_orderstatus", "o_orderpriority"])
+
+
+@register("concat", O.concat_sql)
+def q_concat(spark, sf_dir):
+    """O1: frames with different columns, one under the other."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").cast("long").alias("nation"))
+    return concat_tables([c, s])
+
+
+@register("sql_views", O.sql_views_sql)
+def q_sql_views(spark, sf_dir):
+    """A SQL text over the registered tables."""
+    C.register_tables(spark, {"business": _build(TB.business, orders_workbook(spark, sf_dir))})
+    return spark.sql("SELECT ministry_id, count(*) AS n FROM business GROUP BY ministry_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v[0] for k, v in QUERIES.items()}
 

@@ -15,7 +15,7 @@ from sheetwise.functions.casts import is_numeric_text
 from sheetwise.functions.regex import py_strip
 from sheetwise.operators import headers as H
 from sheetwise.operators.reshape import regroup_rows
-from sheetwise.session import cut_lineage, sized_broadcast
+from sheetwise.session import join_per_file
 from sheetwise.sources.sheets import data_rows, review_year, sheet_headers
 
 
@@ -33,6 +33,11 @@ def na_to_null(v: Column, policy: str = "default") -> Column:
     return v
 
 
+def sequence_number(text: Column) -> Column:
+    """Digits as a number; NULL for anything else and beyond 64 bits."""
+    return F.when(text.rlike("^[0-9]+$"), text.try_cast("long"))
+
+
 def _eligible(rows: DataFrame, header_rows: DataFrame | None = None, require_review_sheet: bool = True):
     """Header dimension + eligible files.  ``header_rows`` (the row-0 rows,
     e.g. a saved header table) spares a scan of all rows to find them."""
@@ -89,8 +94,8 @@ def business_layout(hdr: DataFrame, files: DataFrame) -> DataFrame:
 
 def business(rows: DataFrame, na_policy: str = "default", header_rows: DataFrame | None = None) -> DataFrame:
     hdr, files = _eligible(rows, header_rows)
-    layout = sized_broadcast(business_layout(hdr, files).join(files, "source_file"))
-    r = data_rows(rows).join(layout, "source_file")
+    layout = business_layout(hdr, files).join(files, "source_file")
+    r = join_per_file(data_rows(rows), layout)
 
     def cell(target):
         v = F.try_element_at(F.col("cells"), F.col(_pos_col(target)) + 1)
@@ -124,7 +129,7 @@ def fund_flow(rows: DataFrame, header_rows: DataFrame | None = None) -> DataFram
     parsed = H.parse_fund_flow(hdr).join(files, "source_file")
     g = regroup_rows(rows, parsed, ["review_year", "block_id", "seq_text"], "item", K.FUND_FLOW_ITEMS)
     items = {x: F.coalesce(py_strip(F.col(x)), F.lit("")) for x in K.FUND_FLOW_ITEMS}
-    seq = F.when(F.col("seq_text").rlike("^[0-9]+$"), F.col("seq_text").cast("int"))
+    seq = sequence_number(F.col("seq_text"))
     primary = (items["支払先費目"] != "") | (items["支払先使途"] != "") | (items["支払先金額(百万円)"] != "")
     total = items["支払先計"]
     keep = primary | ((total != "") & (total != "0"))
@@ -143,7 +148,7 @@ def expenditure(rows: DataFrame, header_rows: DataFrame | None = None) -> DataFr
     keep = F.col("支出先").isNotNull() | F.col("支出額").isNotNull()
     return g.where(keep).select(
         business_id(F.col("review_year"), F.col("row_ordinal")).alias("business_id"),
-        F.col("block_id"), F.col("seq_text").cast("int").alias("sequence"),
+        F.col("block_id"), sequence_number(F.col("seq_text")).alias("sequence"),
         *[F.coalesce(py_strip(F.col(x)), F.lit("")).alias(x) for x in K.EXPENDITURE_ITEMS])
 
 
@@ -163,15 +168,16 @@ def budgets(rows: DataFrame, drop_absent: bool = True, longest_match: bool = Fal
     # review row yields its one record, with or without values
     per_row = regroup_rows(rows, parsed, ["review_year"], "out_col", cols, keep_empty=True)
     per_row = per_row.withColumn("business_id", business_id(F.col("review_year"), F.col("row_ordinal")))
-    # across files sharing an id (Q1): the later file wins cell by cell; one
-    # input row per sheet row, combined map-side before the shuffle
+    # across files sharing an id (Q1): the later file wins cell by cell, files
+    # ordered by their names with the extension (a copy "X (2).csv" comes
+    # before "X.csv")
+    name = F.concat("source_file", F.lit(".csv"))
     out = per_row.groupBy("business_id").agg(*[
-        F.max_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), F.col("source_file"))).alias(c) for c in cols])
+        F.max_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), name)).alias(c) for c in cols])
     if drop_absent:
-        # the presence check reads the result once more: freeze it first
-        out = cut_lineage(out)
-        present = out.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in cols]).collect()[0].asDict()
-        cols = [c for c in cols if present[c] > 0]
+        # a column is present if any sheet row has a value: known before the merge
+        present = per_row.agg(*[F.max(F.col(f"`{c}`").isNotNull()).alias(c) for c in cols]).first().asDict()
+        cols = [c for c in cols if present[c]]
     return out.select("business_id", *[F.col(f"`{c}`") for c in cols])
 
 

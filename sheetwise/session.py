@@ -7,11 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest row count we are willing to ship to every executor as a broadcast
-# side.  Header dimensions, per-file layouts and ordinal offset tables are far
-# below this even for thousands of files; anything above falls back to a
-# shuffle join chosen by Catalyst/AQE.
-BROADCAST_MAX_ROWS = 2_000_000
+# Parts a file's rows are dealt into when they meet a per-file table.
+FILE_SALTS = 16
 
 
 def get_session(master: str | None = None, app: str = "sheetwise", shuffle_partitions: int | None = None,
@@ -98,21 +95,29 @@ def ensure_checkpoint_dir(spark: SparkSession, explicit: str | None = None) -> s
     return conf_dir
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (reliable, not local)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared checkpoint folder."""
+    import uuid
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking that it is small.
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared checkpoint folder and read it back:
+    later readers get pruned columns, and a lost executor recomputes nothing."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    The count is a cheap action on a dimension-sized input (headers, layouts,
-    offsets).  Above the bound the frame is returned as-is and the join is left
-    to a shuffle (sort-merge, or AQE's runtime choice).
+
+def join_per_file(rows: DataFrame, per_file: DataFrame, spread: str = "row_ordinal") -> DataFrame:
+    """Join rows with a table of one row per ``source_file``.
+
+    No hint and no row count: the per-file table is stored first, so Spark knows
+    its size in bytes and broadcasts it if that is below its own threshold.
+    Beyond, the key of the shuffle is (file, salt), with the per-file row there
+    for every salt, so that a file holding a large share of all rows is spread
+    over ``FILE_SALTS`` tasks.
     """
-    cached = df.cache()
-    if cached.count() <= max_rows:
-        return F.broadcast(cached)
-    cached.unpersist()
-    return df
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(FILE_SALTS)).cast("int"))
+    each = stored(per_file.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(FILE_SALTS - 1)))).coalesce(1), "per-file")
+    return salted.join(each, ["source_file", "_salt"]).drop("_salt")

@@ -15,6 +15,8 @@ def write_csv(df: DataFrame, path: str) -> None:
     """K2/K4: header line, fields quoted only when they hold a comma, quote or
     line break, quotes doubled, NULL as an empty field."""
     (df.write.mode("overwrite").option("header", True).option("escape", '"').option("quote", '"')
+     # values are written as they are: no trimming
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .option("nullValue", "").option("emptyValue", "").csv(path))
 
 

@@ -1,6 +1,6 @@
 """Sheet rows: the physical form of a wide report sheet.
 
-``sheet_rows(source_file STRING, sheet STRING, row_ordinal INT, cells ARRAY<STRING>)``
+``sheet_rows(source_file STRING, sheet STRING, row_ordinal BIGINT, cells ARRAY<STRING>)``
 with ``row_ordinal = 0`` the header row and data rows numbered from 1 within
 ``source_file`` (one sheet file = one ``{workbook}_{sheet}`` stem).  A wide
 row never becomes thousands of Spark columns: it stays one array, and every
@@ -17,20 +17,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetwise import constants as K
+from sheetwise.session import stored
 
 SHEET_ROWS_SCHEMA = T.StructType([
     T.StructField("source_file", T.StringType(), False),
     T.StructField("sheet", T.StringType(), True),
-    T.StructField("row_ordinal", T.IntegerType(), False),
+    T.StructField("row_ordinal", T.LongType(), False),
     T.StructField("cells", T.ArrayType(T.StringType(), True), True),
 ])
 
 
-def escape_cell(c):
-    """S3: cell text as written to a sheet CSV: NULL -> '', CR dropped, LF -> <br>."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "\r", ""), "\n", "<br>")
-
-
 def header_rows(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("row_ordinal") == 0)
 
@@ -43,8 +39,9 @@ def sheet_headers(rows: DataFrame) -> DataFrame:
     """Header dimension, with the column names a CSV reader would give.
 
     Like ``pandas.read_csv``: an empty header cell is named ``Unnamed: {i}``
-    and the n-th repeat of a name gets ``.n`` appended, so grammars that
-    anchor at the end reject repeated columns (SURVEY Q13).
+    and the n-th repeat of a name gets ``.n`` appended, passing over numbers
+    that would give the name of another header cell, so grammars that anchor at
+    the end reject repeated columns (SURVEY Q13).
     """
     h = header_rows(rows).select("source_file", "sheet", F.posexplode("cells").alias("col_idx", "raw_name"))
     base = F.when(F.coalesce(F.col("raw_name"), F.lit("")) == "",
@@ -52,7 +49,12 @@ def sheet_headers(rows: DataFrame) -> DataFrame:
     h = h.withColumn("_base", base)
     rep = Window.partitionBy("source_file", "_base").orderBy("col_idx")
     h = h.withColumn("_k", F.row_number().over(rep) - 1)
-    name = F.when(F.col("_k") == 0, F.col("_base")).otherwise(F.concat(F.col("_base"), F.lit("."), F.col("_k").cast("string")))
+    # the names of the file that could be hit by numbering this one
+    h = h.withColumn("_all", F.collect_set("_base").over(Window.partitionBy("source_file")))
+    taken = F.filter("_all", lambda x: x.startswith(F.concat(F.col("_base"), F.lit("."))))
+    numbers = F.sequence(F.lit(1).cast("bigint"), F.col("_k").cast("bigint") + F.size(taken))
+    numbered = F.filter(F.transform(numbers, lambda n: F.concat(F.col("_base"), F.lit("."), n.cast("string"))), lambda x: ~F.array_contains(taken, x))
+    name = F.when(F.col("_k") == 0, F.col("_base")).otherwise(F.element_at(numbered, F.col("_k").cast("int")))
     return h.select("source_file", "sheet", F.col("col_idx").cast("int").alias("col_idx"), name.alias("name"), "raw_name")
 
 
@@ -74,30 +76,37 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(st.getPath().toString() for st in found if st.isFile())
 
 
+CSV_ROWS_PER_BATCH = 2000
+
+
 def _parse_sheet_csv(batches):
-    """mapInPandas body: each input row is one whole sheet CSV file."""
+    """mapInPandas body: each input row is one whole sheet CSV file, parsed as a
+    stream; rows leave the task a batch at a time."""
     import csv
     import io
     import posixpath
 
     import pandas as pd
 
+    columns = ["source_file", "sheet", "row_ordinal", "cells"]
+    csv.field_size_limit(1 << 30)
     for pdf in batches:
-        out = []
         for path, content in zip(pdf["path"], pdf["content"]):
             name = posixpath.basename(path)
             stem = name[:-4] if name.lower().endswith(".csv") else name
             sheet = stem.rsplit("_", 1)[1] if "_" in stem else ""
-            text = bytes(content).decode("utf-8-sig", errors="replace")
-            try:  # the C parser; sheets written from a worksheet are rectangular
-                grid = pd.read_csv(io.StringIO(text), header=None, dtype=str, keep_default_na=False,
-                                   na_filter=False, skip_blank_lines=True).values.tolist()
-            except (pd.errors.ParserError, pd.errors.EmptyDataError):
-                grid = [r for r in csv.reader(io.StringIO(text)) if r]
-            for i, cells in enumerate(grid):
-                # short rows come back padded with NaN: a missing field is ''
-                out.append((stem, sheet, i, ["" if c is None or c != c else str(c) for c in cells]))
-        yield pd.DataFrame(out, columns=["source_file", "sheet", "row_ordinal", "cells"])
+            lines = io.TextIOWrapper(io.BytesIO(content), encoding="utf-8-sig", errors="replace", newline="")
+            out, n = [], 0
+            for cells in csv.reader(lines):
+                if not cells:  # a truly blank line
+                    continue
+                out.append((stem, sheet, n, cells))
+                n += 1
+                if len(out) >= CSV_ROWS_PER_BATCH:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=columns)
 
 
 def read_sheet_csv(spark: SparkSession, pattern: str) -> DataFrame:
@@ -114,6 +123,30 @@ def read_sheet_csv(spark: SparkSession, pattern: str) -> DataFrame:
     return files.mapInPandas(_parse_sheet_csv, SHEET_ROWS_SCHEMA)
 
 
+def read_sheet_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Sheet rows from what ``write_sheet_csv`` wrote: a sheet file is a folder
+    of part files in order; each part is parsed by a task of its own, and rows
+    are numbered on from the parts before."""
+    from urllib.parse import unquote
+
+    def parts(batches):
+        import posixpath
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                stem = unquote(posixpath.basename(posixpath.dirname(path)).removeprefix("source_file="))
+                for out in _parse_sheet_csv([{"path": [f"{stem}.csv"], "content": [content]}]):
+                    yield out.assign(_part=posixpath.basename(path))
+
+    schema = T.StructType([*SHEET_ROWS_SCHEMA.fields, T.StructField("_part", T.StringType())])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(folder).select("path", "content")
+    rows = stored(files.mapInPandas(parts, schema), "parts")
+    n = rows.groupBy("source_file", "_part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("source_file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = n.select("source_file", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return rows.join(offsets, ["source_file", "_part"]).select(
+        "source_file", "sheet", (F.col("row_ordinal") + F.col("before")).alias("row_ordinal"), "cells")
+
+
 def write_sheet_csv(rows: DataFrame, out_dir: str) -> None:
     """K1: all-quoted CSV lines, one folder per sheet file, rows in order.
 

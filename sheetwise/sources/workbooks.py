@@ -8,23 +8,32 @@ the Office Open XML parts (shared strings, workbook, worksheets) using the
 standard library; it reads cached cell values, never formulas.
 
 Cell text follows the sheet-to-CSV step: empty -> '', CR removed, LF -> <br>;
-integral numbers print without a decimal part, booleans as True/False.
-Documented difference: date-formatted cells come out as their serial number.
+integral numbers print without a decimal part, booleans as True/False, cells
+with a date format as the date (``2016-04-01 00:00:00``).  Phonetic readings
+(furigana) are not part of a cell's text.
+
+Rows carry the workbook's file name.  When two sources hold the same sheet file
+(a zip and a workbook of one name, or two members of a zip), the source whose
+name sorts last wins, and within a zip the later member.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import posixpath
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sheetwise.sources.sheets import SHEET_ROWS_SCHEMA
+from sheetwise.session import join_per_file, stored
+from sheetwise.sources.sheets import SHEET_ROWS_SCHEMA, list_files
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
@@ -40,7 +49,40 @@ def _col_index(letters: str) -> int:
 
 
 def _text(el) -> str:
-    return "".join(t.text or "" for t in el.iter(f"{{{_NS['m']}}}t"))
+    """Own text and rich-text runs; phonetic runs (rPh) are left out."""
+    return "".join(t.text or "" for t in el.findall("m:t", _NS) + el.findall("m:r/m:t", _NS))
+
+
+# Built-in number formats that show dates or times.
+DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 27, 28, 29, 30, 31, 32, 33, 34, 35, 36, 45, 46, 47, 50, 51, 52, 53, 54, 55, 56, 57, 58}
+
+
+def _is_date_format(code: str) -> bool:
+    """A custom format with day, month, year or hour letters outside quotes and brackets."""
+    plain = re.sub(r'"[^"]*"|\\[^"]|\[[^\]]*\]|_.|\*.', "", code)
+    return bool(re.search("[ymdhs]", plain, re.I)) and not re.search("general", plain, re.I)
+
+
+def _date_styles(styles: bytes | None) -> set[int]:
+    """Cell style numbers whose number format is a date or time."""
+    if styles is None:
+        return set()
+    root = ET.fromstring(styles)
+    custom = {int(f.get("numFmtId")): f.get("formatCode", "") for f in root.findall("m:numFmts/m:numFmt", _NS)}
+    kinds = [int(x.get("numFmtId", "0")) for x in root.findall("m:cellXfs/m:xf", _NS)]
+    return {i for i, k in enumerate(kinds) if (_is_date_format(custom[k]) if k in custom else k in DATE_FORMATS)}
+
+
+def _date_text(v: str, from_1904: bool) -> str:
+    """Serial number -> date text; a time of day alone for serials below 1."""
+    try:
+        serial = float(v)
+        start = dt.datetime(1904, 1, 1) if from_1904 else dt.datetime(1899, 12, 30) if serial >= 60 else dt.datetime(1899, 12, 31)
+        # spreadsheets store fractions of days: whole seconds are meant
+        moment = start + dt.timedelta(seconds=round(serial * 86400))
+    except (ValueError, OverflowError):
+        return v
+    return str(moment.time()) if 0 <= serial < 1 else str(moment)
 
 
 def _number(v: str) -> str:
@@ -52,7 +94,7 @@ def _number(v: str) -> str:
         return v
 
 
-def _cell_text(c, shared: list[str]) -> str | None:
+def _cell_text(c, shared: list[str], dates: set[int] = frozenset(), from_1904: bool = False) -> str | None:
     t = c.get("t", "n")
     v = c.find("m:v", _NS)
     if t == "inlineStr":
@@ -66,40 +108,60 @@ def _cell_text(c, shared: list[str]) -> str | None:
         return "True" if v.text.strip() == "1" else "False"
     if t in ("str", "e"):
         return v.text
+    if int(c.get("s", "0")) in dates:
+        return _date_text(v.text, from_1904)
     return _number(v.text)
 
 
-def read_xlsx(data: bytes) -> list[tuple[str, list[list[str]]]]:
-    """[(sheet name, rows of cell text)] for one workbook, sheets in book order."""
+def iter_xlsx(data: bytes) -> Iterator[tuple[str, Iterator[list[str]]]]:
+    """(sheet name, rows of cell text) per sheet, in book order.  Rows come one
+    at a time; only the width of the sheet is found in a first pass."""
     z = zipfile.ZipFile(io.BytesIO(data))
     names = set(z.namelist())
     shared = []
     if "xl/sharedStrings.xml" in names:
         shared = [_text(si) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
+    dates = _date_styles(z.read("xl/styles.xml") if "xl/styles.xml" in names else None)
     rels = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels")).findall("p:Relationship", _NS)}
-    out = []
-    for s in ET.fromstring(z.read("xl/workbook.xml")).find("m:sheets", _NS).findall("m:sheet", _NS):
+    book = ET.fromstring(z.read("xl/workbook.xml"))
+    about = book.find("m:workbookPr", _NS)
+    from_1904 = about is not None and about.get("date1904") in ("1", "true")
+
+    def cells_of(path: str) -> Iterator[tuple[int, dict[int, str]]]:
+        at = -1
+        with z.open(path) as f:
+            for _, row in ET.iterparse(f):
+                if row.tag != f"{{{_NS['m']}}}row":
+                    continue
+                at = int(row.get("r")) - 1 if row.get("r") else at + 1
+                cells, following = {}, 0
+                for c in row.findall("m:c", _NS):
+                    ref = c.get("r")
+                    i = _col_index(_REF.match(ref).group(1)) if ref else following
+                    following = i + 1
+                    text = _cell_text(c, shared, dates, from_1904)
+                    if text is not None:
+                        cells[i] = text
+                row.clear()
+                yield at, cells
+
+    def rows_of(path: str) -> Iterator[list[str]]:
+        width = max((max(cells) + 1 for _, cells in cells_of(path) if cells), default=0)
+        done = 0
+        for at, cells in cells_of(path):
+            for _ in range(done, at):
+                yield [""] * width
+            yield [cells.get(i, "") for i in range(width)]
+            done = at + 1
+
+    for s in book.find("m:sheets", _NS).findall("m:sheet", _NS):
         target = rels[s.get(f"{{{_NS['r']}}}id")]
-        path = target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join("xl", target))
-        root = ET.fromstring(z.read(path))
-        rows: dict[int, dict[int, str]] = {}
-        width = 0
-        for row in root.iter(f"{{{_NS['m']}}}row"):
-            rn = int(row.get("r")) - 1 if row.get("r") else (max(rows) + 1 if rows else 0)
-            cells = rows.setdefault(rn, {})
-            nxt = 0
-            for c in row.findall("m:c", _NS):
-                ref = c.get("r")
-                ci = _col_index(_REF.match(ref).group(1)) if ref else nxt
-                nxt = ci + 1
-                txt = _cell_text(c, shared)
-                if txt is not None:
-                    cells[ci] = txt
-                    width = max(width, ci + 1)
-        last = max(rows) if rows else -1
-        grid = [[rows.get(r, {}).get(c, "") for c in range(width)] for r in range(last + 1)]
-        out.append((s.get("name"), grid))
-    return out
+        yield s.get("name"), rows_of(target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join("xl", target)))
+
+
+def read_xlsx(data: bytes) -> list[tuple[str, list[list[str]]]]:
+    """[(sheet name, rows of cell text)] of a small workbook at once."""
+    return [(name, list(rows)) for name, rows in iter_xlsx(data)]
 
 
 def _escape(v: str) -> str:
@@ -117,23 +179,44 @@ def _workbook_members(path: str, content: bytes):
         yield posixpath.splitext(name)[0], content
 
 
+ROWS_PER_BATCH = 500
+INGEST_SCHEMA = T.StructType([*SHEET_ROWS_SCHEMA.fields, T.StructField("workbook", T.StringType()), T.StructField("_source", T.StringType())])
+
+
 def _explode_workbooks(batches):
+    columns = [f.name for f in INGEST_SCHEMA.fields]
     for pdf in batches:
-        out = []
         for path, content in zip(pdf["path"], pdf["content"]):
-            for stem, data in _workbook_members(path, content):
-                for sheet, grid in read_xlsx(data):
-                    for i, cells in enumerate(grid):
-                        out.append((f"{stem}_{sheet}", sheet, i, [_escape(c) for c in cells]))
-        yield pd.DataFrame(out, columns=["source_file", "sheet", "row_ordinal", "cells"])
+            name = posixpath.basename(path)
+            for k, (stem, data) in enumerate(_workbook_members(path, content)):
+                for sheet, rows in iter_xlsx(data):
+                    out = []
+                    for i, cells in enumerate(rows):
+                        out.append((f"{stem}_{sheet}", sheet, i, [_escape(c) for c in cells], name, f"{name}/{k:06d}"))
+                        if len(out) >= ROWS_PER_BATCH:
+                            yield pd.DataFrame(out, columns=columns)
+                            out = []
+                    if out:
+                        yield pd.DataFrame(out, columns=columns)
 
 
 def ingest_workbooks(spark: SparkSession, folder: str, target_files: list[str] | None = None) -> DataFrame:
     """S1 (+S2 target-file filter, +S3 escaping): every worksheet of every
-    workbook under ``folder`` as sheet rows."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "false")
-             .load(folder).where(F.col("path").rlike(r"(?i)\.(xlsx|zip)$")))
+    workbook under ``folder`` as sheet rows, with the ``workbook`` they are from.
+    Only the listed files are opened: the filter is on file names, before any
+    content is read."""
+    found = [f for p in ("xlsx", "zip") for f in list_files(spark, f"{folder.rstrip('/')}/*.{_either_case(p)}")]
     if target_files:
-        files = files.where(F.element_at(F.split("path", "/"), -1).isin(*target_files))
+        found = [f for f in found if posixpath.basename(f) in set(target_files)]
+    if not found:
+        return spark.createDataFrame([], INGEST_SCHEMA).drop("_source")
     # one input row per workbook; Spark packs files into splits, no shuffle of contents
-    return files.select("path", "content").mapInPandas(_explode_workbooks, SHEET_ROWS_SCHEMA)
+    rows = spark.read.format("binaryFile").load(found).select("path", "content").mapInPandas(_explode_workbooks, INGEST_SCHEMA)
+    rows = stored(rows, "workbooks")
+    last = rows.groupBy("source_file").agg(F.max("_source").alias("_last"))
+    rows = join_per_file(rows, last)
+    return rows.where(F.col("_source") == F.col("_last")).select(*[f.name for f in SHEET_ROWS_SCHEMA.fields], "workbook")
+
+
+def _either_case(extension: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" for c in extension)

@@ -19,22 +19,21 @@ from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from sheetwise.plans.job import normalize_sheet_rows
-from sheetwise.session import ensure_checkpoint_dir
 from sheetwise.sources.sheets import SHEET_ROWS_SCHEMA
 
 
 def start_incremental_normalize(spark: SparkSession, rows_path: str, out_path: str,
-                                checkpoint: str | None = None, max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """Start (and, with ``availableNow``, finish) normalizing new sheet-row files."""
-    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/normalize-stream"
+                                checkpoint: str, max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """``checkpoint`` names this stream's own folder in shared storage; it must
+    outlive the application.  Start (and, with ``availableNow``, finish) normalizing new sheet-row files."""
     reader = spark.readStream.schema(SHEET_ROWS_SCHEMA).format("parquet")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     normalized = normalize_sheet_rows(reader.load(rows_path))
     return (normalized.writeStream.format("parquet").option("path", out_path)
-            .option("checkpointLocation", ckpt).outputMode("append").trigger(availableNow=True).start())
+            .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
 
 
-def run_incremental_normalize(spark: SparkSession, rows_path: str, out_path: str, checkpoint: str | None = None) -> None:
+def run_incremental_normalize(spark: SparkSession, rows_path: str, out_path: str, checkpoint: str) -> None:
     q = start_incremental_normalize(spark, rows_path, out_path, checkpoint)
     q.awaitTermination()

@@ -4,6 +4,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from sheetwise.operators import catalog as C
@@ -11,7 +12,7 @@ from sheetwise.operators import runs as R
 from sheetwise.operators.ordinal import dense_ordinal
 from sheetwise.plans.job import run_job
 from sheetwise.sinks.writers import selective_quote_lines, write_csv
-from sheetwise.sources.sheets import read_sheet_csv, write_sheet_csv
+from sheetwise.sources.sheets import read_sheet_csv, read_sheet_parts, write_sheet_csv
 
 
 def _tmp():
@@ -40,6 +41,42 @@ def test_write_sheet_csv_round_trip(spark):
     write_sheet_csv(df, d + "/out")
     lines = [r[0] for r in spark.read.text(d + "/out/source_file=f_S").collect()]
     assert lines == ['"a","q""x"', '"1","2"']
+    back = read_sheet_parts(spark, d + "/out").orderBy("row_ordinal").collect()
+    assert [(r["source_file"], r["sheet"], r["row_ordinal"], r["cells"]) for r in back] == [("f_S", "S", 0, ["a", 'q"x']), ("f_S", "S", 1, ["1", "2"])]
+
+
+def test_header_repeats_pass_over_taken_names(spark):
+    from sheetwise.sources.sheets import sheet_headers
+    d = spark.createDataFrame([("f_S", "S", 0, ["a", "a", "a.1", "", "a", "b", "b"])], "source_file string, sheet string, row_ordinal long, cells array<string>")
+    assert [r["name"] for r in sheet_headers(d).orderBy("col_idx").collect()] == ["a", "a.2", "a.1", "Unnamed: 3", "a.3", "b", "b.1"]
+
+
+def test_budgets_of_copied_sheets(spark):
+    """The copy "X (2).csv" sorts before "X.csv", so the original wins."""
+    from sheetwise.plans import tables as TB
+    head = ["府省庁", "事業名", "事業番号-1", "予算額-2016年度予算の状況当初予算"]
+    rows = [(f, "S", i, c) for f, v in (("database2016_S", "1"), ("database2016_S (2)", "2")) for i, c in enumerate([head, ["総務省", "p", "1", v]])]
+    d = spark.createDataFrame(rows, "source_file string, sheet string, row_ordinal long, cells array<string>")
+    assert [r["予算の状況当初予算"] for r in TB.budgets(d).collect()] == ["1"]
+
+
+def test_listed_workbooks_are_replaced_and_others_stay(spark):
+    d = _tmp()
+    head = ["府省庁", "事業名", "事業番号-1"]
+
+    def book(name, project):
+        return spark.createDataFrame([(f"{name}_S", "S", 0, head, f"{name}.xlsx"), (f"{name}_S", "S", 1, ["総務省", project, "1"], f"{name}.xlsx")],
+                                     "source_file string, sheet string, row_ordinal long, cells array<string>, workbook string")
+
+    run_job(spark, d, book("database2016", "a").unionByName(book("database2017", "b")))
+    run_job(spark, d, book("database2016", "c").unionByName(book("database2017", "x")), target_files=["database2016.xlsx"])
+    assert sorted(r["事業名"] for r in spark.read.parquet(d + "/tables/business").collect()) == ["b", "c"]
+
+
+def test_long_sequences_do_not_stop_the_job(spark):
+    from sheetwise.plans.tables import sequence_number
+    d = spark.createDataFrame([("3000000000",), ("1" * 30,), ("x",)], "s string")
+    assert [r[0] for r in d.select(sequence_number(F.col("s"))).collect()] == [3000000000, None, None]
 
 
 def test_dense_ordinal_matches_row_number(spark):
@@ -55,9 +92,9 @@ def test_run_log_fold_delete_stats_import_export(spark):
     import datetime as dt
     t0 = dt.datetime(2024, 1, 1)
     ex = spark.createDataFrame([
-        (1, 1, t0, "q1", "select 1", "success", json.dumps({"columns": ["a"], "data": [[1], [2]]}), 5),
-        (1, 2, t0 + dt.timedelta(seconds=5), "q1b", "select 2", "error", json.dumps({"error": "boom"}), 7),
-        (2, 3, t0 + dt.timedelta(seconds=1), "q2", "select 3", "success", json.dumps({"columns": [], "data": []}), 1),
+        (1, 1, t0, "q1", "select 1", "success", json.dumps({"columns": ["a"], "data": [[1], [2]]}), 5, 1),
+        (1, 2, t0 + dt.timedelta(seconds=5), "q1b", "select 2", "error", json.dumps({"error": "boom"}), 7, 1),
+        (2, 3, t0 + dt.timedelta(seconds=1), "q2", "select 3", "success", json.dumps({"columns": [], "data": []}), 1, None),
     ], R.EXECUTION_SCHEMA)
     folded = R.fold_reruns(ex)
     one = folded.where("id = 1").collect()[0]
@@ -73,8 +110,19 @@ def test_run_log_fold_delete_stats_import_export(spark):
                     "duration_ms": 3}], f)
     imp = R.import_runs(spark, path).collect()
     assert imp[0]["execution_count"] == 1 and imp[0]["id"] == 5
-    R.export_runs(folded, d + "/export")
-    assert spark.read.json(d + "/export").count() == 2
+    R.export_runs(folded.repartition(3), d + "/export")
+    back = R.import_runs(spark, d + "/export")
+    assert sorted(map(tuple, back.select(*folded.columns).collect())) == sorted(map(tuple, folded.collect()))
+    # an imported record stands for its count: a later rerun adds one
+    again = spark.createDataFrame([(1, 9, t0 + dt.timedelta(days=1), "q1c", "select 9", "success", "{}", 2, 1)], R.EXECUTION_SCHEMA)
+    refolded = {r["id"]: r for r in R.fold_reruns(R.append_run(R.as_executions(back), again)).collect()}
+    assert refolded[1]["execution_count"] == 3 and refolded[1]["sql_query"] == "select 9" and refolded[2]["execution_count"] == 1
+    assert [r["id"] for r in R.missing_ids(folded, spark.createDataFrame([(1,), (7,)], "id long")).collect()] == [7]
+    assert [(r["id"], r["row_count"], r["error"]) for r in R.run_history(folded, 1).collect()] == [(1, None, "boom")]
+    with open(d + "/notalist.json", "w") as f:
+        f.write(' {"id": 5}')
+    with pytest.raises(ValueError):
+        R.import_runs(spark, d + "/notalist.json")
 
 
 def test_selective_quote_and_csv(spark):
@@ -82,6 +130,8 @@ def test_selective_quote_and_csv(spark):
     lines = [r[0] for r in selective_quote_lines(df, ["business_id", "y"]).collect()]
     assert lines == ['2016-00001,2016,"a""b"', '2016-00002,,""']
     d = _tmp()
+    write_csv(spark.createDataFrame([("  lead and trail  ", "")], "v string, e string"), d + "/spaces")
+    assert spark.read.text(d + "/spaces").where("value <> 'v,e'").first()[0] == "  lead and trail  ,"
     write_csv(df, d + "/csv")
     back = spark.read.option("header", True).option("escape", '"').csv(d + "/csv").orderBy("business_id").collect()
     assert back[0]["n"] == 'a"b'

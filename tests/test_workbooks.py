@@ -53,6 +53,47 @@ def test_read_xlsx_values():
     assert got["T"] == [["x"]]
 
 
+def styled(sheet_xml, shared_xml="", styles_xml="", book_xml=""):
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{M}" xmlns:r="{R}">{book_xml}<sheets><sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+                   '<Relationship Id="rId1" Type="ws" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{M}"><sheetData>{sheet_xml}</sheetData></worksheet>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{M}">{shared_xml}</sst>')
+        if styles_xml:
+            z.writestr("xl/styles.xml", f'<styleSheet xmlns="{M}">{styles_xml}</styleSheet>')
+    return buf.getvalue()
+
+
+def test_phonetic_runs_are_not_text():
+    book = styled('<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><r><t>事業</t></r><r><t>名</t></r><rPh sb="0" eb="2"><t>ジギョウ</t></rPh></is></c></row>',
+                  '<si><t>府省庁</t><rPh sb="0" eb="3"><t>フショウチョウ</t></rPh></si>')
+    assert dict(read_xlsx(book))["S"] == [["府省庁", "事業名"]]
+
+
+def test_dates_are_date_text():
+    styles = ('<numFmts><numFmt numFmtId="164" formatCode="yyyy&quot;年&quot;m&quot;月&quot;"/><numFmt numFmtId="165" formatCode="0.0&quot;day&quot;"/></numFmts>'
+              '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/><xf numFmtId="20"/></cellXfs>')
+    row = ('<row r="2"><c r="A2" s="1"><v>42461</v></c><c r="B2" s="2"><v>42461.5</v></c><c r="C2" s="3"><v>42461</v></c><c r="D2"><v>42461</v></c><c r="E2" s="4"><v>0.75</v></c></row>')
+    assert dict(read_xlsx(styled(row, "", styles)))["S"] == [[""] * 5, ["2016-04-01 00:00:00", "2016-04-01 12:00:00", "42461", "42461", "18:00:00"]]
+    early = styled('<row r="1"><c r="A1" s="1"><v>1</v></c></row>', "", styles, '<workbookPr date1904="1"/>')
+    assert dict(read_xlsx(early))["S"] == [["1904-01-02 00:00:00"]]
+
+
+def test_of_same_named_sheets_the_last_source_wins(spark):
+    d = tempfile.mkdtemp(prefix="sheetwise-wb-")
+    one = lambda v: make_xlsx([("S", [[("A1", "s", "h")], [("A2", "s", v)]])])
+    with open(os.path.join(d, "database2016.xlsx"), "wb") as f:
+        f.write(one("alone"))
+    with zipfile.ZipFile(os.path.join(d, "z.ZIP"), "w") as z:
+        z.writestr("a/database2016.xlsx", one("first"))
+        z.writestr("b/database2016.xlsx", one("second"))
+    rows = ingest_workbooks(spark, d).orderBy("row_ordinal").collect()
+    assert [(r["source_file"], r["cells"], r["workbook"]) for r in rows] == [("database2016_S", ["h"], "z.ZIP"), ("database2016_S", ["second"], "z.ZIP")]
+    assert ingest_workbooks(spark, d, target_files=["none.xlsx"]).count() == 0
+
+
 def test_ingest_folder_with_zip(spark):
     d = tempfile.mkdtemp(prefix="sheetwise-wb-")
     with open(os.path.join(d, "database2016.xlsx"), "wb") as f:
