@@ -15,7 +15,7 @@ from sheetwise.functions.casts import is_numeric_text
 from sheetwise.functions.regex import py_strip
 from sheetwise.operators import headers as H
 from sheetwise.operators.reshape import regroup_rows
-from sheetwise.session import join_per_file
+from sheetwise.session import join_per_file, stored
 from sheetwise.sources.sheets import data_rows, review_year, sheet_headers
 
 
@@ -42,7 +42,7 @@ def _eligible(rows: DataFrame, header_rows: DataFrame | None = None, require_rev
     """Header dimension + eligible files.  ``header_rows`` (the row-0 rows,
     e.g. a saved header table) spares a scan of all rows to find them."""
     # the header dimension is small (files x columns) and read three times
-    hdr = sheet_headers(rows if header_rows is None else header_rows).cache()
+    hdr = stored(sheet_headers(rows if header_rows is None else header_rows), "headers")
     files = H.eligible_files(hdr, require_review_sheet)
     return hdr, files
 
@@ -186,7 +186,7 @@ def budgets(rows: DataFrame, drop_absent: bool = True, longest_match: bool = Fal
 def line_items(rows: DataFrame, header_rows: DataFrame | None = None) -> DataFrame:
     """Cost lines in long form, first value per (business, group, item_id, type);
     only rows whose amount parses as a number.  No review-sheet gate (Q7)."""
-    hdr = sheet_headers(rows if header_rows is None else header_rows).cache()
+    hdr = stored(sheet_headers(rows if header_rows is None else header_rows), "headers")
     files = hdr.select("source_file").distinct().withColumn("review_year", review_year(F.col("source_file"))) \
         .where(F.col("review_year").isNotNull())
     parsed = H.parse_line_items(hdr).join(files, "source_file")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from sheetwise import constants as K
 from sheetwise.operators.ordinal import dense_ordinal
+from sheetwise.session import stored
 
 
 def _q(s: str) -> str:
@@ -172,9 +173,9 @@ def _workbook(base: DataFrame, base_sql: dict, spec: list, order_cols: list[str]
     cells = F.array(*[F.expr(v) for _, _, v in spec])
     data = numbered.select("source_file", F.col("grp").alias("sheet"), "row_ordinal", cells.alias("cells"))
     # the header rows are a tiny table of their own (files x 1 row), cheap to
-    # recompute from the base: keep them in memory so every consumer (gate,
-    # layouts, normalization) reads a few rows instead of re-deriving them
-    heads = _heads(b, spec).cache()
+    # recompute from the base: stored, so every consumer (gate, layouts,
+    # normalization) reads a few rows instead of re-deriving them
+    heads = stored(_heads(b, spec).coalesce(1), "heads")
     return heads.unionByName(data), heads
 
 
