@@ -56,6 +56,31 @@ def sample(df: DataFrame, key: str, value: str, n: int) -> list:
     return [r.v for r in rows.orderBy(F.xxhash64(key), key).collect()]
 
 
+FILTER_BITS = 26
+
+
+def key_filter(keys: DataFrame, key: str):
+    """A bit set over a column of longs, broadcast: 8 MB whatever the number of
+    keys.  ``maybe`` lets all keys of the set through and few others, so that
+    big rows without a partner need not be shuffled; the join behind it is exact."""
+    slots = keys.select(F.shiftrightunsigned(F.pmod(key, F.lit(1 << FILTER_BITS)), 6).alias("w"), F.pmod(key, F.lit(64)).cast("int").alias("b"))
+    words = slots.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).toArrow()  # at most 2^20 rows
+    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(out)
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys & ((1 << FILTER_BITS) - 1)
+    return (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) != 0
+
+
+def maybe(shared, key: str) -> Column:
+    """False for keys that are not in the filter; a null key passes."""
+    import pyarrow as pa
+    return F.arrow_udf(lambda k: pa.array(may_hold(shared.value, k.fill_null(0).to_numpy()) | k.is_null().to_numpy(zero_copy_only=False)), "boolean")(F.col(key).cast("long"))
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; empty for null or blank."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(WORD_BREAKS))

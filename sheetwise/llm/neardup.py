@@ -89,7 +89,9 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
             rows = [(i, s.tobytes()) for i, s in document_sets(of, shingle)]
             yield pa.RecordBatch.from_arrays([column, pa.array([s for _, s in rows], pa.binary())], names=["doc_id", "set"])
 
-    d = docs.select(F.col("doc_id").cast("long"), "text").join(ids.select("doc_id"), "doc_id", "left_semi")
+    # no text is shuffled: the filter passes these documents and a few more
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    d = d.where(C.maybe(C.key_filter(ids, "doc_id"), "doc_id"))
     return d.mapInArrow(task, "doc_id long, set binary").dropDuplicates(["doc_id"])
 
 
@@ -99,8 +101,8 @@ def index_rows(reps: DataFrame, k: int = K) -> DataFrame:
     """(value, doc_id, n): the values each representative is listed under, of
     lists with at least two documents."""
     e = reps.select("doc_id", "n", F.explode("sketch").alias("value"))
-    shared = e.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    rare = e.join(shared, "value").groupBy("doc_id", "n").agg(F.collect_list(F.struct("df", "value")).alias("v"))
+    shared = C.stored(e.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    rare = e.where(C.maybe(C.key_filter(shared, "value"), "value")).join(shared, "value").groupBy("doc_id", "n").agg(F.collect_list(F.struct("df", "value")).alias("v"))
     size = F.least(F.col("n"), F.lit(k))
     overlap = F.least(F.lit(MIN_OVERLAP), F.ceil(F.col("n") * PERCENT / 100))
     # values of one document only come first in the order and need no list
@@ -123,7 +125,8 @@ def short_list_pairs(lists: DataFrame) -> DataFrame:
 
 def estimated(pairs: DataFrame, reps: DataFrame, k: int = K) -> DataFrame:
     """Pairs whose union sketch allows similarity 0.8."""
-    s = reps.select("doc_id", "sketch")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+    s = reps.select("doc_id", "sketch").where(C.maybe(C.key_filter(ids, "doc_id"), "doc_id"))
     d = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
 
     def task(batches):
@@ -225,7 +228,7 @@ def near_duplicates(docs: DataFrame, shingle: int) -> DataFrame:
 
     index = C.stored(index_rows(reps), "index")
     lists = C.stored(index.join(index.groupBy("value").agg(F.count("*").alias("size")).where("size > 1"), "value"), "lists")
-    pairs = C.stored(estimated(short_list_pairs(lists), reps), "pairs")
+    pairs = C.stored(estimated(C.stored(short_list_pairs(lists), "candidates"), reps), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = C.stored(full_sets(docs, ids, shingle), "sets")
     links = verified(pairs, sets).unionByName(family_links(lists, docs, shingle))
@@ -238,12 +241,20 @@ def near_duplicates(docs: DataFrame, shingle: int) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, shingle: int) -> DataFrame:
     """One document of each component, with all its columns; of rows that repeat
-    a doc_id one stays."""
-    found = near_duplicates(docs, shingle)
-    rows = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.first("kept").alias("kept")).where("kept")
-    once, again = rows.where("rows = 1 OR doc_id IS NULL"), rows.where("rows > 1 AND doc_id IS NOT NULL")
-    keep = lambda some: docs.join(some.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return keep(C.stored(once, "once")).unionByName(keep(C.stored(again, "again")).dropDuplicates(["doc_id"]))
+    a doc_id one stays.  Only rows that may have to go are shuffled."""
+    found = near_duplicates(docs, shingle).where("doc_id IS NOT NULL")
+    rows = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.first("kept").alias("kept"))
+    touched = C.stored(rows.where("NOT kept OR rows > 1"), "touched")
+    dropped, again = touched.where("NOT kept").select("doc_id"), touched.where("kept").select("doc_id")
+    maybe = C.maybe(C.key_filter(touched, "doc_id"), "doc_id")
+
+    def of(d: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        return d.join(some, d["doc_id"] == some["doc_id"], how)
+
+    rest = of(docs.where(maybe), dropped, "left_anti")
+    single = of(rest, again, "left_anti")
+    repeated = of(of(docs.where(maybe), again, "left_semi"), dropped, "left_anti").dropDuplicates(["doc_id"])
+    return docs.where(~maybe).unionByName(single).unionByName(repeated)
 
 
 QUERY_SHINGLE = 2
