@@ -11,11 +11,11 @@ byte, which is coded as well; ``score`` is the log10 probability of all of it.
 Training uses every training document, in two passes:
 
 * pass 1: each task counts the contexts of its part and names those that make up
-  ``RARE`` = 2^-16 or more of it.  A context that makes up as much of the whole
+  ``RARE`` = 2^-15 or more of it.  A context that makes up as much of the whole
   does so in some part, so none is missed;
 * pass 2: exact counts of (context, next byte) of the named contexts.
 
-Contexts of at least RARE of all training bytes form the tree: at most 2^16 for
+Contexts of at least RARE of all training bytes form the tree: at most 2^15 for
 each length whatever the size of the corpus.  Data of rarer contexts is one
 more child of their parent, so the mixture stays a probability.  The tree is
 turned into a table over (context, byte) and an automaton that moves from context
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 DEPTH = 6
-RARE = 2.0 ** -16
+RARE = 2.0 ** -15
 FREQUENT_TOKEN = 2.0 ** -22
 HELD_OUT_FOLD, FOLDS = 2, 7
 CHUNK_BYTES, TOKEN_BYTES = 4 << 20, 64 << 20
@@ -156,33 +156,42 @@ class Model:
 
     def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], total: int):
         """counts: per length the sorted (context << 8 | byte) and their counts."""
-        contexts, tables = [], []
+        contexts, kept = [], []
         for d, (gram, n) in enumerate(counts):
             c, of = np.unique(gram >> np.uint64(8), return_inverse=True)
-            dense = np.zeros((max(len(c), d == 0), 256))
-            dense[of, (gram & np.uint64(255)).astype(np.int64)] = n
-            keep = dense.sum(axis=1) >= max(1.0, RARE * total)
-            contexts.append(c[keep] if d else np.zeros(1, dtype=np.uint64))
-            tables.append(dense[keep] if d else dense)
+            large = np.bincount(of, n, len(c)) >= max(1.0, RARE * total)
+            kept.append(large[of])
+            contexts.append(c[large] if d else np.zeros(1, dtype=np.uint64))
         # a context's parent leaves out its farthest byte
         parents = [None] + [np.searchsorted(contexts[d - 1], contexts[d] >> np.uint64(8)) for d in range(1, DEPTH + 1)]
 
+        def table(d: int) -> np.ndarray:
+            gram, n = (x[kept[d]] for x in counts[d])
+            out = np.zeros((len(contexts[d]), 256))
+            out[np.searchsorted(contexts[d], gram >> np.uint64(8)), (gram & np.uint64(255)).astype(np.int64)] = n
+            return out
+
         # upward: probability of all data below each context, and its own weight
-        weight, rest = [None] * (DEPTH + 1), [None] * (DEPTH + 1)
-        below = None
+        estimate, weight, rest = ([None] * (DEPTH + 1) for _ in range(3))
+        below = longer_table = None
         for d in range(DEPTH, -1, -1):
-            own = _log_kt(*_decisions(tables[d]))
+            here = table(d)
+            zeros, ones = _decisions(here)
+            own = _log_kt(zeros, ones)
+            estimate[d] = ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)
             if d == DEPTH:
                 weight[d], below = np.ones_like(own, dtype=np.float32), own
-                continue
-            left, split = tables[d].copy(), np.zeros_like(own)
-            np.subtract.at(left, parents[d + 1], tables[d + 1])
-            np.add.at(split, parents[d + 1], below)
-            zeros, ones = _decisions(left)
-            split += _log_kt(zeros, ones)
-            rest[d] = ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)
-            both = np.logaddexp(own, split) + math.log(0.5)
-            weight[d], below = np.exp(own + math.log(0.5) - both).astype(np.float32), both
+            else:
+                split, left = np.zeros_like(own), here.copy()
+                np.subtract.at(left, parents[d + 1], longer_table)
+                np.add.at(split, parents[d + 1], below)
+                zeros, ones = _decisions(left)
+                split += _log_kt(zeros, ones)
+                rest[d] = ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)
+                below = np.logaddexp(own, split) + math.log(0.5)
+                weight[d] = np.exp(own + math.log(0.5) - below).astype(np.float32)
+            longer_table = here
+        del longer_table, below
 
         # downward: the mixture so far, and the weight left for longer contexts
         start = np.cumsum([0] + [len(c) for c in contexts])
@@ -192,10 +201,8 @@ class Model:
         bits = [((1 << k) | (np.arange(256) >> (8 - k))) - 1 for k in range(8)]
         ones_at = [(np.arange(256) >> (7 - k)) & 1 for k in range(8)]
         for d in range(DEPTH + 1):
-            zeros, ones = _decisions(tables[d])
-            estimate = (ones + 0.5) / (zeros + ones + 1)
             before, left = (0.0, 1.0) if d == 0 else (mixed[parents[d]], open_[parents[d]])
-            mixed = before + left * weight[d] * estimate
+            mixed = before + left * weight[d] * estimate[d]
             open_ = left * (1 - weight[d])
             p = mixed if d == DEPTH else mixed + open_ * rest[d]
             p = np.clip(p, 1e-12, 1 - 1e-12)
