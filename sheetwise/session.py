@@ -68,9 +68,6 @@ def configure(spark: SparkSession, checkpoint_dir: str | None = None) -> SparkSe
     # Header names such as ``a`` and ``A`` are distinct columns of a sheet.
     spark.conf.set("spark.sql.caseSensitive", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    # wide generated projections (47 budget columns, 26 business columns) make
-    # constraint inference explode at plan time; it buys nothing here
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     ensure_checkpoint_dir(spark, checkpoint_dir)
     return spark
 
