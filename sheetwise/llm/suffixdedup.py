@@ -24,8 +24,8 @@ same document or another, is removed.  Strings are judged on the input.
    that others have too by binary search in its own.
 5. The repeated stretches are joined back to the documents and merged.
 
-Hashes (64 bits, and 128 bits for "equal stretch" and "equal window") stand for
-bytes in steps 2 and 4.  Rows are told apart by doc_id and text, so repeated rows
+Hashes stand for bytes in steps 2 and 4: 64 bits of the anchor and 64 bits of the
+stretch or window.  Rows are told apart by doc_id and text, so repeated rows
 are copies of each other and both are removed.  Defined results: null text counts
 as empty; texts under 400 bytes lose nothing; empty tables give empty results;
 extra columns are ignored.
@@ -45,16 +45,12 @@ from .suffixes import repeated_starts
 
 WIDTH = 400
 GRAM = 32
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 SPLIT = 8192
-FILTER_BITS = 26  # a fixed 8 MB, whatever the number of documents
-
-_MULTIPLIER = 0xD1342543DE82EF95 | 1
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
 
 class Rolling:
-    """Two 64-bit hashes of any stretches of one byte array."""
+    """64-bit hashes of any stretches of one byte array."""
 
     def __init__(self, data: np.ndarray):
         power, self.inverse = C._power_tables(len(data) + 1)
@@ -69,19 +65,6 @@ class Rolling:
         return C.mix64((self.sums[size:] - self.sums[:n]) * self.inverse[:n])
 
 
-def second_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Another hash of the stretches: byte pairs through a mixer, then summed
-    with their place."""
-    n = len(data)
-    power = C._geometric(_MULTIPLIER, n + 1)
-    mixed = C.mix64(data.astype(np.uint64) + (np.append(data[1:], 0).astype(np.uint64) << np.uint64(8)) + np.uint64(0x51ED270B))
-    # the last byte of a stretch stands alone: its pair would look beyond the end
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(mixed * power[:n], out=sums[1:])
-    back = C._geometric(_INVERSE, n + 1)
-    return C.mix64((sums[ends - 1] - sums[starts]) * back[starts] + data[ends - 1].astype(np.uint64))
-
-
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every window, from running minima of blocks in both directions."""
     n = len(values)
@@ -94,7 +77,7 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(text: bytes, width: int = WIDTH, gram: int = GRAM):
-    """Arrays start, end, place, anchor, hash, second hash: windows starting in
+    """Arrays start, end, place, anchor, hash: windows starting in
     [start, end - width] have the anchor that lies at ``place``."""
     data = np.frombuffer(text, dtype=np.uint8)
     rolling = Rolling(data)
@@ -104,11 +87,11 @@ def stretches(text: bytes, width: int = WIDTH, gram: int = GRAM):
     start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     end = np.append(start[1:], len(place)) - 1 + width
     at = place[start]
-    return start, end, at, grams[at], rolling.of(start, end), second_hash(data, start, end)
+    return start, end, at, grams[at], rolling.of(start, end)
 
 
-OCCURRENCES = "doc long, start int, end int, place int, anchor long, h1 long, h2 long"
-STRETCH = ["anchor", "h1", "h2"]
+OCCURRENCES = "doc long, start int, end int, place int, anchor long, hash long"
+STRETCH = ["anchor", "hash"]
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -143,29 +126,6 @@ def occurrences(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
     return keyed.select("doc", "text").mapInArrow(grouped, OCCURRENCES)
 
 
-# ---- the documents that matter, as a filter of fixed size ----------------------------
-
-def document_filter(ids: DataFrame) -> np.ndarray:
-    """A bit set over hashed document keys.  It may hold too much, never too
-    little; joins behind it are exact."""
-    spark = ids.sparkSession
-    slots = ids.select((F.pmod("doc", F.lit(1 << FILTER_BITS)) / 64).cast("long").alias("w"), F.pmod("doc", F.lit(64)).cast("int").alias("b"))
-    words = slots.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
-    t = words.toArrow()  # at most 2^20 rows
-    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
-    out[t.column("w").to_numpy()] = t.column("bits").to_numpy().view(np.uint64)
-    return spark.sparkContext.broadcast(out)
-
-
-def _maybe(shared, docs: np.ndarray) -> np.ndarray:
-    slot = docs & ((1 << FILTER_BITS) - 1)
-    return (shared.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) != 0
-
-
-def filtered(keyed: DataFrame, shared) -> DataFrame:
-    return keyed.where(F.arrow_udf(lambda d: pa.array(_maybe(shared, d.to_numpy())), "boolean")("doc"))
-
-
 # ---- shards ---------------------------------------------------------------------------
 
 def shard_rows(stretches_: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -174,11 +134,11 @@ def shard_rows(stretches_: DataFrame, keyed: DataFrame) -> DataFrame:
     s = stretches_.join(many, "anchor")
     size = s.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    salt = F.pmod("h1", F.ceil(F.col("variants") / SPLIT))
+    salt = F.pmod("hash", F.ceil(F.col("variants") / SPLIT))
     s = s.select("doc", F.struct(*STRETCH, "occurs", "start", "end", "place", (F.col("variants") > SPLIT).alias("split"),
                                  F.when(F.col("variants") > SPLIT, F.xxhash64("anchor", salt)).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))).alias("shard")).alias("s"))
     by_doc = s.groupBy("doc").agg(F.collect_list("s").alias("s"))
-    texts = filtered(keyed, document_filter(by_doc)).select("doc", "text").dropDuplicates(["doc"]).join(by_doc, "doc")
+    texts = keyed.where(C.maybe(C.key_filter(by_doc, "doc"), "doc")).select("doc", "text").dropDuplicates(["doc"]).join(by_doc, "doc")
 
     def task(batches):
         for batch in batches:
@@ -192,11 +152,11 @@ def shard_rows(stretches_: DataFrame, keyed: DataFrame) -> DataFrame:
                          pa.array([x["place"] - x["start"] for x in p], pa.int32()), pa.array([text[x["start"]:x["end"]] for x in p], pa.binary())],
                         names=["shard", *STRETCH, "settled", "split", "lead", "bytes"])
 
-    return texts.select("text", "s").mapInArrow(task, "shard long, anchor long, h1 long, h2 long, settled boolean, split boolean, lead int, bytes binary")
+    return texts.select("text", "s").mapInArrow(task, "shard long, anchor long, hash long, settled boolean, split boolean, lead int, bytes binary")
 
 
-FOUND = ("anchor long, h1 long, h2 long, spans array<struct<a:int,b:int>>, "
-         "prints array<struct<p1:long,p2:long,a:int,open:boolean>>, shard long")
+FOUND = ("anchor long, hash long, spans array<struct<a:int,b:int>>, "
+         "prints array<struct<print:long,a:int,open:boolean>>, shard long")
 
 
 def shard_repeats(table: pa.Table, width: int = WIDTH) -> pa.Table:
@@ -218,11 +178,11 @@ def shard_repeats(table: pa.Table, width: int = WIDTH) -> pa.Table:
             spans = [{"a": a - lead[i], "b": b - lead[i]} for a, b in runs(here, width)]
         if split[i]:
             w = np.arange(starts[i], ends[i] - width + 1)
-            p1, p2 = rolling.of(w, w + width).view(np.int64), second_hash(data[starts[i]:ends[i]], w - starts[i], w - starts[i] + width).view(np.int64)
+            own = rolling.of(w, w + width).view(np.int64)
             open_ = ~here[:len(w)] & (not settled[i])
-            prints = [{"p1": int(p1[k]), "p2": int(p2[k]), "a": k - lead[i], "open": bool(open_[k])} for k in range(len(w))]
+            prints = [{"print": int(own[k]), "a": k - lead[i], "open": bool(open_[k])} for k in range(len(w))]
         rows.append((spans, prints))
-    types = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.struct([("p1", pa.int64()), ("p2", pa.int64()), ("a", pa.int32()), ("open", pa.bool_())]))
+    types = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.struct([("print", pa.int64()), ("a", pa.int32()), ("open", pa.bool_())]))
     keep = [i for i, (s, p) in enumerate(rows) if s or p]
     out = table.select(STRETCH).take(pa.array(keep, pa.int64()))
     return pa.table([*out.columns, pa.array([rows[i][0] for i in keep], types[0]), pa.array([rows[i][1] for i in keep], types[1]), table.column("shard").take(pa.array(keep, pa.int64()))],
@@ -242,8 +202,8 @@ def runs(marked: np.ndarray, width: int) -> list[tuple[int, int]]:
 def across_shards(found: DataFrame, width: int = WIDTH) -> DataFrame:
     """Spans of windows of split anchors that another shard has as well."""
     p = found.where(F.size("prints") > 0).select(*STRETCH, "shard", F.explode("prints").alias("p")).select(*STRETCH, "shard", "p.*")
-    both = p.groupBy("anchor", "p1", "p2").agg(F.min("shard").alias("x"), F.max("shard").alias("y")).where("x <> y").select("anchor", "p1", "p2")
-    hit = p.where("open").join(both, ["anchor", "p1", "p2"], "left_semi")
+    both = p.groupBy("anchor", "print").agg(F.min("shard").alias("x"), F.max("shard").alias("y")).where("x <> y").select("anchor", "print")
+    hit = p.where("open").join(both, ["anchor", "print"], "left_semi")
     return hit.groupBy(*STRETCH).agg(F.collect_list(F.struct("a", (F.col("a") + width).alias("b"))).alias("spans"))
 
 
@@ -252,8 +212,8 @@ def across_shards(found: DataFrame, width: int = WIDTH) -> DataFrame:
 def repeats(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc, spans): byte ranges of each document that repeat."""
     seen = C.stored(occurrences(keyed, width), "occurrences")
-    shared = seen.groupBy("anchor").agg(F.count("*").alias("n"), F.min("h1").alias("x1"), F.max("h1").alias("y1"), F.min("h2").alias("x2"), F.max("h2").alias("y2")).where("n > 1")
-    again = C.stored(seen.join(shared.select("anchor", (F.expr("x1 <> y1 OR x2 <> y2")).alias("contested")), "anchor"), "again")
+    shared = seen.groupBy("anchor").agg(F.count("*").alias("n"), F.min("hash").alias("x"), F.max("hash").alias("y")).where("n > 1")
+    again = C.stored(seen.join(shared.select("anchor", F.expr("x <> y").alias("contested")), "anchor"), "again")
     counted = again.groupBy(*STRETCH, "contested").agg(F.count("*").alias("occurs"), F.min(F.struct("doc", "start", "end", "place")).alias("one"))
     counted = C.stored(counted.select(*STRETCH, "contested", "occurs", "one.*"), "stretches")
 
@@ -279,11 +239,15 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _report(d: DataFrame) -> DataFrame:
+def _report(d: DataFrame, leave_out=None) -> DataFrame:
+    """``leave_out``: documents of this key filter are not reported."""
     def task(batches):
         for batch in batches:
+            if leave_out is not None:
+                batch = batch.filter(pa.array(~C.may_hold(leave_out.value, batch.column("doc").to_numpy())))
             rows = []
-            for text, spans in zip(batch.column("text").cast("binary"), batch.column("spans").to_pylist(), strict=True):
+            spans_ = batch.column("spans").to_pylist() if "spans" in batch.schema.names else [()] * batch.num_rows
+            for text, spans in zip(batch.column("text").cast("binary"), spans_, strict=True):
                 text = text.as_py()
                 cut = merged(spans)
                 kept, at = hashlib.sha256(), 0
@@ -295,19 +259,17 @@ def _report(d: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()], strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return d.select("doc_id", "text", "spans").mapInArrow(task, RESULT)
+    return d.mapInArrow(task, RESULT)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per row: sizes, number of removed runs, digest of what is left."""
     keyed = _with_key(docs)
     spans = C.stored(repeats(keyed, width), "spans")
-    shared = document_filter(spans)
-    maybe = F.arrow_udf(lambda d: pa.array(_maybe(shared, d.to_numpy())), "boolean")
-    none = F.array().cast("array<struct<a:int,b:int>>")
+    shared = C.key_filter(spans, "doc")
     # texts are shuffled only where something may have to go
-    clean = _report(keyed.where(~maybe("doc")).withColumn("spans", none))
-    cut = _report(keyed.where(maybe("doc")).join(spans, "doc", "left"))
+    clean = _report(keyed, leave_out=shared)
+    cut = _report(keyed.where(C.maybe(shared, "doc")).join(spans, "doc", "left").select("doc_id", "text", "spans"))
     return clean.unionByName(cut)
 
 

@@ -18,11 +18,12 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, dtype=np.int32)
     left = _left(n, ends)
-    symbol = np.zeros(n + FIRST, dtype=np.int64)
-    symbol[:n] = data.astype(np.int64) + 1
-    key = np.zeros(n, dtype=np.int64)
+    symbol = np.zeros(n + FIRST, dtype=np.uint64)
+    symbol[:n] = data
+    symbol[:n] += np.uint64(1)
+    key = np.zeros(n, dtype=np.uint64)
     for k in range(FIRST):
-        key = (key << 9) | np.where(left > k, symbol[k:k + n], 0)
+        key = (key << np.uint64(9)) | np.where(left > k, symbol[k:k + n], np.uint64(0))
     order = np.argsort(key).astype(np.int32)
     # keys with an end mark are ordered by position where they are equal
     marked = np.flatnonzero(left[order] < FIRST)
@@ -38,27 +39,38 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     # only suffixes in groups of several are refined further
     single = new.copy()
     single[:-1] &= new[1:]
-    slots = np.flatnonzero(~single)
+    slots = np.flatnonzero(~single).astype(np.int32)
     h = FIRST
     while len(slots):
         at = order[slots]
-        after = at + h
-        over = left[at] <= h  # the end mark comes next: smaller than all, by position
-        second = np.where(over, at.astype(np.int64) - n, rank[np.minimum(after, n - 1)])
-        pair = (rank[at].astype(np.int64) * (2 * n)) + (second + n)
-        by = np.argsort(pair)
-        at, pair = at[by], pair[by]
+        # after an end mark comes nothing: smaller than all, by position
+        second = np.where(left[at] <= h, at, rank[np.minimum(at + np.int32(h), n - 1)] + np.int32(n))
+        pair = rank[at].astype(np.uint64) * np.uint64(2 * n) + second.astype(np.uint64)
+        by, pair = _sorted(pair, 2 * n * n)
+        at = at[by]
         order[slots] = at
-        new = np.ones(len(slots), dtype=bool)
-        new[1:] = pair[1:] != pair[:-1]
-        rank[at] = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
-        single = new.copy()
-        single[:-1] &= new[1:]
-        slots = slots[~single]
+        new = np.ones(len(slots) + 1, dtype=bool)
+        np.not_equal(pair[1:], pair[:-1], out=new[1:-1])
+        first = np.flatnonzero(new[:-1])
+        size = np.diff(np.append(first, len(slots)))
+        rank[at] = np.repeat(slots[first], size)
+        slots = slots[~(new[:-1] & new[1:])]
         h *= 2
     return order
 
 
+def _sorted(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order and sorted values (all below ``most``).  Where value and place fit
+    into 64 bits they are sorted as one number, which numpy does much faster."""
+    bits = max(1, (len(values) - 1).bit_length())
+    if int(most).bit_length() + bits <= 64:
+        both = (values << np.uint64(bits)) | np.arange(len(values), dtype=np.uint64)
+        both.sort()
+        return (both & np.uint64((1 << bits) - 1)).astype(np.int32), both >> np.uint64(bits)
+    order = np.argsort(values)
+    return order, values[order]
+
+
 def _left(n: int, ends: np.ndarray) -> np.ndarray:
     """Bytes from each position to the end of its string."""
     sizes = np.diff(np.concatenate([[0], ends]))
