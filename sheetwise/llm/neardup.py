@@ -83,15 +83,17 @@ def sketches(docs: DataFrame, shingle: int, k: int = K) -> DataFrame:
 
 def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, set) of the documents in ``ids``, from their whole texts."""
+    shared = C.key_filter(ids, "doc_id")
+
     def task(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(C.may_hold(shared.value, batch.column("doc_id").to_numpy())))
             column, of = batch.column("doc_id"), batch.column("text")
             rows = [(i, s.tobytes()) for i, s in document_sets(of, shingle)]
             yield pa.RecordBatch.from_arrays([column, pa.array([s for _, s in rows], pa.binary())], names=["doc_id", "set"])
 
     # no text is shuffled: the filter passes these documents and a few more
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    d = d.where(C.maybe(C.key_filter(ids, "doc_id"), "doc_id"))
     return d.mapInArrow(task, "doc_id long, set binary").dropDuplicates(["doc_id"])
 
 
@@ -221,7 +223,9 @@ def family_links(lists: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     all_ = C.stored(sketches(docs, shingle), "sketches")
-    classes = all_.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    # stored, so that both sides of the join have shuffles of their own and Spark
+    # can split a class that holds a large share of all rows
+    classes = C.stored(all_.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "class-ids")
     known = C.stored(all_.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
                      .select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "classes")
     reps = C.stored(all_.where("n > 0").join(known.where("rep = doc_id").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]), "reps")
