@@ -213,13 +213,16 @@ def repeats(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc, spans): byte ranges of each document that repeat."""
     seen = C.stored(occurrences(keyed, width), "occurrences")
     shared = seen.groupBy("anchor").agg(F.count("*").alias("n"), F.min("hash").alias("x"), F.max("hash").alias("y")).where("n > 1")
-    again = C.stored(seen.join(shared.select("anchor", F.expr("x <> y").alias("contested")), "anchor"), "again")
+    # stored, so that both sides of the join have shuffles of their own and Spark
+    # can split the rows of a very common anchor
+    shared = C.stored(shared.select("anchor", F.expr("x <> y").alias("contested")), "shared")
+    again = C.stored(seen.join(shared, "anchor"), "again")
     counted = again.groupBy(*STRETCH, "contested").agg(F.count("*").alias("occurs"), F.min(F.struct("doc", "start", "end", "place")).alias("one"))
     counted = C.stored(counted.select(*STRETCH, "contested", "occurs", "one.*"), "stretches")
 
     found = C.stored(shard_rows(counted.where("contested").drop("contested"), keyed).groupBy("shard").applyInArrow(lambda t: shard_repeats(t, width), FOUND), "found")
     spans = found.where(F.size("spans") > 0).select(*STRETCH, "spans").unionByName(across_shards(found, width))
-    spans = spans.groupBy(*STRETCH).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = C.stored(spans.groupBy(*STRETCH).agg(F.flatten(F.collect_list("spans")).alias("spans")), "stretch-spans")
     whole = counted.where("occurs > 1").select(*STRETCH)
     copies = again.join(whole, STRETCH, "left_semi").select("doc", F.col("start").alias("a"), F.col("end").alias("b"))
     parts = again.join(spans, STRETCH).select("doc", "place", F.explode("spans").alias("s")).select("doc", (F.col("place") + F.col("s.a")).alias("a"), (F.col("place") + F.col("s.b")).alias("b"))
