@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from sheetwise.session import ensure_checkpoint_dir, ship_package
 
 WORD_BREAKS = " \t\n\x0b\f\r"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 # ---- Spark side -------------------------------------------------------------
@@ -87,10 +85,6 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
-def lower_az(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
-
-
 # ---- task side (numpy) ------------------------------------------------------
 
 _BASE = 0x9E3779B97F4A7C15 | 1

@@ -8,8 +8,9 @@ log-likelihood ratio favours *random* clearly is added as a ``markov`` span.
 Training: labelled samples.  Random: the values of base spans in a bounded
 sample of documents (``SAMPLE_DOCS`` documents with the smallest hash of their
 id) and generated strings over the usual key alphabets (fixed seed).  Ordinary:
-the other runs of at least four token characters in the same sample.  The model
-is a 67 x 66 table whatever the input.
+the other runs of at least four token characters in the same sample, and names
+made of them (snake case, camel case, constants, paths).  The model is a 67 x 66
+table whatever the input.
 
 Positions are code points, end exclusive.  A span covers the whole match.
 Defined results: a null or empty text has no spans (digest of the empty
@@ -20,7 +21,6 @@ an empty table gives an empty result and a model from generated strings only.
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 import re
 from collections.abc import Iterator
@@ -44,7 +44,7 @@ MIN_DISTINCT = 8
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 SHORT_RUN = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 #: natural logarithms: evidence needed in all and per character
-MIN_RATIO, MIN_RATIO_PER_CHAR = 12.0, 0.4
+MIN_RATIO, MIN_RATIO_PER_CHAR = 9.0, 0.3
 SAMPLE_DOCS = 2000
 GENERATED = {"0123456789abcdef": 300, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567": 200, ALPHABET[:62]: 300, ALPHABET[:64]: 200}
 
@@ -83,6 +83,16 @@ def _transitions(strings: Iterator[str], smooth: float) -> list[list[float]]:
     return np.log(n / n.sum(axis=1, keepdims=True)).tolist()
 
 
+NAMES = 4000
+
+
+def _names(words: list[str], rng: random.Random) -> list[str]:
+    """Identifiers as programmers join words."""
+    styles = ("_".join, "-".join, "/".join, lambda w: "".join(x.capitalize() for x in w), lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), lambda w: "_".join(w).upper(),
+              lambda w: "-".join(w) + f"-{rng.randint(1, 2030)}", lambda w: f"{rng.randint(2000, 2030)}-{rng.randint(10, 12)}/" + "_".join(w), lambda w: f"/{'/'.join(w)}")
+    return [rng.choice(styles)(rng.choices(words, k=rng.randint(2, 5))) for _ in range(NAMES)] if words else []
+
+
 def train(texts: list[str]) -> dict:
     """Log-likelihood ratio of random over ordinary for every transition."""
     rng = random.Random(20)
@@ -94,6 +104,7 @@ def train(texts: list[str]) -> dict:
             value = text[s:e] if kind != "assign" else ASSIGN.match(text, s)[2]
             randoms += [x for x in SHORT_RUN.findall(value) if len(x) >= MIN_VALUE]
         ordinary += [m[0] for m in SHORT_RUN.finditer(text) if _clear_of(m.span(), spans)]
+    ordinary += _names(sorted({w.lower() for w in ordinary if w.isalpha()}), rng)
     # 3.0: a transition that words never show costs about as much as a guess
     a, b = _transitions(randoms, 1.0), _transitions(ordinary, 3.0 if ordinary else 1.0)
     ratio = [[x - y for x, y in zip(r, s, strict=True)] for r, s in zip(a, b, strict=True)]
@@ -116,8 +127,7 @@ def spans_of(text: str, model: dict) -> list[tuple[int, int, str]]:
 
 
 def fit(docs: DataFrame) -> dict:
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE_DOCS).where("text is not null")
-    return train([r.text for r in sample.toLocalIterator()])
+    return train(C.sample(docs, "doc_id", "text", SAMPLE_DOCS))
 
 
 # ---- on Spark -----------------------------------------------------------------
