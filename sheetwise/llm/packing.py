@@ -35,7 +35,7 @@ from . import common as C
 
 CAPACITY = 2048
 END_ID = 0
-CHUNK_ROWS = 100_000
+CHUNK_ROWS = 10_000
 CACHED_WORDS = 1_000_000
 SLOT_BITS = 21
 PUNCTUATION = string.punctuation.encode()
