@@ -19,9 +19,9 @@ same document or another, is removed.  Strings are judged on the input.
    windows that start twice in it.
 4. *Across shards.*  Equal windows have one anchor, so shards of different anchors
    need no merging.  An anchor with more than ``SPLIT`` different stretches is
-   split over several shards, which are merged by the windows' fingerprints: the
-   shards' sorted fingerprints are grouped by Spark, and each shard finds those
-   that others have too by binary search in its own.
+   split over several shards, which are merged by the windows' fingerprints in a
+   Spark aggregate and join (instead of by binary search, which would compare all
+   pairs of shards).
 5. The repeated stretches are joined back to the documents and merged.
 
 Hashes stand for bytes in steps 2 and 4: 64 bits of the anchor and 64 bits of the
