@@ -8,18 +8,24 @@ context-tree weighting gives them (their share of the probability of all
 training data).  A text is read after ``DEPTH`` line feeds and ends with a zero
 byte, which is coded as well; ``score`` is the log10 probability of all of it.
 
-Training uses every training document, in two passes:
+Training uses every training document and every context, however rare.  A key
+is a byte and the ``DEPTH`` bytes before it; all that is needed is the count of
+each key, and the table of keys grows with the input, so it stays in Spark:
 
-* pass 1: each task counts the contexts of its part and names those that make up
-  ``RARE`` = 2^-15 or more of it.  A context that makes up as much of the whole
-  does so in some part, so none is missed;
-* pass 2: exact counts of (context, next byte) of the named contexts.
+* texts are dealt into chunks of ``CHUNK_BYTES``; each chunk lists its distinct
+  keys with their counts in training documents (0 for held-out ones);
+* keys are dealt into buckets by their nearest ``TOP`` + 1 bytes, so a bucket has
+  every context of more than TOP bytes whole: its contexts are worked through from
+  the longest to the shortest, and what goes on are sums by (TOP bytes, decision),
+  at most 2^16 x 255 rows whatever the input;
+* the driver finishes the contexts of 0 to TOP bytes and broadcasts, for each of
+  those rows, the mixture so far and the weight left for longer contexts;
+* the buckets again, now downward, give the log probability of each key; these go
+  back to the chunks that list the keys, where the texts are added up.
 
-Contexts of at least RARE of all training bytes form the tree: at most 2^15 for
-each length whatever the size of the corpus.  Data of rarer contexts is one
-more child of their parent, so the mixture stays a probability.  The tree is
-turned into a table over (context, byte) and an automaton that moves from context
-to context, and both are broadcast.
+Keys travel packed: one row per chunk and bucket.
+
+``Model`` is the same tree in one process, without contexts under RARE.
 
 Unigram base: counts of all training tokens.  Tokens of at least 2^-22 of the
 training tokens (4 million at most) are broadcast; the rest are scored by a join.
@@ -35,6 +41,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,9 +52,10 @@ DEPTH = 6
 RARE = 2.0 ** -15
 FREQUENT_TOKEN = 2.0 ** -22
 HELD_OUT_FOLD, FOLDS = 2, 7
-CHUNK_BYTES, TOKEN_BYTES = 4 << 20, 64 << 20
+CHUNK_BYTES, GROUP_BYTES, TOKEN_BYTES = 32 << 20, 4 << 20, 64 << 20
+TOP = 2
+BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 1 << 13
 PAD = b"\n" * DEPTH
-TOKEN = -1  # kind of a row of token counts
 
 
 def held_out(doc_id: Column) -> Column:
@@ -68,16 +76,19 @@ def _positions(texts: list[bytes]) -> np.ndarray:
     return np.arange(stop[-1] if len(stop) else 0) + np.repeat(np.arange(1, len(size) + 1) * DEPTH, size)
 
 
-def keys_of(texts: list[bytes]) -> np.ndarray:
-    """Sorted keys of all predicted bytes: the preceding bytes, the nearest
-    first, then the byte itself.  A context of d bytes is the key's first d."""
+def _keys(texts: list[bytes]) -> np.ndarray:
+    """Keys of all predicted bytes in order."""
     data = padded(texts)
     key = data[DEPTH:].astype(np.uint64)
     for back in range(1, DEPTH + 1):
         key |= data[DEPTH - back:len(data) - back].astype(np.uint64) << np.uint64(8 * (DEPTH - back + 1))
-    key = key[_positions(texts) - DEPTH]
-    key.sort()
-    return key
+    return key[_positions(texts) - DEPTH]
+
+
+def keys_of(texts: list[bytes]) -> np.ndarray:
+    """Sorted keys of all predicted bytes: the preceding bytes, the nearest
+    first, then the byte itself.  A context of d bytes is the key's first d."""
+    return np.sort(_keys(texts))
 
 
 def _counted(sorted_: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -245,23 +256,97 @@ class Model:
         return np.add.reduceat(values, np.array(first, dtype=np.int64)) if texts else values
 
 
-# ---- on Spark --------------------------------------------------------------------
+# ---- the whole tree, by parts -------------------------------------------------
 
-COUNTS = "kind int, key long, n long"
+_SMALL = np.arange(1 << 16, dtype=np.float64)
+_HALF, _WHOLE = _log_gamma(_SMALL + 0.5), _log_gamma(_SMALL + 1.0)
 
 
-def _chunks(batches):
-    """The texts of a task in groups of CHUNK_BYTES, or one longer text."""
-    group, size = [], 0
-    for batch in batches:
-        for _, texts in C.text_groups(batch.column("text")):
-            group += texts
-            size += sum(map(len, texts))
-            if size >= CHUNK_BYTES:
-                yield group
-                group, size = [], 0
-    if group:
-        yield group
+def _looked_up(table: np.ndarray, counts: np.ndarray, add: float) -> np.ndarray:
+    out = table[np.minimum(counts, len(table) - 1)]
+    large = np.flatnonzero(counts >= len(table))
+    out[large] = _log_gamma(counts[large] + add)
+    return out
+
+
+class Levels:
+    """One decision's nodes, from contexts of ``deep`` bytes up to ``top`` bytes.
+    ``nodes``: the node's place in the byte, then its context, sorted, ``deep``
+    bytes of it; zeros and ones: its counts; ``longer``: log probability of all
+    data below, or None where contexts end."""
+
+    def __init__(self, nodes, zeros, ones, longer, deep: int, top: int):
+        self.estimate, self.weight, self.up = [], [], []
+        for d in range(deep, top - 1, -1):
+            if d < deep:
+                nodes = nodes >> np.uint64(8)
+                first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
+                self.up.append(np.repeat(np.arange(len(first)), np.diff(np.append(first, len(nodes)))))
+                nodes, zeros, ones, longer = nodes[first], np.add.reduceat(zeros, first), np.add.reduceat(ones, first), np.add.reduceat(self.below, first)
+            own = _looked_up(_HALF, zeros, 0.5) + _looked_up(_HALF, ones, 0.5) - _looked_up(_WHOLE, zeros + ones, 1.0) - math.log(math.pi)
+            self.estimate.append((ones + 0.5) / (zeros + ones + 1))
+            self.below = own if longer is None else np.logaddexp(own, longer) + math.log(0.5)
+            self.weight.append(np.ones_like(own) if longer is None else np.exp(own + math.log(0.5) - self.below))
+        self.nodes, self.zeros, self.ones = nodes, zeros, ones
+
+    def mixture(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per longest context: the mixture of all lengths, the weight that is
+        left for still longer ones, and the number of its shortest context."""
+        mixed, open_ = self.weight[0] * self.estimate[0], 1 - self.weight[0]
+        at = np.arange(len(mixed))
+        for estimate, weight, up in zip(self.estimate[1:], self.weight[1:], self.up, strict=True):
+            at = up[at]
+            mixed = weight[at] * estimate[at] + (1 - weight[at]) * mixed
+            open_ = (1 - weight[at]) * open_
+        return mixed, open_, at
+
+
+def _decided(keys: np.ndarray, counts: np.ndarray):
+    """For each of the eight decisions: order of the keys, number of each ordered
+    key's longest context, its bit, and the Levels of contexts over TOP bytes."""
+    byte = (keys & np.uint64(255)).astype(np.uint8)
+    context = keys >> np.uint64(8)
+    for k in range(8):
+        place = (1 << k) | (byte.astype(np.uint16) >> (8 - k))
+        order = np.argsort(place, kind="stable")
+        nodes = (place[order].astype(np.uint64) << np.uint64(8 * DEPTH)) | context[order]
+        new = np.concatenate([[True], nodes[1:] != nodes[:-1]])
+        first = np.flatnonzero(new)
+        bit = (byte[order] >> (7 - k)) & 1
+        n = counts[order]
+        ones = np.add.reduceat(n * bit, first)
+        yield order, np.cumsum(new) - 1, bit, Levels(nodes[first], np.add.reduceat(n, first) - ones, ones, None, DEPTH, TOP + 1)
+
+
+def top_sums(keys: np.ndarray, counts: np.ndarray):
+    """(nodes of TOP bytes, zeros, ones, log probability of all data below)."""
+    for _, _, _, levels in _decided(keys, counts):
+        nodes = levels.nodes >> np.uint64(8)
+        first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
+        yield nodes[first], np.add.reduceat(levels.zeros, first), np.add.reduceat(levels.ones, first), np.add.reduceat(levels.below, first)
+
+
+def key_logs(keys: np.ndarray, counts: np.ndarray, top) -> np.ndarray:
+    """log10 probability of every key; ``top``: nodes of TOP bytes, the mixture
+    so far and the weight left."""
+    known, before, left = top
+    out = np.zeros(len(keys))
+    for order, at, bit, levels in _decided(keys, counts):
+        mixed, _, short = levels.mixture()
+        above = np.searchsorted(known, levels.nodes >> np.uint64(8))[short]
+        p = np.clip(before[above] + left[above] * mixed, 1e-12, 1 - 1e-12)[at]
+        out[order] += np.log10(np.where(bit, p, 1 - p))
+    return out
+
+
+# ---- on Spark --------------------------------------------------------------------
+
+COUNTS = "key long, n long"
+KEYS = "bucket int, chunk long, keys binary"
+BUCKETS = "bucket int, keys binary, chunks array<long>, places array<binary>"
+SUMS = "node long, zeros long, ones long, below double"
+LOGS = "chunk long, bucket int, logs binary"
+TEXTS = "row long, chunk long, doc_id long, held_out boolean, text string"
 
 
 class Totals:
@@ -281,51 +366,189 @@ class Totals:
         return _counted(keys[order], counts[order])
 
 
-def _rows(kind: int, keys: np.ndarray, counts: np.ndarray):
-    for i in range(0, len(keys), 200_000):
-        k, n = keys[i:i + 200_000], counts[i:i + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, dtype=np.int32)), pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+def _rows(names: list[str], *columns: np.ndarray):
+    for i in range(0, len(columns[0]), 200_000):
+        part = [c[i:i + 200_000] for c in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in part], names=names)
 
 
-def first_pass(train: DataFrame) -> DataFrame:
-    """Token counts (kind TOKEN) and locally frequent contexts (kind: length)."""
+def numbered(docs: DataFrame) -> DataFrame:
+    """TEXTS: rows get a number, and consecutive rows a chunk."""
     def task(batches):
-        tokens, contexts = Totals(), [Totals() for _ in range(DEPTH)]
+        row = chunk = TaskContext.get().partitionId() << 33
         held = 0
-        for texts in _chunks(batches):
-            data, _ = C.joined(texts)
-            hashes = C.word_hashes(data, *C.split_words(data))
-            hashes.sort()
-            tokens.add(*_counted(hashes))
-            held += len(data)
-            if held >= TOKEN_BYTES:  # most tokens are rare: their table grows with the text
-                yield from _rows(TOKEN, *tokens.sums())
-                tokens, held = Totals(), 0
-            keys, counts = _counted(keys_of(texts))
-            for c, seen in zip(frequent_contexts(keys, counts, int(counts.sum())), contexts, strict=True):
-                seen.add(c, np.zeros(len(c), dtype=np.int64))
+        for batch in batches:
+            chunks = []
+            for n in pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist():
+                if held and held + n > CHUNK_BYTES:
+                    chunk, held = chunk + 1, 0
+                held += n + 1
+                chunks.append(chunk)
+            k = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + k)), pa.array(chunks, pa.int64()), batch.column("doc_id"), batch.column("held_out"), batch.column("text")], names=["row", "chunk", "doc_id", "held_out", "text"])
+            row += k
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(task, TEXTS)
+
+
+def count_tokens(train: DataFrame) -> DataFrame:
+    def task(batches):
+        tokens, held = Totals(), 0
+        for batch in batches:
+            for _, texts in C.text_groups(batch.column("text"), GROUP_BYTES):
+                data, _ = C.joined(texts)
+                hashes = C.word_hashes(data, *C.split_words(data))
+                hashes.sort()
+                tokens.add(*_counted(hashes))
+                held += len(data)
+                if held >= TOKEN_BYTES:  # most tokens are rare: their table grows with the text
+                    yield from _rows(["key", "n"], *tokens.sums())
+                    tokens, held = Totals(), 0
         if tokens.parts:
-            yield from _rows(TOKEN, *tokens.sums())
-        for d, seen in enumerate(contexts, 1):
-            if seen.parts:
-                yield from _rows(d, *seen.sums())
+            yield from _rows(["key", "n"], *tokens.sums())
+
+    return train.select("text").mapInArrow(task, COUNTS)
+
 
-    return train.mapInArrow(task, COUNTS)
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit values, the first ascending; bytes of a kind together."""
+    columns = [np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:]]
+    raw = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def second_pass(train: DataFrame, contexts: list[np.ndarray]) -> DataFrame:
-    shared = train.sparkSession.sparkContext.broadcast(contexts)
+def unpacked(blob: bytes, *kinds) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(len(kinds), 8, -1)
+    out = [np.ascontiguousarray(p.T).view(k).ravel() for p, k in zip(planes, kinds, strict=True)]
+    return [np.cumsum(out[0], dtype=kinds[0]), *out[1:]]
+
+
+def _bucketed(keys: np.ndarray, buckets: int):
+    """Order of the keys by bucket, then key; the buckets and where they start."""
+    bucket = (C.mix64(keys >> np.uint64(8 * (DEPTH - TOP))) % np.uint64(buckets)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    return order, *np.unique(bucket[order], return_index=True)
+
+
+def chunk_keys(texts: DataFrame, buckets: int) -> DataFrame:
+    """The keys of each chunk and how often training documents hold them.  A chunk
+    that is read by two tasks lists keys twice, which ``by_bucket`` joins."""
+    def groups(batches):
+        chunk, held, size = None, ([], []), 0
+        for batch in batches:
+            for c, h, t in zip(batch.column("chunk").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text").cast("binary").to_pylist(), strict=True):
+                if size and (c != chunk or size + len(t or b"") > GROUP_BYTES):
+                    yield chunk, held
+                    held, size = ([], []), 0
+                chunk = c
+                held[h].append(t or b"")
+                size += len(t or b"") + 1
+        if size:
+            yield chunk, held
+
+    def listed(chunk, seen):
+        keys, n = seen.sums()
+        order, bucket, start = _bucketed(keys, buckets)
+        for k, at in zip(bucket.tolist(), np.split(order, start[1:]), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([chunk], pa.int64()), pa.array([packed(keys[at], n[at])], pa.binary())], names=["bucket", "chunk", "keys"])
 
     def task(batches):
-        grams = [Totals() for _ in range(DEPTH + 1)]
-        for texts in _chunks(batches):
-            for d, gram, n in next_bytes(*_counted(keys_of(texts)), shared.value):
-                grams[d].add(gram, n)
-        for d, seen in enumerate(grams):
-            if seen.parts:
-                yield from _rows(d, *seen.sums())
+        current, seen = None, Totals()
+        for chunk, held in groups(batches):
+            if seen.parts and chunk != current:
+                yield from listed(current, seen)
+                seen = Totals()
+            current = chunk
+            for part, is_held in zip(held, (False, True), strict=True):
+                if part:
+                    keys, n = _counted(keys_of(part))
+                    seen.add(keys, n * (not is_held))
+        if seen.parts:
+            yield from listed(current, seen)
+
+    return texts.select("chunk", "held_out", "text").mapInArrow(task, KEYS)
+
+
+def by_bucket(keys: DataFrame) -> DataFrame:
+    """One row per bucket: its keys and counts, and per chunk the places of its
+    keys among them."""
+    def merge(rows: pa.Table) -> pa.Table:
+        chunks, blobs = rows.column("chunk").to_pylist(), rows.column("keys").to_pylist()
+        seen, own = Totals(), {}
+        for chunk, blob in zip(chunks, blobs, strict=True):
+            seen.add(*unpacked(blob, np.uint64, np.int64))
+        all_, n = seen.sums()
+        for chunk, blob in zip(chunks, blobs, strict=True):
+            place = np.searchsorted(all_, unpacked(blob, np.uint64, np.int64)[0])
+            own[chunk] = packed(np.union1d(unpacked(own[chunk], np.int64)[0], place) if chunk in own else place)
+        return pa.table({"bucket": rows.column("bucket")[:1], "keys": pa.array([packed(all_, n)], pa.binary()), "chunks": pa.array([list(own)], pa.list_(pa.int64())),
+                         "places": pa.array([list(own.values())], pa.list_(pa.binary()))})
+
+    return keys.groupBy("bucket").applyInArrow(merge, BUCKETS)
+
+
+def fit_top(keys: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts of up to TOP bytes: nodes, mixture so far and weight left."""
+    def task(batches):
+        for batch in batches:
+            for blob in batch.column("keys"):
+                for part in top_sums(*unpacked(blob.as_py(), np.uint64, np.int64)):
+                    yield from _rows(["node", "zeros", "ones", "below"], *part)
+
+    sums = keys.select("keys").mapInArrow(task, SUMS).groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
+    node, zeros, ones, below = _columns(sums, "node", "zeros", "ones", "below")
+    order = np.argsort(node)
+    nodes = node[order].view(np.uint64)
+    if not len(nodes):
+        return nodes, below, below
+    mixed, open_, _ = Levels(nodes, zeros[order], ones[order], below[order], TOP, 0).mixture()
+    return nodes, mixed, open_
+
+
+def log_keys(keys: DataFrame, top) -> DataFrame:
+    """LOGS: the log10 probabilities of a chunk's keys in a bucket, by key."""
+    shared = keys.sparkSession.sparkContext.broadcast(top)
 
-    return train.mapInArrow(task, COUNTS)
+    def task(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                bucket, blob, chunks, places = (batch.column(c)[row].as_py() for c in ("bucket", "keys", "chunks", "places"))
+                logs = key_logs(*unpacked(blob, np.uint64, np.int64), shared.value).astype(np.float32)
+                for chunk, place in zip(chunks, places, strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([logs[unpacked(place, np.int64)[0]].tobytes()], pa.binary())], names=["chunk", "bucket", "logs"])
+
+    return keys.mapInArrow(task, LOGS)
+
+
+def tree_scores(texts: DataFrame) -> DataFrame:
+    """row and score of every text."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, 8 + size // BUCKET_BYTES)
+    keys = C.stored(by_bucket(chunk_keys(texts, buckets)), "keys")
+    logs = log_keys(keys, fit_top(keys))
+
+    def add_up(rows: pa.Table, logs: pa.Table) -> pa.Table:
+        parts = sorted(zip(logs.column("bucket").to_pylist(), logs.column("logs").to_pylist(), strict=True))
+        # the chunk's keys once more, in the order in which it listed them
+        seen = Totals()
+        for _, texts in C.text_groups(rows.column("text"), GROUP_BYTES):
+            seen.add(*_counted(keys_of(texts)))
+        known = seen.sums()[0]
+        log = np.empty(len(known), dtype=np.float32)
+        log[_bucketed(known, buckets)[0]] = np.frombuffer(b"".join(p for _, p in parts), dtype=np.float32)
+        out = []
+        for _, texts in C.text_groups(rows.column("text"), GROUP_BYTES):
+            key = _keys(texts)
+            order = np.argsort(key)
+            distinct, n = _counted(key[order])
+            value = np.empty(len(key))
+            value[order] = np.repeat(log[np.searchsorted(known, distinct)], n)
+            size = np.array([len(t) + 1 for t in texts])
+            out.append(np.add.reduceat(value, np.cumsum(size) - size))
+        return pa.table({"row": rows.column("row"), "score": np.concatenate(out)})
+
+    return texts.select("chunk", "row", "text").groupBy("chunk").cogroup(logs.groupBy("chunk")).applyInArrow(add_up, "row long, score double")
 
 
 def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
@@ -333,46 +556,27 @@ def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [t.column(n).to_numpy() for n in names]
 
 
-def fit(train: DataFrame) -> tuple[Model, DataFrame]:
-    """The tree model, and the table (key, n) of token counts."""
-    seen = C.stored(first_pass(train).groupBy("kind", "key").agg(F.sum("n").alias("n")), "first")
-    kind, key = _columns(seen.where(F.col("kind") > 0), "kind", "key")
-    contexts = [np.sort(key[kind == d].view(np.uint64)) for d in range(1, DEPTH + 1)]
-    counted = second_pass(train, contexts).groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    # contexts below the bound are left out before anything reaches the driver
-    counted = C.stored(counted.withColumn("context", F.expr("shiftrightunsigned(key, 8)")), "second")
-    total = counted.where("kind = 0").agg(F.sum("n")).first()[0] or 0
-    large = counted.groupBy("kind", "context").agg(F.sum("n").alias("of")).where(F.col("of") >= RARE * total).drop("of")
-    kind, key, n = _columns(counted.join(large, ["kind", "context"], "left_semi"), "kind", "key", "n")
-    counts = []
-    for d in range(DEPTH + 1):
-        gram, m = key[kind == d].view(np.uint64), n[kind == d]
-        order = np.argsort(gram)
-        counts.append((gram[order], m[order]))
-    return Model(counts, total), seen.where(F.col("kind") == TOKEN).select("key", "n")
-
-
-SCORED = "row long, doc_id long, held_out boolean, words long, log_known double, known long, score double, rare array<struct<key:long,m:long>>"
+SCORED = "row long, doc_id long, held_out boolean, words long, log_known double, known long, rare array<struct<key:long,m:long>>"
 
 
 def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
+    d = C.stored(numbered(d), "texts")
     train = d.where(~F.col("held_out"))
-    model, tokens = fit(train.select("text"))
+    tokens = C.stored(count_tokens(train).groupBy("key").agg(F.sum("n").alias("n")), "tokens")
     ends = train.count()  # every training document has one end token
     r = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = r["n"] + ends, r["v"] + (ends > 0)
     cut = max(1.0, FREQUENT_TOKEN * total)
     key, n = _columns(tokens.where(F.col("n") >= cut), "key", "n")
     order = np.argsort(key.view(np.uint64))
-    shared = spark.sparkContext.broadcast((model, key.view(np.uint64)[order], np.log10(n[order] + 1.0)))
+    shared = spark.sparkContext.broadcast((key.view(np.uint64)[order], np.log10(n[order] + 1.0)))
 
     def task(batches):
-        model, known, logs = shared.value
-        row = TaskContext.get().partitionId() << 33
+        known, logs = shared.value
         for batch in batches:
-            ids, held = batch.column("doc_id"), batch.column("held_out")
+            row, ids, held = batch.column("row"), batch.column("doc_id"), batch.column("held_out")
             for first, texts in C.text_groups(batch.column("text"), 4 << 20):
                 data, offsets = C.joined(texts)
                 starts, ends_ = C.split_words(data)
@@ -394,18 +598,17 @@ def score(docs: DataFrame) -> DataFrame:
                                                 pa.StructArray.from_arrays([pa.array(other[new].view(np.int64)), pa.array(times)], names=["key", "m"]))
                 k = len(texts)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(row, row + k)), ids.slice(first, k), held.slice(first, k), pa.array(np.diff(edge)),
-                    pa.array(gain[edge[1:]] - gain[edge[:-1]]), pa.array(hits[edge[1:]] - hits[edge[:-1]]), pa.array(model.score(texts)), rare],
-                    names=["row", "doc_id", "held_out", "words", "log_known", "known", "score", "rare"])
-                row += k
+                    row.slice(first, k), ids.slice(first, k), held.slice(first, k), pa.array(np.diff(edge)),
+                    pa.array(gain[edge[1:]] - gain[edge[:-1]]), pa.array(hits[edge[1:]] - hits[edge[:-1]]), rare],
+                    names=["row", "doc_id", "held_out", "words", "log_known", "known", "rare"])
 
-    scored = C.stored(d.select("doc_id", "held_out", "text").mapInArrow(task, SCORED), "scored")
+    scored = C.stored(d.select("row", "doc_id", "held_out", "text").mapInArrow(task, SCORED), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.key", "r.m")
     found = rare.join(tokens.where(F.col("n") < cut), "key").groupBy("row").agg(
         F.sum(F.col("m") * F.log10(F.col("n") + 1)).alias("rare_log"), F.sum("m").alias("rare_known"))
     known_end = int(ends > 0)
     space = math.log10(total + distinct + 1)
-    return scored.drop("rare").join(found, "row", "left").select(
+    return scored.drop("rare").join(found, "row", "left").join(C.stored(tree_scores(d), "scores"), "row").select(
         "doc_id", "held_out", (F.col("words") + 1).alias("n_tokens"),
         (F.col("known") + F.coalesce("rare_known", F.lit(0)) + known_end).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"),

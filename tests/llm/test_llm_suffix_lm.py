@@ -194,3 +194,26 @@ def test_model_learns(spark, sf_dir):
     texts = [r.text.encode() for r in C.table(spark, sf_dir, "documents").collect()]
     model, bytes_ = tree(texts[::2]), sum(map(len, texts[1::2]))
     assert -model.score(texts[1::2]).sum() / math.log10(2) / bytes_ < 3.5
+
+
+def test_rare_contexts_count(spark, monkeypatch):
+    """Contexts under a share of 2^-15 keep their counts, also over several
+    chunks and buckets, and for a context never seen."""
+    C.prepare(spark)
+    monkeypatch.setattr(L, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(L, "BUCKET_BYTES", 3000)
+    r = random.Random(7)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(300)]
+    docs = [(i, " ".join(r.choices(words, k=180))) for i in range(70)] + [(70, ""), (71, None), (72, "Zebra é" * 3)]
+    train = [(t or "").encode() for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert sum(len(t) + 1 for t in train) > 1 / L.RARE
+    got = {x.doc_id: x.score for x in L.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    probe = [0, 12, 71, 72]
+    assert sorted(got) == sorted(i for i, _ in docs)
+    plain = plain_tree_scores(train, [(docs[i][1] or "").encode() for i in probe])
+    assert [got[i] for i in probe] == pytest.approx(plain, rel=1e-6, abs=1e-6)
+
+
+def plain_tree_scores(texts, probes):
+    """All contexts, none merged."""
+    return [plain_tree_score(texts, t, rare=0.0) for t in probes]
