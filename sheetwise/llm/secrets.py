@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns plus character Markov models.
 
 Three patterns give the base spans.  Two first-order Markov models over
-characters then judge every other long run of token characters: one model is
+characters then judge what these spans leave of every run of token characters,
+each stretch of ``MIN_RUN`` or more: one model is
 trained on random strings, one on ordinary identifiers, and a run whose
 log-likelihood ratio favours *random* clearly is added as a ``markov`` span.
 
@@ -68,6 +69,18 @@ def _clear_of(run: tuple[int, int], spans: list[tuple[int, int, str]]) -> bool:
     return all(run[1] <= s or e <= run[0] for s, e, _ in spans)
 
 
+def _outside(run: tuple[int, int], spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+    """Stretches of the run that no span covers; ``spans`` come by start."""
+    start, end = run
+    for s, e, _ in spans:
+        if e > start and s < end:
+            if s > start:
+                yield start, s
+            start = max(start, e)
+    if start < end:
+        yield start, end
+
+
 # ---- the models ---------------------------------------------------------------
 
 def _transitions(strings: Iterator[str], smooth: float) -> list[list[float]]:
@@ -119,10 +132,12 @@ def spans_of(text: str, model: dict) -> list[tuple[int, int, str]]:
     base = base_spans(text)
     added = []
     for m in RUN.finditer(text):
-        if len(set(m[0])) >= MIN_DISTINCT and _clear_of(m.span(), base):
-            r = log_ratio(model, m[0])
-            if r >= MIN_RATIO and r >= MIN_RATIO_PER_CHAR * len(m[0]):
-                added.append((*m.span(), "markov"))
+        for start, end in _outside(m.span(), base):
+            run = text[start:end]
+            if end - start >= MIN_RUN and len(set(run)) >= MIN_DISTINCT:
+                r = log_ratio(model, run)
+                if r >= MIN_RATIO and r >= MIN_RATIO_PER_CHAR * len(run):
+                    added.append((start, end, "markov"))
     return sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

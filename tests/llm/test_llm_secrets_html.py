@@ -62,6 +62,21 @@ def test_redaction(spark, odd_docs):
     assert secrets.redact(d, model).first()[1:] == ("a [SECRET] b", 12)
 
 
+def test_rest_of_a_run_beside_a_base_span(spark, sf_dir):
+    """A secret joined to an access key or a hex string by a token character."""
+    C.prepare(spark)
+    r, model = random.Random(3), secrets.fit(C.table(spark, sf_dir, "documents"))
+    key = "G" + "".join(r.choices(string.ascii_letters + string.digits, k=38)) + "z"
+    access, digits = "AKIA" + "Q7X2" * 4, "0123456789abcdef" * 2
+    for text, kind, first in [(f"{access}{j}{key}", "access", len(access)) for j in "/+_=-"] + [(f"{digits}-{key}", "hex", 32)]:
+        assert [(a, b, k) for a, b, k in secrets.spans_of(text, model) if k in (kind, "markov")] == [(0, first, kind), (first, len(text), "markov")]
+        d = spark.createDataFrame([(1, f"x {text} y")], "doc_id long, text string")
+        assert key not in secrets.redact(d, model).first().text
+    before = f"{key}/{access}/{key}"
+    assert [k for _, _, k in secrets.spans_of(before, model)] == ["markov", "access", "markov"]
+    assert secrets.spans_of(f"{access}/short-end", model) == [(0, len(access), "access")]
+
+
 # ---- html -------------------------------------------------------------------------
 
 def model():
