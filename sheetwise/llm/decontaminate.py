@@ -11,9 +11,12 @@ a copy when the weighted Jaccard similarity, sum of minima over sum of maxima, i
 * Multi-index: five blocks of 13, 13, 13, 13 and 12 bits.  Two fingerprints
   within ``RADIUS`` = 19 bits differ by at most 3 bits in one of the blocks, and
   the index holds each item under every block value within 3 bits, so it finds
-  all items within the radius.  (At similarity 0.8 the expected distance is 10
-  bits, standard deviation 3; 19 misses about one in 2,000 of the windows that
-  lie exactly on the threshold, and a copy has several windows above it.)
+  all items within the radius.  One shingle that is repeated often moves a
+  fingerprint far, so the index alone would lose some copies.
+* Exact route beside the index: a copy shares a weight of at least 0.8 / 1.8 of
+  both sizes.  Where a window holds as many shingles of any items, the items that
+  own them are found by the shingles, and an item that can reach the weight is
+  compared with all windows by running sums, whatever the fingerprints say.
 * Candidates are verified exactly on the shingles.
 
 Work is one map over the documents, without a shuffle.  The index is bounded:
@@ -29,6 +32,7 @@ first counts; empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -89,6 +93,12 @@ class Index:
             else:
                 long_.append(i)
         self.shingles = np.unique(np.concatenate([items[i].shingles for i in long_] or [np.zeros(0, np.uint64)]))
+        of = np.repeat(np.array(long_, dtype=np.int64), [len(items[i].shingles) for i in long_])
+        at = np.searchsorted(self.shingles, np.concatenate([items[i].shingles for i in long_] or [self.shingles]))
+        order = np.argsort(at, kind="stable")
+        #: items that own a shingle: owners[owned[k]:owned[k + 1]], and how often
+        self.owners, self.times = of[order], np.concatenate([items[i].counts for i in long_] or [of])[order]
+        self.owned = np.searchsorted(at[order], np.arange(len(self.shingles) + 1))
         self.known = np.zeros(1 << 20, dtype=bool)
         self.known[(self.shingles >> np.uint64(44)).astype(np.int64)] = True
         self.sizes = sorted({items[i].total for i in long_})
@@ -113,6 +123,14 @@ class Index:
         k = np.minimum(np.searchsorted(self.shingles, hashes[at]), len(self.shingles) - 1)
         return at[self.shingles[k] == hashes[at]]
 
+    def reached(self, hashes: np.ndarray, least: int) -> list[int]:
+        """Items that share a weight of ``least`` or more with these shingles."""
+        own, n = np.unique(np.searchsorted(self.shingles, hashes), return_counts=True)
+        a, many = self.owned[own], self.owned[own + 1] - self.owned[own]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(a, many)
+        weight = np.bincount(self.owners[at], np.minimum(np.repeat(n, many), self.times[at]), len(self.items))
+        return np.flatnonzero(weight >= least).tolist()
+
     def near(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs of this size within the radius."""
         windows, found = [], []
@@ -137,6 +155,27 @@ def similarity(window: np.ndarray, item: Item) -> float:
     return shared / (len(window) + item.total - shared)
 
 
+def needed(size: int, total: int) -> int:
+    """Weight that a window of ``size`` shingles shares with its item, at least."""
+    return math.ceil(SIMILARITY / (1 + SIMILARITY) * (size + total) - 1e-9)
+
+
+def shared_weights(hashes: np.ndarray, n: int, item: Item) -> np.ndarray:
+    """Weight that each window of n shingles shares with the item.  A shingle
+    counts in a window unless as many of its kind as the item has come before it
+    there."""
+    k = np.minimum(np.searchsorted(item.shingles, hashes), len(item.shingles) - 1)
+    at = np.flatnonzero(item.shingles[k] == hashes)
+    at = at[np.argsort(k[at], kind="stable")]
+    kind = k[at]
+    rank = np.arange(len(at)) - np.searchsorted(kind, kind)
+    most = item.counts[kind]
+    full = np.where(rank >= most, at[np.maximum(np.arange(len(at)) - most, 0)], -1)
+    first = np.maximum(np.maximum(full, at - n) + 1, 0)
+    change = np.bincount(first, minlength=len(hashes) + 1) - np.bincount(at + 1, minlength=len(hashes) + 1)
+    return np.cumsum(change)[:len(hashes) - n + 1]
+
+
 def make_item(item_id, text: bytes, shingle: int = SHINGLE) -> Item | None:
     data = np.frombuffer(text, dtype=np.uint8)
     words = C.word_hashes(data, *C.split_words(data))
@@ -173,6 +212,7 @@ def search(words: np.ndarray, hashes: np.ndarray, hits: np.ndarray, index: Index
             held = np.zeros(len(here) + 1, dtype=np.int32)
             held[1:][part - first] = 1
             held = np.cumsum(held)
+            reached: dict[int, list[int]] = {}
             for size in index.sizes:
                 n = min(size, len(hashes))  # a short document is one window
                 if n < SIMILARITY * size or n > len(here):
@@ -183,6 +223,15 @@ def search(words: np.ndarray, hashes: np.ndarray, hits: np.ndarray, index: Index
                 for w, i in zip(*index.near(_pack(sums[starts + n] - sums[starts]), size), strict=True):
                     s = int(starts[w])
                     offer(int(i), first + s, similarity(here[s:s + n], index.items[int(i)]))
+                least = needed(n, size)
+                if int((held[n:] - held[:len(held) - n]).max()) >= least:
+                    if least not in reached:
+                        reached[least] = index.reached(hashes[part], least)
+                    for i in reached[least]:
+                        if index.items[i].total == size:
+                            shared = shared_weights(here, n, index.items[i])
+                            s = int(shared.argmax())
+                            offer(i, first + s, int(shared[s]) / (n + size - int(shared[s])))
     return [(i, start, value) for i, (value, start) in sorted(best.items())]
 
 

@@ -94,6 +94,25 @@ def test_index_finds_all_within_the_radius():
     assert set(zip(w.tolist(), i.tolist(), strict=True)) == brute and len(brute) >= 300
 
 
+def test_copies_with_a_repeated_word_run(spark):
+    """A run of one word in a copy moves its fingerprint beyond the radius."""
+    C.prepare(spark)
+    items = [(i, " ".join(words(n, 50 + i))) for i, n in enumerate([400, 400, 200, 60])] + [(9, " ".join(["a b c d e f g"] * 12))]
+    docs = []
+    for i, t in items[:4]:
+        for run, mark in ((len(t.split()) * 7 // 100, "[MASK]"), (len(t.split()) // 4, "---")):
+            w = t.split()
+            w[len(w) // 2:len(w) // 2 + run] = [mark] * run
+            docs.append((len(docs), " ".join([*words(70, 900 + i), *w, *words(70, 950 + i)])))
+    docs.append((len(docs), " ".join([*words(30, 70), *(["a b c d e f g"] * 11), "a b", *(["q"] * 9), *words(30, 71)])))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start_word, r.n_words, r.similarity) for r in D.copies(d, b).collect()}
+    want = plain_copies(docs, items)
+    assert {(0, 0), (2, 1), (4, 2)} <= want.keys() and got.keys() == want.keys()
+    assert all(got[k][:2] == want[k][:2] and abs(got[k][2] - want[k][2]) < 1e-12 for k in want)
+    assert {r.doc_id for r in D.drop_contaminated(d, b).collect()} == {i for i, _ in docs} - {k for k, _ in want}
+
+
 # ---- near duplicates -----------------------------------------------------------------
 
 def plain_components(docs, n, t=0.8):
