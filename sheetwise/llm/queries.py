@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, licenses, lm, neardup, packing, quality, secrets, suffixdedup, warc
+from . import centroids, decontaminate, html, licenses, lm, neardup, packing, quality, secrets, suffixdedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
         "op9_license_scans": licenses.op9_license_scans,
         "op10_warc": warc.op10_warc,
+        "op12_centroid_clustering": centroids.op12_centroid_clustering,
     }
 
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_minhash_near_dedup": neardup.ORACLE_SQL,
         "op9_license_scans": licenses.oracle_sql(),
         "op10_warc": warc.ORACLE_SQL,
+        "op12_centroid_clustering": centroids.oracle_sql(),
     }
