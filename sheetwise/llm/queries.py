@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, decontaminate, html, licenses, lm, neardup, packing, quality, secrets, suffixdedup, warc
+from . import centroids, decontaminate, factors, html, licenses, lm, neardup, packing, quality, secrets, suffixdedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_license_scans": licenses.op9_license_scans,
         "op10_warc": warc.op10_warc,
         "op12_centroid_clustering": centroids.op12_centroid_clustering,
+        "op13_quality_classifier": factors.op13_quality_classifier,
     }
 
 
