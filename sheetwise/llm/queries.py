@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, decontaminate, factors, html, licenses, lm, neardup, packing, quality, secrets, suffixdedup, warc
+from . import centroids, decontaminate, factors, html, licenses, lm, neardup, packing, quality, secrets, suffixdedup, variants, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_near_dedup": neardup.op8_minhash_near_dedup,
         "op9_license_scans": licenses.op9_license_scans,
         "op10_warc": warc.op10_warc,
+        "op11_spelling_variants": variants.op11_spelling_variants,
         "op12_centroid_clustering": centroids.op12_centroid_clustering,
         "op13_quality_classifier": factors.op13_quality_classifier,
     }
