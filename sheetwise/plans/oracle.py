@@ -434,9 +434,23 @@ def run_history_sql(n: int = 50) -> str:
             f"QUALIFY row_number() OVER (ORDER BY f.timestamp DESC, f.id DESC) <= {n}")
 
 
-def run_log_roundtrip_sql() -> str:
-    """Every event stands for itself, and once more as an imported record that is folded with a later rerun."""
-    return (f"SELECT id, timestamp, question, sql_query, status, duration_ms, 2 * execution_count AS execution_count FROM ({fold_reruns_sql()})")
+def run_log_import_sql(times: int) -> str:
+    """The folded log, and ``times`` copies of it numbered on from its greatest id."""
+    n = "(SELECT count(*) FROM folded)"
+    copies = [f"""SELECT (SELECT max(id) FROM folded) + {k} * {n} + row_number() OVER (ORDER BY id), "timestamp", question, sql_query, status, duration_ms, execution_count FROM folded""" for k in range(times)]
+    return f"WITH {RUNS_LATEST} SELECT {_FOLD_COLS} FROM folded UNION ALL " + " UNION ALL ".join(copies)
+
+
+def run_log_deletes_sql() -> str:
+    """Runs and deletes one after another per user: an id begins with its first run
+    and is gone if any delete of it, or of everything, comes later."""
+    return """
+WITH ev AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS at, event_id = 40 AS clears, event_type = 'signup' AND value > 150 AND event_id <> 40 AS deletes FROM events),
+runs AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, min(at) OVER (PARTITION BY user_id) AS born, max(at) OVER (PARTITION BY user_id) AS newest FROM ev WHERE NOT clears AND NOT deletes)
+SELECT user_id AS id, ts AS "timestamp", concat('question ', CAST(user_id AS VARCHAR)) AS question, concat('SELECT ', event_type) AS sql_query,
+  CASE WHEN event_type <> 'error' THEN 'success' ELSE 'error' END AS status, CAST(floor(value * 1000) AS BIGINT) AS duration_ms, CAST(n AS BIGINT) AS execution_count
+FROM runs r WHERE at = newest AND NOT EXISTS (SELECT 1 FROM ev d WHERE d.at > r.born AND (d.clears OR (d.deletes AND d.user_id = r.user_id)))
+"""
 
 
 def csv_roundtrip_sql() -> str:

@@ -271,16 +271,41 @@ def q_run_history(spark, sf_dir):
     return R.run_history(_folded(spark, sf_dir)[0], 50).select(*_FOLD_OUT, "row_count", "error")
 
 
-@register("run_log_roundtrip", O.run_log_roundtrip_sql)
-def q_run_log_roundtrip(spark, sf_dir):
-    """The folded log is exported, imported, appended to the executions and folded again."""
+def _as_driver_table(folded):
+    return folded.select(*_FOLD_OUT).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+def _exported(spark, sf_dir):
+    """(the executions, a folder with their folded log exported)."""
     folded, ev = _folded(spark, sf_dir)
     path = scratch_folder(spark, "runs")
     R.export_runs(folded, path)
-    ev = ev.withColumn("ts", F.col("ts").cast("timestamp"))
-    log = R.append_run(R.as_executions(R.import_runs(spark, path)), R.executions_from_events(ev))
-    out = R.fold_reruns(log).select(*_FOLD_OUT)
-    return out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    return R.executions_from_events(ev.withColumn("ts", F.col("ts").cast("timestamp"))), path
+
+
+@register("run_log_roundtrip", lambda: O.run_log_import_sql(1))
+def q_run_log_roundtrip(spark, sf_dir):
+    """The folded log is exported, imported (under new ids), appended to the executions and folded again."""
+    log, path = _exported(spark, sf_dir)
+    return _as_driver_table(R.fold_reruns(R.append_run(log, R.import_runs(spark, path, log))))
+
+
+@register("run_log_import", lambda: O.run_log_import_sql(2))
+def q_run_log_import(spark, sf_dir):
+    """An exported log imported twice gives every record two new entries."""
+    log, path = _exported(spark, sf_dir)
+    for _ in range(2):
+        log = R.append_run(log, R.import_runs(spark, path, log))
+    return _as_driver_table(R.fold_reruns(log))
+
+
+@register("run_log_deletes", O.run_log_deletes_sql)
+def q_run_log_deletes(spark, sf_dir):
+    """Deletes of one entry and of all entries among the runs; later reruns of a deleted id change nothing."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    one, everything = (F.col("event_type") == "signup") & (F.col("value") > 150), F.col("event_id") == 40
+    executions = R.executions_from_events(ev.where(~(one | everything)))
+    return R.fold_log(executions, R.deletes_from_events(ev, one, everything)).select(*_FOLD_OUT)
 
 
 # --- sinks and sources read back ------------------------------------------------------------

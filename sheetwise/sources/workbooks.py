@@ -12,9 +12,13 @@ integral numbers print without a decimal part, booleans as True/False, cells
 with a date format as the date (``2016-04-01 00:00:00``).  Phonetic readings
 (furigana) are not part of a cell's text.
 
-Rows carry the workbook's file name.  When two sources hold the same sheet file
-(a zip and a workbook of one name, or two members of a zip), the source whose
-name sorts last wins, and within a zip the later member.
+Rows carry the workbook's file name.  When several sources hold the same sheet
+file, all zips come before all loose workbooks, so a loose workbook wins over any
+zipped one; among zips the last name wins, and within a zip the later member.
+
+A source that cannot be read stops the job, as do errors in later stages; with
+``on_error="skip"`` its rows are left out, the others stay, and ``failed_sources``
+lists it.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
@@ -181,41 +186,75 @@ def _workbook_members(path: str, content: bytes):
 
 ROWS_PER_BATCH = 500
 INGEST_SCHEMA = T.StructType([*SHEET_ROWS_SCHEMA.fields, T.StructField("workbook", T.StringType()), T.StructField("_source", T.StringType())])
+#: order of sources that hold the same sheet file: the greatest wins
+ZIPPED, LOOSE = 0, 1
 
 
-def _explode_workbooks(batches):
-    columns = [f.name for f in INGEST_SCHEMA.fields]
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            name = posixpath.basename(path)
-            for k, (stem, data) in enumerate(_workbook_members(path, content)):
-                for sheet, rows in iter_xlsx(data):
+def _sheets_of(path: str, content: bytes, columns: list[str]) -> Iterator[pd.DataFrame]:
+    name = posixpath.basename(path)
+    kind = ZIPPED if name.lower().endswith(".zip") else LOOSE
+    for k, (stem, data) in enumerate(_workbook_members(path, content)):
+        for sheet, rows in iter_xlsx(data):
+            out = []
+            for i, cells in enumerate(rows):
+                out.append((f"{stem}_{sheet}", sheet, i, [_escape(c) for c in cells], name, f"{kind}/{name}/{k:06d}"))
+                if len(out) >= ROWS_PER_BATCH:
+                    yield pd.DataFrame(out, columns=columns)
                     out = []
-                    for i, cells in enumerate(rows):
-                        out.append((f"{stem}_{sheet}", sheet, i, [_escape(c) for c in cells], name, f"{name}/{k:06d}"))
-                        if len(out) >= ROWS_PER_BATCH:
-                            yield pd.DataFrame(out, columns=columns)
-                            out = []
-                    if out:
-                        yield pd.DataFrame(out, columns=columns)
+            if out:
+                yield pd.DataFrame(out, columns=columns)
 
 
-def ingest_workbooks(spark: SparkSession, folder: str, target_files: list[str] | None = None) -> DataFrame:
-    """S1 (+S2 target-file filter, +S3 escaping): every worksheet of every
-    workbook under ``folder`` as sheet rows, with the ``workbook`` they are from.
-    Only the listed files are opened: the filter is on file names, before any
-    content is read."""
+def _explode_workbooks(skip: bool):
+    """mapInPandas body.  A skipped source gives one row without cells whose
+    ``_source`` is the error; rows it gave before are left out by ``ingest_workbooks``."""
+    columns = [f.name for f in INGEST_SCHEMA.fields]
+
+    def run(batches):
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    yield from _sheets_of(path, content, columns)
+                except (zipfile.BadZipFile, ET.ParseError, KeyError, IndexError, ValueError, AttributeError, EOFError, zlib.error) as e:
+                    if not skip:
+                        raise
+                    yield pd.DataFrame([("", None, FAILED, None, posixpath.basename(path), f"{type(e).__name__}: {e}")], columns=columns)
+
+    return run
+
+
+#: row number that marks a source that could not be read
+FAILED = -1
+
+
+def _sources(spark: SparkSession, folder: str, target_files: list[str] | None, skip: bool) -> DataFrame:
     found = [f for p in ("xlsx", "zip") for f in list_files(spark, f"{folder.rstrip('/')}/*.{_either_case(p)}")]
     if target_files:
         found = [f for f in found if posixpath.basename(f) in set(target_files)]
     if not found:
-        return spark.createDataFrame([], INGEST_SCHEMA).drop("_source")
+        return spark.createDataFrame([], INGEST_SCHEMA)
     # one input row per workbook; Spark packs files into splits, no shuffle of contents
-    rows = spark.read.format("binaryFile").load(found).select("path", "content").mapInPandas(_explode_workbooks, INGEST_SCHEMA)
-    rows = stored(rows, "workbooks")
+    return stored(spark.read.format("binaryFile").load(found).select("path", "content").mapInPandas(_explode_workbooks(skip), INGEST_SCHEMA), "workbooks")
+
+
+def ingest_workbooks(spark: SparkSession, folder: str, target_files: list[str] | None = None, on_error: str = "stop") -> DataFrame:
+    """S1 (+S2 target-file filter, +S3 escaping): every worksheet of every
+    workbook under ``folder`` as sheet rows, with the ``workbook`` they are from.
+    Only the listed files are opened: the filter is on file names, before any
+    content is read."""
+    return ingest_with_failures(spark, folder, target_files, on_error)[0]
+
+
+def ingest_with_failures(spark: SparkSession, folder: str, target_files: list[str] | None = None, on_error: str = "skip") -> tuple[DataFrame, DataFrame]:
+    """(sheet rows, ``(workbook, error)`` of the sources left out).  A source goes
+    in whole or not at all: its rows from before the error are dropped."""
+    rows = _sources(spark, folder, target_files, on_error == "skip")
+    failed = rows.where(F.col("row_ordinal") == FAILED).select("workbook", F.col("_source").alias("error"))
+    rows = rows.join(failed.select("workbook"), "workbook", "left_anti") if on_error == "skip" else rows
     last = rows.groupBy("source_file").agg(F.max("_source").alias("_last"))
     rows = join_per_file(rows, last)
-    return rows.where(F.col("_source") == F.col("_last")).select(*[f.name for f in SHEET_ROWS_SCHEMA.fields], "workbook")
+    rows = rows.where(F.col("_source") == F.col("_last"))
+    return rows.select(*[f.name for f in SHEET_ROWS_SCHEMA.fields], "workbook"), failed
 
 
 def _either_case(extension: str) -> str:

@@ -108,10 +108,10 @@ def test_run_log_fold_delete_stats_import_export(spark):
     with open(path, "w") as f:
         json.dump([{"id": 5, "question": "q", "sql_query": "s", "status": "success", "result_json": "{}",
                     "duration_ms": 3}], f)
-    imp = R.import_runs(spark, path).collect()
+    imp = R.read_run_log(spark, path).collect()
     assert imp[0]["execution_count"] == 1 and imp[0]["id"] == 5
     R.export_runs(folded.repartition(3), d + "/export")
-    back = R.import_runs(spark, d + "/export")
+    back = R.read_run_log(spark, d + "/export")
     assert sorted(map(tuple, back.select(*folded.columns).collect())) == sorted(map(tuple, folded.collect()))
     # an imported record stands for its count: a later rerun adds one
     again = spark.createDataFrame([(1, 9, t0 + dt.timedelta(days=1), "q1c", "select 9", "success", "{}", 2, 1)], R.EXECUTION_SCHEMA)
@@ -122,7 +122,58 @@ def test_run_log_fold_delete_stats_import_export(spark):
     with open(d + "/notalist.json", "w") as f:
         f.write(' {"id": 5}')
     with pytest.raises(ValueError):
-        R.import_runs(spark, d + "/notalist.json")
+        R.import_runs(spark, d + "/notalist.json", ex)
+
+
+def _runs(spark, rows):
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    return spark.createDataFrame([(i, s, None if t is None else t0 + dt.timedelta(seconds=t), q, f"sql {q}", "success", "{}", 1, n) for i, s, t, q, n in rows], R.EXECUTION_SCHEMA)
+
+
+def test_fold_gives_one_row_per_id_on_ties(spark):
+    ex = _runs(spark, [(1, 0, 5, "a", 2), (1, 0, 5, "b", 2), (1, 0, 5, "b", 2), (2, 0, None, "c", None), (2, 0, None, "c", 3), (None, 1, 1, "d", 1)])
+    got = {r["id"]: (r["question"], r["execution_count"]) for r in R.fold_reruns(ex).collect()}
+    assert got == {1: ("b", 6), 2: ("c", 4), None: ("d", 1)}
+    assert R.fold_reruns(ex).count() == 3
+
+
+def test_imported_records_get_new_ids(spark):
+    d = _tmp()
+    ex = _runs(spark, [(3, 1, 1, "a", 1), (3, 2, 2, "b", 1), (7, 3, 3, "c", 1), (12, 4, 1, "deleted", 1)])
+    R.export_runs(R.delete_runs(R.fold_reruns(ex), spark.createDataFrame([(12,)], "id long")).repartition(2), d + "/log")
+    log = ex
+    for _ in range(2):
+        log = R.append_run(log, R.import_runs(spark, d + "/log", log))
+    got = [(r["id"], r["question"], r["execution_count"]) for r in R.fold_reruns(log).orderBy("id").collect()]
+    # ids of deleted entries are not given again
+    assert got == [(3, "b", 2), (7, "c", 1), (12, "deleted", 1), (13, "b", 2), (14, "c", 1), (15, "b", 2), (16, "c", 1)]
+    with open(d + "/empty.json", "w") as f:
+        f.write("[]")
+    assert R.import_runs(spark, d + "/empty.json", ex).count() == 0
+    assert [r["history_id"] for r in R.import_runs(spark, d + "/log", ex.limit(0)).orderBy("history_id").collect()] == [1, 2]
+
+
+def test_large_import_is_numbered_in_order(spark):
+    d = _tmp()
+    with open(d + "/many.json", "w") as f:
+        json.dump([{"question": f"q{i}", "sql_query": "s", "status": "success", "duration_ms": i} for i in range(5000)], f)
+    got = R.import_runs(spark, d + "/many.json", _runs(spark, [(100, 0, 0, "x", 1)]))
+    assert [(r["history_id"], r["duration_ms"]) for r in got.orderBy("history_id").collect()] == [(101 + i, i) for i in range(5000)]
+
+
+def test_deletes_count_in_the_order_of_events(spark):
+    import datetime as dt
+    ex = _runs(spark, [(1, 1, 1, "a", 1), (1, 5, 5, "rerun after its delete", 1), (2, 2, 2, "b", 1), (2, 6, 6, "b2", 1), (3, 9, 9, "after all were deleted", 1), (4, 3, 3, "cleared", 1), (4, 8, 8, "rerun", 1), (5, 7, 7, "e", 1)])
+    t0 = dt.datetime(2024, 1, 1)
+    deletes = lambda rows: spark.createDataFrame([(i, t0 + dt.timedelta(seconds=t), s) for i, t, s in rows], R.DELETE_SCHEMA)
+    ids = lambda rows: sorted(r["id"] for r in R.fold_log(ex, deletes(rows)).collect())
+    assert ids([]) == [1, 2, 3, 4, 5]
+    assert ids([(1, 3, 3), (2, 1, 1), (99, 4, 4)]) == [2, 3, 4, 5]  # 2 did not exist yet
+    assert ids([(None, 4, 4)]) == [3, 5]
+    assert ids([(None, 4, 4), (5, 7, 7), (3, 8, 8)]) == [3]  # at one position the run comes first
+    got = {r["id"]: r for r in R.fold_log(ex, deletes([(1, 3, 3)])).collect()}
+    assert got[2]["execution_count"] == 2 and got[2]["question"] == "b2"
 
 
 def test_selective_quote_and_csv(spark):

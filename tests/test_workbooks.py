@@ -81,17 +81,45 @@ def test_dates_are_date_text():
     assert dict(read_xlsx(early))["S"] == [["1904-01-02 00:00:00"]]
 
 
-def test_of_same_named_sheets_the_last_source_wins(spark):
+def test_of_same_named_sheets_loose_workbooks_win(spark):
     d = tempfile.mkdtemp(prefix="sheetwise-wb-")
     one = lambda v: make_xlsx([("S", [[("A1", "s", "h")], [("A2", "s", v)]])])
-    with open(os.path.join(d, "database2016.xlsx"), "wb") as f:
-        f.write(one("alone"))
-    with zipfile.ZipFile(os.path.join(d, "z.ZIP"), "w") as z:
-        z.writestr("a/database2016.xlsx", one("first"))
-        z.writestr("b/database2016.xlsx", one("second"))
-    rows = ingest_workbooks(spark, d).orderBy("row_ordinal").collect()
-    assert [(r["source_file"], r["cells"], r["workbook"]) for r in rows] == [("database2016_S", ["h"], "z.ZIP"), ("database2016_S", ["second"], "z.ZIP")]
+    for name in ("database2016.xlsx", "database2018.xlsx"):
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(one("alone"))
+    for name, values in (("z.ZIP", ("first", "second")), ("a.zip", ("old", "older"))):
+        with zipfile.ZipFile(os.path.join(d, name), "w") as z:
+            for k, v in zip("ab", values, strict=True):
+                z.writestr(f"{k}/database2016.xlsx", one(v))
+                z.writestr(f"{k}/database2017.xlsx", one(v))
+    rows = ingest_workbooks(spark, d).orderBy("source_file", "row_ordinal").collect()
+    assert [(r["source_file"], r["cells"], r["workbook"]) for r in rows if r["row_ordinal"] == 1] == [
+        ("database2016_S", ["alone"], "database2016.xlsx"),  # a loose workbook, whatever the zips' names
+        ("database2017_S", ["second"], "z.ZIP"),             # the last zip, its later member
+        ("database2018_S", ["alone"], "database2018.xlsx")]
     assert ingest_workbooks(spark, d, target_files=["none.xlsx"]).count() == 0
+    only = ingest_workbooks(spark, d, target_files=["a.zip"]).where("row_ordinal = 1").collect()
+    assert {(r["source_file"], r["cells"][0]) for r in only} == {("database2016_S", "older"), ("database2017_S", "older")}
+
+
+def test_broken_sources_can_be_left_out(spark):
+    import pytest
+
+    from sheetwise.sources.workbooks import ingest_with_failures
+    d = tempfile.mkdtemp(prefix="sheetwise-wb-")
+    good = make_xlsx([("S", [[("A1", "s", "h")], [("A2", "s", "v")]])])
+    with open(os.path.join(d, "good.xlsx"), "wb") as f:
+        f.write(good)
+    with open(os.path.join(d, "broken.xlsx"), "wb") as f:
+        f.write(b"not a zip")
+    with zipfile.ZipFile(os.path.join(d, "half.zip"), "w") as z:  # its first member is fine
+        z.writestr("a.xlsx", good)
+        z.writestr("b.xlsx", b"PK broken")
+    rows, failed = ingest_with_failures(spark, d)
+    assert {r["workbook"] for r in rows.collect()} == {"good.xlsx"}
+    assert {r["workbook"] for r in failed.collect()} == {"broken.xlsx", "half.zip"}
+    with pytest.raises(Exception, match="BadZipFile"):
+        ingest_workbooks(spark, d)
 
 
 def test_ingest_folder_with_zip(spark):
