@@ -21,6 +21,8 @@ into one space, blocks trimmed and joined by two line feeds in page order.
 a page cut off in the middle is read as far as it goes (a cut-off tag is
 dropped); unclosed and wrongly nested tags are closed as browsers do for p, li,
 table parts and the like; nesting of any depth is handled without recursion;
+a tag whose quotes never close is text; a page of any length, however broken, is
+read whole in time in proportion to it; a node at exactly 1/2 is not kept;
 repeated rows give repeated results; extra columns are ignored.
 """
 
@@ -44,7 +46,7 @@ figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu n
 tfoot th thead tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
-SILENT = frozenset("script style title textarea iframe noembed noframes noscript template svg math object select button head datalist canvas audio video".split())
+SILENT = frozenset("script style title textarea iframe noembed noframes noscript template select button head datalist".split())
 CLOSES_P = BLOCKS - {"body", "caption", "html", "tbody", "td", "tfoot", "th", "thead", "tr", "legend"}
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
           "tbody": ("tbody", "thead", "tfoot", "tr"), "tfoot": ("tbody", "thead", "tr"), "thead": ("tbody", "tfoot", "tr"),
@@ -52,7 +54,9 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 WALLS = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"])} | {
     t: frozenset(["table"]) for t in ("tr", "td", "th", "tbody", "thead", "tfoot")} | {"option": frozenset(["select"]), "p": frozenset(["td", "th", "table", "caption", "button", "object"])}
 
-MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z", re.S)
+OPENING = re.compile(r"<!--|</?[a-zA-Z][^\s/>]*|<[!?/]")
+COMMENT_END = re.compile(r"--!?>")
+SPECIAL = re.compile(r"[>\"']")
 NAMES = re.compile(r"""\b(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -73,29 +77,66 @@ class Tree:
         return len(self.parent) - 1
 
 
+class Tags:
+    """Ends of the tags of a page.  A tag ends at the first ``>`` outside quotes;
+    one whose quotes or ``>`` never close is no tag.  Where a scan stands outside
+    quotes determines what follows, so a place from which one scan failed fails
+    every other; and between two special characters all scans agree on the next
+    one.  So the work is linear in the page, however broken it is."""
+
+    def __init__(self, html: str):
+        self.html, self.failed, self.gap = html, set(), (0, -1)
+        self.last = {q: html.rfind(q) for q in "\"'"}
+
+    def special(self, at: int) -> int:
+        """The next of > " ' (the length of the page if there is none)."""
+        low, high = self.gap
+        if not low <= at <= high:
+            m = SPECIAL.search(self.html, at)
+            self.gap = at, m.start() if m else len(self.html)
+        return self.gap[1]
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that closes a tag whose name ends at ``at``; -1 if none does."""
+        seen = []
+        while True:
+            at = self.special(at)
+            if at < len(self.html) and self.html[at] == ">":
+                return at
+            seen.append(at)
+            if at == len(self.html) or at in self.failed or self.last[self.html[at]] == at:
+                self.failed.update(seen)
+                return -1
+            at = self.html.find(self.html[at], at + 1) + 1
+
+
 def parse(html: str) -> Tree:
-    tree = Tree()
+    tree, tags = Tree(), Tags(html)
     stack = [("#page", 0)]  # open elements and the node that owns their text
-    open_ = defaultdict(int)
-    block, links, silent, at, end = 0, 0, 0, 0, len(html)
+    open_ = defaultdict(list)  # places in the stack, by tag
+    open_blocks = []
+    block, links, silent, at, look, end = 0, 0, 0, 0, 0, len(html)
+    last_opening = html.rfind("<")
 
     def close(i: int) -> None:
         nonlocal block, links, silent
-        for tag, _ in stack[i:]:
-            open_[tag] -= 1
+        for tag, _ in reversed(stack[i:]):
+            open_[tag].pop()
             links -= tag == "a"
             silent -= tag in SILENT
-            block += tag in BLOCKS
+            if tag in BLOCKS:
+                block += 1
+                open_blocks.pop()
         del stack[i:]
 
+    def nearest(names) -> int:
+        return max((open_[n][-1] for n in names if open_[n]), default=-1)
+
     def close_open(names, walls) -> None:
         """Closes the nearest open element of these names, if no wall is nearer."""
-        if any(open_[n] for n in names):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in walls:
-                    return
-                if stack[i][0] in names:
-                    return close(i)
+        i = nearest(names)
+        if i > nearest(walls):
+            close(i)
 
     def text(piece: str) -> None:
         if piece and not silent:
@@ -104,23 +145,37 @@ def parse(html: str) -> Tree:
             tree.texts.append((stack[-1][1], block, piece, links > 0))
 
     while at < end:
-        m = MARKUP.search(html, at)
+        m = OPENING.search(html, look)
         if not m:
             break
-        text(html[at:m.start()])
-        at = m.end()
-        if not m[2]:
+        start, opening = m.start(), m[0]
+        if opening == "<!--":
+            closed = COMMENT_END.search(html, m.end())
+            stop = closed.end() if closed else end
+            tag = ""
+        else:
+            tag = opening.lstrip("</").lower()
+            found = tags.end(m.end()) if tag and opening[1] not in "!?" else -1
+            if found >= 0:
+                stop, attributes = found + 1, html[m.end():found]
+            elif opening[1] in "!?/":
+                stop, tag = html.find(">", m.end()) + 1 or end, ""
+            elif start == last_opening:
+                stop, tag = end, ""
+            else:  # no tag: the character is text
+                look = start + 1
+                continue
+        text(html[at:start])
+        at = look = stop
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if opening[1] == "/":
             if tag == "br":
                 text(" ")
             elif open_[tag]:
-                i = len(stack) - 1
-                while stack[i][0] != tag:
-                    i -= 1
+                i = open_[tag][-1]
                 # an inline end tag does not close the blocks around it
-                if tag in BLOCKS or tag in SILENT or not any(t in BLOCKS for t, _ in stack[i + 1:]):
+                if tag in BLOCKS or tag in SILENT or not open_blocks or open_blocks[-1] < i:
                     close(i)
             continue
         if tag in VOID:
@@ -132,7 +187,7 @@ def parse(html: str) -> Tree:
             continue
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(html, at)
-            at = stop.end() if stop else end
+            at = look = stop.end() if stop else end
             continue
         if tag in ("html", "body") and open_[tag]:
             continue
@@ -144,14 +199,16 @@ def parse(html: str) -> Tree:
             close_open(names, WALLS.get(tag, frozenset()))
             if len(stack) == before:
                 break
-        found = {k.lower(): a or b or c for k, a, b, c in NAMES.findall(m[3])} if m[3] and "=" in m[3] else {}
+        found = {k.lower(): a or b or c for k, a, b, c in NAMES.findall(attributes)} if "=" in attributes else {}
         owner = stack[-1][1]
         if tag in BLOCKS:
             block += 1
         if tag in BLOCKS or found:
             owner = tree.add(owner, tag, found)
+        open_[tag].append(len(stack))
+        if tag in BLOCKS:
+            open_blocks.append(len(stack))
         stack.append((tag, owner))
-        open_[tag] += 1
         links += tag == "a"
         silent += tag in SILENT
     text(html[at:])
@@ -160,11 +217,6 @@ def parse(html: str) -> Tree:
 
 # ---- the model ------------------------------------------------------------------
 
-#: The children of a node are much alike (paragraphs, menu entries), so their
-#: evidence is not independent: in all they count as this many at most.
-CHILDREN = 4
-
-
 def _kind(tree: Tree, i: int) -> str:
     """What the edge to the parent is told apart by: tag, named or not, and
     whether it hangs directly from the body."""
@@ -216,17 +268,12 @@ def marginals(tree: Tree, model: dict) -> list[float]:
         x = math.exp(max(-30.0, min(30.0, sum(unary.get(f, 0.0) for f in found))))
         local.append((1 / (1 + x), x / (1 + x)))
     chance = [edge.get(_kind(tree, i), other) for i in range(n)]
-    children = [0] * n
-    for j in tree.parent[1:]:
-        children[j] += 1
     below = list(local)  # evidence of the subtree, per label of the node
     up = [(1.0, 1.0)] * n  # message to the parent, per label of the parent
     for i in range(n - 1, 0, -1):
         b0, b1 = below[i]
         m0, m1 = (p * b1 + (1 - p) * b0 for p in chance[i])
         j = tree.parent[i]
-        if children[j] > CHILDREN:
-            m0, m1 = m0 ** (CHILDREN / children[j]), m1 ** (CHILDREN / children[j])
         up[i] = m0, m1
         a0, a1 = below[j][0] * m0, below[j][1] * m1
         s = a0 + a1

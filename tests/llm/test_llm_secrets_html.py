@@ -118,7 +118,8 @@ def brute_marginals(tree, m):
 def test_messages_give_exact_marginals():
     m = model()
     for page in ("<body><nav><a href=x>Home</a></nav><article><p>Some long words here and there.</p><div class=ad>Buy</div></article></body>",
-                 "<div class=content><p>Text text text.</p></div><footer>c</footer>"):
+                 "<div class=content><p>Text text text.</p></div><footer>c</footer>",
+                 "<ul><li>a b c<li class=ad>buy it<li>some more words of text<li>x<li><a href=y>y</a><li>and so on</ul>"):
         tree = html.parse(page)
         assert all(abs(a - b) < 1e-9 for a, b in zip(html.marginals(tree, m), brute_marginals(tree, m), strict=True))
 
@@ -135,6 +136,28 @@ def test_text_and_markup():
     assert isinstance(html.extract(deep, m), str)
 
 
+def test_elements_with_text_of_their_own():
+    m = model()
+    page = ("<body><nav><a href=a>Home</a></nav><article><h1>On energy</h1><p>Energy is <math><mi>E</mi>=mc<sup>2</sup></math> and more of it than one would think.</p>"
+            "<object data=x><p>A text that stands for the missing picture of it.</p></object><svg><text>Drawn words</text></svg><p>It ends here, after some more words of text.</p>"
+            "<video src=v>Words for those who see no film.</video><form><select><option>optional</select><button>Go</button></form></article><footer>&copy; us</footer>")
+    got = html.extract(page, m)
+    for piece in ("Energy is E=mc2 and more of it", "A text that stands for the missing picture of it.", "Drawn words", "Words for those who see no film."):
+        assert piece in got
+    assert "optional" not in got and "Go" not in got.split()
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+    for page in ("<a '" * 1_250_000, '<a b="' * 800_000, "<a " * 1_600_000, "<div><a>" + "<div>" * 300_000 + "</a>" * 300_000, "<p>" + "<b>" * 300_000 + "<p>" * 300_000,
+                 "<!--" * 1_000_000, "<a \"'" * 900_000, '</a "' * 900_000, "<script>" * 500_000):
+        start = time.time()
+        html.parse(page)
+        assert time.time() - start < 30, page[:12]
+    # a quote that never closes is no tag: its text stays
+    assert html.parse("<p>one <a 'two</p> three").texts[0][2] == "one <a 'two"
+
+
 def test_own_pages(spark, sf_dir):
     """The article of every page, by a plain reading of their one layout."""
     from html import unescape
