@@ -154,15 +154,20 @@ BARE_YEAR_HEISEI_OFFSET = 1988
 # hyphen-like code points: - ‐ ‑ ‒ – — ― − －
 HYPHEN_CODEPOINTS = [0x002D, 0x2010, 0x2011, 0x2012, 0x2013, 0x2014, 0x2015, 0x2212, 0xFF0D]
 LONG_VOWEL_MARK = "ー"
-# misspelt group label (parts joined by any hyphen) -> repaired label
-GROUP_LABEL_REPAIR = (["リスト", "グル", "プ"], "リスト-グループ")
-# protected label (parts joined by any hyphen); kept exactly as written
-GROUP_LABEL_PROTECTED = ["リスト", "グループ"]
+# misspelt group label (its hyphens stand for any hyphen) -> repaired label
+GROUP_LABEL_REPAIR = ("リスト-グル-プ", "リスト-グループ")
+# protected label (its hyphen stands for any hyphen); kept exactly as written
+GROUP_LABEL_PROTECTED = "リスト-グループ"
 KATAKANA_RANGE = "ァ-ヴ"
 KANA_KANJI_RANGE = "ぁ-んァ-ヴ一-龠"
 
 # ---------------------------------------------------------------------------
-# FIXED VALUES: run log
+# FIXED VALUES: schema document
 # ---------------------------------------------------------------------------
-RUN_LOG_COLUMNS = ["id", "timestamp", "question", "sql_query", "status", "result_json",
-                   "duration_ms", "execution_count"]
+SCHEMA_DOCUMENT = {
+    "title": "# データベーススキーマ\n",
+    "names": "**テーブル一覧:** `%s`\n\n",
+    "table": "## テーブル: `%s`\n\n| カラム名 | データ型 |\n|---|---|\n",
+    "column": "| `%s` | `%s` |\n",
+}
+SCHEMA_PLACE = "{{schema}}"

@@ -69,8 +69,8 @@ RE_TILDE = PY_SPACE + "*[~" + K.TILDE + "]" + PY_SPACE + "*"
 RE_ERA_RANGE = "(" + _ERA_ALT + ")(" + _YEAR + ")" + PY_SPACE + "*" + K.TILDE + PY_SPACE + "*([0-9]{1,2})"
 RE_ERA_SINGLE = "(" + _ERA_ALT + ")(" + _YEAR + ")"
 RE_BARE_YEAR = "(?<![0-9])([0-9]{1,2})年度"
-RE_LABEL_REPAIR = HY.join(K.GROUP_LABEL_REPAIR[0])
-RE_LABEL_PROTECTED = HY.join(K.GROUP_LABEL_PROTECTED)
+RE_LABEL_REPAIR = HY.join(K.GROUP_LABEL_REPAIR[0].split("-"))
+RE_LABEL_PROTECTED = HY.join(K.GROUP_LABEL_PROTECTED.split("-"))
 RE_KATAKANA_HYPHEN = "([" + K.KATAKANA_RANGE + "])" + HY + "(?=[" + K.KATAKANA_RANGE + "])"
 RE_KANA_DASH = "([" + K.KANA_KANJI_RANGE + "])-(?=[" + K.KANA_KANJI_RANGE + "])"
 
@@ -257,11 +257,3 @@ def post_cells(pre: Column, sent: Column) -> Column:
     folded = F.when(sent.isNull(), pre).otherwise(F.zip_with(pre, sent, lambda p, n: F.coalesce(n, p)))
     return F.transform(folded, lambda c: F.when(c.isNull() | (c == ""), c)
                        .when(post_trigger(c), _post_chain(c)).otherwise(c))
-
-
-def normalize_cells(cells: Column) -> Column:
-    """Normalize every element of an ``ARRAY<STRING>`` (a whole sheet row)."""
-    pre = F.transform(cells, lambda c: F.when(c == "", c).otherwise(pre_nfkc(c)))
-    sent = nfkc_cells(F.transform(pre, lambda c: F.when(needs_nfkc(c), c)))
-    folded = F.zip_with(pre, sent, lambda p, n: F.coalesce(n, p))
-    return F.transform(folded, lambda c: F.when(c.isNull() | (c == ""), c).otherwise(post_nfkc(c)))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheetwise import constants as K
 from sheetwise.functions.casts import NUMERIC_TEXT
 
 INTEGER_TEXT = r"^\s*[+-]?[0-9]+\s*$"
@@ -41,16 +42,19 @@ def describe_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFr
 
 def schema_markdown(described: DataFrame) -> DataFrame:
     """The schema description as one Markdown document (one row)."""
-    line = F.format_string("| `%s` | `%s` |", F.col("column_name"), F.col("data_type"))
-    per_table = described.groupBy("table_name").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("l")))),
-                                 lambda s: s["l"]), "\n").alias("rows"))
-    block = F.format_string("## Table: `%s`\n\n| column | type |\n|---|---|\n%s\n", F.col("table_name"), F.col("rows"))
-    doc = per_table.agg(F.array_join(F.array_sort(F.collect_list(F.struct("table_name", block.alias("b")))
-                                                  ).getField("b"), "\n").alias("body"),
-                        F.array_join(F.array_sort(F.collect_list("table_name")), "`, `").alias("names"))
-    return doc.select(F.concat(F.lit("# Database schema\n\n**Tables:** `"), F.col("names"), F.lit("`\n\n"),
-                               F.col("body")).alias("markdown"))
+    m = K.SCHEMA_DOCUMENT
+    line = F.format_string(m["column"], F.col("column_name"), F.col("data_type"))
+    per_table = described.groupBy("table_name").agg(F.array_sort(F.collect_list(F.struct("position", line.alias("l")))).alias("lines"))
+    block = F.concat(F.format_string(m["table"], F.col("table_name")), F.array_join(F.col("lines.l"), ""), F.lit("\n"))
+    doc = per_table.agg(F.array_sort(F.collect_list(F.struct("table_name", block.alias("b")))).alias("t"))
+    names = F.array_join(F.col("t.table_name"), "`, `")
+    return doc.select(F.concat(F.lit(m["title"]), F.format_string(m["names"], names), F.array_join(F.col("t.b"), "")).alias("markdown"))
+
+
+def prompt(template: DataFrame, markdown: DataFrame) -> DataFrame:
+    """A template (column ``template``) with the schema document wherever it
+    says ``{{schema}}``."""
+    return template.select(F.replace("template", F.lit(K.SCHEMA_PLACE), markdown.scalar()).alias("prompt"))
 
 
 def infer_types(df: DataFrame, table_name: str) -> DataFrame:

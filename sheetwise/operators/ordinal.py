@@ -34,6 +34,6 @@ def dense_ordinal(df: DataFrame, file_col: str, order_cols: list[str], name: str
     counts = numbered.groupBy("_pid", file_col).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     before = Window.partitionBy(file_col).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    out = numbered.join(stored(offsets.coalesce(1), "offsets"), ["_pid", file_col])
+    out = numbered.join(stored(offsets, "offsets"), ["_pid", file_col])
     return (out.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_first") + 1)
                .drop("_pid", "_mid", "_first", "_off"))

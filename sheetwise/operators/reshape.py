@@ -1,12 +1,10 @@
 """Unpivot and regroup.
 
-``pick_cells`` is the unpivot: each sheet row meets its file's layout (the
-recognized header positions, one small array per file) and emits only the recognized, non-blank cells -- no explode of the
-other thousands of columns.  ``regroup`` is the keyed collection with an
-explicit conflict rule: last column wins (``max_by``) or first column wins
-(``min_by``).  Both aggregates combine map-side, and all cells of a sheet row
-sit in one partition, so the shuffle carries one partial row per output
-record, not one per cell.
+``regroup_rows`` is the unpivot and the keyed collection in one: each sheet row
+meets its file's layout (the recognized header positions, one small array per
+file) and takes only the recognized, non-blank cells -- no explode of the other
+thousands of columns -- with an explicit conflict rule: last column wins or first
+column wins.
 """
 
 from __future__ import annotations
@@ -24,50 +22,24 @@ def is_blank(v: Column) -> Column:
     return v.isNull() | v.rlike("^" + PY_SPACE + "*\\z")
 
 
-def file_layout(parsed: DataFrame, fields: list[str]) -> DataFrame:
-    """One row per file: the recognized header positions and their parsed fields.
-
-    A sheet has a bounded width (a worksheet has at most 16,384 columns), so
-    one file's layout is a bounded array.
-    """
-    return parsed.groupBy("source_file").agg(
-        F.collect_list(F.struct(F.col("col_idx"), *[F.col(f) for f in fields])).alias("_layout"))
-
-
-def pick_cells(rows: DataFrame, parsed: DataFrame, fields: list[str], keep_blank: bool = False,
-               row_cols: list[str] | None = None) -> DataFrame:
-    """(source_file, row_ordinal, *row_cols, col_idx, *fields, value) for recognized cells."""
-    layout = file_layout(parsed, fields)
-    extra = row_cols or []
-    r = join_per_file(data_rows(rows), layout)
-    picked = F.transform("_layout", lambda h: F.struct(
-        h["col_idx"].alias("col_idx"), *[h[f].alias(f) for f in fields],
-        F.try_element_at(F.col("cells"), h["col_idx"] + 1).alias("value")))
-    out = r.select("source_file", "row_ordinal", *extra, F.explode(picked).alias("_c")).select(
-        "source_file", "row_ordinal", *extra, "_c.*")
-    return out if keep_blank else out.where(~is_blank(F.col("value")))
-
-
-def regroup(cells: DataFrame, keys: list[str], item_col: str, items: list[str], value: Column | str = "value",
-            order: Column | str = "col_idx", rule: str = "last") -> DataFrame:
-    """A3/A4: one row per key, one column per item; on conflict the last
-    (``rule='last'``) or first (``'first'``) by ``order`` wins."""
-    v = F.col(value) if isinstance(value, str) else value
-    o = F.col(order) if isinstance(order, str) else order
-    agg = F.max_by if rule == "last" else F.min_by
-    it = F.col(item_col)
-    return cells.groupBy(*keys).agg(*[agg(F.when(it == x, v), F.when(it == x, o)).alias(x) for x in items])
+def _texts(values: list[str]) -> Column:
+    quoted = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"array({quoted})")
 
 
 def record_layout(parsed: DataFrame, keys: list[str], item_col: str, items: list[str], rule: str = "last") -> DataFrame:
     """Per file: the output records a sheet row can produce -- record key
-    fields plus, per item, its candidate positions in conflict order (last
-    column first for ``rule='last'``).  Built from the header dimension only."""
-    per_item = [F.sort_array(F.collect_list(F.when(F.col(item_col) == x, F.col("col_idx"))), asc=(rule != "last"))
-                .alias(f"_c{j}") for j, x in enumerate(items)]
-    rec = parsed.groupBy("source_file", *keys).agg(*per_item)
-    return rec.groupBy("source_file").agg(
-        F.collect_list(F.struct(*[F.col(k) for k in keys], *[F.col(f"_c{j}") for j in range(len(items))])).alias("_records"))
+    fields plus ``_c``, per item its candidate positions in conflict order (last
+    column first for ``rule='last'``).  Built from the header dimension only.
+
+    A sheet has a bounded width (a worksheet has at most 16,384 columns), so
+    one file's layout is a bounded array.
+    """
+    number = F.array_position(_texts(items), F.col(item_col)) - 1
+    rec = parsed.groupBy("source_file", *keys).agg(F.collect_list(F.struct(number.alias("j"), F.col("col_idx").alias("i"))).alias("_l"))
+    per_item = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(len(items) - 1).cast("long")), lambda j: F.sort_array(
+        F.transform(F.filter("_l", lambda s: s["j"] == j), lambda s: s["i"]), asc=(rule != "last")))
+    return rec.groupBy("source_file").agg(F.collect_list(F.struct(*[F.col(k) for k in keys], per_item.alias("_c"))).alias("_records"))
 
 
 def regroup_rows(rows: DataFrame, parsed: DataFrame, keys: list[str], item_col: str, items: list[str],
@@ -88,16 +60,11 @@ def regroup_rows(rows: DataFrame, parsed: DataFrame, keys: list[str], item_col:
         vals = F.transform(cands, lambda i: F.try_element_at(F.col("cells"), i + 1))
         return F.try_element_at(F.filter(vals, lambda v: ~missing(v)), F.lit(1))
 
-    recs = F.transform("_records", lambda rc: F.struct(
-        *[rc[k].alias(k) for k in keys], *[pick(rc[f"_c{j}"]).alias(x) for j, x in enumerate(items)]))
-    out = r.select("source_file", "row_ordinal", F.explode(recs).alias("_r")).select("source_file", "row_ordinal", "_r.*")
-    if keep_empty:
-        return out
-    has_value = None
-    for x in items:
-        c = F.col(f"`{x}`").isNotNull()
-        has_value = c if has_value is None else has_value | c
-    return out.where(has_value)
+    recs = F.transform("_records", lambda rc: F.struct(*[rc[k].alias(k) for k in keys], F.transform(rc["_c"], pick).alias("_v")))
+    out = r.select("source_file", "row_ordinal", F.explode(recs).alias("_r"))
+    if not keep_empty:
+        out = out.where(F.exists("_r._v", lambda v: v.isNotNull()))
+    return out.select("source_file", "row_ordinal", *[F.col(f"_r.{k}") for k in keys], *[F.col("_r._v")[j].alias(x) for j, x in enumerate(items)])
 
 
 def melt(df: DataFrame, id_cols: list[str], value_cols: list[str], var_name: str = "original_column",

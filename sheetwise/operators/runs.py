@@ -199,7 +199,8 @@ def export_runs(log: DataFrame, path: str) -> None:
             yield pd.DataFrame({"value": out})
         yield pd.DataFrame({"value": ["]" if gap == "," else "[]"]})
 
-    (log.orderBy("id").select(F.to_json(F.struct("*")).alias("value")).mapInPandas(listed, "value string")
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    (log.orderBy("id").select(F.to_json(F.struct("*"), exact).alias("value")).mapInPandas(listed, "value string")
      .write.mode("overwrite").text(path))
 
 

@@ -9,7 +9,9 @@ rebuilding it; 7 = publish only):
 7. publish: write the tables that exist and a row-count manifest
 
 Every stage output is a Parquet table in ``work_dir`` -- the boundary between
-stages is durable, so a lost executor costs at most the running stage.
+stages is durable, so a lost executor costs at most the running stage.  Stage
+tables and published tables are versions behind a pointer (``sinks.versions``):
+readers see a whole set, the old one until the new one is complete.
 """
 
 from __future__ import annotations
@@ -19,8 +21,7 @@ from pyspark.sql import functions as F
 
 from sheetwise.functions.text import nfkc_sent, post_cells, pre_cells
 from sheetwise.plans import tables as TB
-
-TABLE_NAMES = ["ministries", "business", "budgets", "fund_flow", "expenditure"]
+from sheetwise.sinks import versions
 
 
 def normalize_sheet_rows(rows: DataFrame) -> DataFrame:
@@ -35,39 +36,13 @@ def normalize_sheet_rows(rows: DataFrame) -> DataFrame:
             .select(*cols, post_cells(F.col("_pre"), F.col("_sent")).alias("cells")))
 
 
-def build_tables(spark: SparkSession, normalized: DataFrame, header_rows: DataFrame | None = None,
-                 drop_absent_budget_columns: bool = True) -> dict[str, DataFrame]:
-    """The five tables from normalized sheet rows (``header_rows``: the
-    row-0 rows kept as their own table, if available)."""
-    return {
-        "ministries": TB.ministries(spark),
-        "business": TB.business(normalized, header_rows=header_rows),
-        "budgets": TB.budgets(normalized, drop_absent=drop_absent_budget_columns, header_rows=header_rows),
-        "fund_flow": TB.fund_flow(normalized, header_rows=header_rows),
-        "expenditure": TB.expenditure(normalized, header_rows=header_rows),
-    }
-
-
-def manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, row_count) for every built table, one job."""
-    parts = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
-             for name, df in tables.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def publish(tables: dict[str, DataFrame], out_dir: str) -> DataFrame:
-    """K7: write every table as Parquet (business partitioned by year) and
-    return the manifest read back from what was written."""
+def publish(tables: dict[str, DataFrame], out_dir: str, keep_if_empty: bool = False) -> DataFrame:
+    """Write the tables as one new set (business partitioned by year) and
+    return the manifest (table_name, row_count) of the set that readers see then.
+    Rows are counted while they are written."""
     spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        w = df.write.mode("overwrite")
-        if name == "business":
-            w = w.partitionBy("source_year")
-        w.parquet(f"{out_dir}/{name}")
-    return manifest({n: spark.read.parquet(f"{out_dir}/{n}") for n in tables})
+    versions.write_set(tables, out_dir, {"business": ["source_year"]}, keep_if_empty)
+    return versions.manifest(spark, out_dir)
 
 
 def _workbook_of(rows: DataFrame):
@@ -75,28 +50,6 @@ def _workbook_of(rows: DataFrame):
     return F.coalesce(F.col("workbook"), F.concat(F.regexp_extract("source_file", "^(.*)_[^_]*$", 1), F.lit(".xlsx")))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    from sheetwise.sources.sheets import list_files
-    return bool(list_files(spark, f"{path}/_SUCCESS"))
-
-
-def _replace(df: DataFrame, path: str, partition_by: list[str] | None = None, keep_if_empty: bool = False) -> None:
-    """Build ``df`` once into the folder beside ``path`` and put it in its place,
-    so that a failed build leaves the old table and ``df`` may read it."""
-    spark = df.sparkSession
-    aside = f"{path}.new"
-    df.write.mode("overwrite").partitionBy(*partition_by or []).parquet(aside)
-    if keep_if_empty and spark.read.schema(df.schema).parquet(aside).isEmpty():
-        return
-    jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.mkdirs(old.getParent())
-    if not fs.rename(new, old):
-        raise RuntimeError(f"cannot move {aside} to {path}")
-
-
 TABLE_STAGE = {"ministries": 3, "business": 3, "budgets": 4, "fund_flow": 5, "expenditure": 6}
 
 
@@ -111,25 +64,24 @@ def run_job(spark: SparkSession, work_dir: str, source: DataFrame | None = None,
     saved stage-2 table; an empty result leaves an older table published
     (SURVEY Q12).  ``start_stage=7`` only publishes the manifest.
     """
-    raw_path, norm_path, out_path = f"{work_dir}/sheet_rows", f"{work_dir}/normalized", f"{work_dir}/tables"
-    head_raw, head_norm = f"{work_dir}/header_rows", f"{work_dir}/normalized_header_rows"
+    stages, out_path = f"{work_dir}/stages", f"{work_dir}/tables"
     if start_stage <= 1:
         rows = source if "workbook" in source.columns else source.withColumn("workbook", F.lit(None).cast("string"))
         if target_files:
-            named = _workbook_of(rows).isin(*target_files)
-            rows = rows.where(named)
-            if _exists(spark, raw_path):
-                kept = spark.read.parquet(raw_path)
-                rows = rows.unionByName(kept.where(~_workbook_of(kept).isin(*target_files)))
-        _replace(rows, raw_path)
+            rows = rows.where(_workbook_of(rows).isin(*target_files))
+            before = versions.read_set(spark, stages).get("sheet_rows")
+            if before is not None:
+                rows = rows.unionByName(before.where(~_workbook_of(before).isin(*target_files)))
+        versions.write_set({"sheet_rows": rows}, stages)
         # header rows as their own small table: later stages find every
         # file's header without scanning the data rows
-        spark.read.parquet(raw_path).where(F.col("row_ordinal") == 0).write.mode("overwrite").parquet(head_raw)
+        versions.write_set({"header_rows": versions.read_set(spark, stages)["sheet_rows"].where(F.col("row_ordinal") == 0)}, stages)
     if start_stage <= 2:
-        normalize_sheet_rows(spark.read.parquet(raw_path)).write.mode("overwrite").parquet(norm_path)
-        normalize_sheet_rows(spark.read.parquet(head_raw)).write.mode("overwrite").parquet(head_norm)
+        raw = versions.read_set(spark, stages)
+        versions.write_set({"normalized": normalize_sheet_rows(raw["sheet_rows"]), "normalized_header_rows": normalize_sheet_rows(raw["header_rows"])}, stages)
     if start_stage <= 6:
-        normalized, heads = spark.read.parquet(norm_path), spark.read.parquet(head_norm)
+        saved = versions.read_set(spark, stages)
+        normalized, heads = saved["normalized"], saved["normalized_header_rows"]
         builders = {
             "ministries": lambda: TB.ministries(spark),
             "business": lambda: TB.business(normalized, header_rows=heads),
@@ -137,20 +89,5 @@ def run_job(spark: SparkSession, work_dir: str, source: DataFrame | None = None,
             "fund_flow": lambda: TB.fund_flow(normalized, header_rows=heads),
             "expenditure": lambda: TB.expenditure(normalized, header_rows=heads),
         }
-        for name, build in builders.items():
-            if TABLE_STAGE[name] < start_stage:
-                continue
-            _replace(build(), f"{out_path}/{name}", ["source_year"] if name == "business" else [], keep_if_empty=True)
-    return published_manifest(spark, out_path)
-
-
-def published_manifest(spark: SparkSession, out_path: str) -> DataFrame:
-    """K7: manifest of the tables that exist in the output folder."""
-    from sheetwise.sources.sheets import list_files
-    present = {}
-    for name in TABLE_NAMES:
-        if list_files(spark, f"{out_path}/{name}/_SUCCESS"):
-            present[name] = spark.read.parquet(f"{out_path}/{name}")
-    if not present:
-        return spark.createDataFrame([], "table_name string, row_count bigint")
-    return manifest(present)
+        publish({name: build() for name, build in builders.items() if TABLE_STAGE[name] >= start_stage}, out_path, keep_if_empty=True)
+    return versions.manifest(spark, out_path)

@@ -163,19 +163,13 @@ def business_key_sql() -> str:
 
 # --- analytics on the built tables --------------------------------------------------
 
-def _tables_cte() -> str:
-    return (f"WITH {ORDER_ROWS}, business AS (SELECT {business_select()} FROM review), "
-            f"ministries AS ({ministries_sql()}), "
-            f"budgets AS ({budgets_sql().replace('WITH ' + ORDER_ROWS + ', ', 'WITH ', 1)})")
-
-
-def _review_budget() -> str:
-    """Straight from the numbers: ministry, project name and current initial
-    budget of every review order, budgets merged over ids (the later file wins)."""
-    value = budget_columns_sql()["予算の状況当初予算"]
+def _review_budget(column: str = "予算の状況当初予算") -> str:
+    """Straight from the numbers: id, ministry, project name and one budget column
+    of every review order, budgets merged over ids (the later file wins)."""
+    value = budget_columns_sql()[column]
     return (f"WITH {ORDER_ROWS}, rv AS (SELECT {business_select()}, source_file, {value} AS v FROM review), "
             "merged AS (SELECT business_id AS i, arg_max(v, source_file || '.csv') FILTER (WHERE v IS NOT NULL) AS v FROM rv GROUP BY business_id), "
-            "p AS (SELECT rv.ministry_id AS mid, rv.\"事業名\" AS project, TRY_CAST(merged.v AS DOUBLE) AS amount FROM rv, merged WHERE merged.i = rv.business_id)")
+            "p AS (SELECT merged.i, rv.ministry_id AS mid, rv.\"事業名\" AS project, TRY_CAST(merged.v AS DOUBLE) AS amount FROM rv, merged WHERE merged.i = rv.business_id)")
 
 
 def _ministry_name(key: str) -> str:
@@ -201,10 +195,9 @@ def top_sum_sql(n: int = 5) -> str:
 
 
 def cast_filter_sql(ministry: str = "財務省", threshold: float = 1000) -> str:
-    return (f"{_tables_cte()} SELECT b.business_id, b.\"事業名\", TRY_CAST(bu.\"執行額_py3\" AS DOUBLE) AS \"執行額_py3\" "
-            "FROM business b JOIN ministries m ON b.ministry_id = m.ministry_id "
-            "LEFT JOIN budgets bu ON b.business_id = bu.business_id "
-            f"WHERE m.ministry_name = '{ministry}' AND TRY_CAST(bu.\"執行額_py3\" AS DOUBLE) > {threshold}")
+    number = next(i for i, name in K.MINISTRY_MASTER if name == ministry)
+    return (f"{_review_budget('執行額_py3')} SELECT i AS business_id, project AS \"事業名\", amount AS \"執行額_py3\" FROM p "
+            f"WHERE mid = {number} AND amount > {threshold}")
 
 
 def text_filter_sql(word: str = "一者応札") -> str:
@@ -277,10 +270,6 @@ def _workbook_header_sql(table: str, base: dict, spec: list) -> str:
     return f"WITH f AS ({files}) " + " UNION ALL ".join(p.replace("AS STRING", "AS VARCHAR") for p in parts)
 
 
-#: Files asked for in the wide form (all are review years of the driver's orders).
-MATRIX_FILES = ["database2014_review_a", "database2015_review_a", "database2016_review_b", "database2016_segment", "database2017_lines"]
-
-
 def header_matrix_sql() -> str:
     names = (f"SELECT * FROM ({_workbook_header_sql('orders', ORDERS_BASE_SQL, ORDERS_SHEET)}) "
              f"UNION ALL SELECT * FROM ({_workbook_header_sql('lineitem', LINEITEM_BASE_SQL, LINEITEM_SHEET)})")
@@ -289,8 +278,12 @@ def header_matrix_sql() -> str:
 
 
 def header_matrix_wide_sql() -> str:
-    marks = ", ".join(f"max(CASE WHEN source_file = '{f}' THEN 1 ELSE 0 END) AS \"{f}\"" for f in MATRIX_FILES)
-    return f"SELECT column_name, {marks} FROM ({header_matrix_sql()}) p GROUP BY column_name"
+    """Every name with every file, then one column per file there is."""
+    cells = (f"SELECT n.column_name, f.source_file, CAST(p.source_file IS NOT NULL AS INTEGER) AS mark FROM (SELECT DISTINCT column_name FROM p0) n, "
+             "(SELECT DISTINCT source_file FROM files) f LEFT JOIN p0 p ON p.column_name = n.column_name AND p.source_file = f.source_file")
+    files = (f"SELECT source_file FROM ({_workbook_header_sql('orders', ORDERS_BASE_SQL, ORDERS_SHEET)}) "
+             f"UNION SELECT source_file FROM ({_workbook_header_sql('lineitem', LINEITEM_BASE_SQL, LINEITEM_SHEET)})")
+    return f"WITH p0 AS ({header_matrix_sql()}), files AS ({files}), cells AS ({cells}) SELECT * FROM (PIVOT cells ON source_file USING max(mark) GROUP BY column_name)"
 
 
 # --- catalog --------------------------------------------------------------------------
@@ -354,11 +347,46 @@ def run_stats_sql() -> str:
 
 
 def publish_manifest_sql() -> str:
-    return (f"SELECT 'ministries' AS table_name, CAST(count(*) AS BIGINT) AS row_count FROM ({ministries_sql()}) "
-            f"UNION ALL SELECT 'business', count(*) FROM ({business_sql()}) "
-            f"UNION ALL SELECT 'budgets', count(*) FROM ({budgets_sql()}) "
-            f"UNION ALL SELECT 'fund_flow', count(*) FROM ({fund_flow_sql()}) "
-            f"UNION ALL SELECT 'expenditure', count(*) FROM ({expenditure_sql()})")
+    tables = {"ministries": ministries_sql(), "business": business_sql(), "budgets": budgets_sql(), "fund_flow": fund_flow_sql(), "expenditure": expenditure_sql()}
+    return " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count, count(*) AS read_back FROM ({q})" for t, q in tables.items())
+
+
+def _described() -> list[tuple[str, int, str, str]]:
+    fixed = {"source_year": "BIGINT", "ministry_id": "BIGINT"}
+    return ([("business", i, c, fixed.get(c, "VARCHAR")) for i, c in enumerate(K.BUSINESS_COLUMNS)]
+            + [("ministries", 0, "ministry_id", "BIGINT"), ("ministries", 1, "ministry_name", "VARCHAR")])
+
+
+def describe_tables_sql() -> str:
+    values = ", ".join(f"('{t}', {i}, '{c}', '{k}')" for t, i, c, k in _described())
+    return f"SELECT * FROM (VALUES {values}) v(table_name, position, column_name, data_type)"
+
+
+def schema_prompt_sql() -> str:
+    text = "# データベーススキーマ\n**テーブル一覧:** `business`, `ministries`\n\n"
+    for table in ("business", "ministries"):
+        text += f"## テーブル: `{table}`\n\n| カラム名 | データ型 |\n|---|---|\n"
+        text += "".join(f"| `{c}` | `{k}` |\n" for t, _, c, k in _described() if t == table) + "\n"
+    return f"SELECT DISTINCT '{text}---' || chr(10) || o_orderpriority || chr(10) || '{text}' AS prompt FROM orders"
+
+
+def guarded_query_sql() -> str:
+    return ("SELECT 'value' AS query, event_type, CASE WHEN event_type <> 'error' THEN max(value) END AS most, 'run' AS outcome FROM events GROUP BY event_type "
+            "UNION ALL SELECT 'no_such_column', NULL, NULL, 'skipped'")
+
+
+def sheet_csv_lines_sql() -> str:
+    note = """CASE WHEN o_orderkey % 3 = 0 THEN 'first' || chr(10) || chr(10) || '"' || o_orderpriority || '",' || chr(13) || chr(10) || 'last' ELSE o_orderpriority END"""
+    return f"SELECT o_orderkey, {note} AS note, o_orderstatus AS status, true AS in_order FROM orders"
+
+
+def workbook_cells_sql() -> str:
+    return ("SELECT 'database2016_S' AS source_file, o_orderkey, o_orderpriority || '<br>' || o_orderstatus || '<br>end' AS text, "
+            "CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus ELSE '' END AS status, 'database2016.xlsx' AS workbook FROM orders WHERE o_orderkey % 2 = 0")
+
+
+def selective_quotes_sql() -> str:
+    return ("""SELECT o_orderkey || ',' || o_custkey || ',"' || CASE WHEN o_orderkey % 3 = 0 THEN 'a ""q"", ' || o_orderstatus ELSE '' END || '","' || o_orderpriority || '"' AS value FROM orders""")
 
 
 def browse_sql(search: str = "事業1", sort_by: str = "事業名", page: int = 1, size: int = 20) -> str:
@@ -445,11 +473,11 @@ def run_log_deletes_sql() -> str:
     """Runs and deletes one after another per user: an id begins with its first run
     and is gone if any delete of it, or of everything, comes later."""
     return """
-WITH ev AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS at, event_id = 40 AS clears, event_type = 'signup' AND value > 150 AND event_id <> 40 AS deletes FROM events),
-runs AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, min(at) OVER (PARTITION BY user_id) AS born, max(at) OVER (PARTITION BY user_id) AS newest FROM ev WHERE NOT clears AND NOT deletes)
+WITH ev AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS place, event_id = 4 AS clears, event_type = 'signup' AND value > 150 AND event_id <> 4 AS deletes FROM events),
+runs AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, min(place) OVER (PARTITION BY user_id) AS born, max(place) OVER (PARTITION BY user_id) AS newest FROM ev WHERE NOT clears AND NOT deletes)
 SELECT user_id AS id, ts AS "timestamp", concat('question ', CAST(user_id AS VARCHAR)) AS question, concat('SELECT ', event_type) AS sql_query,
   CASE WHEN event_type <> 'error' THEN 'success' ELSE 'error' END AS status, CAST(floor(value * 1000) AS BIGINT) AS duration_ms, CAST(n AS BIGINT) AS execution_count
-FROM runs r WHERE at = newest AND NOT EXISTS (SELECT 1 FROM ev d WHERE d.at > r.born AND (d.clears OR (d.deletes AND d.user_id = r.user_id)))
+FROM runs r WHERE place = newest AND NOT EXISTS (SELECT 1 FROM ev d WHERE d.place > r.born AND (d.clears OR (d.deletes AND d.user_id = r.user_id)))
 """
 
 

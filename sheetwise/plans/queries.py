@@ -1,12 +1,14 @@
 """Registered queries: name -> (Spark builder, oracle SQL or None).
 
-Each builder takes ``(spark, sf_dir)``, reads the driver tables in full and
-returns a lazy DataFrame.  The oracle is DuckDB SQL over the same tables.
+Each builder takes ``(spark, sf_dir)``, reads the driver tables in full, runs the
+small jobs that store headers, layouts and ordinals, and returns a DataFrame.  The
+oracle is DuckDB SQL over the same tables.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,18 +18,21 @@ from sheetwise.operators import analytics as A
 from sheetwise.plans import oracle as O
 from sheetwise.plans import tables as TB
 from sheetwise.operators.reshape import concat_tables, melt
-from sheetwise.session import configure, scratch_folder
-from sheetwise.sinks.writers import write_csv, write_item_list
+from sheetwise.session import configure, scratch_folder, stored
+from sheetwise.sinks import versions
+from sheetwise.sinks.writers import write_csv, write_item_list, write_selective_quoted
+from sheetwise.functions.casts import nan_to_null
 from sheetwise.functions.text import normalize_text
 from sheetwise.operators import catalog as C
 from sheetwise.operators import headers as H
 from sheetwise.operators import runs as R
 from sheetwise.operators.matrix import header_matrix, header_presence
 from sheetwise.operators.ordinal import dense_ordinal
-from sheetwise.plans.job import manifest, normalize_sheet_rows
+from sheetwise.plans.job import normalize_sheet_rows, publish
 from sheetwise.sources.derived import (HYPHEN_TEXT_SQL, WAREKI_TEXT_SQL, customer_header_sheets, lineitem_headers,
-                                       lineitem_workbook, orders_files, orders_headers, orders_workbook)
-from sheetwise.sources.sheets import read_sheet_parts, review_year, sheet_headers, write_sheet_csv
+                                       lineitem_workbook, orders_files, orders_headers, orders_workbook, write_workbooks)
+from sheetwise.sources.sheets import read_sheet_csv, read_sheet_parts, review_year, sheet_headers, write_sheet_csv
+from sheetwise.sources.workbooks import ingest_workbooks
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -49,11 +54,14 @@ def _build(fn, workbook, **kw):
     return fn(rows, header_rows=heads, **kw)
 
 
-def _built(spark, sf_dir):
+def _with_budget(spark, sf_dir, column: str, ministry: str | None = None):
+    """(business, ministries, budgets with one column).  For one ministry, its
+    projects are found first, and only their budgets are built and merged."""
     rows, heads = orders_workbook(spark, sf_dir)
-    # the analytics read single known columns: keep the budget schema fixed (no extra pass)
-    return (TB.business(rows, header_rows=heads), TB.ministries(spark),
-            TB.budgets(rows, drop_absent=False, header_rows=heads))
+    business, ministries = TB.business(rows, header_rows=heads).select("business_id", "ministry_id", "事業名"), TB.ministries(spark)
+    if ministry:
+        business = stored(A.of_ministry(business, ministries, ministry), "projects")
+    return business, ministries, TB.budgets(rows, drop_absent=False, header_rows=heads, columns=[column], only=business if ministry else None)
 
 
 # --- tables -----------------------------------------------------------------------
@@ -110,19 +118,19 @@ def q_top_count(spark, sf_dir):
 @register("top_budget", O.top_budget_sql)
 def q_top_budget(spark, sf_dir):
     """A ministry's projects by current initial budget, top 10."""
-    return A.top_budget(*_built(spark, sf_dir), ministry="デジタル庁", n=10)
+    return A.top_budget(*_with_budget(spark, sf_dir, "予算の状況当初予算", "デジタル庁"), ministry="デジタル庁", n=10)
 
 
 @register("top_sum", O.top_sum_sql)
 def q_top_sum(spark, sf_dir):
     """D3: total current initial budget per ministry, top 5."""
-    return A.top_sum(*_built(spark, sf_dir), n=5)
+    return A.top_sum(*_with_budget(spark, sf_dir, "予算の状況当初予算"), n=5)
 
 
 @register("cast_filter", O.cast_filter_sql)
 def q_cast_filter(spark, sf_dir):
     """A ministry's projects whose execution three years back exceeds 1000."""
-    return A.cast_filter(*_built(spark, sf_dir), ministry="財務省", column="執行額_py3", threshold=1000)
+    return A.cast_filter(*_with_budget(spark, sf_dir, "執行額_py3", "財務省"), ministry="財務省", column="執行額_py3", threshold=1000)
 
 
 @register("text_filter", O.text_filter_sql)
@@ -193,8 +201,8 @@ def q_header_matrix(spark, sf_dir):
 
 @register("header_matrix_wide", O.header_matrix_wide_sql)
 def q_header_matrix_wide(spark, sf_dir):
-    """The same as a matrix over named files, 1/0."""
-    return header_matrix(sheet_headers(orders_headers(spark, sf_dir).unionByName(lineitem_headers(spark, sf_dir))), O.MATRIX_FILES)
+    """The same as a matrix over all files, 1/0, from one bit set per name."""
+    return header_matrix(sheet_headers(orders_headers(spark, sf_dir).unionByName(lineitem_headers(spark, sf_dir))))
 
 
 @register("header_trace", O.header_trace_sql)
@@ -215,18 +223,50 @@ def q_infer_types(spark, sf_dir):
 
 @register("publish_manifest", O.publish_manifest_sql)
 def q_publish_manifest(spark, sf_dir):
-    """Row counts of the published table set."""
+    """The table set is published, and its manifest (rows counted by the writes) set beside what is read back."""
     (orows, oheads), (lrows, lheads) = orders_workbook(spark, sf_dir), lineitem_workbook(spark, sf_dir)
-    return manifest({"ministries": TB.ministries(spark), "business": TB.business(orows, header_rows=oheads),
-                     "budgets": TB.budgets(orows, header_rows=oheads), "fund_flow": TB.fund_flow(lrows, header_rows=lheads),
-                     "expenditure": TB.expenditure(lrows, header_rows=lheads)})
+    folder = scratch_folder(spark, "published")
+    counted = publish({"ministries": TB.ministries(spark), "business": TB.business(orows, header_rows=oheads),
+                       "budgets": TB.budgets(orows, drop_absent=False, header_rows=oheads), "fund_flow": TB.fund_flow(lrows, header_rows=lheads),
+                       "expenditure": TB.expenditure(lrows, header_rows=lheads)}, folder)
+    back = [df.agg(F.count("*").alias("read_back")).select(F.lit(t).alias("table_name"), "read_back") for t, df in versions.read_set(spark, folder).items()]
+    return counted.join(reduce(DataFrame.unionByName, back), "table_name")
 
 
 @register("browse", O.browse_sql)
 def q_browse(spark, sf_dir):
-    """T5: search / sort / page over the business table."""
-    return A.browse(_build(TB.business, orders_workbook(spark, sf_dir)), search="事業1", sort_by="事業名",
-                    descending=True, page=1, page_size=20)
+    """T5: search / sort / page over the business table; the second page by the key the first one ended with."""
+    table = _build(TB.business, orders_workbook(spark, sf_dir))
+    how = dict(search="事業1", sort_by="事業名", descending=True, page_size=20)
+    return A.browse_after(table, **how, after=A.page_end(A.browse_after(table, **how).collect()))
+
+
+@register("describe_tables", O.describe_tables_sql)
+def q_describe_tables(spark, sf_dir):
+    """The registered tables and their columns."""
+    tables = {"business": _build(TB.business, orders_workbook(spark, sf_dir)), "ministries": TB.ministries(spark)}
+    C.register_tables(spark, tables)
+    found = [t for t in C.list_tables(spark) if t in tables]
+    return C.describe_tables(spark, {t: spark.table(t) for t in found})
+
+
+@register("schema_prompt", O.schema_prompt_sql)
+def q_schema_prompt(spark, sf_dir):
+    """The schema document of the business table, placed in a prompt per order priority."""
+    document = C.schema_markdown(C.describe_tables(spark, {"business": _build(TB.business, orders_workbook(spark, sf_dir)), "ministries": TB.ministries(spark)}))
+    asked = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderpriority").distinct()
+    return C.prompt(asked.select(F.concat(F.lit("{{schema}}---\n"), "o_orderpriority", F.lit("\n{{schema}}")).alias("template")), document)
+
+
+@register("guarded_query", O.guarded_query_sql)
+def q_guarded_query(spark, sf_dir):
+    """A query on a column that is there, one on a column that is not (skipped), NaN results as null."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    def totals(column):
+        v = F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col(column))
+        return nan_to_null(e.groupBy("event_type").agg(F.max(v).alias("most"))).select(F.lit(column).alias("query"), "event_type", "most", F.lit("run").alias("outcome"))
+    skipped = lambda c: spark.createDataFrame([(c, None, None, "skipped")], "query string, event_type string, most double, outcome string")
+    return reduce(DataFrame.unionByName, [totals(c) if C.column_present(e, c) else skipped(c) for c in ("value", "no_such_column")])
 
 
 # --- run log ---------------------------------------------------------------------------
@@ -303,7 +343,7 @@ def q_run_log_import(spark, sf_dir):
 def q_run_log_deletes(spark, sf_dir):
     """Deletes of one entry and of all entries among the runs; later reruns of a deleted id change nothing."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    one, everything = (F.col("event_type") == "signup") & (F.col("value") > 150), F.col("event_id") == 40
+    one, everything = (F.col("event_type") == "signup") & (F.col("value") > 150), F.col("event_id") == 4
     executions = R.executions_from_events(ev.where(~(one | everything)))
     return R.fold_log(executions, R.deletes_from_events(ev, one, everything)).select(*_FOLD_OUT)
 
@@ -318,6 +358,54 @@ def q_fund_flow_from_csv(spark, sf_dir):
     return TB.fund_flow(read_sheet_parts(spark, path))
 
 
+@register("sheet_csv_lines", O.sheet_csv_lines_sql)
+def q_sheet_csv_lines(spark, sf_dir):
+    """S4 on files of another writer: quoted cells with line feeds, quotes and commas; rows in the order of the file."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    note = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('first\n\n"'), "o_orderpriority", F.lit('",\r\nlast'))).otherwise(F.col("o_orderpriority"))
+    d = o.select(F.col("o_orderkey").cast("string").alias("key"), note.alias("note"), F.col("o_orderstatus").alias("status"))
+    path = scratch_folder(spark, "foreign-csv")
+    (d.repartitionByRange(4, F.col("key").cast("long")).sortWithinPartitions(F.col("key").cast("long"))
+     .write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path))
+    rows = read_sheet_csv(spark, f"{path}/part-*.csv").where("row_ordinal > 0").select(
+        "source_file", F.col("cells")[0].cast("long").alias("o_orderkey"), F.col("cells")[1].alias("note"), F.col("cells")[2].alias("status"), F.col("row_ordinal").alias("read_as"))
+    return dense_ordinal(rows, "source_file", ["o_orderkey"]).select("o_orderkey", "note", "status", (F.col("read_as") == F.col("row_ordinal")).alias("in_order"))
+
+
+@register("workbooks_business", O.business_sql)
+def q_workbooks_business(spark, sf_dir):
+    """The review sheets as workbooks -- some only zipped, some loose with an outdated zip of the same name beside them -- ingested, and the business table built from them."""
+    rows = orders_workbook(spark, sf_dir)[0]
+    rows = rows.withColumn("book", F.expr("left(source_file, length(source_file) - length(sheet) - 1)"))
+    loose = F.regexp_extract("book", "[0-9]{4}", 0).cast("int") % 2 == 0
+    outdated = F.when(loose & (F.col("row_ordinal") > 0), F.transform("cells", lambda c: F.concat(F.lit("旧"), c))).otherwise(F.col("cells"))
+    folder = scratch_folder(spark, "workbooks")
+    write_workbooks(rows.where(loose), folder)
+    write_workbooks(rows.withColumn("cells", outdated), folder, zipped=True)
+    return TB.business(ingest_workbooks(spark, folder))
+
+
+@register("workbook_cells", O.workbook_cells_sql)
+def q_workbook_cells(spark, sf_dir):
+    """One target workbook of two; line breaks become <br>, carriage returns go, empty cells are empty text."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("book", F.when(F.col("o_orderkey") % 2 == 0, "database2016").otherwise("database2017"))
+    cells = F.array(F.col("o_orderkey").cast("string"), F.concat("o_orderpriority", F.lit("\n"), "o_orderstatus", F.lit("\nend")), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderstatus")))
+    folder = scratch_folder(spark, "workbooks")
+    write_workbooks(o.select("book", F.lit("S").alias("sheet"), F.col("o_orderkey").alias("row_ordinal"), cells.alias("cells")), folder)
+    rows = ingest_workbooks(spark, folder, target_files=["database2016.xlsx"])
+    return rows.select("source_file", F.col("cells")[0].cast("long").alias("o_orderkey"), F.col("cells")[1].alias("text"), F.col("cells")[2].alias("status"), "workbook")
+
+
+@register("selective_quotes", O.selective_quotes_sql)
+def q_selective_quotes(spark, sf_dir):
+    """K3: ids plain, other columns quoted with doubled quotes, null as an empty quoted field; written and read back as lines."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    d = o.select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('a "q", '), "o_orderstatus")).alias("note"), "o_orderpriority")
+    path = scratch_folder(spark, "selective")
+    write_selective_quoted(d, path, ["o_orderkey", "o_custkey"])
+    return spark.read.text(path).where(F.col("value") != ",".join(d.columns))
+
+
 @register("csv_roundtrip", O.csv_roundtrip_sql)
 def q_csv_roundtrip(spark, sf_dir):
     """K2, K4: minimal quoting, spaces kept, written and read back."""

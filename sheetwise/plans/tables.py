@@ -6,7 +6,7 @@ dimension (small) plus one pass over the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,16 +86,15 @@ def business_layout(hdr: DataFrame, files: DataFrame) -> DataFrame:
     position (P2 aliasing, P3 first duplicate wins); the period source
     columns are looked up by their uncleaned names.  Integer columns make
     each cell read an O(1) array index."""
-    h = hdr.join(files, "source_file")
-    t = alias_name(H.clean_name(F.col("name")))
-    return h.groupBy("source_file").agg(
-        *[F.min(F.when(t == target, F.col("col_idx"))).alias(_pos_col(target)) for target in _BUSINESS_TARGETS])
+    # the target is a column of its own, not 30 copies of the alias rules
+    named = hdr.withColumn("_clean", H.clean_name(F.col("name"))).withColumn("_target", alias_name(F.col("_clean")))
+    return named.join(files, "source_file").groupBy("source_file", "review_year").agg(
+        *[F.min(F.when(F.col("_target") == target, F.col("col_idx"))).alias(_pos_col(target)) for target in _BUSINESS_TARGETS])
 
 
 def business(rows: DataFrame, na_policy: str = "default", header_rows: DataFrame | None = None) -> DataFrame:
     hdr, files = _eligible(rows, header_rows)
-    layout = business_layout(hdr, files).join(files, "source_file")
-    r = join_per_file(data_rows(rows), layout)
+    r = join_per_file(data_rows(rows), business_layout(hdr, files))
 
     def cell(target):
         v = F.try_element_at(F.col("cells"), F.col(_pos_col(target)) + 1)
@@ -154,31 +153,68 @@ def expenditure(rows: DataFrame, header_rows: DataFrame | None = None) -> DataFr
 
 # --- U5 budgets --------------------------------------------------------------------
 
-def budgets(rows: DataFrame, drop_absent: bool = True, longest_match: bool = False, header_rows: DataFrame | None = None) -> DataFrame:
+def _ranked(files: DataFrame) -> DataFrame:
+    """Files with their place among the files of the year, ordered by their names
+    with the extension (a copy "X (2).csv" comes before "X.csv"), and the number
+    of these: rows of one year's files share ids (Q1)."""
+    year = Window.partitionBy("review_year")
+    name = F.concat("source_file", F.lit(".csv"))
+    return files.withColumn("_rank", F.row_number().over(year.orderBy(name))).withColumn("_files", F.count("*").over(year))
+
+
+def _merge_shared(per_row: DataFrame, cols: list[str]) -> DataFrame:
+    """Rows that share an id: the later file wins cell by cell.  One shuffle of
+    (id, rank, values); an id has one row per file of its year, so its list is
+    short, and it is merged inside the row -- nothing is sorted by id."""
+    values = F.array(*[F.col(f"`{c}`") for c in cols])
+    lists = per_row.groupBy("business_id").agg(F.collect_list(F.struct("_rank", values.alias("v"))).alias("_l"))
+    later_first = F.sort_array("_l", asc=False)
+    nothing = F.array_repeat(F.lit(None).cast("string"), len(cols))
+    merged = F.aggregate(later_first, nothing, lambda won, x: F.zip_with(won, x["v"], lambda a, b: F.coalesce(a, b)))
+    return lists.select("business_id", merged.alias("_v")).select("business_id", *[F.col("_v")[i].alias(c) for i, c in enumerate(cols)])
+
+
+def budgets(rows: DataFrame, drop_absent: bool = True, longest_match: bool = False, header_rows: DataFrame | None = None,
+            columns: list[str] | None = None, only: DataFrame | None = None) -> DataFrame:
     """One row per business id; every review row yields a record.  Within a
-    file the last column wins; across files sharing an id (Q1) the later file
-    (sorted name order) wins cell by cell.  Values are kept unstripped."""
+    file the last column wins, in the row itself; across files sharing an id (Q1)
+    the later file wins cell by cell.  Values are kept unstripped.
+
+    Years with one review file pass without a shuffle.  ``columns`` builds these
+    columns alone, ``only`` (with ``business_id``) these ids alone, before the
+    merge.  ``drop_absent`` leaves out columns without any value: they are noticed
+    while the unmerged rows are stored, which builds them once.
+    """
     hdr, files = _eligible(rows, header_rows)
-    parsed = H.parse_budget(hdr, files, longest_match).join(files, "source_file")
+    files = stored(_ranked(files), "files")
+    cols = columns or H.budget_output_columns()
+    keys = ["review_year", "_rank", "_files"]
+    parsed = H.parse_budget(hdr, files, longest_match).where(F.col("out_col").isin(cols)).join(files, "source_file")
     # every eligible file gets a layout, also one without budget headers
     parsed = parsed.unionByName(files.select("source_file", F.lit(None).cast("int").alias("col_idx"),
-                                             F.lit(None).cast("string").alias("out_col"), "review_year"))
-    cols = H.budget_output_columns()
-    # within a file: last column wins, in the row itself (no shuffle); every
-    # review row yields its one record, with or without values
-    per_row = regroup_rows(rows, parsed, ["review_year"], "out_col", cols, keep_empty=True)
-    per_row = per_row.withColumn("business_id", business_id(F.col("review_year"), F.col("row_ordinal")))
-    # across files sharing an id (Q1): the later file wins cell by cell, files
-    # ordered by their names with the extension (a copy "X (2).csv" comes
-    # before "X.csv")
-    name = F.concat("source_file", F.lit(".csv"))
-    out = per_row.groupBy("business_id").agg(*[
-        F.max_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), name)).alias(c) for c in cols])
+                                             F.lit(None).cast("string").alias("out_col"), *keys))
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        per_row = regroup_rows(rows, some, keys, "out_col", cols, keep_empty=True)
+        per_row = per_row.withColumn("business_id", business_id(F.col("review_year"), F.col("row_ordinal")))
+        per_row = per_row.select("business_id", "_rank", "_files", *[F.col(f"`{c}`") for c in cols])
+        return per_row if only is None else per_row.join(only.select("business_id").distinct(), "business_id", "left_semi")
+
+    fewest, most = files.agg(F.min("_files"), F.max("_files")).first()
+    alone, shared = fewest == 1, (most or 0) > 1
     if drop_absent:
-        # a column is present if any sheet row has a value: known before the merge
-        present = per_row.agg(*[F.max(F.col(f"`{c}`").isNotNull()).alias(c) for c in cols]).first().asDict()
-        cols = [c for c in cols if present[c]]
-    return out.select("business_id", *[F.col(f"`{c}`") for c in cols])
+        seen = Observation()
+        has = [F.coalesce(F.max(F.col(f"`{c}`").isNotNull()), F.lit(False)).alias(c) for c in cols]
+        whole = stored(rows_of(parsed).observe(seen, *has), "budget-rows")
+        cols = [c for c in cols if seen.get[c]]
+        part = lambda x: whole.where(x)
+    else:
+        part = lambda x: rows_of(parsed.where(x))
+    if not cols:
+        return part("_files >= 1").select("business_id").distinct()
+    single = lambda: part("_files = 1").select("business_id", *[F.col(f"`{c}`") for c in cols])
+    merged = lambda: _merge_shared(part("_files > 1"), cols)
+    return single().unionByName(merged()) if alone and shared else merged() if shared else single()
 
 
 # --- line-item job (U2, U6, F5) ------------------------------------------------------

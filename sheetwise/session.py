@@ -7,9 +7,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Parts a file's rows are dealt into when they meet a per-file table.
-FILE_SALTS = 16
-
 
 def get_session(master: str | None = None, app: str = "sheetwise", shuffle_partitions: int | None = None,
                 checkpoint_dir: str | None = None) -> SparkSession:
@@ -106,15 +103,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_per_file(rows: DataFrame, per_file: DataFrame, spread: str = "row_ordinal") -> DataFrame:
+def join_per_file(rows: DataFrame, per_file: DataFrame) -> DataFrame:
     """Join rows with a table of one row per ``source_file``.
 
     No hint and no row count: the per-file table is stored first, so Spark knows
     its size in bytes and broadcasts it if that is below its own threshold.
-    Beyond, the key of the shuffle is (file, salt), with the per-file row there
-    for every salt, so that a file holding a large share of all rows is spread
-    over ``FILE_SALTS`` tasks.
+    Beyond, both sides are shuffled by file, and Spark splits a file's rows over
+    tasks in proportion to their bytes (skew join), each with the one row of the
+    file: a file with a third of all rows costs no task more than any other.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(FILE_SALTS)).cast("int"))
-    each = stored(per_file.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(FILE_SALTS - 1)))).coalesce(1), "per-file")
-    return salted.join(each, ["source_file", "_salt"]).drop("_salt")
+    return rows.join(stored(per_file, "per-file"), "source_file")

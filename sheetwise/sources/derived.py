@@ -175,7 +175,7 @@ def _workbook(base: DataFrame, base_sql: dict, spec: list, order_cols: list[str]
     # the header rows are a tiny table of their own (files x 1 row), cheap to
     # recompute from the base: stored, so every consumer (gate, layouts,
     # normalization) reads a few rows instead of re-deriving them
-    heads = stored(_heads(b, spec).coalesce(1), "heads")
+    heads = stored(_heads(b, spec), "heads")
     return heads.unionByName(data), heads
 
 
@@ -217,6 +217,94 @@ def _heads(b: DataFrame, spec: list) -> DataFrame:
             .select("source_file", F.col("grp").alias("sheet"), F.lit(0).alias("row_ordinal"), head_cells.alias("cells")))
 
 
+# --- sheets -> workbook files -----------------------------------------------------------
+
+_PARTS = {
+    "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="xml" ContentType="application/xml"/>'
+                           '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/></Types>',
+}
+_BOOK = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
+
+
+class _Book:
+    """One ``.xlsx`` written row by row into a stream; alone or inside a zip."""
+
+    def __init__(self, sink):
+        import zipfile
+        self.zip, self.sheets, self.part = zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED), [], None
+
+    def row(self, sheet: str, cells: list[str]) -> None:
+        from xml.sax.saxutils import escape
+        if not self.sheets or self.sheets[-1] != sheet:
+            self._end_sheet()
+            self.sheets.append(sheet)
+            self.part = self.zip.open(f"xl/worksheets/sheet{len(self.sheets)}.xml", "w")
+            self.part.write(f'<worksheet xmlns="{_BOOK}"><sheetData>'.encode())
+        text = "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(c or "")}</t></is></c>' for c in cells)
+        self.part.write(f"<row>{text}</row>".encode())
+
+    def _end_sheet(self) -> None:
+        if self.part:
+            self.part.write(b"</sheetData></worksheet>")
+            self.part.close()
+
+    def close(self) -> None:
+        from xml.sax.saxutils import quoteattr
+        self._end_sheet()
+        n = range(1, len(self.sheets) + 1)
+        sheets = "".join(f'<sheet name={quoteattr(s)} sheetId="{i}" r:id="r{i}"/>' for i, s in zip(n, self.sheets, strict=True))
+        links = "".join(f'<Relationship Id="r{i}" Type="{_REL}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in n)
+        for name, xml in {**_PARTS, "xl/workbook.xml": f'<workbook xmlns="{_BOOK}" xmlns:r="{_REL}"><sheets>{sheets}</sheets></workbook>',
+                          "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_PACKAGE}">{links}</Relationships>'}.items():
+            self.zip.writestr(name, xml)
+        self.zip.close()
+
+
+def write_workbooks(rows: DataFrame, folder: str, zipped: bool = False) -> int:
+    """Sheet rows with the ``book`` they belong to -> one workbook file per book,
+    sheets and rows in order; with ``zipped`` each inside a ``.zip`` of its own name.
+    A file is one stream from one task, a row at a time; a repeated task writes
+    the same file again.  Returns the number of files."""
+
+    def files(batches):
+        import io
+
+        import pandas as pd
+        from pyarrow import fs
+        store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store.create_dir(root)
+        name, book, stack = None, None, []
+
+        def end():
+            if book:
+                book.close()
+                for s in reversed(stack):
+                    s.close()
+                return pd.DataFrame({"book": [name]})
+
+        for pdf in batches:
+            for at, sheet, cells in zip(pdf["book"], pdf["sheet"], pdf["cells"], strict=True):
+                if at != name:
+                    if book:
+                        yield end()
+                    name, out = at, store.open_output_stream(f"{root}/{at}.{'zip' if zipped else 'xlsx'}")
+                    stack = [out]
+                    if zipped:
+                        import zipfile
+                        outer = zipfile.ZipFile(out, "w")
+                        inner = outer.open(f"{at}.xlsx", "w", force_zip64=True)
+                        stack += [outer, inner, io.BufferedWriter(inner)]
+                    book = _Book(stack[-1])
+                book.row(sheet, list(cells))
+        if book:
+            yield end()
+
+    in_order = rows.select("book", "sheet", "row_ordinal", "cells").repartition("book").sortWithinPartitions("book", "sheet", "row_ordinal")
+    return in_order.mapInPandas(files, "book string").count()
+
+
 # --- customers -> one header-only sheet each (gate and header catalogues) -------------
 
 def _bit(i: int) -> str:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from sheetwise import constants as K
 from sheetwise.session import stored
+from sheetwise.sources import csv_lines
 
 SHEET_ROWS_SCHEMA = T.StructType([
     T.StructField("source_file", T.StringType(), False),
@@ -46,16 +47,38 @@ def sheet_headers(rows: DataFrame) -> DataFrame:
     h = header_rows(rows).select("source_file", "sheet", F.posexplode("cells").alias("col_idx", "raw_name"))
     base = F.when(F.coalesce(F.col("raw_name"), F.lit("")) == "",
                   F.concat(F.lit("Unnamed: "), F.col("col_idx").cast("string"))).otherwise(F.col("raw_name"))
-    h = h.withColumn("_base", base)
-    rep = Window.partitionBy("source_file", "_base").orderBy("col_idx")
-    h = h.withColumn("_k", F.row_number().over(rep) - 1)
-    # the names of the file that could be hit by numbering this one
-    h = h.withColumn("_all", F.collect_set("_base").over(Window.partitionBy("source_file")))
-    taken = F.filter("_all", lambda x: x.startswith(F.concat(F.col("_base"), F.lit("."))))
-    numbers = F.sequence(F.lit(1).cast("bigint"), F.col("_k").cast("bigint") + F.size(taken))
-    numbered = F.filter(F.transform(numbers, lambda n: F.concat(F.col("_base"), F.lit("."), n.cast("string"))), lambda x: ~F.array_contains(taken, x))
-    name = F.when(F.col("_k") == 0, F.col("_base")).otherwise(F.element_at(numbered, F.col("_k").cast("int")))
-    return h.select("source_file", "sheet", F.col("col_idx").cast("int").alias("col_idx"), name.alias("name"), "raw_name")
+    return h.withColumn("_base", base).transform(_numbered_repeats)
+
+
+#: a name that numbering its stem could give
+_NUMBERED = r"(?s)^(.*)\.([1-9][0-9]*)\z"
+
+
+def _numbered_repeats(h: DataFrame) -> DataFrame:
+    """Names from ``_base``.  The k-th repeat of a name takes the k-th number that
+    is free.  With the taken numbers t_1 < t_2 < ... of a name, t_i - i numbers are
+    free below t_i; so the k-th free one is k plus the number of i with t_i - i < k.
+
+    Every header stands under its own name; one that ends in ``.n`` stands under
+    its stem as well, as a taken number.  Both counts are running sums inside a name,
+    so the work is that of sorting the headers, however many a file has.
+    """
+    number = F.regexp_extract("_base", _NUMBERED, 2).try_cast("long")
+    own = F.struct(F.col("_base").alias("key"), F.lit(0).alias("role"), F.col("col_idx").cast("long").alias("place"))
+    taken = F.struct(F.regexp_extract("_base", _NUMBERED, 1).alias("key"), F.lit(1).alias("role"), number.alias("place"))
+    each = h.withColumn("_r", F.explode(F.when(number.isNotNull(), F.array(own, taken)).otherwise(F.array(own))))
+    each = each.select("source_file", "sheet", "col_idx", "raw_name", "_base", "_r.*").repartition("source_file", "key")
+    in_order = Window.partitionBy("source_file", "key").orderBy("role", "place")
+    new = F.when((F.col("role") == 0) | ~F.lag("place").over(in_order).eqNullSafe(F.col("place")) | (F.lag("role").over(in_order) == 0), 1).otherwise(0)
+    each = each.withColumn("_new", new)
+    running = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("_k", F.sum(F.when(F.col("role") == 0, 1).otherwise(0)).over(running) - 1)
+    each = each.withColumn("_i", F.sum(F.when(F.col("role") == 1, F.col("_new")).otherwise(0)).over(running))
+    each = each.withColumn("_free", F.when(F.col("role") == 0, F.col("_k")).otherwise(F.col("place") - F.col("_i")))
+    up_to = Window.partitionBy("source_file", "key").orderBy("_free", "role").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("_passed", F.sum(F.when(F.col("role") == 1, F.col("_new")).otherwise(0)).over(up_to)).where("role = 0")
+    name = F.when(F.col("_k") == 0, F.col("_base")).otherwise(F.concat("_base", F.lit("."), (F.col("_k") + F.col("_passed")).cast("string")))
+    return each.select("source_file", "sheet", F.col("col_idx").cast("int").alias("col_idx"), name.alias("name"), "raw_name")
 
 
 def review_year(file_col) -> F.Column:
@@ -112,15 +135,15 @@ def _parse_sheet_csv(batches):
 def read_sheet_csv(spark: SparkSession, pattern: str) -> DataFrame:
     """Sheet CSVs (``{stem}_{sheet}.csv``, first row = header) -> sheet rows.
 
-    One ``binaryFile`` scan lists the files; each file is one input row and is
-    parsed inside its task (quoted fields, embedded line breaks and a BOM
-    handled; undecodable bytes become U+FFFD).  Widths may differ per file
-    and year -- every row is one ``cells`` array -- and the row position in
-    the file is the ordinal, with no driver loop and no plan growing with
-    the number of files.  Truly blank lines are skipped (SURVEY Q14).
+    Files of any size: Spark's text source splits them at line feeds, and the
+    parity of the quotes before a line tells whether it begins a row
+    (``csv_lines``).  Widths may differ per file and year -- every row is one
+    ``cells`` array -- and the row position in the file is the ordinal.  A BOM is
+    dropped, undecodable bytes become U+FFFD and truly blank lines are skipped
+    (SURVEY Q14).  Quotes stand around whole fields and are doubled inside, as
+    every CSV writer does; rows end in LF or CRLF.
     """
-    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
-    return files.mapInPandas(_parse_sheet_csv, SHEET_ROWS_SCHEMA)
+    return csv_lines.sheet_rows(spark, pattern, SHEET_ROWS_SCHEMA)
 
 
 def read_sheet_parts(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sheetwise.functions.text import normalize_cells, normalize_text
+from sheetwise.functions.text import normalize_text
+from sheetwise.plans.job import normalize_sheet_rows
 
 CASES = [
     ("①目的", "1. 目的"),
@@ -54,7 +55,7 @@ def test_normalize_text(normalized, i):
 def test_normalize_cells_matches_scalar(spark):
     vals = [c[0] for c in CASES]
     df = spark.createDataFrame([(vals,), (None,), ([],)], "cells array<string>")
-    rows = df.select(normalize_cells(F.col("cells")).alias("n")).collect()
+    rows = normalize_sheet_rows(df).select(F.col("cells").alias("n")).collect()
     assert rows[0]["n"] == [c[1] for c in CASES]
     assert rows[1]["n"] is None
     assert rows[2]["n"] == []

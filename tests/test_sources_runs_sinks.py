@@ -12,6 +12,7 @@ from sheetwise.operators import runs as R
 from sheetwise.operators.ordinal import dense_ordinal
 from sheetwise.plans.job import run_job
 from sheetwise.sinks.writers import selective_quote_lines, write_csv
+from sheetwise.sinks import versions
 from sheetwise.sources.sheets import read_sheet_csv, read_sheet_parts, write_sheet_csv
 
 
@@ -70,7 +71,7 @@ def test_listed_workbooks_are_replaced_and_others_stay(spark):
 
     run_job(spark, d, book("database2016", "a").unionByName(book("database2017", "b")))
     run_job(spark, d, book("database2016", "c").unionByName(book("database2017", "x")), target_files=["database2016.xlsx"])
-    assert sorted(r["事業名"] for r in spark.read.parquet(d + "/tables/business").collect()) == ["b", "c"]
+    assert sorted(r["事業名"] for r in versions.read_set(spark, d + "/tables")["business"].collect()) == ["b", "c"]
 
 
 def test_long_sequences_do_not_stop_the_job(spark):
@@ -193,7 +194,10 @@ def test_catalog_infer_and_markdown(spark):
     t = {r["column_name"]: r["inferred_type"] for r in C.infer_types(df, "t").collect()}
     assert t == {"a": "BIGINT", "b": "DOUBLE", "c": "VARCHAR", "d": "VARCHAR"}
     md = C.schema_markdown(C.describe_tables(spark, {"t": df})).collect()[0]["markdown"]
-    assert "## Table: `t`" in md and "| `a` | `VARCHAR` |" in md
+    assert md == ("# データベーススキーマ\n**テーブル一覧:** `t`\n\n## テーブル: `t`\n\n| カラム名 | データ型 |\n|---|---|\n"
+                  "| `a` | `VARCHAR` |\n| `b` | `VARCHAR` |\n| `c` | `VARCHAR` |\n| `d` | `VARCHAR` |\n\n")
+    asked = spark.createDataFrame([("say {{schema}}.",), ("nothing",), (None,)], "template string")
+    assert [r[0] for r in C.prompt(asked, C.schema_markdown(C.describe_tables(spark, {"t": df}))).collect()] == [f"say {md}.", "nothing", None]
 
 
 def test_run_job_stages(spark):
@@ -202,9 +206,8 @@ def test_run_job_stages(spark):
     rows = spark.createDataFrame([("database2016_S", "S", 0, header), ("database2016_S", "S", 1, ["総務省", "Ｐ１", "1", "委託", "10"])],
                                  "source_file string, sheet string, row_ordinal int, cells array<string>")
     m = {r["table_name"]: r["row_count"] for r in run_job(spark, d, rows).collect()}
-    # an empty table (expenditure) is not written, so not published
-    assert m == {"ministries": 24, "business": 1, "budgets": 1, "fund_flow": 1}
-    b = spark.read.parquet(d + "/tables/business").collect()[0]
+    assert m == {"ministries": 24, "business": 1, "budgets": 1, "fund_flow": 1, "expenditure": 0}
+    b = versions.read_set(spark, d + "/tables")["business"].collect()[0]
     assert b["事業名"] == "P1"  # normalized (NFKC) before building
     again = {r["table_name"]: r["row_count"] for r in run_job(spark, d, start_stage=7).collect()}
     assert again == m

@@ -115,19 +115,6 @@ def test_line_items_first_wins_and_numeric_filter(spark):
     assert got == [("2016-00001", "A", "01", "first", None, "12"), ("2016-00001", "B", "00", None, None, "7")]
 
 
-def test_long_form_unpivot_and_regroup_agree_with_in_row(review_sheet):
-    """U1 long cells + shuffle regroup give the same records as the in-row regroup."""
-    from sheetwise.operators.reshape import pick_cells, regroup
-    from sheetwise import constants as K
-    hdr, files = TB._eligible(review_sheet)
-    parsed = H.parse_fund_flow(hdr).join(files, "source_file")
-    cells = pick_cells(review_sheet, parsed, ["block_id", "item", "seq_text"])
-    assert cells.count() == 4  # 委託, 12, 12, 0 -- blanks dropped
-    g = regroup(cells, ["source_file", "row_ordinal", "block_id", "seq_text"], "item", K.FUND_FLOW_ITEMS)
-    long_form = sorted((r["block_id"], r["seq_text"], r["支払先計"]) for r in g.collect())
-    assert long_form == [("A", "", "12"), ("A", "1", None), ("B", "", "0")]
-
-
 def test_budgets_keep_rows_of_files_without_budget_columns(spark):
     s = sheet(spark, "database2016_S", ["府省庁", "事業名", "事業番号-1"], [["総務省", "a", "1"], ["総務省", "b", "2"]])
     t = sheet(spark, "database2016_T", ["府省庁", "事業名", "事業番号-1", "予算額-2016年度執行額"],

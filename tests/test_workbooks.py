@@ -141,6 +141,7 @@ def test_ingest_folder_with_zip(spark):
 def test_workbook_to_published_tables(spark):
     """S1 -> N11 -> U8/U3/U5 -> K7 through the stage job."""
     from sheetwise.plans.job import run_job
+    from sheetwise.sinks import versions
     d = tempfile.mkdtemp(prefix="sheetwise-e2e-")
     header = ["府省庁", "事業名", "事業番号−1", "費目・使途-A.支払先費目-1", "費目・使途-A.支払先金額(百万円)-1",
               "予算額－2016年度予算の状況当初予算", "事業開始・終了(予定)年度"]
@@ -153,11 +154,11 @@ def test_workbook_to_published_tables(spark):
     rows = ingest_workbooks(spark, d)
     m = {r["table_name"]: r["row_count"] for r in run_job(spark, d + "/work", rows).collect()}
     assert m["business"] == 1 and m["fund_flow"] == 1 and m["budgets"] == 1
-    b = spark.read.parquet(d + "/work/tables/business").collect()[0]
+    b = versions.read_set(spark, d + "/work/tables")["business"].collect()[0]
     assert b["business_id"] == "2016-00001" and b["ministry_id"] == 13
     assert b["事業名"] == "AI推進" and b["事業番号-1"] == "1"
     assert b["事業開始終了年度"] == "2013年度～2017年度"
-    f = spark.read.parquet(d + "/work/tables/fund_flow").collect()[0]
+    f = versions.read_set(spark, d + "/work/tables")["fund_flow"].collect()[0]
     assert (f["block_id"], f["sequence"], f["支払先費目"], f["支払先金額(百万円)"]) == ("A", 1, "委託", "12")
-    bu = spark.read.parquet(d + "/work/tables/budgets").collect()[0]
+    bu = versions.read_set(spark, d + "/work/tables")["budgets"].collect()[0]
     assert bu["予算の状況当初予算"] == "30"
