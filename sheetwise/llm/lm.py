@@ -52,9 +52,9 @@ DEPTH = 6
 RARE = 2.0 ** -15
 FREQUENT_TOKEN = 2.0 ** -22
 HELD_OUT_FOLD, FOLDS = 2, 7
-CHUNK_BYTES, GROUP_BYTES, TOKEN_BYTES = 32 << 20, 4 << 20, 64 << 20
+CHUNK_BYTES, GROUP_BYTES, TOKEN_BYTES = 8 << 20, 4 << 20, 64 << 20
 TOP = 2
-BUCKET_BYTES, MOST_BUCKETS = 4 << 20, 1 << 13
+BUCKET_BYTES = 4 << 20
 PAD = b"\n" * DEPTH
 
 
@@ -426,7 +426,7 @@ def unpacked(blob: bytes, *kinds) -> list[np.ndarray]:
 
 def _bucketed(keys: np.ndarray, buckets: int):
     """Order of the keys by bucket, then key; the buckets and where they start."""
-    bucket = (C.mix64(keys >> np.uint64(8 * (DEPTH - TOP))) % np.uint64(buckets)).astype(np.uint16)
+    bucket = (C.mix64(keys >> np.uint64(8 * (DEPTH - TOP))) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
     order = np.argsort(bucket, kind="stable")
     return order, *np.unique(bucket[order], return_index=True)
 
@@ -524,7 +524,7 @@ def log_keys(keys: DataFrame, top) -> DataFrame:
 def tree_scores(texts: DataFrame) -> DataFrame:
     """row and score of every text."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = min(MOST_BUCKETS, 8 + size // BUCKET_BYTES)
+    buckets = 8 + size // BUCKET_BYTES
     keys = C.stored(by_bucket(chunk_keys(texts, buckets)), "keys")
     logs = log_keys(keys, fit_top(keys))
 
