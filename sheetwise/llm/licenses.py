@@ -185,22 +185,26 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
     # an empty line (white space only) ends a paragraph
     paragraphs = F.split("t", r"\n[\x20\x09-\x0D]*\n")
     units = F.concat(lines, F.filter(paragraphs, lambda p: F.contains(p, F.lit("\n"))), F.when(F.size(paragraphs) > 1, F.array("t")).otherwise(F.array().cast("array<string>")))
-    u = d.select("doc_id", F.explode(F.filter(units, lambda u: _holds(u, keys))).alias("unit")).select("doc_id", words_of(F.col("unit")).alias("w"))
-    u = u.select("doc_id", "w", _grams(F.col("w")).alias("grams"))
-    n = F.size("grams")
-    fits = F.filter(known, lambda t: (n * (2 - threshold) >= t["n"] * threshold - 1e-9) & (n * threshold <= t["n"] * (2 - threshold) + 1e-9))
-    by_unit = u.select("doc_id", F.lit(1).alias("unit"), F.array_min(F.transform(fits, lambda t: _match(t, F.col("w"), F.col("grams"), threshold))).alias("m"))
-
-    # windows: one row per place of a key word, with the templates that have it
-    w = d.select("doc_id", words_of(F.col("t")).alias("w"))
-    w = w.select("doc_id", "w", F.explode(F.filter(F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda h: F.array_contains(key_list, h["x"]))).alias("h"))
-    laid = F.transform(F.filter(anchors, lambda a: a["word"] == F.col("h.x")), lambda a: F.struct(
-        F.get(known, a["template"]).alias("a"), F.slice("w", F.greatest(F.col("h.i") - a["place"], F.lit(0)) + 1, a["m"]).alias("s")))
-    w = w.select("doc_id", laid.alias("l"))
-    by_window = w.select("doc_id", F.lit(0).alias("unit"), F.array_min(F.transform("l", lambda x: _match(x["a"], x["s"], _grams(x["s"]), threshold))).alias("m"))
-
-    # a filter on m would be pushed down with a copy of all of its expression; on the count it stays here
-    best = by_unit.unionByName(by_window).select("doc_id", "unit", "m.licence", (-F.col("m.less")).alias("dice"))
+
+    def of_unit(u: Column) -> Column:
+        n = F.size(u["grams"])
+        fits = F.filter(known, lambda t: (n * (2 - threshold) >= t["n"] * threshold - 1e-9) & (n * threshold <= t["n"] * (2 - threshold) + 1e-9))
+        return F.array_min(F.transform(fits, lambda t: _match(t, u["w"], u["grams"], threshold)))
+
+    # every transform is one step, so that a lambda computes nothing twice
+    worded = F.transform(F.filter(units, lambda u: _holds(u, keys)), words_of)
+    by_unit = F.transform(F.transform(worded, lambda w: F.struct(w.alias("w"), _grams(w).alias("grams"))), lambda u: F.struct(F.lit(1).alias("unit"), of_unit(u).alias("m")))
+
+    # windows: per place of a key word, the templates that have it, laid on its place
+    places = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda h: F.array_contains(key_list, h["x"]))
+    laid = F.transform(places, lambda h: F.transform(F.filter(anchors, lambda a: a["word"] == h["x"]), lambda a: F.struct(
+        F.get(known, a["template"]).alias("a"), F.slice("w", F.greatest(h["i"] - a["place"], F.lit(0)) + 1, a["m"]).alias("s"))))
+    grammed = F.transform(laid, lambda l: F.transform(l, lambda x: F.struct(x["a"].alias("a"), x["s"].alias("s"), _grams(x["s"]).alias("g"))))
+    by_window = F.transform(grammed, lambda l: F.struct(F.lit(0).alias("unit"), F.array_min(F.transform(l, lambda x: _match(x["a"], x["s"], x["g"], threshold))).alias("m")))
+
+    both = d.select("doc_id", by_unit.alias("u"), words_of(F.col("t")).alias("w")).select("doc_id", F.explode_outer(F.concat("u", by_window)).alias("x"))
+    # a filter on the match would be pushed down with a copy of all of its expression; on the count it stays here
+    best = both.select("doc_id", "x.unit", "x.m.licence", (-F.col("x.m.less")).alias("dice"))
     found = best.groupBy("doc_id", "licence").agg(
         F.sum("unit").alias("n_units"), F.sum(1 - F.col("unit")).alias("n_windows"), F.max("dice").alias("dice"), F.count("licence").alias("n"))
     return found.where("n > 0").drop("n")
