@@ -6,8 +6,8 @@ bigrams; a single word is its own bigram.  Compared are
 
 * units: a document's lines, its paragraphs of several lines (blank lines separate
   them) and, if it has several paragraphs, the whole text;
-* windows: wherever a key word of a template stands in the text, the template's own
-  number of words, laid so that the key word falls on its place.  So a notice is
+* windows: wherever a key word of a template of six letters or more stands in the
+  text, the template's own number of words, laid so that it falls on its place.  So a notice is
   found inside a longer line, or across line breaks.
 
 A unit, or a key word's place, counts for its best template alone (ties: the first
@@ -44,6 +44,7 @@ from . import common as C
 
 THRESHOLD = 0.8
 MAX_TEMPLATE_CHARS = 1 << 20
+ANCHOR_LETTERS = 6
 
 # Customary licence notices and short licence texts.
 TEMPLATES = {
@@ -132,6 +133,11 @@ def _texts(values: list[str]) -> str:
     return f"array({', '.join(repr(v) for v in values)})" if values else "cast(array() AS array<string>)"
 
 
+def anchor_words(keys: list[str]) -> list[str]:
+    """The key words that windows are laid on: the long ones, which ordinary texts seldom have."""
+    return [k for k in keys if len(k) >= ANCHOR_LETTERS] or keys
+
+
 def described(templates: dict[str, list[str]], threshold: float) -> list[dict]:
     out = []
     for name, texts in templates.items():
@@ -140,22 +146,24 @@ def described(templates: dict[str, list[str]], threshold: float) -> list[dict]:
             if grams := bigrams(text):
                 keys = key_words(grams, threshold)
                 out.append({"licence": name, "words": words, "grams": grams, "keys": keys, "must": sorted({w for w in words if re.search("[0-9]", w)}),
-                            "anchors": [(w, i) for i, w in enumerate(words) if w in keys]})
+                            "anchors": [(w, i) for i, w in enumerate(words) if w in anchor_words(keys)]})
     return out
 
 
-def _templates(templates: dict[str, list[str]], threshold: float) -> tuple[Column, Column, Column, list[str]]:
+def _templates(templates: dict[str, list[str]], threshold: float) -> tuple[Column, Column, Column, list[str], list[str]]:
     """Literal arrays: templates, their anchors (a key word, its place, the number
-    of the template), key words; and the key words to look for in a text."""
+    of the template), the anchors' words; and the key words, and of them the
+    anchors' words, to look for in a text."""
     if sum(len(t) for texts in templates.values() for t in texts) > MAX_TEMPLATE_CHARS:
         raise ValueError(f"templates of more than {MAX_TEMPLATE_CHARS} characters: scan in several calls")
     known = described(templates, threshold)
     entry = lambda t: f"'{t['licence']}' AS licence, {len(t['grams'])} AS n, {len(t['words'])} AS m, {_texts(t['grams'])} AS grams, {_texts(t['must'])} AS must"
     entries = F.expr(f"array({', '.join(f'struct({entry(t)})' for t in known)})")
     anchors = F.expr("array(" + ", ".join(f"struct('{w}' AS word, {i} AS place, {k} AS template, {len(t['words'])} AS m)" for k, t in enumerate(known) for w, i in t["anchors"]) + ")")
-    keys = sorted({k for t in known for k in t["keys"]})
+    keys, laid = ({k for t in known for k in t["keys"]}, {w for t in known for w, _ in t["anchors"]})
     # a key word that contains another one is found by the shorter
-    return entries, anchors, F.expr(_texts(keys)), sorted(k for k in keys if not any(o != k and o in k for o in keys))
+    shortest = lambda words: sorted(k for k in words if not any(o != k and o in k for o in words))
+    return entries, anchors, F.expr(_texts(sorted(laid))), shortest(keys), shortest(laid)
 
 
 def _holds(text: Column, words: list[str]) -> Column:
@@ -178,7 +186,7 @@ def _match(t: Column, words: Column, grams: Column, threshold: float) -> Column:
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, licence, n_units, n_windows, dice (the best of them) of every match."""
-    known, anchors, key_list, keys = _templates(templates, threshold)
+    known, anchors, key_list, keys, laid_on = _templates(templates, threshold)
     words_of = lambda t: F.regexp_extract_all(t, F.lit("[a-z0-9]+"), F.lit(0))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text")).alias("t")).where(_holds(F.col("t"), keys))
     lines = F.split("t", "\n")
@@ -202,7 +210,8 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
     grammed = F.transform(laid, lambda l: F.transform(l, lambda x: F.struct(x["a"].alias("a"), x["s"].alias("s"), _grams(x["s"]).alias("g"))))
     by_window = F.transform(grammed, lambda l: F.struct(F.lit(0).alias("unit"), F.array_min(F.transform(l, lambda x: _match(x["a"], x["s"], x["g"], threshold))).alias("m")))
 
-    both = d.select("doc_id", by_unit.alias("u"), words_of(F.col("t")).alias("w")).select("doc_id", F.explode_outer(F.concat("u", by_window)).alias("x"))
+    none = F.array().cast("array<string>")
+    both = d.select("doc_id", by_unit.alias("u"), F.when(_holds(F.col("t"), laid_on), words_of(F.col("t"))).otherwise(none).alias("w")).select("doc_id", F.explode_outer(F.concat("u", by_window)).alias("x"))
     # a filter on the match would be pushed down with a copy of all of its expression; on the count it stays here
     best = both.select("doc_id", "x.unit", "x.m.licence", (-F.col("x.m.less")).alias("dice"))
     found = best.groupBy("doc_id", "licence").agg(

@@ -69,7 +69,7 @@ def dice(a, b):
 
 def plain_scan(text):
     """{licence: (units, windows, best dice)} by comparing everything."""
-    templates = [(name, k, re.findall(r"[a-z0-9]+", k.lower()), licenses.key_words(licenses.bigrams(k), 0.8)) for name, texts in licenses.TEMPLATES.items() for k in texts]
+    templates = [(name, k, re.findall(r"[a-z0-9]+", k.lower()), licenses.anchor_words(licenses.key_words(licenses.bigrams(k), 0.8))) for name, texts in licenses.TEMPLATES.items() for k in texts]
 
     def best(options):
         found = [(-x, name) for name, x, must, own in options if x >= 0.8 and must <= set(own)]
