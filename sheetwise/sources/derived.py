@@ -17,6 +17,19 @@ skipped by every table (P8).
 
 from __future__ import annotations
 
+import io
+import itertools
+import struct
+import zipfile
+import zlib
+from functools import reduce
+from operator import xor
+from xml.sax.saxutils import quoteattr
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -228,30 +241,67 @@ _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
 
 
+def _crc_shift(n: int) -> list[int]:
+    """Where each bit of a CRC-32 goes when ``n`` zero bytes follow."""
+    times = lambda m, v: reduce(xor, (m[i] for i in range(32) if v >> i & 1), 0)
+    step = [0xEDB88320] + [1 << i for i in range(31)]  # one zero bit
+    for _ in range(3):
+        step = [times(step, x) for x in step]
+    out = [1 << i for i in range(32)]
+    while n:
+        if n & 1:
+            out = [times(step, x) for x in out]
+        step, n = [times(step, x) for x in step], n >> 1
+    return out
+
+
+def crc_joined(first: int, second: int, length: int) -> int:
+    """CRC-32 of two byte strings after one another, from theirs and the second's length."""
+    return reduce(xor, (m for i, m in enumerate(_crc_shift(length)) if first >> i & 1), second)
+
+
+_ROWS_BEGIN, _ROWS_END = f'<worksheet xmlns="{_BOOK}"><sheetData>'.encode(), b"</sheetData></worksheet>"
+#: rows of a sheet that one task compresses
+ROWS_PER_PIECE = 8192
+
+
+def _deflated(text: bytes) -> bytes:
+    """A deflate piece that others may follow."""
+    z = zlib.compressobj(wbits=-15)
+    return z.compress(text) + z.flush(zlib.Z_FULL_FLUSH)
+
+
 class _Book:
-    """One ``.xlsx`` written row by row into a stream; alone or inside a zip."""
+    """One ``.xlsx`` written into a stream from compressed pieces; alone or inside a zip."""
 
     def __init__(self, sink):
-        import zipfile
         self.zip, self.sheets, self.part = zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED), [], None
 
-    def row(self, sheet: str, cells: list[str]) -> None:
-        from xml.sax.saxutils import escape
+    def piece(self, sheet: str, data: bytes, crc: int, size: int) -> None:
         if not self.sheets or self.sheets[-1] != sheet:
             self._end_sheet()
             self.sheets.append(sheet)
-            self.part = self.zip.open(f"xl/worksheets/sheet{len(self.sheets)}.xml", "w")
-            self.part.write(f'<worksheet xmlns="{_BOOK}"><sheetData>'.encode())
-        text = "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(c or "")}</t></is></c>' for c in cells)
-        self.part.write(f"<row>{text}</row>".encode())
+            self.part = zipfile.ZipInfo(f"xl/worksheets/sheet{len(self.sheets)}.xml")
+            self.part.compress_type, self.part.flag_bits, self.part.header_offset = zipfile.ZIP_DEFLATED, 8, self.zip.fp.tell()
+            self.part.CRC = self.part.compress_size = self.part.file_size = 0
+            self.zip.fp.write(self.part.FileHeader(zip64=True))
+            self._append(_deflated(_ROWS_BEGIN), zlib.crc32(_ROWS_BEGIN), len(_ROWS_BEGIN))
+        self._append(data, crc, size)
+
+    def _append(self, data: bytes, crc: int, size: int) -> None:
+        self.zip.fp.write(data)
+        p = self.part
+        p.CRC, p.compress_size, p.file_size = crc_joined(p.CRC, crc, size), p.compress_size + len(data), p.file_size + size
 
     def _end_sheet(self) -> None:
-        if self.part:
-            self.part.write(b"</sheetData></worksheet>")
-            self.part.close()
+        if p := self.part:
+            self._append(_deflated(_ROWS_END) + b"\x03\x00", zlib.crc32(_ROWS_END), len(_ROWS_END))  # an empty last block
+            self.zip.fp.write(struct.pack("<4sLQQ", b"PK\x07\x08", p.CRC, p.compress_size, p.file_size))
+            self.zip.filelist.append(p)
+            self.zip.NameToInfo[p.filename] = p
+            self.zip.start_dir = self.zip.fp.tell()
 
     def close(self) -> None:
-        from xml.sax.saxutils import quoteattr
         self._end_sheet()
         n = range(1, len(self.sheets) + 1)
         sheets = "".join(f'<sheet name={quoteattr(s)} sheetId="{i}" r:id="r{i}"/>' for i, s in zip(n, self.sheets, strict=True))
@@ -262,17 +312,33 @@ class _Book:
         self.zip.close()
 
 
+def _compress_rows(batches):
+    """mapInArrow body: rows of xml in order -> compressed runs of them, with CRC and length."""
+    schema = pa.schema([("book", pa.string()), ("sheet", pa.string()), ("piece", pa.int64()), ("k", pa.int64()),
+                        ("data", pa.binary()), ("crc", pa.int64()), ("size", pa.int64())])
+    for n, b in enumerate(batches):
+        key = pa.StructArray.from_arrays([b.column(i) for i in range(3)], ["book", "sheet", "piece"])
+        changes = np.zeros(b.num_rows, bool)
+        for c in key.flatten():
+            changes[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        starts = [0, *np.flatnonzero(changes).tolist(), b.num_rows]
+        for at, to in itertools.pairwise(starts):
+            if at < to:
+                xml = b.column(3)[at:to].cast(pa.large_binary())
+                ends = np.frombuffer(xml.buffers()[1], "int64")[xml.offset:xml.offset + to - at + 1]
+                text = memoryview(xml.buffers()[2])[ends[0]:ends[-1]]
+                values = (*key[at].as_py().values(), n, _deflated(text), zlib.crc32(text), len(text))
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+
+
 def write_workbooks(rows: DataFrame, folder: str, zipped: bool = False) -> int:
     """Sheet rows with the ``book`` they belong to -> one workbook file per book,
     sheets and rows in order; with ``zipped`` each inside a ``.zip`` of its own name.
-    A file is one stream from one task, a row at a time; a repeated task writes
+    All tasks write and compress pieces of a sheet; a file is one stream from one
+    task that puts compressed pieces after one another; a repeated task writes
     the same file again.  Returns the number of files."""
 
     def files(batches):
-        import io
-
-        import pandas as pd
-        from pyarrow import fs
         store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
         store.create_dir(root)
         name, book, stack = None, None, []
@@ -282,27 +348,37 @@ def write_workbooks(rows: DataFrame, folder: str, zipped: bool = False) -> int:
                 book.close()
                 for s in reversed(stack):
                     s.close()
-                return pd.DataFrame({"book": [name]})
+                return pa.RecordBatch.from_pydict({"book": [name]})
 
-        for pdf in batches:
-            for at, sheet, cells in zip(pdf["book"], pdf["sheet"], pdf["cells"], strict=True):
-                if at != name:
+        for b in batches:
+            for i in range(b.num_rows):
+                at, sheet, data, crc, size = (c[i] for c in b.columns)
+                if at.as_py() != name:
                     if book:
                         yield end()
-                    name, out = at, store.open_output_stream(f"{root}/{at}.{'zip' if zipped else 'xlsx'}")
+                    name = at.as_py()
+                    out = store.open_output_stream(f"{root}/{name}.{'zip' if zipped else 'xlsx'}")
                     stack = [out]
                     if zipped:
-                        import zipfile
                         outer = zipfile.ZipFile(out, "w")
-                        inner = outer.open(f"{at}.xlsx", "w", force_zip64=True)
+                        inner = outer.open(f"{name}.xlsx", "w", force_zip64=True)
                         stack += [outer, inner, io.BufferedWriter(inner)]
                     book = _Book(stack[-1])
-                book.row(sheet, list(cells))
+                book.piece(sheet.as_py(), data.as_py(), crc.as_py(), size.as_py())
         if book:
             yield end()
 
-    in_order = rows.select("book", "sheet", "row_ordinal", "cells").repartition("book").sortWithinPartitions("book", "sheet", "row_ordinal")
-    return in_order.mapInPandas(files, "book string").count()
+    def cell(c):
+        for plain, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            c = F.replace(c, F.lit(plain), F.lit(reference))
+        return F.concat(F.lit('<c t="inlineStr"><is><t xml:space="preserve">'), F.coalesce(c, F.lit("")), F.lit("</t></is></c>"))
+
+    xml = F.concat(F.lit("<row>"), F.array_join(F.transform("cells", cell), ""), F.lit("</row>"))
+    places = rows.select("book", "sheet", F.floor(F.col("row_ordinal") / ROWS_PER_PIECE).alias("piece"), "row_ordinal", "cells").repartition("book", "sheet", "piece")
+    pieces = places.sortWithinPartitions("book", "sheet", "row_ordinal").select("book", "sheet", "piece", xml.alias("xml"))
+    pieces = pieces.mapInArrow(_compress_rows, "book string, sheet string, piece long, k long, data binary, crc long, size long")
+    in_order = pieces.repartition("book").sortWithinPartitions("book", "sheet", "piece", "k").select("book", "sheet", "data", "crc", "size")
+    return in_order.mapInArrow(files, "book string").count()
 
 
 # --- customers -> one header-only sheet each (gate and header catalogues) -------------

@@ -1,9 +1,9 @@
 """Workbooks (``.xlsx``, or ``.zip`` holding ``.xlsx``) -> sheet rows.
 
-``binaryFile`` lists and reads the files; ``mapInPandas`` turns each workbook
-into rows ``(source_file = {stem}_{sheet}, sheet, row_ordinal, cells)`` with
-row 0 the first sheet row (the header).  One workbook is one input row, so
-the work spreads one workbook per task.  The reader is a small helper over
+``binaryFile`` lists and reads the files; one task per workbook cuts its sheets
+into pieces of whole rows without parsing them, and the pieces, dealt over all
+tasks, become rows ``(source_file = {stem}_{sheet}, sheet, row_ordinal, cells)``
+with row 0 the first sheet row (the header).  The reader is a small helper over
 the Office Open XML parts (shared strings, workbook, worksheets) using the
 standard library; it reads cached cell values, never formulas.
 
@@ -26,16 +26,23 @@ from __future__ import annotations
 import datetime as dt
 import io
 import posixpath
+import pyexpat
 import re
 import zipfile
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 from xml.etree import ElementTree as ET
+from xml.sax.saxutils import quoteattr
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sheetwise.session import join_per_file, stored
 from sheetwise.sources.sheets import SHEET_ROWS_SCHEMA, list_files
@@ -46,6 +53,7 @@ _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
 _REF = re.compile(r"([A-Z]+)([0-9]+)")
 
 
+@lru_cache(maxsize=20000)
 def _col_index(letters: str) -> int:
     n = 0
     for ch in letters:
@@ -99,28 +107,210 @@ def _number(v: str) -> str:
         return v
 
 
-def _cell_text(c, shared: list[str], dates: set[int] = frozenset(), from_1904: bool = False) -> str | None:
-    t = c.get("t", "n")
-    v = c.find("m:v", _NS)
-    if t == "inlineStr":
-        is_ = c.find("m:is", _NS)
-        return _text(is_) if is_ is not None else None
-    if v is None or v.text is None:
-        return None
-    if t == "s":
-        return shared[int(v.text)]
-    if t == "b":
-        return "True" if v.text.strip() == "1" else "False"
-    if t in ("str", "e"):
-        return v.text
-    if int(c.get("s", "0")) in dates:
-        return _date_text(v.text, from_1904)
-    return _number(v.text)
-
-
-def iter_xlsx(data: bytes) -> Iterator[tuple[str, Iterator[list[str]]]]:
-    """(sheet name, rows of cell text) per sheet, in book order.  Rows come one
-    at a time; only the width of the sheet is found in a first pass."""
+_M = f"{{{_NS['m']}}}"
+ROW, CELL, VALUE, INLINE = (_M + t for t in ("row", "c", "v", "is"))
+
+
+def _cell_text(kind: str, v: str, style: str, shared: dict[int, str], dates: set[int], from_1904: bool) -> str:
+    if kind == "s":
+        return shared[int(v)]
+    if kind == "b":
+        return "True" if v.strip() == "1" else "False"
+    if kind in ("str", "e"):
+        return v
+    if int(style) in dates:
+        return _date_text(v, from_1904)
+    return _number(v)
+
+
+#: bytes of a worksheet's rows parsed at once
+PIECE_BYTES = 1 << 20
+_ATTRIBUTES = rb"""((?:\s+[\w:.-]+\s*=\s*(?:"[^"]*"|'[^']*'))*)\s*/?>"""
+_ROW_NUMBER = re.compile(rb"""\sr\s*=\s*["']([0-9]+)""")
+_ANY_VALUE = re.compile(rb"<(?:[\w.-]+:)?v(?:\s[^>]*)?>\s*([0-9]+)\s*<")
+_OTHER_ENCODING = re.compile(rb"""(?:\xef\xbb\xbf)?<\?xml[^>]*encoding\s*=\s*["'](?!utf-?8|us-ascii)""", re.I)
+_SHEET_DATA = re.compile(rb"<((?:[\w.-]+:)?)sheetData" + _ATTRIBUTES)
+
+
+class _Rows:
+    """Counts rows as they are cut off a sheet: ``ordinal`` rows are given out
+    (gaps in the row numbers filled), the last one has the sheet's row number ``at``."""
+
+    def __init__(self, ordinal: int = 0, at: int = -1):
+        self.ordinal, self.at, self.elements = ordinal, at, 0
+
+    def step(self, number: int | None) -> int:
+        """The number of missing rows before the next row element."""
+        at = self.at + 1 if number is None else number - 1
+        gap = max(0, at - self.at - 1)
+        self.ordinal, self.at, self.elements = self.ordinal + gap + 1, at, self.elements + 1
+        return gap
+
+
+def _row_pieces(open_part) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """A worksheet cut into runs of whole rows without parsing them: (rows before,
+    row number before, start tag with the sheet's namespaces, xml of the rows).
+    What surrounds the rows is parsed here, so a part that is not well formed is
+    noticed; the rows are parsed by whoever gets the piece.
+
+    Inside ``sheetData`` a "<" begins a tag unless there are comments, CDATA or
+    processing instructions; a sheet that has these, a DTD or another encoding is
+    parsed here and its rows written out anew.
+    """
+    seen = _Rows()
+    with open_part() as f:
+        head = b""
+        while not (found := _SHEET_DATA.search(head)):
+            more = f.read(PIECE_BYTES)
+            if not more:
+                break
+            head += more
+        plain = found and b"<!DOCTYPE" not in head[:found.end()] and not _OTHER_ENCODING.match(head)
+        if plain:
+            outside = ET.XMLPullParser(("start", "start-ns", "end-ns"))
+            outside.feed(head[:found.end()])
+            spaces, last = [], None
+            for event, x in outside.read_events():
+                if event == "start-ns":
+                    spaces.append(x)
+                elif event == "end-ns":
+                    spaces.pop()
+                else:
+                    last = x.tag
+            plain = last == _M + "sheetData"
+        if plain:
+            # the innermost declaration of a prefix holds
+            start = ("<rows" + "".join(f" xmlns{':' if p else ''}{p}={quoteattr(u)}" for p, u in dict(spaces).items()) + ">").encode()
+            tag = b"<" + found.group(1) + b"row"
+            row, close = re.compile(re.escape(tag) + _ATTRIBUTES), b"</" + found.group(1) + b"sheetData"
+            buf, empty = head[found.end():], found.group(0).endswith(b"/>")
+            while not empty:
+                end = buf.find(close)
+                cut = end if end >= 0 else _last_tag(buf, tag)
+                if cut > 0 and (end >= 0 or cut >= PIECE_BYTES // 2):
+                    xml = buf[:cut]
+                    if b"<!" in xml or b"<?" in xml:
+                        plain = False
+                        break
+                    before = (seen.ordinal, seen.at)
+                    for m in row.finditer(xml):
+                        r = _ROW_NUMBER.search(m.group(1)) if m.group(1) else None
+                        seen.step(int(r.group(1)) if r else None)
+                    yield *before, start, xml
+                    buf = buf[cut:]
+                    end = end - cut if end >= 0 else end
+                if end >= 0:
+                    break
+                more = f.read(PIECE_BYTES)
+                if not more:
+                    break  # the parser finds the end missing
+                buf += more
+            if plain:
+                while buf:
+                    outside.feed(buf)
+                    buf = f.read(PIECE_BYTES)
+                outside.close()
+    if not plain:
+        yield from _parsed_pieces(open_part, seen)
+
+
+def _last_tag(buf: bytes, tag: bytes) -> int:
+    """Where the last ``tag`` begins, -1 if there is none."""
+    at = buf.rfind(tag)
+    while at >= 0 and buf[at + len(tag):at + len(tag) + 1] not in (b" ", b"\t", b"\r", b"\n", b"/", b">"):
+        at = buf.rfind(tag, 0, at)
+    return at
+
+
+def _parsed_pieces(open_part, seen: _Rows) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """As ``_row_pieces``, from the row after those ``seen``, by parsing the part."""
+    skip, out, size, before = seen.elements, [], 0, (seen.ordinal, seen.at)
+    with open_part() as f:
+        for _, row in ET.iterparse(f):
+            if row.tag != ROW:
+                continue
+            if skip:
+                skip -= 1
+            else:
+                seen.step(int(row.get("r")) if row.get("r") else None)
+                row.tail = None
+                out.append(ET.tostring(row))
+                size += len(out[-1])
+            row.clear()
+            if size >= PIECE_BYTES:
+                yield *before, b"<rows>", b"".join(out)
+                out, size, before = [], 0, (seen.ordinal, seen.at)
+    if out:
+        yield *before, b"<rows>", b"".join(out)
+
+
+#: a plain cell, the begin or end of a row, or anything else that begins a tag
+_TOKEN = re.compile('<c(?: r="([A-Z]+)[0-9]+")?(?: s="([0-9]+)")?(?: t="([A-Za-z]+)")?'
+                    '(?:/>|>(?:(<is>)<t(?: xml:space="preserve")?>([^<]*)</t></is>|<v>([^<]*)</v>)?</c>)|(<row)((?: [A-Za-z:0-9]+="[^"<]*")*)/?>|</row>|(<)')
+_ROW_ATTRIBUTE = re.compile(' r="([^"]*)"')
+_REFERENCE = re.compile("&(#x[0-9a-fA-F]+|#[0-9]+|[a-z]+);")
+_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+
+
+def _referred(m) -> str:
+    name = m.group(1)
+    return _ENTITIES[name] if name[0] != "#" else chr(int(name[2:], 16) if name[1] == "x" else int(name[1:]))
+
+
+def _tokens(start: bytes, xml: bytes) -> Iterator[tuple]:
+    """(is a row, its number, cell column, style, type, inline text, value) of a
+    piece.  The parser checks the whole piece; where it holds only plain cells,
+    as nearly all do, these are found by one expression instead of its tree."""
+    if f' xmlns="{_NS["m"]}"'.encode() in start and b"\r" not in xml:
+        found = _TOKEN.findall(xml.decode())
+        if not any(odd or (row and "xmlns" in attributes) for *_, row, attributes, odd in found):
+            pyexpat.ParserCreate(None, "}").Parse(start + xml + b"</rows>", True)
+            plain = lambda v: _REFERENCE.sub(_referred, v) if "&" in v else v
+            for ref, style, kind, inline, text, v, row, attributes, _ in found:
+                if row:
+                    number = _ROW_ATTRIBUTE.search(attributes)
+                    yield True, number.group(1) if number else None, None, None, None, None, None
+                elif ref or style or kind or inline or v:
+                    yield False, None, ref, style or "0", kind or "n", plain(text) if inline else None, plain(v) or None
+                else:
+                    yield False, None, "", "0", "n", None, None
+            return
+    for row in ET.fromstring(start + xml + b"</rows>"):
+        if row.tag != ROW:
+            continue
+        yield True, row.get("r"), None, None, None, None, None
+        for c in row:
+            if c.tag == CELL:
+                is_ = next((x for x in c if x.tag == INLINE), None)
+                yield (False, None, _REF.match(c.get("r")).group(1) if c.get("r") else "", c.get("s", "0"), c.get("t", "n"),
+                       None if is_ is None else _text(is_), next((x.text for x in c if x.tag == VALUE), None))
+
+
+def _parse_piece(ordinal: int, at: int, start: bytes, xml: bytes, shared: dict[int, str], dates: set[int], from_1904: bool) -> list[list[str]]:
+    """The rows of a piece, as wide as their last cell; missing rows are empty."""
+    rows, seen, cells, following = [], _Rows(ordinal, at), [], 0
+    for is_row, number, ref, style, kind, inline, v in _tokens(start, xml):
+        if is_row:
+            rows += [[] for _ in range(seen.step(int(number) if number else None))]
+            cells, following = [], 0
+            rows.append(cells)
+            continue
+        i = _col_index(ref) if ref else following
+        following = i + 1
+        text = inline if kind == "inlineStr" else None if v is None else _cell_text(kind, v, style, shared, dates, from_1904)
+        if text is not None:
+            if i == len(cells):
+                cells.append(text)
+                continue
+            if i > len(cells):
+                cells += [""] * (i + 1 - len(cells))
+            cells[i] = text
+    return rows
+
+
+def iter_pieces(data: bytes) -> Iterator[tuple[str, tuple]]:
+    """(sheet name, what ``_parse_piece`` needs for some rows) in book order, last
+    an empty piece per sheet.  A piece carries the shared strings it may name."""
     z = zipfile.ZipFile(io.BytesIO(data))
     names = set(z.namelist())
     shared = []
@@ -131,46 +321,23 @@ def iter_xlsx(data: bytes) -> Iterator[tuple[str, Iterator[list[str]]]]:
     book = ET.fromstring(z.read("xl/workbook.xml"))
     about = book.find("m:workbookPr", _NS)
     from_1904 = about is not None and about.get("date1904") in ("1", "true")
-
-    def cells_of(path: str) -> Iterator[tuple[int, dict[int, str]]]:
-        at = -1
-        with z.open(path) as f:
-            for _, row in ET.iterparse(f):
-                if row.tag != f"{{{_NS['m']}}}row":
-                    continue
-                at = int(row.get("r")) - 1 if row.get("r") else at + 1
-                cells, following = {}, 0
-                for c in row.findall("m:c", _NS):
-                    ref = c.get("r")
-                    i = _col_index(_REF.match(ref).group(1)) if ref else following
-                    following = i + 1
-                    text = _cell_text(c, shared, dates, from_1904)
-                    if text is not None:
-                        cells[i] = text
-                row.clear()
-                yield at, cells
-
-    def rows_of(path: str) -> Iterator[list[str]]:
-        width = max((max(cells) + 1 for _, cells in cells_of(path) if cells), default=0)
-        done = 0
-        for at, cells in cells_of(path):
-            for _ in range(done, at):
-                yield [""] * width
-            yield [cells.get(i, "") for i in range(width)]
-            done = at + 1
-
     for s in book.find("m:sheets", _NS).findall("m:sheet", _NS):
         target = rels[s.get(f"{{{_NS['r']}}}id")]
-        yield s.get("name"), rows_of(target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join("xl", target)))
+        path = target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join("xl", target))
+        empty = (0, -1, b"<rows>", b"")
+        for ordinal, at, start, xml in chain(_row_pieces(lambda path=path: z.open(path)), [empty]):
+            # any number in a value may be that of a shared string
+            named = {int(v) for v in set(_ANY_VALUE.findall(xml)) if len(v) < 12} if shared else ()
+            yield s.get("name"), (ordinal, at, start, xml, {i: shared[i] for i in named if i < len(shared)}, dates, from_1904)
 
 
 def read_xlsx(data: bytes) -> list[tuple[str, list[list[str]]]]:
     """[(sheet name, rows of cell text)] of a small workbook at once."""
-    return [(name, list(rows)) for name, rows in iter_xlsx(data)]
-
-
-def _escape(v: str) -> str:
-    return v.replace("\r", "").replace("\n", "<br>")
+    sheets: dict[str, list[list[str]]] = {}
+    for name, piece in iter_pieces(data):
+        sheets.setdefault(name, []).extend(_parse_piece(*piece))
+    width = {name: max(map(len, rows), default=0) for name, rows in sheets.items()}
+    return [(name, [r + [""] * (width[name] - len(r)) for r in rows]) for name, rows in sheets.items()]
 
 
 def _workbook_members(path: str, content: bytes):
@@ -184,47 +351,79 @@ def _workbook_members(path: str, content: bytes):
         yield posixpath.splitext(name)[0], content
 
 
-ROWS_PER_BATCH = 500
-INGEST_SCHEMA = T.StructType([*SHEET_ROWS_SCHEMA.fields, T.StructField("workbook", T.StringType()), T.StructField("_source", T.StringType())])
 #: order of sources that hold the same sheet file: the greatest wins
 ZIPPED, LOOSE = 0, 1
-
-
-def _sheets_of(path: str, content: bytes, columns: list[str]) -> Iterator[pd.DataFrame]:
-    name = posixpath.basename(path)
-    kind = ZIPPED if name.lower().endswith(".zip") else LOOSE
-    for k, (stem, data) in enumerate(_workbook_members(path, content)):
-        for sheet, rows in iter_xlsx(data):
-            out = []
-            for i, cells in enumerate(rows):
-                out.append((f"{stem}_{sheet}", sheet, i, [_escape(c) for c in cells], name, f"{kind}/{name}/{k:06d}"))
-                if len(out) >= ROWS_PER_BATCH:
-                    yield pd.DataFrame(out, columns=columns)
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=columns)
-
-
-def _explode_workbooks(skip: bool):
-    """mapInPandas body.  A skipped source gives one row without cells whose
-    ``_source`` is the error; rows it gave before are left out by ``ingest_workbooks``."""
-    columns = [f.name for f in INGEST_SCHEMA.fields]
+#: row number that marks a source that could not be read
+FAILED = -1
+_PIECES = T.StructType([T.StructField(n, t) for n, t in (
+    ("source_file", T.StringType()), ("sheet", T.StringType()), ("workbook", T.StringType()), ("_source", T.StringType()), ("_piece", T.LongType()),
+    ("ordinal", T.LongType()), ("at", T.LongType()), ("start", T.BinaryType()), ("xml", T.BinaryType()), ("ids", T.ArrayType(T.IntegerType())),
+    ("texts", T.ArrayType(T.StringType())), ("dates", T.ArrayType(T.IntegerType())), ("from_1904", T.BooleanType()))])
+#: cells are as wide as the row here, ``_width`` says how wide
+_PARSED = T.StructType([*SHEET_ROWS_SCHEMA.fields, T.StructField("workbook", T.StringType()), T.StructField("_source", T.StringType()), T.StructField("_width", T.IntegerType())])
+_UNREADABLE = (zipfile.BadZipFile, ET.ParseError, pyexpat.ExpatError, KeyError, IndexError, ValueError, AttributeError, EOFError, zlib.error)
+
+
+def _cut_workbooks(skip: bool):
+    """mapInArrow body: (path, content) -> the pieces of their sheets.  A source
+    that cannot be read gives, when skipped, one piece without xml whose ``_source``
+    is the error; rows it gives otherwise are left out by ``ingest_workbooks``."""
+    arrow = to_arrow_schema(_PIECES)
+
+    def pieces_of(path: str, content: bytes):
+        name, n = posixpath.basename(path), 0
+        kind = ZIPPED if name.lower().endswith(".zip") else LOOSE
+        for k, (stem, data) in enumerate(_workbook_members(path, content)):
+            for sheet, (ordinal, at, start, xml, shared, dates, from_1904) in iter_pieces(data):
+                yield (f"{stem}_{sheet}", sheet, name, f"{kind}/{name}/{k:06d}", n, ordinal, at, start, xml, list(shared), list(shared.values()), list(dates), from_1904)
+                n += 1
 
     def run(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
+        for b in batches:
+            for path, content in zip(b.column(0), b.column(1)):
                 try:
-                    yield from _sheets_of(path, content, columns)
-                except (zipfile.BadZipFile, ET.ParseError, KeyError, IndexError, ValueError, AttributeError, EOFError, zlib.error) as e:
+                    for piece in pieces_of(path.as_py(), content.as_py()):
+                        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(piece, arrow)], schema=arrow)
+                except _UNREADABLE as e:
                     if not skip:
                         raise
-                    yield pd.DataFrame([("", None, FAILED, None, posixpath.basename(path), f"{type(e).__name__}: {e}")], columns=columns)
+                    failed = {"workbook": posixpath.basename(path.as_py()), "_source": f"{type(e).__name__}: {e}", "_piece": -1}
+                    yield pa.RecordBatch.from_pylist([failed], schema=arrow)
 
     return run
 
 
-#: row number that marks a source that could not be read
-FAILED = -1
+def _parse_pieces(skip: bool):
+    """mapInArrow body: pieces -> sheet rows; cell text is escaped (S3)."""
+    arrow = to_arrow_schema(_PARSED)
+
+    def rows_of(p: dict) -> pa.RecordBatch:
+        shared = dict(zip(p["ids"], p["texts"], strict=True))
+        rows = _parse_piece(p["ordinal"], p["at"], p["start"], p["xml"], shared, set(p["dates"]), p["from_1904"])
+        n, widths = len(rows), np.array([len(r) for r in rows], "int32")
+        texts = pa.array([c for r in rows for c in r], pa.string())
+        texts = pc.replace_substring(pc.replace_substring(texts, "\r", ""), "\n", "<br>")
+        cells = pa.ListArray.from_arrays(np.concatenate([[0], widths.cumsum()]).astype("int32"), texts)
+        same = lambda v: pa.repeat(pa.scalar(v, pa.string()), n)
+        columns = [same(p["source_file"]), same(p["sheet"]), pa.array(np.arange(p["ordinal"], p["ordinal"] + n)), cells, same(p["workbook"]), same(p["_source"]), pa.array(widths)]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                p = b.slice(i, 1).to_pylist()[0]
+                error = p["_source"]
+                if p["xml"] is not None:
+                    try:
+                        yield rows_of(p)
+                        continue
+                    except _UNREADABLE as e:
+                        if not skip:
+                            raise
+                        error = f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_pylist([{"source_file": "", "row_ordinal": FAILED, "workbook": p["workbook"], "_source": error}], schema=arrow)
+
+    return run
 
 
 def _sources(spark: SparkSession, folder: str, target_files: list[str] | None, skip: bool) -> DataFrame:
@@ -232,9 +431,11 @@ def _sources(spark: SparkSession, folder: str, target_files: list[str] | None, s
     if target_files:
         found = [f for f in found if posixpath.basename(f) in set(target_files)]
     if not found:
-        return spark.createDataFrame([], INGEST_SCHEMA)
-    # one input row per workbook; Spark packs files into splits, no shuffle of contents
-    return stored(spark.read.format("binaryFile").load(found).select("path", "content").mapInPandas(_explode_workbooks(skip), INGEST_SCHEMA), "workbooks")
+        return spark.createDataFrame([], _PARSED)
+    # one input row per workbook, cut into pieces of whole rows; the pieces are
+    # dealt out, so one workbook is parsed by many tasks
+    pieces = spark.read.format("binaryFile").load(found).select("path", "content").mapInArrow(_cut_workbooks(skip), _PIECES)
+    return stored(pieces.repartition("workbook", "_piece").mapInArrow(_parse_pieces(skip), _PARSED), "workbooks")
 
 
 def ingest_workbooks(spark: SparkSession, folder: str, target_files: list[str] | None = None, on_error: str = "stop") -> DataFrame:
@@ -249,11 +450,15 @@ def ingest_with_failures(spark: SparkSession, folder: str, target_files: list[st
     """(sheet rows, ``(workbook, error)`` of the sources left out).  A source goes
     in whole or not at all: its rows from before the error are dropped."""
     rows = _sources(spark, folder, target_files, on_error == "skip")
-    failed = rows.where(F.col("row_ordinal") == FAILED).select("workbook", F.col("_source").alias("error"))
+    failed = rows.where(F.col("row_ordinal") == FAILED).groupBy("workbook").agg(F.min("_source").alias("error"))
     rows = rows.join(failed.select("workbook"), "workbook", "left_anti") if on_error == "skip" else rows
-    last = rows.groupBy("source_file").agg(F.max("_source").alias("_last"))
+    # rows are made as wide as the sheet's widest
+    wide = rows.groupBy("source_file", "_source").agg(F.max("_width").alias("w"))
+    last = wide.groupBy("source_file").agg(F.max(F.struct("_source", "w")).alias("_last"))
     rows = join_per_file(rows, last)
-    rows = rows.where(F.col("_source") == F.col("_last"))
+    rows = rows.where(F.col("_source") == F.col("_last._source"))
+    missing = F.col("_last.w") - F.col("_width")
+    rows = rows.withColumn("cells", F.when(missing == 0, F.col("cells")).otherwise(F.concat("cells", F.array_repeat(F.lit(""), missing))))
     return rows.select(*[f.name for f in SHEET_ROWS_SCHEMA.fields], "workbook"), failed
 
 

@@ -162,3 +162,75 @@ def test_workbook_to_published_tables(spark):
     assert (f["block_id"], f["sequence"], f["支払先費目"], f["支払先金額(百万円)"]) == ("A", 1, "委託", "12")
     bu = versions.read_set(spark, d + "/work/tables")["budgets"].collect()[0]
     assert bu["予算の状況当初予算"] == "30"
+
+
+def _same_rows_by_parsing(sheet_xml, shared_xml=""):
+    """A sheet cut into pieces against the whole part parsed as one tree."""
+    from xml.etree import ElementTree as ET
+    root = ET.fromstring(f'<w xmlns="{M}">{sheet_xml}</w>')
+    shared = ["".join(t.text or "" for t in si.iter(f"{{{M}}}t")) for si in ET.fromstring(f'<w xmlns="{M}">{shared_xml}</w>')]
+    rows, at = [], 0
+    for row in root.iter(f"{{{M}}}row"):
+        n = int(row.get("r", at + 1))
+        rows += [[]] * (n - at - 1)
+        cells = {}
+        for c in row.iter(f"{{{M}}}c"):
+            text = "".join(t.text or "" for t in c.iter(f"{{{M}}}t"))
+            v = c.find(f"{{{M}}}v")
+            i = ord(c.get("r")[0]) - 65 if c.get("r") else max(cells, default=-1) + 1
+            cells[i] = text if c.get("t") == "inlineStr" else shared[int(v.text)] if c.get("t") == "s" else v.text
+        rows.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
+        at = n
+    width = max(map(len, rows))
+    return [r + [""] * (width - len(r)) for r in rows]
+
+
+def test_a_sheet_in_many_pieces_has_the_same_rows(monkeypatch):
+    from sheetwise.sources import workbooks as W
+    shared = "".join(f"<si><t>text {i}</t></si>" for i in range(60))
+    plain = "".join(f'<row r="{2 * i + 1}"><c r="A{2 * i + 1}" t="s"><v>{i}</v></c><c r="C{2 * i + 1}" t="inlineStr"><is><t xml:space="preserve"> a &amp; &#x3042;&lt;b </t></is></c>'
+                    f'<c r="D{2 * i + 1}"><v>{i}</v></c></row>' for i in range(60))
+    unnumbered = "".join(f'<row spans="1:2" ><c t="inlineStr"><is><t>{i}</t></is></c><c t="inlineStr"><is><r><t>x</t></r><r><t>y</t></r></is></c></row>' for i in range(40))
+    for size in (64, 700, 1 << 20):
+        monkeypatch.setattr(W, "PIECE_BYTES", size)
+        for rows in (plain, unnumbered, '<row r="3"/><row/>' + unnumbered, plain + "<!-- </row><row> -->" + unnumbered):
+            data = styled(rows, shared)
+            assert dict(read_xlsx(data))["S"] == _same_rows_by_parsing(rows, shared)
+    many = [p for _, p in W.iter_pieces(styled(plain, shared))]
+    assert len(many) == 2  # one of rows, one empty
+
+
+def test_malformed_rows_are_noticed(monkeypatch):
+    import pytest
+
+    from sheetwise.sources import workbooks as W
+    monkeypatch.setattr(W, "PIECE_BYTES", 64)
+    good = '<row><c t="inlineStr"><is><t>a</t></is></c></row>' * 9
+    for bad in ("<row><c></row>", "<row>&no;</row>", '<row><c t="inlineStr"><is><t>&no;</t></is></c></row>', "</sheetData><row>", "a & b"):
+        with pytest.raises(W._UNREADABLE):
+            read_xlsx(styled(good + bad + good))
+
+
+def test_workbooks_written_by_many_tasks(spark):
+    """Written in pieces, read by pieces: every cell is there, in one file per book."""
+    from pyspark.sql import functions as F
+
+    from sheetwise.session import scratch_folder
+    from sheetwise.sources import derived
+    rows = spark.range(1, 40001).select(F.lit("b2016").alias("book"), F.when(F.col("id") % 2 == 0, "S").otherwise("T").alias("sheet"), F.col("id").alias("row_ordinal"),
+                                        F.array(F.col("id").cast("string"), F.lit("<&>\n\"' 語"), F.lit(None).cast("string")).alias("cells"))
+    for zipped in (False, True):
+        folder = scratch_folder(spark, "books")
+        assert derived.write_workbooks(rows, folder, zipped) == 1
+        files = spark.read.format("binaryFile").load(folder).collect()
+        data = bytes(files[0]["content"])
+        if zipped:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                data = z.read("b2016.xlsx")
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            assert z.testzip() is None
+        sheets = dict(read_xlsx(data))
+        assert sheets["S"] == [[str(i), "<&>\n\"' 語", ""] for i in range(2, 40001, 2)] and len(sheets["T"]) == 20000
+        got = ingest_workbooks(spark, folder)
+        assert got.where("cells[0] = 39999").collect()[0]["row_ordinal"] == 19999
+        assert got.where("size(cells) = 3 AND cells[1] = '<&><br>\"'' 語'").count() == 40000
