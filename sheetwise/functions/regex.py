@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 # Python's ``\\s`` / ``str.isspace()`` set, spelled out for Java.
 PY_SPACE = "[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
 
+PY_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
 
 def search(pattern: str) -> str:
     return "(?d)" + pattern
@@ -39,7 +41,7 @@ def extract(col: Column, pattern: str, idx: int) -> Column:
 def py_strip(col: Column) -> Column:
     """``str.strip()``: remove Unicode whitespace at both ends (Spark ``trim``
     removes only ASCII spaces)."""
-    return F.regexp_replace(col, "^" + PY_SPACE + "+|" + PY_SPACE + "+$", "")
+    return F.btrim(col, F.lit(PY_SPACES))
 
 
 def let(value: Column, fn) -> Column:

@@ -54,9 +54,29 @@ def __getattr__(name: str):
     raise AttributeError(name)
 
 
+# Wide forms with one plain form: full-width ASCII and the wide space.  Putting the
+# plain form in their place leaves the NFKC of a text as it is, wherever they stand,
+# because both have the same decomposition; so most of the folding stays in the JVM.
+_WIDE = "\u3000" + "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW = unicodedata.normalize("NFKC", _WIDE)
+# Blocks NFKC leaves alone (a test compares them with ``nfkc_unstable``): ASCII, CJK
+# punctuation, kana and unified ideographs.  Texts of these need no look-up per character.
+NFKC_STABLE = "\\x00-\\x7F\\u3001-\\u3029\\u3041-\\u3096\\u30A1-\\u30FE\\u4E00-\\u9FFF"
+
+
+def is_ascii(t: Column) -> Column:
+    return F.octet_length(t) == F.length(t)
+
+
+def narrowed(t: Column) -> Column:
+    """The part of NFKC that replaces one character by one."""
+    return F.when(is_ascii(t), t).otherwise(F.translate(t, _WIDE, _NARROW))
+
+
 def needs_nfkc(t: Column) -> Column:
-    """True when NFKC may change ``t`` (one hash lookup per character, in the JVM)."""
-    return F.length(F.translate(t, nfkc_unstable(), "")) < F.length(t)
+    """True when NFKC may change ``t`` (one hash lookup per character, in the JVM,
+    for texts beyond the stable blocks)."""
+    return ~is_ascii(t) & ~t.rlike("^[" + NFKC_STABLE + "]*\\z") & (F.length(F.translate(t, nfkc_unstable(), "")) < F.length(t))
 
 
 HY = "[" + "".join("\\x{%X}" % cp for cp in K.HYPHEN_CODEPOINTS) + "]"
@@ -148,16 +168,16 @@ RE_ERA_YEAR_HINT = "[" + _ERA_LAST_CHARS + "][0-9" + K.ERA_FIRST_YEAR + "]"
 
 
 def post_trigger(x: Column) -> Column:
-    """Could any of steps 3-10 change ``x``?  Cheap checks only (a superset):
+    """Could any of steps 3-9 change ``x``?  Cheap checks only (a superset):
     byte searches for single characters and 年度, one short regex for era
-    years, the kana-dash regex only when a "-" is present, and the first and
-    last character for whitespace."""
+    years and the kana-dash regex only when a "-" is present.  ASCII text can
+    only hold a tilde or an era letter with a year."""
     hit = None
     for ch in _TRIGGER_CHARS + ["年度"]:
         c = F.instr(x, ch) > 0
         hit = c if hit is None else hit | c
-    edge = F.substring(x, 1, 1).rlike(PY_SPACE) | F.substring(x, -1, 1).rlike(PY_SPACE)
-    return (hit | edge | ((F.instr(x, "-") > 0) & x.rlike(RE_KANA_NEAR_DASH)) | x.rlike(RE_ERA_YEAR_HINT))
+    era = x.rlike(RE_ERA_YEAR_HINT)
+    return F.when(is_ascii(x), (F.instr(x, "~") > 0) | era).otherwise(hit | ((F.instr(x, "-") > 0) & x.rlike(RE_KANA_NEAR_DASH)) | era)
 
 
 def _when_has(x: Column, pattern: str, step) -> Column:
@@ -165,15 +185,11 @@ def _when_has(x: Column, pattern: str, step) -> Column:
     return F.when(x.rlike(pattern), step(x)).otherwise(x)
 
 
-def _strip_edges(x: Column) -> Column:
-    """N10, checking only the first and last character before any regex work."""
-    edge = F.substring(x, 1, 1).rlike(PY_SPACE) | F.substring(x, -1, 1).rlike(PY_SPACE)
-    return F.when(edge, py_strip(x)).otherwise(x)
-
-
 def post_nfkc(t: Column) -> Column:
-    """Steps 3-10 (skipped in one scan when nothing can apply)."""
-    return let(t, lambda x: F.when(post_trigger(x), _post_chain(x)).otherwise(x))
+    """Steps 3-10.  White space at the ends has no part in steps 3-9 but beside a
+    tilde, where it goes either way; so it is stripped first, and a value with
+    nothing else to do is done after one scan."""
+    return let(py_strip(t), lambda x: F.when(post_trigger(x), _post_chain(x)).otherwise(x))
 
 
 def _post_chain(t: Column) -> Column:
@@ -201,7 +217,7 @@ def _post_chain(t: Column) -> Column:
             lambda p, lab: F.array(p, lab))), "")
         return F.when(x.rlike(RE_LABEL_PROTECTED), shielded).when(x.rlike(RE_HYPHEN_WORK), _hyphens(x)).otherwise(x)
 
-    return let(let(t, shield), _strip_edges)
+    return py_strip(let(t, shield))
 
 
 # --- step 2: NFKC -----------------------------------------------------------------
@@ -238,22 +254,31 @@ def normalize_text(t: Column) -> Column:
     """Normalize one string column (NULL and '' pass through unchanged)."""
     pre = F.when(t.rlike(RE_CIRCLED), pre_nfkc(t)).otherwise(t)
     # values NFKC cannot change reach the UDF as NULL: Python sees only the rest
-    folded = F.coalesce(nfkc(F.when(needs_nfkc(pre), pre)), pre)
+    folded = let(narrowed(pre), lambda x: F.struct(x.alias("x"), F.when(needs_nfkc(x), x).alias("sent")))
+    folded = F.coalesce(nfkc(folded["sent"]), folded["x"])
     return F.when((t.isNull()) | (t == ""), t).otherwise(post_nfkc(folded))
 
 
+def _any_cell(cells: Column, test) -> Column:
+    """Does ``test`` hold for some cell?  Asked once of all cells in one text: for
+    tests that look at characters and their neighbours the line feed between two
+    cells changes nothing, or makes it a superset."""
+    return let(F.array_join(cells, "\n"), test)
+
+
 def pre_cells(cells: Column) -> Column:
     # ``c`` is a lambda variable: guard it directly, no single-evaluation wrapper needed
-    return F.transform(cells, lambda c: F.when(c.rlike(RE_CIRCLED), pre_nfkc(c)).otherwise(c))
+    circled = lambda c: narrowed(F.when(c.rlike(RE_CIRCLED), pre_nfkc(c)).otherwise(c))
+    return F.when(_any_cell(cells, lambda t: t.rlike(RE_CIRCLED)), F.transform(cells, circled)).otherwise(F.transform(cells, narrowed))
 
 
 def nfkc_sent(pre: Column) -> Column:
     """The NFKC-sensitive cells of a row (others NULL), or one NULL for a row
     without any -- that row then costs Python nothing but a NULL."""
-    return nfkc_cells(F.when(F.exists(pre, needs_nfkc), F.transform(pre, lambda c: F.when(needs_nfkc(c), c))))
+    return nfkc_cells(F.when(_any_cell(pre, needs_nfkc), F.transform(pre, lambda c: F.when(needs_nfkc(c), c))))
 
 
 def post_cells(pre: Column, sent: Column) -> Column:
     folded = F.when(sent.isNull(), pre).otherwise(F.zip_with(pre, sent, lambda p, n: F.coalesce(n, p)))
-    return F.transform(folded, lambda c: F.when(c.isNull() | (c == ""), c)
-                       .when(post_trigger(c), _post_chain(c)).otherwise(c))
+    steps = lambda cells: F.transform(cells, lambda c: F.when(post_trigger(c), _post_chain(c)).otherwise(c))
+    return let(F.transform(folded, py_strip), lambda cells: F.when(_any_cell(cells, post_trigger), steps(cells)).otherwise(cells))

@@ -71,3 +71,26 @@ def test_nfkc_prefilter_is_sound():
         if unicodedata.normalize("NFKC", c) != c:
             assert c in s
     assert "あ" not in s and "漢" not in s and "ア" not in s
+
+
+def test_stable_blocks_and_strip():
+    import re
+    import unicodedata
+
+    from sheetwise.functions import regex, text
+    assert not set(re.findall("[" + text.NFKC_STABLE + "]", text.nfkc_unstable()))
+    assert len(text._NARROW) == len(text._WIDE) and text._NARROW.isascii()
+    # (a wide space would otherwise send a value to Python)
+    assert all(unicodedata.normalize("NFKC", "か" + w + "\u3099") == unicodedata.normalize("NFKC", "か" + n + "\u3099") for w, n in zip(text._WIDE, text._NARROW))
+    assert [c for c in map(chr, range(0x110000)) if c.isspace()] == list(regex.PY_SPACES)
+
+
+def test_wide_digits_and_edges_stay_in_the_jvm(spark):
+    """Cells with full-width digits and white space at the ends send nothing to Python."""
+    from sheetwise.functions.text import nfkc_sent, pre_cells
+    cells = [" \u3000１２ー３、金額（円）\u3000 ", "ｶﾞ", None, "", "\u2028 H25 ～ 26\u3000", "\x85〜 平成２５年～２７年 \x1f", "\u3000a ~", "漢-字 ", "\u3000"]
+    df = spark.createDataFrame([(cells[:1],), (cells,)], "cells array<string>").withColumn("pre", pre_cells(F.col("cells")))
+    one, many = (r["s"] for r in df.withColumn("s", nfkc_sent(F.col("pre"))).select("s").collect())
+    assert one is None and many[1] == "ガ"
+    got = [r["cells"] for r in normalize_sheet_rows(df.select("cells")).collect()][1]
+    assert got == ["12ー3、金額(円)", "ガ", None, "", "2013～2014", "〜 2013年～27年", "a～", "漢字", ""]
