@@ -44,6 +44,20 @@ def py_strip(col: Column) -> Column:
     return F.btrim(col, F.lit(PY_SPACES))
 
 
+def begins_visibly(v: Column) -> Column:
+    """True only if ``v`` begins with a character that is no white space: printable
+    ASCII, or beyond U+3000, the last of ``PY_SPACES`` (strings compare by code point).
+    A few byte comparisons; '' and the characters between give False."""
+    return ((v >= "!") & (v < "\x7f")) | (v >= chr(ord(PY_SPACES[-1]) + 1))
+
+
+def strip_plain(col: Column) -> Column:
+    """``py_strip`` of a plain column (it is read more than once): values that begin
+    and end visibly, nearly all, are passed on without a search of their ends."""
+    seen = begins_visibly(col) & begins_visibly(F.substring(col, -1, 1))
+    return F.when(seen, col).otherwise(py_strip(col))
+
+
 def let(value: Column, fn) -> Column:
     """Evaluate ``value`` once and pass it to ``fn`` (a Column -> Column
     function that may use it many times).  Without this, chaining steps that

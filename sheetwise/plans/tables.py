@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from sheetwise import constants as K
 from sheetwise.functions.casts import is_numeric_text
-from sheetwise.functions.regex import py_strip
+from sheetwise.functions.regex import strip_plain
 from sheetwise.operators import headers as H
 from sheetwise.operators.reshape import regroup_rows
 from sheetwise.session import join_per_file, stored
@@ -21,7 +21,9 @@ from sheetwise.sources.sheets import data_rows, review_year, sheet_headers
 
 def business_id(year: Column, ordinal: Column) -> Column:
     """``{year}-{ordinal zero-padded to 5}``; wider ordinals keep all digits."""
-    return F.format_string("%d-%05d", year, ordinal)
+    digits = ordinal.cast("string")
+    padded = F.when(ordinal < 100_000, F.lpad(digits, 5, "0")).otherwise(digits)
+    return F.when(ordinal >= 0, F.concat(year.cast("string"), F.lit("-"), padded)).otherwise(F.format_string("%d-%05d", year, ordinal))
 
 
 def na_to_null(v: Column, policy: str = "default") -> Column:
@@ -126,11 +128,12 @@ def business(rows: DataFrame, na_policy: str = "default", header_rows: DataFrame
 def fund_flow(rows: DataFrame, header_rows: DataFrame | None = None) -> DataFrame:
     hdr, files = _eligible(rows, header_rows)
     parsed = H.parse_fund_flow(hdr).join(files, "source_file")
-    g = regroup_rows(rows, parsed, ["review_year", "block_id", "seq_text"], "item", K.FUND_FLOW_ITEMS)
-    items = {x: F.coalesce(py_strip(F.col(x)), F.lit("")) for x in K.FUND_FLOW_ITEMS}
+    g = regroup_rows(rows, parsed, ["review_year", "block_id", "seq_text"], "item", K.FUND_FLOW_ITEMS, keep_empty=True)
+    items = {x: F.coalesce(strip_plain(F.col(x)), F.lit("")) for x in K.FUND_FLOW_ITEMS}
     seq = sequence_number(F.col("seq_text"))
     primary = (items["支払先費目"] != "") | (items["支払先使途"] != "") | (items["支払先金額(百万円)"] != "")
     total = items["支払先計"]
+    # also drops the records without any value
     keep = primary | ((total != "") & (total != "0"))
     return g.where(keep).select(
         business_id(F.col("review_year"), F.col("row_ordinal")).alias("business_id"),
@@ -143,12 +146,13 @@ def fund_flow(rows: DataFrame, header_rows: DataFrame | None = None) -> DataFram
 def expenditure(rows: DataFrame, header_rows: DataFrame | None = None) -> DataFrame:
     hdr, files = _eligible(rows, header_rows)
     parsed = H.parse_expenditure(hdr).join(files, "source_file")
-    g = regroup_rows(rows, parsed, ["review_year", "block_id", "seq_text"], "item", K.EXPENDITURE_ITEMS)
+    g = regroup_rows(rows, parsed, ["review_year", "block_id", "seq_text"], "item", K.EXPENDITURE_ITEMS, keep_empty=True)
+    # also drops the records without any value
     keep = F.col("支出先").isNotNull() | F.col("支出額").isNotNull()
     return g.where(keep).select(
         business_id(F.col("review_year"), F.col("row_ordinal")).alias("business_id"),
         F.col("block_id"), sequence_number(F.col("seq_text")).alias("sequence"),
-        *[F.coalesce(py_strip(F.col(x)), F.lit("")).alias(x) for x in K.EXPENDITURE_ITEMS])
+        *[F.coalesce(strip_plain(F.col(x)), F.lit("")).alias(x) for x in K.EXPENDITURE_ITEMS])
 
 
 # --- U5 budgets --------------------------------------------------------------------
