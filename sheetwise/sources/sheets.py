@@ -166,7 +166,8 @@ def read_sheet_parts(spark: SparkSession, folder: str) -> DataFrame:
     n = rows.groupBy("source_file", "_part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source_file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = n.select("source_file", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return rows.join(offsets, ["source_file", "_part"]).select(
+    # stored: its size is known, so the wide rows need not be shuffled to meet it
+    return rows.join(stored(offsets, "part-offsets"), ["source_file", "_part"]).select(
         "source_file", "sheet", (F.col("row_ordinal") + F.col("before")).alias("row_ordinal"), "cells")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from sheetwise.functions.regex import PY_SPACES, begins_visibly, strip_plain
 from sheetwise.operators.reshape import is_blank, regroup_rows
 from sheetwise.plans.tables import business_id
+from sheetwise.sources.sheets import read_sheet_parts, write_sheet_csv
 
 _EDGES = [*PY_SPACES, "", "a", "~", "!", "\x7f", "\x00", "​", "é", "再", "\U0001F600", "、", "　x"]
 
@@ -37,3 +38,11 @@ def test_ids_of_any_width(spark):
 
 def test_methods_stay_within_what_hotspot_compiles(spark):
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_parts_meet_their_offsets_without_a_shuffle(spark, tmp_path):
+    rows = spark.range(1, 50).selectExpr("'f_s' source_file", "'s' sheet", "id row_ordinal", "array(string(id)) cells")
+    write_sheet_csv(rows, f"{tmp_path}/out")
+    back = read_sheet_parts(spark, f"{tmp_path}/out")
+    assert "Exchange hashpartitioning" not in back._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.row_ordinal, r.cells[0]) for r in back.collect()) == [(i - 1, str(i)) for i in range(1, 50)]
