@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from sheetwise import constants as K
 from sheetwise.operators.ordinal import dense_ordinal
-from sheetwise.session import stored
+from sheetwise.session import shuffles_released, stored
 
 
 def _q(s: str) -> str:
@@ -378,7 +378,8 @@ def write_workbooks(rows: DataFrame, folder: str, zipped: bool = False) -> int:
     pieces = places.sortWithinPartitions("book", "sheet", "row_ordinal").select("book", "sheet", "piece", xml.alias("xml"))
     pieces = pieces.mapInArrow(_compress_rows, "book string, sheet string, piece long, k long, data binary, crc long, size long")
     in_order = pieces.repartition("book").sortWithinPartitions("book", "sheet", "piece", "k").select("book", "sheet", "data", "crc", "size")
-    return in_order.mapInArrow(files, "book string").count()
+    with shuffles_released(rows.sparkSession):
+        return in_order.mapInArrow(files, "book string").count()
 
 
 # --- customers -> one header-only sheet each (gate and header catalogues) -------------

@@ -1,11 +1,13 @@
 """Workbooks (``.xlsx``, or ``.zip`` holding ``.xlsx``) -> sheet rows.
 
-``binaryFile`` lists and reads the files; one task per workbook cuts its sheets
-into pieces of whole rows without parsing them, and the pieces, dealt over all
-tasks, become rows ``(source_file = {stem}_{sheet}, sheet, row_ordinal, cells)``
-with row 0 the first sheet row (the header).  The reader is a small helper over
-the Office Open XML parts (shared strings, workbook, worksheets) using the
-standard library; it reads cached cell values, never formulas.
+Spark reads the files in splits, whatever store they are in, and no task holds a
+file in memory: one task per workbook puts the bytes in order in a temporary file,
+opens it as a zip and cuts the sheets into pieces of whole rows without parsing
+them.  The pieces, compressed and dealt over all tasks, become rows
+``(source_file = {stem}_{sheet}, sheet, row_ordinal, cells)`` with row 0 the first
+sheet row (the header).  The reader is a small helper over the Office Open XML
+parts (shared strings, workbook, worksheets) using the standard library; it reads
+cached cell values, never formulas.
 
 Cell text follows the sheet-to-CSV step: empty -> '', CR removed, LF -> <br>;
 integral numbers print without a decimal part, booleans as True/False, cells
@@ -28,11 +30,15 @@ import io
 import posixpath
 import pyexpat
 import re
+import shutil
+import tempfile
 import zipfile
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from typing import BinaryIO
+from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import quoteattr
 
@@ -244,9 +250,9 @@ def _parsed_pieces(open_part, seen: _Rows) -> Iterator[tuple[int, int, bytes, by
         yield *before, b"<rows>", b"".join(out)
 
 
-#: a plain cell, the begin or end of a row, or anything else that begins a tag
+#: a plain cell (column, style, type, ">" and inline text, value), the end of a row, or the begin of one or of any other tag
 _TOKEN = re.compile('<c(?: r="([A-Z]+)[0-9]+")?(?: s="([0-9]+)")?(?: t="([A-Za-z]+)")?'
-                    '(?:/>|>(?:(<is>)<t(?: xml:space="preserve")?>([^<]*)</t></is>|<v>([^<]*)</v>)?</c>)|(<row)((?: [A-Za-z:0-9]+="[^"<]*")*)/?>|</row>|(<)')
+                    '(?:/>|>(?:<is><t(?: xml:space="preserve")?(>[^<]*)</t></is>|<v>([^<]*)</v>)?</c>)|</row>|(<row(?: [A-Za-z:0-9]+="[^"<]*")*/?>|<)')
 _ROW_ATTRIBUTE = re.compile(' r="([^"]*)"')
 _REFERENCE = re.compile("&(#x[0-9a-fA-F]+|#[0-9]+|[a-z]+);")
 _ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
@@ -257,65 +263,99 @@ def _referred(m) -> str:
     return _ENTITIES[name] if name[0] != "#" else chr(int(name[2:], 16) if name[1] == "x" else int(name[1:]))
 
 
-def _tokens(start: bytes, xml: bytes) -> Iterator[tuple]:
-    """(is a row, its number, cell column, style, type, inline text, value) of a
-    piece.  The parser checks the whole piece; where it holds only plain cells,
-    as nearly all do, these are found by one expression instead of its tree."""
-    if f' xmlns="{_NS["m"]}"'.encode() in start and b"\r" not in xml:
-        found = _TOKEN.findall(xml.decode())
-        if not any(odd or (row and "xmlns" in attributes) for *_, row, attributes, odd in found):
-            pyexpat.ParserCreate(None, "}").Parse(start + xml + b"</rows>", True)
-            plain = lambda v: _REFERENCE.sub(_referred, v) if "&" in v else v
-            for ref, style, kind, inline, text, v, row, attributes, _ in found:
-                if row:
-                    number = _ROW_ATTRIBUTE.search(attributes)
-                    yield True, number.group(1) if number else None, None, None, None, None, None
-                elif ref or style or kind or inline or v:
-                    yield False, None, ref, style or "0", kind or "n", plain(text) if inline else None, plain(v) or None
-                else:
-                    yield False, None, "", "0", "n", None, None
-            return
-    for row in ET.fromstring(start + xml + b"</rows>"):
-        if row.tag != ROW:
+def _plain_rows(seen: _Rows, start: bytes, xml: bytes, shared: dict[int, str], dates: set[int], from_1904: bool) -> list[list[str]] | None:
+    """The rows of a piece that holds only plain cells, as nearly all do: the parser
+    checks the whole piece and one expression finds the cells.  Else nothing."""
+    if f' xmlns="{_NS["m"]}"'.encode() not in start or b"\r" in xml:
+        return None
+    pyexpat.ParserCreate(None, "}").Parse(start + xml + b"</rows>", True)
+    rows, cells, following = [], [], 0
+    for ref, style, kind, inline, v, row in _TOKEN.findall(xml.decode()):
+        if row:
+            if row == "<" or "xmlns" in row:
+                return None
+            number = _ROW_ATTRIBUTE.search(row)
+            rows += [[] for _ in range(seen.step(int(number.group(1)) if number else None))]
+            cells, following = [], 0
+            rows.append(cells)
             continue
-        yield True, row.get("r"), None, None, None, None, None
-        for c in row:
-            if c.tag == CELL:
-                is_ = next((x for x in c if x.tag == INLINE), None)
-                yield (False, None, _REF.match(c.get("r")).group(1) if c.get("r") else "", c.get("s", "0"), c.get("t", "n"),
-                       None if is_ is None else _text(is_), next((x.text for x in c if x.tag == VALUE), None))
+        i = _col_index(ref) if ref else following
+        following = i + 1
+        text = inline[1:] if inline else v
+        if "&" in text:
+            text = _REFERENCE.sub(_referred, text)
+        if kind == "inlineStr":
+            if not inline:
+                continue
+        elif not v:
+            continue
+        else:
+            text = _cell_text(kind or "n", text, style or "0", shared, dates, from_1904)
+        if i == len(cells):
+            cells.append(text)
+        else:
+            _put(cells, i, text)
+    return rows
+
+
+def _put(cells: list[str], i: int, text: str) -> None:
+    if i >= len(cells):
+        cells += [""] * (i + 1 - len(cells))
+    cells[i] = text
 
 
 def _parse_piece(ordinal: int, at: int, start: bytes, xml: bytes, shared: dict[int, str], dates: set[int], from_1904: bool) -> list[list[str]]:
     """The rows of a piece, as wide as their last cell; missing rows are empty."""
-    rows, seen, cells, following = [], _Rows(ordinal, at), [], 0
-    for is_row, number, ref, style, kind, inline, v in _tokens(start, xml):
-        if is_row:
-            rows += [[] for _ in range(seen.step(int(number) if number else None))]
-            cells, following = [], 0
-            rows.append(cells)
+    rows = _plain_rows(_Rows(ordinal, at), start, xml, shared, dates, from_1904)
+    if rows is not None:
+        return rows
+    rows, seen = [], _Rows(ordinal, at)
+    for row in ET.fromstring(start + xml + b"</rows>"):
+        if row.tag != ROW:
             continue
-        i = _col_index(ref) if ref else following
-        following = i + 1
-        text = inline if kind == "inlineStr" else None if v is None else _cell_text(kind, v, style, shared, dates, from_1904)
-        if text is not None:
-            if i == len(cells):
-                cells.append(text)
+        number, cells, following = row.get("r"), [], 0
+        rows += [[] for _ in range(seen.step(int(number) if number else None))]
+        rows.append(cells)
+        for c in row:
+            if c.tag != CELL:
                 continue
-            if i > len(cells):
-                cells += [""] * (i + 1 - len(cells))
-            cells[i] = text
+            i = _col_index(_REF.match(c.get("r")).group(1)) if c.get("r") else following
+            following, kind = i + 1, c.get("t", "n")
+            if kind == "inlineStr":
+                is_ = next((x for x in c if x.tag == INLINE), None)
+                text = None if is_ is None else _text(is_)
+            else:
+                v = next((x.text for x in c if x.tag == VALUE), None)
+                text = None if v is None else _cell_text(kind, v, c.get("s", "0"), shared, dates, from_1904)
+            if text is not None:
+                _put(cells, i, text)
     return rows
 
 
-def iter_pieces(data: bytes) -> Iterator[tuple[str, tuple]]:
+def _shared_strings(part: BinaryIO) -> list[str]:
+    """The texts of the shared strings; the tree is let go of as it is read."""
+    texts, open_ = [], []
+    for event, el in ET.iterparse(part, ("start", "end")):
+        if event == "start":
+            open_.append(el)
+            continue
+        open_.pop()
+        if len(open_) == 1:
+            if el.tag == _M + "si":
+                texts.append(_text(el))
+            open_[0].clear()
+    return texts
+
+
+def iter_pieces(data: bytes | BinaryIO) -> Iterator[tuple[str, tuple]]:
     """(sheet name, what ``_parse_piece`` needs for some rows) in book order, last
     an empty piece per sheet.  A piece carries the shared strings it may name."""
-    z = zipfile.ZipFile(io.BytesIO(data))
+    z = zipfile.ZipFile(io.BytesIO(data) if isinstance(data, bytes) else data)
     names = set(z.namelist())
     shared = []
     if "xl/sharedStrings.xml" in names:
-        shared = [_text(si) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
+        with z.open("xl/sharedStrings.xml") as part:
+            shared = _shared_strings(part)
     dates = _date_styles(z.read("xl/styles.xml") if "xl/styles.xml" in names else None)
     rels = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels")).findall("p:Relationship", _NS)}
     book = ET.fromstring(z.read("xl/workbook.xml"))
@@ -340,13 +380,15 @@ def read_xlsx(data: bytes) -> list[tuple[str, list[list[str]]]]:
     return [(name, [r + [""] * (width[name] - len(r)) for r in rows]) for name, rows in sheets.items()]
 
 
-def _workbook_members(path: str, content: bytes):
-    name = posixpath.basename(path)
+def _workbook_members(name: str, content: BinaryIO) -> Iterator[tuple[str, BinaryIO]]:
     if name.lower().endswith(".zip"):
-        with zipfile.ZipFile(io.BytesIO(content)) as zf:
+        with zipfile.ZipFile(content) as zf:
             for member in zf.namelist():
                 if member.endswith(".xlsx") and not member.startswith("__MACOSX"):
-                    yield posixpath.splitext(posixpath.basename(member))[0], zf.read(member)
+                    with tempfile.TemporaryFile() as book:
+                        with zf.open(member) as f:
+                            shutil.copyfileobj(f, book, PIECE_BYTES)
+                        yield posixpath.splitext(posixpath.basename(member))[0], book
     else:
         yield posixpath.splitext(name)[0], content
 
@@ -357,38 +399,81 @@ ZIPPED, LOOSE = 0, 1
 FAILED = -1
 _PIECES = T.StructType([T.StructField(n, t) for n, t in (
     ("source_file", T.StringType()), ("sheet", T.StringType()), ("workbook", T.StringType()), ("_source", T.StringType()), ("_piece", T.LongType()),
-    ("ordinal", T.LongType()), ("at", T.LongType()), ("start", T.BinaryType()), ("xml", T.BinaryType()), ("ids", T.ArrayType(T.IntegerType())),
+    ("ordinal", T.LongType()), ("at", T.LongType()), ("start", T.BinaryType()), ("xml", T.BinaryType()), ("size", T.LongType()), ("ids", T.ArrayType(T.IntegerType())),
     ("texts", T.ArrayType(T.StringType())), ("dates", T.ArrayType(T.IntegerType())), ("from_1904", T.BooleanType()))])
 #: cells are as wide as the row here, ``_width`` says how wide
 _PARSED = T.StructType([*SHEET_ROWS_SCHEMA.fields, T.StructField("workbook", T.StringType()), T.StructField("_source", T.StringType()), T.StructField("_width", T.IntegerType())])
 _UNREADABLE = (zipfile.BadZipFile, ET.ParseError, pyexpat.ExpatError, KeyError, IndexError, ValueError, AttributeError, EOFError, zlib.error)
 
 
+#: bytes of a file; the row before a file's first bytes has its length
+_BYTES = "path string, block long, k long, length long, data binary"
+
+
+def _runs_of_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body: the lines of files' splits, in order -> the bytes they are.
+    A file that does not end in a line feed has one too many here."""
+    for k, b in enumerate(batches):
+        path, block = b.column("path"), b.column("block")
+        new = np.flatnonzero(pc.or_(pc.not_equal(path[1:], path[:-1]), pc.not_equal(block[1:], block[:-1])).to_numpy(zero_copy_only=False)) + 1
+        edges = [0, *new.tolist(), b.num_rows]
+        for at, to in zip(edges[:-1], edges[1:], strict=True):
+            if at < to:
+                data = b"\n".join(b.column("value")[at:to].to_pylist()) + b"\n"
+                yield pa.RecordBatch.from_arrays([path[at:at + 1], block[at:at + 1], pa.array([k], pa.int64()), pa.nulls(1, pa.int64()), pa.array([data], pa.binary())],
+                                                 names=["path", "block", "k", "length", "data"])
+
+
+def _bytes_of_files(spark: SparkSession, found: list[str]) -> DataFrame:
+    """Every file's bytes in order, all of a file in one partition.  Spark's text
+    source cuts files at line feeds, whatever they hold, and reads their splits in
+    parallel.  Like Spark's other sources it passes over files without any byte."""
+    path = F.col("_metadata.file_path").alias("path")
+    lines = spark.read.option("lineSep", "\n").text(found).select(path, F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    lengths = spark.read.format("binaryFile").load(found).select(path, F.lit(-1).cast("long").alias("block"), F.lit(0).cast("long").alias("k"), "length", F.lit(None).cast("binary").alias("data"))
+    return lengths.unionByName(lines.mapInArrow(_runs_of_bytes, _BYTES)).repartition("path").sortWithinPartitions("path", "block", "k")
+
+
 def _cut_workbooks(skip: bool):
-    """mapInArrow body: (path, content) -> the pieces of their sheets.  A source
-    that cannot be read gives, when skipped, one piece without xml whose ``_source``
-    is the error; rows it gives otherwise are left out by ``ingest_workbooks``."""
+    """mapInArrow body: the bytes of workbooks, in order -> the pieces of their
+    sheets.  A source that cannot be read gives, when skipped, one piece without xml
+    whose ``_source`` is the error; rows it gives otherwise are left out by
+    ``ingest_workbooks``."""
     arrow = to_arrow_schema(_PIECES)
 
-    def pieces_of(path: str, content: bytes):
-        name, n = posixpath.basename(path), 0
-        kind = ZIPPED if name.lower().endswith(".zip") else LOOSE
-        for k, (stem, data) in enumerate(_workbook_members(path, content)):
+    def pieces_of(name: str, content: BinaryIO):
+        kind, n = ZIPPED if name.lower().endswith(".zip") else LOOSE, 0
+        for k, (stem, data) in enumerate(_workbook_members(name, content)):
             for sheet, (ordinal, at, start, xml, shared, dates, from_1904) in iter_pieces(data):
-                yield (f"{stem}_{sheet}", sheet, name, f"{kind}/{name}/{k:06d}", n, ordinal, at, start, xml, list(shared), list(shared.values()), list(dates), from_1904)
+                packed = pa.compress(xml, "zstd", asbytes=True)
+                yield (f"{stem}_{sheet}", sheet, name, f"{kind}/{name}/{k:06d}", n, ordinal, at, start, packed, len(xml), list(shared), list(shared.values()), list(dates), from_1904)
                 n += 1
 
+    def cut(path: str, length: int, content: BinaryIO):
+        name = posixpath.basename(unquote(path))
+        content.truncate(length)
+        try:
+            for piece in pieces_of(name, content):
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(piece, arrow, strict=True)], schema=arrow)
+        except _UNREADABLE as e:
+            if not skip:
+                raise
+            yield pa.RecordBatch.from_pylist([{"workbook": name, "_source": f"{type(e).__name__}: {e}", "_piece": -1}], schema=arrow)
+
     def run(batches):
+        path, length, content = None, 0, None
         for b in batches:
-            for path, content in zip(b.column(0), b.column(1)):
-                try:
-                    for piece in pieces_of(path.as_py(), content.as_py()):
-                        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(piece, arrow)], schema=arrow)
-                except _UNREADABLE as e:
-                    if not skip:
-                        raise
-                    failed = {"workbook": posixpath.basename(path.as_py()), "_source": f"{type(e).__name__}: {e}", "_piece": -1}
-                    yield pa.RecordBatch.from_pylist([failed], schema=arrow)
+            for i in range(b.num_rows):
+                if (n := b.column("length")[i].as_py()) is not None:
+                    if content:
+                        with content:
+                            yield from cut(path, length, content)
+                    path, length, content = b.column("path")[i].as_py(), n, tempfile.TemporaryFile()
+                else:
+                    content.write(b.column("data")[i].as_buffer())
+        if content:
+            with content:
+                yield from cut(path, length, content)
 
     return run
 
@@ -399,7 +484,8 @@ def _parse_pieces(skip: bool):
 
     def rows_of(p: dict) -> pa.RecordBatch:
         shared = dict(zip(p["ids"], p["texts"], strict=True))
-        rows = _parse_piece(p["ordinal"], p["at"], p["start"], p["xml"], shared, set(p["dates"]), p["from_1904"])
+        xml = pa.decompress(p["xml"], p["size"], "zstd", asbytes=True)
+        rows = _parse_piece(p["ordinal"], p["at"], p["start"], xml, shared, set(p["dates"]), p["from_1904"])
         n, widths = len(rows), np.array([len(r) for r in rows], "int32")
         texts = pa.array([c for r in rows for c in r], pa.string())
         texts = pc.replace_substring(pc.replace_substring(texts, "\r", ""), "\n", "<br>")
@@ -432,9 +518,9 @@ def _sources(spark: SparkSession, folder: str, target_files: list[str] | None, s
         found = [f for f in found if posixpath.basename(f) in set(target_files)]
     if not found:
         return spark.createDataFrame([], _PARSED)
-    # one input row per workbook, cut into pieces of whole rows; the pieces are
-    # dealt out, so one workbook is parsed by many tasks
-    pieces = spark.read.format("binaryFile").load(found).select("path", "content").mapInArrow(_cut_workbooks(skip), _PIECES)
+    # a workbook is cut into pieces of whole rows by one task; the pieces are
+    # dealt out, so it is parsed by many tasks
+    pieces = _bytes_of_files(spark, found).mapInArrow(_cut_workbooks(skip), _PIECES)
     return stored(pieces.repartition("workbook", "_piece").mapInArrow(_parse_pieces(skip), _PARSED), "workbooks")
 
 

@@ -234,3 +234,72 @@ def test_workbooks_written_by_many_tasks(spark):
         got = ingest_workbooks(spark, folder)
         assert got.where("cells[0] = 39999").collect()[0]["row_ordinal"] == 19999
         assert got.where("size(cells) = 3 AND cells[1] = '<&><br>\"'' 語'").count() == 40000
+
+
+def test_no_task_holds_a_whole_workbook(spark):
+    """Files beyond any size that is read as one value; they are put together from splits at line feeds."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sheetwise.sources import workbooks as W
+    d = tempfile.mkdtemp(prefix="sheetwise-wb-")
+    noise = random.Random(3)
+    lines = ["".join(chr(noise.randrange(0x4e00, 0x9fff)) for _ in range(9)) + "\n" * (i % 3) for i in range(3000)]
+    book = make_xlsx([("S", [[("A1", "s", "h")]] + [[(f"A{i + 2}", "s", x)] for i, x in enumerate(lines)])])
+    contents = {"database 2016.xlsx": book, "事業%41.xlsx": book, "feeds.xlsx": b"\n\n", "open.xlsx": b"PK\n" * 9000 + b"x"}
+    for name, data in contents.items():
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(data)
+    with zipfile.ZipFile(os.path.join(d, "deflated.zip"), "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("database2017.xlsx", book)
+    for key, value in (("spark.sql.sources.binaryFile.maxLength", "10"), ("spark.sql.files.maxPartitionBytes", "9000"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "7")):
+        spark.conf.set(key, value)
+    try:
+        found = W.list_files(spark, d + "/*.xlsx")
+        for path, length, data in W._bytes_of_files(spark, found).groupBy("path").agg(
+                F.max("length"), F.sort_array(F.collect_list(F.struct("block", "k", "data")))).collect():
+            name = os.path.basename(W.unquote(path))
+            assert b"".join(x["data"] or b"" for x in data)[:length] == contents[name] and length == len(contents[name])
+        rows, failed = W.ingest_with_failures(spark, d)
+        assert {x["workbook"] for x in failed.collect()} == {"feeds.xlsx", "open.xlsx"}
+        got = {}
+        for x in rows.orderBy("row_ordinal").collect():
+            got.setdefault((x["workbook"], x["source_file"]), []).append(x["cells"][0])
+        text = ["h"] + [x.replace("\n", "<br>") for x in lines]
+        assert got == {("database 2016.xlsx", "database 2016_S"): text, ("事業%41.xlsx", "事業%41_S"): text, ("deflated.zip", "database2017_S"): text}
+    finally:
+        for key in ("spark.sql.sources.binaryFile.maxLength", "spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+            spark.conf.unset(key)
+
+
+def test_plain_cells_and_others_give_the_same_rows():
+    """The expression and the tree read the same cells; a comment sends a piece to the tree."""
+    from sheetwise.sources import workbooks as W
+    start = f'<rows xmlns="{M}" xmlns:y="y">'.encode()
+    cells = ('<c r="B2" t="inlineStr"><is><t>a &lt;b</t></is></c><c t="inlineStr"><is><t xml:space="preserve"> </t></is></c><c/><c t="inlineStr"><is><t></t></is></c>'
+             '<c t="inlineStr"><v>1</v></c><c t="n"><is><t>x</t></is></c><c s="1"><v>42461</v></c><c t="s"><v>3</v></c><c t="b"><v>1</v></c><c t="e"><v>#N/A</v></c><c r="A2"><v>7.0</v></c>')
+    xml = f'<row r="2" y:z="1">{cells}</row><row/><row r="6" spans="1:2"><c r="C6"><v>5</v></c></row>'
+    plain, tree = (W._parse_piece(0, -1, start, x.encode(), {3: "shared"}, {1}, False) for x in (xml, xml + "<!-- -->"))
+    assert plain == tree == [[], ["7.0", "a <b", " ", "", "", "", "", "2016-04-01 00:00:00", "shared", "True", "#N/A"], [], [], [], ["", "", "5"]]
+    assert W._plain_rows(W._Rows(), start, xml.encode(), {3: "shared"}, {1}, False) == plain
+    assert W._plain_rows(W._Rows(), start, (xml + "<!-- -->").encode(), {3: "shared"}, {1}, False) is None
+
+
+def test_shared_strings_are_read_as_they_come():
+    from sheetwise.sources import workbooks as W
+    xml = f'<sst xmlns="{M}"><si><t>a</t></si><si/><si><r><t>b</t></r><r><t>c</t></r><rPh sb="0" eb="1"><t>x</t></rPh></si><extLst><ext><si/></ext></extLst><si><t/></si></sst>'
+    assert W._shared_strings(io.BytesIO(xml.encode())) == ["a", "", "bc", ""]
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    from sheetwise.session import stored
+    files = lambda: {f.getName() for f in _java(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    got = stored(spark.range(1000).repartition(3, "id"), "released")
+    assert not files() - before
+    assert got.count() == 1000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def _java(seq):
+    return [seq.apply(i) for i in range(seq.length())]
