@@ -31,7 +31,7 @@ from sheetwise.operators.ordinal import dense_ordinal
 from sheetwise.plans.job import normalize_sheet_rows, publish
 from sheetwise.sources.derived import (HYPHEN_TEXT_SQL, WAREKI_TEXT_SQL, customer_header_sheets, lineitem_headers,
                                        lineitem_workbook, orders_files, orders_headers, orders_workbook, write_workbooks)
-from sheetwise.sources.sheets import read_sheet_csv, read_sheet_parts, review_year, sheet_headers, write_sheet_csv
+from sheetwise.sources.sheets import read_parts_and_heads, read_sheet_csv, review_year, sheet_headers, write_sheet_csv
 from sheetwise.sources.workbooks import ingest_workbooks
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -354,8 +354,8 @@ def q_run_log_deletes(spark, sf_dir):
 def q_fund_flow_from_csv(spark, sf_dir):
     """The payee sheets as all-quoted CSV, read back, and the table built from them."""
     path = scratch_folder(spark, "sheets")
-    write_sheet_csv(lineitem_workbook(spark, sf_dir)[0], path)
-    return TB.fund_flow(read_sheet_parts(spark, path))
+    write_sheet_csv(lineitem_workbook(spark, sf_dir)[0], path, compression="gzip")
+    return _build(TB.fund_flow, read_parts_and_heads(spark, path))
 
 
 @register("sheet_csv_lines", O.sheet_csv_lines_sql)

@@ -12,12 +12,25 @@ is derived from the header rows only (a tiny table: files x columns).
 
 from __future__ import annotations
 
+import csv
+import io
+import posixpath
+from collections.abc import Callable, Iterator
+from itertools import islice
+from typing import BinaryIO
+from urllib.parse import unquote
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.csv as pacsv
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sheetwise import constants as K
-from sheetwise.session import stored
+from sheetwise.session import join_per_file, shuffles_released, stored
 from sheetwise.sources import csv_lines
 
 SHEET_ROWS_SCHEMA = T.StructType([
@@ -100,36 +113,56 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
 
 
 CSV_ROWS_PER_BATCH = 2000
+#: bytes of CSV text that Arrow's reader parses at once; longer rows are left to Python's
+CSV_BLOCK_BYTES = 4 << 20
 
 
-def _parse_sheet_csv(batches):
-    """mapInPandas body: each input row is one whole sheet CSV file, parsed as a
-    stream; rows leave the task a batch at a time."""
-    import csv
-    import io
-    import posixpath
+def _python_rows(part: BinaryIO) -> Iterator[list[str]]:
+    """CSV rows without truly blank lines; a BOM is dropped, undecodable bytes become U+FFFD."""
+    csv.field_size_limit(1 << 30)
+    return (cells for cells in csv.reader(io.TextIOWrapper(part, encoding="utf-8-sig", errors="replace", newline="")) if cells)
 
-    import pandas as pd
 
-    columns = ["source_file", "sheet", "row_ordinal", "cells"]
-    csv.field_size_limit(1 << 30)
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            name = posixpath.basename(path)
-            stem = name[:-4] if name.lower().endswith(".csv") else name
-            sheet = stem.rsplit("_", 1)[1] if "_" in stem else ""
-            lines = io.TextIOWrapper(io.BytesIO(content), encoding="utf-8-sig", errors="replace", newline="")
-            out, n = [], 0
-            for cells in csv.reader(lines):
-                if not cells:  # a truly blank line
-                    continue
-                out.append((stem, sheet, n, cells))
-                n += 1
-                if len(out) >= CSV_ROWS_PER_BATCH:
-                    yield pd.DataFrame(out, columns=columns)
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=columns)
+def _csv_columns(open_part: Callable[[], BinaryIO], first_only: bool = False) -> Iterator[list[pa.Array] | list[list[str]]]:
+    """The rows of a CSV part, a batch at a time: as columns (``first_only``: the
+    first one alone) while all rows are as wide as the first, as Arrow's reader wants
+    them; from where it stops, as lists of cells by Python's."""
+    done, first = 0, next(_python_rows(open_part()), None)
+    if first is None:
+        return
+    names = [f"f{i}" for i in range(len(first))]
+    try:
+        reader = pacsv.open_csv(open_part(), pacsv.ReadOptions(use_threads=False, block_size=CSV_BLOCK_BYTES, column_names=names), pacsv.ParseOptions(newlines_in_values=True),
+                                pacsv.ConvertOptions(column_types={n: pa.string() for n in names}, include_columns=names[:1] if first_only else names))
+        for batch in reader:
+            yield batch.columns
+            done += batch.num_rows
+    except pa.ArrowInvalid:
+        rows = islice(_python_rows(open_part()), done, None)
+        while some := list(islice(rows, CSV_ROWS_PER_BATCH)):
+            yield some
+
+
+def _cells(rows: list[pa.Array] | list[list[str]]) -> pa.ListArray:
+    if isinstance(rows[0], list):
+        return pa.array(rows, pa.list_(pa.string()))
+    n, width = len(rows[0]), len(rows)
+    by_row = np.arange(n * width).reshape(width, n).T.ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, "int32")), pa.concat_arrays(rows).take(pa.array(by_row)))
+
+
+def _n_rows(rows: list[pa.Array] | list[list[str]]) -> int:
+    return len(rows) if isinstance(rows[0], list) else len(rows[0])
+
+
+def _opener(path: str, content: pa.Scalar) -> Callable[[], BinaryIO]:
+    """Opens a part's text; each call begins anew."""
+    plain = lambda: pa.BufferReader(content.as_buffer())
+    return (lambda: pa.CompressedInputStream(plain(), "gzip")) if path.endswith(".gz") else plain
+
+
+def _sheet_file(path: str) -> str:
+    return unquote(posixpath.basename(posixpath.dirname(path)).removeprefix("source_file="))
 
 
 def read_sheet_csv(spark: SparkSession, pattern: str) -> DataFrame:
@@ -146,39 +179,101 @@ def read_sheet_csv(spark: SparkSession, pattern: str) -> DataFrame:
     return csv_lines.sheet_rows(spark, pattern, SHEET_ROWS_SCHEMA)
 
 
+def _count_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            n = sum(map(_n_rows, _csv_columns(_opener(path, content), first_only=True)))
+            yield pa.RecordBatch.from_pydict({"path": [path], "source_file": [_sheet_file(path)], "_part": [posixpath.basename(path)], "n": [n]})
+
+
+def _parse_parts(heads: bool):
+    """mapInArrow body: (path, content, rows before) -> sheet rows, or the first one alone."""
+    arrow = to_arrow_schema(SHEET_ROWS_SCHEMA)
+
+    def run(batches):
+        for b in batches:
+            for path, content, at in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                stem = _sheet_file(path)
+                sheet = stem.rsplit("_", 1)[1] if "_" in stem else ""
+                for rows in _csv_columns(_opener(path, content)):
+                    cells = _cells(rows)[:1] if heads else _cells(rows)
+                    n = len(cells)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(stem), n), pa.repeat(pa.scalar(sheet), n), pa.array(np.arange(at, at + n)), cells], schema=arrow)
+                    at += n
+                    if heads:
+                        break
+
+    return run
+
+
 def read_sheet_parts(spark: SparkSession, folder: str) -> DataFrame:
     """Sheet rows from what ``write_sheet_csv`` wrote: a sheet file is a folder
     of part files in order; each part is parsed by a task of its own, and rows
     are numbered on from the parts before."""
-    from urllib.parse import unquote
+    return read_parts_and_heads(spark, folder)[0]
 
-    def parts(batches):
-        import posixpath
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                stem = unquote(posixpath.basename(posixpath.dirname(path)).removeprefix("source_file="))
-                for out in _parse_sheet_csv([{"path": [f"{stem}.csv"], "content": [content]}]):
-                    yield out.assign(_part=posixpath.basename(path))
 
-    schema = T.StructType([*SHEET_ROWS_SCHEMA.fields, T.StructField("_part", T.StringType())])
+def read_parts_and_heads(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(sheet rows, header rows).  Parts are read twice: once their rows are counted,
+    which gives each part its first row number; then they are parsed whenever the rows
+    are used, and nothing but the counts is stored.  Header rows are in parts with
+    nothing before them, the only ones read for these."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(folder).select("path", "content")
-    rows = stored(files.mapInPandas(parts, schema), "parts")
-    n = rows.groupBy("source_file", "_part").agg(F.count("*").alias("n"))
+    n = stored(files.mapInArrow(_count_parts, "path string, source_file string, _part string, n long"), "part-rows").where("n > 0")
     before = Window.partitionBy("source_file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = n.select("source_file", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    # stored: its size is known, so the wide rows need not be shuffled to meet it
-    return rows.join(stored(offsets, "part-offsets"), ["source_file", "_part"]).select(
-        "source_file", "sheet", (F.col("row_ordinal") + F.col("before")).alias("row_ordinal"), "cells")
-
-
-def write_sheet_csv(rows: DataFrame, out_dir: str) -> None:
-    """K1: all-quoted CSV lines, one folder per sheet file, rows in order.
-
-    Range partitioning on (file, row) keeps each part file a contiguous,
-    ordered slice, so no single task has to hold a whole sheet.
+    # stored: its size is known, so the parts need not be shuffled to meet it
+    offsets = stored(n.select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "part-offsets")
+    first = [r["path"] for r in offsets.where("before = 0").select("path").collect()]
+    head_files = files.where(F.col("path").isin(first))
+    return (files.join(offsets, "path").mapInArrow(_parse_parts(False), SHEET_ROWS_SCHEMA),
+            head_files.withColumn("before", F.lit(0).cast("long")).mapInArrow(_parse_parts(True), SHEET_ROWS_SCHEMA))
+
+
+_LINES = pa.schema([("source_file", pa.string()), ("row_ordinal", pa.int64()), ("line", pa.string())])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body: lines with the slice they belong to -> compressed blocks of
+    lines of one slice."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for b in batches:
+        b = b.take(pc.sort_indices(b, sort_keys=[("slice", "ascending")]))
+        slices = b.column("slice").to_numpy()
+        edges = [0, *(np.flatnonzero(slices[1:] != slices[:-1]) + 1).tolist(), len(slices)]
+        for at, to in zip(edges[:-1], edges[1:], strict=True):
+            if at < to:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, _LINES, options=options) as out:
+                    out.write_batch(b[at:to].select(_LINES.names).cast(_LINES))
+                yield pa.RecordBatch.from_arrays([pa.array(slices[at:at + 1]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["slice", "lines"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lines in b.column("lines"):
+            yield from pa.ipc.open_stream(lines.as_buffer())
+
+
+def write_sheet_csv(rows: DataFrame, out_dir: str, compression: str = "none") -> None:
+    """K1: all-quoted CSV lines, one folder per sheet file, rows in order;
+    ``compression="gzip"`` for files that are read back by ``read_sheet_parts``.
+
+    Each part file is a contiguous, ordered slice, so no single task has to hold a
+    whole sheet.  Slices are even shares of the places (file, row), known from the
+    first and last row numbers of the files, so no pass over the cells is needed to
+    find them.  Lines are shuffled in compressed blocks.
     """
-    quoted = F.concat_ws(",", F.transform("cells", lambda c: F.concat(
-        F.lit('"'), F.regexp_replace(F.coalesce(c, F.lit("")), '"', '""'), F.lit('"'))))
-    (rows.repartitionByRange("source_file", "row_ordinal").sortWithinPartitions("source_file", "row_ordinal")
-     .select("source_file", quoted.alias("line"))
-     .write.mode("overwrite").partitionBy("source_file").text(out_dir))
+    spark, text = rows.sparkSession, F.array_join("cells", '","', "")
+    escaped = F.array_join(F.transform("cells", lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""'))), '","')
+    quoted = F.concat(F.lit('"'), F.when(F.instr(F.array_join("cells", ",", ""), '"') > 0, escaped).otherwise(text), F.lit('"'))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = rows.groupBy("source_file").agg(F.min("row_ordinal").alias("_first"), (F.max("row_ordinal") - F.min("row_ordinal") + 1).alias("_span"))
+    up_to = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    files = files.withColumn("_start", F.sum("_span").over(up_to) - F.col("_span") - F.col("_first")).withColumn("_all", F.sum("_span").over(Window.partitionBy()))
+    placed = join_per_file(rows, files.select("source_file", "_start", "_all"))
+    slice_ = F.floor((F.col("_start") + F.col("row_ordinal")) * n / F.col("_all")).cast("int")
+    lines = placed.select(slice_.alias("slice"), "source_file", "row_ordinal", F.when(F.size("cells") > 0, quoted).otherwise("").alias("line"))
+    blocks = lines.mapInArrow(_packed, "slice int, lines binary").repartitionById(n, F.col("slice"))
+    in_order = blocks.mapInArrow(_unpacked, "source_file string, row_ordinal long, line string").sortWithinPartitions("source_file", "row_ordinal")
+    with shuffles_released(spark):
+        in_order.select("source_file", "line").write.mode("overwrite").option("compression", compression).partitionBy("source_file").text(out_dir)
