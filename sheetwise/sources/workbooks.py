@@ -385,10 +385,14 @@ def _workbook_members(name: str, content: BinaryIO) -> Iterator[tuple[str, Binar
         with zipfile.ZipFile(content) as zf:
             for member in zf.namelist():
                 if member.endswith(".xlsx") and not member.startswith("__MACOSX"):
-                    with tempfile.TemporaryFile() as book:
-                        with zf.open(member) as f:
+                    stem = posixpath.splitext(posixpath.basename(member))[0]
+                    with zf.open(member) as f:
+                        if zf.getinfo(member).compress_type == zipfile.ZIP_STORED:
+                            yield stem, f  # read where it is
+                            continue
+                        with tempfile.TemporaryFile() as book:
                             shutil.copyfileobj(f, book, PIECE_BYTES)
-                        yield posixpath.splitext(posixpath.basename(member))[0], book
+                            yield stem, book
     else:
         yield posixpath.splitext(name)[0], content
 
